@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from faultline.llm.language import op8_language
 from faultline.llm.mixing import OP2_SQL, op2_mix_sources
+from faultline.llm.packing import op5_packing
 from faultline.llm.token_files import op3_token_files
 
 
@@ -10,6 +12,8 @@ def queries():
     return {
         "op2_mix_sources": op2_mix_sources,
         "op3_token_files": op3_token_files,
+        "op5_packing": op5_packing,
+        "op8_language": op8_language,
     }
 
 
