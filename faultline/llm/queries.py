@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from faultline.llm.jaccard import op9_ngram_jaccard
 from faultline.llm.language import op8_language
 from faultline.llm.mixing import OP2_SQL, op2_mix_sources
 from faultline.llm.packing import op5_packing
@@ -14,6 +15,7 @@ def queries():
         "op3_token_files": op3_token_files,
         "op5_packing": op5_packing,
         "op8_language": op8_language,
+        "op9_ngram_jaccard": op9_ngram_jaccard,
     }
 
 

@@ -8,6 +8,7 @@ Chunks repeat, so each Python worker remembers their ids, up to a bound.
 from __future__ import annotations
 
 import re
+from array import array
 
 from pyspark.sql import DataFrame
 
@@ -17,6 +18,7 @@ END_ID = 1
 #: lower-case Latin letters that Unicode normalisation leaves alone, then at
 #: most one mark: the pre-tokenizer cuts such a chunk into these two pieces
 _PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]?)\Z")
+_ASCII = re.compile(rb"([a-z]+)([.,;:!?]?)\Z")
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -36,49 +38,54 @@ def _byte_symbols() -> list[str]:
 class ChunkEncoder(dict):
     """Maps a chunk (lower-case ASCII bytes) to its ids as uint32 bytes.
 
-    ``path`` names a tokenizers JSON file whose normaliser lower-cases.  At
-    most ``limit`` chunks are remembered; then it starts anew.
+    ``path`` names a tokenizers JSON file whose normaliser lower-cases.  Runs
+    of letters are remembered when first met, chunks when their run is met
+    again.  At most ``limit`` of either are kept; then they start anew.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.limit = limit
         self.symbols = _byte_symbols()
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.letters: dict[str, bytes] = {}
+        self.marks = {m.encode(): self._whole(m) for m in ["", *".,;:!?"]}
+        self.letters: dict[bytes, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        from array import array
-
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _run(self, run: str) -> bytes:
-        from array import array
-
-        found = self.letters.get(run)
-        if found is None:
-            mapped = run if run.isascii() else "".join(map(self.symbols.__getitem__, run.encode()))
-            found = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-            if len(self.letters) >= self.limit // 2:
-                self.letters.clear()
-            self.letters[run] = found
-        return found
+    def _learn(self, run: bytes) -> bytes:
+        """Ids of a run of letters that isn't known yet."""
+        text = run.decode() if run.isascii() else "".join(map(self.symbols.__getitem__, run))
+        ids = array("I", [t.id for t in self.tokenize(text)]).tobytes()
+        if len(self.letters) >= self.limit:
+            self.letters.clear()
+        self.letters[run] = ids
+        return ids
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        text = chunk.decode()
-        plain = _PLAIN.match(text.lower())
+        plain = _ASCII.match(chunk)
         if plain:
-            ids = self._run(plain[1])
-            if plain[2]:
-                ids += self[plain[2].encode()] if text != plain[2] else self._whole(text)
+            run, mark = plain[1], plain[2]
         else:
-            ids = self._whole(text)
+            plain = _PLAIN.match(chunk.decode().lower())
+            if not plain:
+                ids = self._whole(chunk.decode())
+                if len(self) >= self.limit:
+                    self.clear()
+                self[chunk] = ids
+                return ids
+            run, mark = plain[1].encode(), plain[2].encode()
+        ids = self.letters.get(run)
+        if ids is None:
+            return self._learn(run) + self.marks[mark]
+        ids += self.marks[mark]
+        if len(self) >= self.limit:
+            self.clear()
         self[chunk] = ids
         return ids
 
