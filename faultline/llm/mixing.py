@@ -12,10 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import table
+from faultline.llm.shared import table, written
 
 SEED = 17
 TEMPERATURE = 0.5
+#: up to so many sources the table of rates is broadcast (a few MB); beyond,
+#: it is joined with each source dealt over SALTS parts
+BROADCAST_SOURCES, SALTS = 10_000, 64
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -84,11 +87,19 @@ def mix_sources(
     rates = source_rates(docs, weights, temperature).where("rate > 0").select(
         F.col("source_key").alias("_mix_key"), "rate", poisson_steps(F.col("rate")).alias("_mix_steps")
     )
-    drawn = (
+    rates = written(rates, "rates")
+    keyed = (
         docs.drop("copy", "rate")
         .withColumn("_mix_key", _text("source"))
         .withColumn("_mix_u", uniform(seed, _text("doc_id"), F.md5(F.coalesce("text", F.lit("")))))
-        .join(rates, "_mix_key")
+    )
+    if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        joined = keyed.join(F.broadcast(rates), "_mix_key")
+    else:  # every source is spread over so many parts, whatever its size
+        salted = rates.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn("_mix_salt", F.pmod(F.xxhash64("doc_id", "_mix_u"), F.lit(SALTS)).cast("int")).join(salted, ["_mix_key", "_mix_salt"]).drop("_mix_salt")
+    drawn = (
+        joined
         .withColumn("_mix_copies", F.size(F.filter("_mix_steps", lambda c: c <= F.col("_mix_u"))))
         .where("_mix_copies > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_mix_copies") - 1)))
