@@ -5,6 +5,7 @@ from __future__ import annotations
 from faultline.llm.jaccard import op9_ngram_jaccard
 from faultline.llm.language import op8_language
 from faultline.llm.mixing import OP2_SQL, op2_mix_sources
+from faultline.llm.near_vectors import OP10_SQL, op10_near_vectors
 from faultline.llm.packing import op5_packing
 from faultline.llm.token_files import op3_token_files
 
@@ -16,8 +17,9 @@ def queries():
         "op5_packing": op5_packing,
         "op8_language": op8_language,
         "op9_ngram_jaccard": op9_ngram_jaccard,
+        "op10_near_vectors": op10_near_vectors,
     }
 
 
 def oracle_sql():
-    return {"op2_mix_sources": OP2_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op10_near_vectors": OP10_SQL}
