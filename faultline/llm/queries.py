@@ -7,11 +7,13 @@ from faultline.llm.language import op8_language
 from faultline.llm.mixing import OP2_SQL, op2_mix_sources
 from faultline.llm.near_vectors import OP10_SQL, op10_near_vectors
 from faultline.llm.packing import op5_packing
+from faultline.llm.posting_search import op1_posting_search
 from faultline.llm.token_files import op3_token_files
 
 
 def queries():
     return {
+        "op1_posting_search": op1_posting_search,
         "op2_mix_sources": op2_mix_sources,
         "op3_token_files": op3_token_files,
         "op5_packing": op5_packing,
