@@ -6,6 +6,7 @@ from faultline.llm.jaccard import op9_ngram_jaccard
 from faultline.llm.language import op8_language
 from faultline.llm.mixing import OP2_SQL, op2_mix_sources
 from faultline.llm.near_vectors import OP10_SQL, op10_near_vectors
+from faultline.llm.ngram_model import op6_ngram_scores
 from faultline.llm.packing import op5_packing
 from faultline.llm.posting_search import op1_posting_search
 from faultline.llm.token_files import op3_token_files
@@ -17,6 +18,7 @@ def queries():
         "op2_mix_sources": op2_mix_sources,
         "op3_token_files": op3_token_files,
         "op5_packing": op5_packing,
+        "op6_ngram_scores": op6_ngram_scores,
         "op8_language": op8_language,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_near_vectors": op10_near_vectors,
