@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from faultline.llm.shared import connected_components, slices, table, text_buffer, written
-from faultline.llm.words import ngram_hashes, word_hashes
+from faultline.llm.words import mix, ngram_hashes, word_hashes
 
 SHINGLE, PERCENT = 3, 90
 MOST_MATCHES = 4
 #: the frequency sketch: counters by leading hash bits, sent in ranges
 SKETCH_BITS, RANGE_BITS = 20, 14
+#: bits of the filter of wanted ids, and tasks that fill it
+FILTER_BITS, FILTER_TASKS = 22, 16
 #: members of a block; larger ones are split by hash around common pivots
 BLOCK, PIVOTS = 4096, 16
 ROUNDS = 2
@@ -184,41 +186,69 @@ def link_block(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def _block_links(percent: int):
+def _block_links(percent: int, size: int):
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sets = [], []
         for batch in batches:
             keys += batch.column("key").to_pylist()
-            sets += [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
+            sets += [own for _, own in document_sets(batch.select(["key", "text"]), size)]
         links = link_block(sets, percent) if len(sets) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in links], pa.int64()), pa.array([keys[j] for _, j in links], pa.int64())], ["a", "b"])
 
     return run
 
 
-def _verify(percent: int):
+def _verify(percent: int, size: int):
     def run(batches):
         for batch in batches:
-            a, b = (batch.column(c).to_pylist() for c in ("set_a", "set_b"))
-            good = []
-            for x, y in zip(a, b):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                good.append(bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)))
+            first = [own for _, own in document_sets(batch.select(["a", "text_a"]), size)]
+            second = [own for _, own in document_sets(batch.select(["b", "text_b"]), size)]
+            good = [bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)) for x, y in zip(first, second)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def _sets_of(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
-    """(key, shingles) of the classes whose representatives are chosen."""
+def _filter_bits(ids: np.ndarray) -> np.ndarray:
+    """Three places of each id in the filter."""
+    x = mix(ids.astype(np.int64).view(np.uint64))
+    return np.stack([(x >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1) for shift in (0, 20, 40)]).astype(np.int64)
 
-    def run(batches):
+
+def texts_of(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(key, text) of classes (key, doc_id).
+
+    A Bloom filter of fixed size leaves out most other texts before the
+    join moves any; when it fills up it just leaves out fewer.  A
+    representative's id that has other texts too counts with its own only.
+    """
+
+    def bits(batches):
+        held = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            held[_filter_bits(batch.column(0).to_numpy())] = True
+        if held.any():
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(held).tobytes(), 1)], pa.binary())], ["bits"])
+
+    held = np.zeros(1 << FILTER_BITS, bool)
+    for row in classes.select("doc_id").coalesce(FILTER_TASKS).mapInArrow(bits, "bits binary").toLocalIterator():
+        held |= np.unpackbits(np.frombuffer(zlib.decompress(row["bits"]), np.uint8)).astype(bool)
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(held))  # 2**FILTER_BITS / 8 bytes
+
+    def likely(batches):
+        known = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            yield batch.filter(pa.array(known[_filter_bits(batch.column(0).to_numpy())].all(axis=0)))
+
+    def own_text(batches):
         for batch in batches:
-            keys = batch.column(2)
-            own = [x.tobytes() for _, x in document_sets(batch, size)]
-            yield pa.RecordBatch.from_arrays([keys, pa.array(own, pa.binary())], ["key", "shingles"])
+            keys = batch.column("key").to_pylist()
+            same = [len(own) > 0 and class_key(own) == k for k, (_, own) in zip(keys, document_sets(batch.select(["key", "text"]), size))]
+            yield batch.select(["key", "text"]).filter(pa.array(same, pa.bool_()))
 
-    return chosen.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "text", "key").mapInArrow(run, "key long, shingles binary").dropDuplicates(["key"])
+    some = docs.mapInArrow(likely, "doc_id long, text string")
+    return some.join(classes.select("doc_id", "key"), "doc_id").select("key", "text").mapInArrow(own_text, "key long, text string")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -267,21 +297,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
                     ["token", "key", "n", "matches"],
                 )
 
-    postings = written(docs.mapInArrow(publish, "token long, key long, n int, matches int"), "postings")
+    postings = docs.mapInArrow(publish, "token long, key long, n int, matches int")
     # lists of at least two classes, and in them members with a neighbour in
-    # size: others have no partner there
-    lists = postings.groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("length")).where("low <> high").select("token", "length")
-    by_size = Window.partitionBy("token").orderBy("n", "key")
-    active = (
-        postings.join(lists, "token")
+    # size: others have no partner there.  Tasks may have published a class
+    # more than once.
+    of_list = Window.partitionBy("token")
+    by_size = of_list.orderBy("n", "key")
+    listed = (
+        postings.withColumn("low", F.min("key").over(of_list)).withColumn("high", F.max("key").over(of_list)).where("low <> high")
         .withColumn("before", F.lag("n").over(by_size)).withColumn("after", F.lead("n").over(by_size))
         .where((100 * F.col("before") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("after")))
-        .groupBy("token", "key").agg(F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("length").alias("length"))
+        .groupBy("token", "key").agg(F.first("n").alias("n"), F.first("matches").alias("matches"))
+        .withColumn("length", F.count("*").over(of_list)).withColumn("least", F.min("matches").over(of_list)).where("length > 1")
     )
-    active = written(active, "active")
-    classes = documents.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    in_lists = active.select("key").distinct()
-    sets = written(_sets_of(docs, classes.join(in_lists, "key").where("doc_id is not null"), size), "sets")
+    listed = written(listed, "listed")
+    # a class with a partner is in as many lists as the pair has to share
+    enough = listed.groupBy("key").agg(F.count("*").alias("lists"), F.min(F.least("matches", "least")).alias("required")).where("lists >= required").select("key")
+    active = written(listed.join(enough, "key").drop("least"), "active")
+    classes = documents.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
 
     links, open_lists, labels = None, active, None
     met: list[str] = []
@@ -301,7 +334,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         spread = pivots.select("key", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)).alias("part"), F.col("home.token").alias("token"))
         members = home.select("key", "home.token", "home.part").unionByName(spread.select("key", "token", "part"))
         crowded = members.groupBy("token", "part").agg(F.count("*").alias("members")).where("members > 1").drop("members")
-        found = members.join(crowded, ["token", "part"]).join(sets, "key").groupBy("token", "part").applyInArrow(_block_links(percent), "a long, b long")
+        members = written(members.join(crowded, ["token", "part"]), "members")
+        texts = texts_of(docs, classes.join(members.select("key").distinct(), "key"), size)
+        found = members.join(texts, "key").groupBy("token", "part").applyInArrow(_block_links(percent, size), "a long, b long")
         links = written(found if links is None else links.unionByName(found), "links")
         labels = connected_components(links)
         met.append(f"home{k}")
@@ -324,9 +359,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     )
     pairs = written(pairs, "pairs")
     if pairs.take(1):
-        one = sets.select(F.col("key").alias("a"), F.col("shingles").alias("set_a"))
-        two = sets.select(F.col("key").alias("b"), F.col("shingles").alias("set_b"))
-        proven = pairs.join(one, "a").join(two, "b").mapInArrow(_verify(percent), "a long, b long")
+        wanted = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key")
+        texts = texts_of(docs, wanted, size)
+        one = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
+        two = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
+        proven = pairs.join(one, "a").join(two, "b").select("a", "text_a", "b", "text_b").mapInArrow(_verify(percent, size), "a long, b long")
         labels = connected_components(written(links.unionByName(proven), "links"))
 
     named = classes.join(labels, classes["key"] == labels["node"], "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
