@@ -232,9 +232,13 @@ def learn(docs: DataFrame, held_out: int = 2, folds: int = 4, documents: int = S
     """Fits a model on at most ``documents`` texts of each language, chosen
     by a hash of the id over all documents outside the held-out fold."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(fold("doc_id", folds), F.lit(-1)) != held_out))
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # ids first: the ranking moves no text
-    chosen = labelled.select("doc_id", "lang").withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= documents).select("doc_id").distinct()
+    # ids first: the ranking moves no text.  A language is ranked in parts,
+    # of whose first ones the first are chosen.
+    chosen = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("place"))
+    for keys in (["lang", F.pmod("place", F.lit(64))], ["lang"]):
+        ranks = Window.partitionBy(*keys).orderBy("place", "doc_id")
+        chosen = chosen.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= (documents if keys == ["lang"] else documents // 8)).drop("rank")
+    chosen = chosen.select("doc_id").distinct()
     ids = [r[0] for r in chosen.collect()]  # bounded by documents x languages
     if not ids:
         return Model([], np.zeros((_ZERO + 1, 0), np.float32), np.zeros((0, 0)))
