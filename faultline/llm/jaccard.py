@@ -35,7 +35,7 @@ SKETCH_BITS, RANGE_BITS = 20, 14
 FILTER_BITS, FILTER_TASKS = 22, 16
 #: members of a block; larger ones are split by hash around common pivots
 BLOCK, PIVOTS = 4096, 16
-ROUNDS = 2
+ROUNDS = 3
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE):
@@ -198,6 +198,51 @@ def _block_links(percent: int, size: int):
     return run
 
 
+def candidates(token: int, rows: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a list's members that share enough published shingles,
+    fit in size, aren't connected and met in no block.  A pair comes out in
+    the list of the smallest shingle that it shares."""
+    order = np.argsort(rows["n"], kind="stable")
+    n, label, matches, homes, part = (np.asarray(rows[c])[order] for c in ("n", "label", "matches", "homes", "part"))
+    tokens = [np.asarray(rows["tokens"][i], np.int64) for i in order]
+    known, column = np.unique(np.concatenate(tokens), return_inverse=True)
+    row = np.repeat(np.arange(len(order)), [len(t) for t in tokens])
+    bits = np.zeros((len(order), len(known) // 64 + 1), np.uint64)
+    np.bitwise_or.at(bits, (row, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
+    before = np.zeros(bits.shape[1], np.uint64)
+    for k in np.flatnonzero(known < token).tolist():
+        before[k // 64] |= np.uint64(1) << np.uint64(k % 64)
+    crossing = rows["p"] != rows["q"]
+    first, second = [], []
+    for i in range(1, len(order)):
+        lo = int(np.searchsorted(100 * n[:i], percent * n[i]))
+        j = lo + np.flatnonzero((label[lo:i] != label[i]) & ~((homes[lo:i] == homes[i]) & (homes[i] != 0)).any(axis=1) & (not crossing or part[lo:i] != part[i]))
+        if not len(j):
+            continue
+        shared = bits[j] & bits[i]
+        j = j[(np.bitwise_count(shared).sum(axis=1) >= np.minimum(matches[j], matches[i])) & ~(shared & before).any(axis=1)]
+        first.append(np.full(len(j), i))
+        second.append(j)
+    if not first:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return order[np.concatenate(first)], order[np.concatenate(second)]
+
+
+def _list_pairs(percent: int):
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches))
+        rows = {c: got[c].to_numpy() for c in ("n", "label", "matches", "part")}
+        rows["tokens"] = got["tokens"].to_pylist()
+        rows["homes"] = np.array(got["homes"].to_pylist(), np.int64).reshape(got.num_rows, -1)
+        rows["p"], rows["q"] = key[1].as_py(), key[2].as_py()
+        keys = got["key"].to_numpy()
+        i, j = candidates(key[0].as_py(), rows, percent)
+        a, b = np.minimum(keys[i], keys[j]), np.maximum(keys[i], keys[j])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
 def _verify(percent: int, size: int):
     def run(batches):
         for batch in batches:
@@ -346,17 +391,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         undone = open_lists.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
         open_lists = written(open_lists.join(undone, "token"), "open")
 
-    a, b = open_lists.alias("x"), open_lists.alias("y")
-    apart = F.lit(True)
-    for m in met:
-        apart = apart & ~F.coalesce(F.col(f"x.{m}") == F.col(f"y.{m}"), F.lit(False))
-    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    pairs = (
-        a.join(b, (F.col("x.token") == F.col("y.token")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (100 * small >= percent * large) & apart)
-        .groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-        .agg(F.count("*").alias("shared"), F.first(F.least("x.matches", "y.matches")).alias("required"))
-        .where("shared >= required").select("a", "b")
-    )
+    # what is left goes list by list; a long list as pairs of its parts
+    left = open_lists.withColumn("open", F.count("*").over(of_list)).withColumn("parts", F.ceil(F.col("open") / BLOCK).cast("int"))
+    own = open_lists.groupBy("key").agg(F.collect_list("token").alias("tokens"))
+    left = left.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met_in = F.array(*[F.coalesce(F.xxhash64(f"{m}.token", f"{m}.part"), F.lit(0)) for m in met])
+    left = left.select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "key", "n", "matches", "label", met_in.alias("homes")).join(own, "key")
+    pairs = left.groupBy("token", "p", "q").applyInArrow(_list_pairs(percent), "a long, b long")
     pairs = written(pairs, "pairs")
     if pairs.take(1):
         wanted = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key")
