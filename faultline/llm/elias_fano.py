@@ -36,6 +36,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, zeros_before: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.zeros_before = n, low_bits, low, high, zeros_before
+        self._ones_before: np.ndarray | None = None
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -77,8 +78,9 @@ class EliasFano:
     def access(self, i: np.ndarray) -> np.ndarray:
         """Values at positions i."""
         i = np.asarray(i, np.int64)
-        ones_before = np.arange(len(self.high), dtype=np.int64) * 64 - self.zeros_before
-        high = _select(self.high, ones_before, i, False) - i
+        if self._ones_before is None:
+            self._ones_before = np.arange(len(self.high), dtype=np.int64) * 64 - self.zeros_before
+        high = _select(self.high, self._ones_before, i, False) - i
         return (high.astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
 
     def lower_bound(self, q: np.ndarray) -> np.ndarray:

@@ -31,7 +31,9 @@ FOLDS, HELD_OUT = 5, 1
 DISCOUNT, LEAST = 0.75, 2
 #: the end of a text is a word, and what a text begins after
 END = mix(np.array([5], np.uint64))[0]
-SLICE = 1 << 20
+SLICE = 1 << 22
+#: documents of a part of the key space
+PART_ROWS = 8000
 #: probabilities are kept in steps of 1/STEPS of log10, in 16 bits
 STEPS = 4096
 _MAGIC = np.uint64(0x31454952544C46)
@@ -76,7 +78,7 @@ def load(uri: str) -> list[np.ndarray]:
     for kind, n in shapes:
         dtype = (np.uint64, np.uint32, np.uint16)[kind]
         size = n * np.dtype(dtype).itemsize
-        out.append(raw[at : at + size].view(dtype))
+        out.append(np.frombuffer(raw, dtype, n, at))  # a plain array over the map
         at += size + -size % 8
     return out
 
@@ -186,6 +188,14 @@ class Trie:
     def triple_part(self, pair: np.ndarray) -> np.ndarray:
         return pair * self.triple_cuts // max(int(self.pair_starts[-1]), 1)
 
+    def triple_file(self, p: int):
+        """(successors, log probabilities, contexts, their back-offs)"""
+        key = f"triples/{p}#"
+        if key not in self.files:
+            a = self.file(f"triples/{p}")
+            self.files[key] = [EliasFano.of_parts(*a[:4]), a[4], EliasFano.of_parts(*a[5:9]), a[9]]
+        return self.files[key]
+
     def triple_base(self, part: int) -> int:
         """The first pair of a part."""
         return -(-part * int(self.pair_starts[-1]) // self.triple_cuts)
@@ -196,28 +206,24 @@ class Trie:
         for p, rows in by_part(self.triple_part(pair)):
             if p not in self.info["triple_files"]:
                 continue
-            a = self.file(f"triples/{p}")
-            successors = EliasFano.of_parts(*a[:4])
+            successors, steps = self.triple_file(p)[:2]
             node = (pair[rows] - self.triple_base(p)).astype(np.uint64)
             inside = place[rows] < int(self.info["stride"])
             at = successors.find(node[inside] * np.uint64(self.info["stride"]) + place[rows][inside].astype(np.uint64))
-            out[rows[inside][at >= 0]] = restore(a[4][at[at >= 0]])
+            out[rows[inside][at >= 0]] = restore(steps[at[at >= 0]])
         return out
 
 
-class Backoffs:
-    """Back-off weights of pairs as contexts of level 3, by part."""
-
-    @staticmethod
-    def of(trie: Trie, pair: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(pair))
-        for p, rows in by_part(trie.triple_part(pair)):
-            if p in trie.info["triple_files"]:
-                a = trie.file(f"triples/{p}")
-                contexts = EliasFano.of_parts(*a[5:9])
-                at = contexts.find((pair[rows] - trie.triple_base(p)).astype(np.uint64))
-                out[rows[at >= 0]] = restore(a[9][at[at >= 0]])
-        return out
+def pair_backoffs(trie: Trie, pair: np.ndarray) -> np.ndarray:
+    """log10 back-off weights of pairs as contexts of level 3; 0 for those
+    without successors."""
+    out = np.zeros(len(pair))
+    for p, rows in by_part(trie.triple_part(pair)):
+        if p in trie.info["triple_files"]:
+            contexts, steps = trie.triple_file(p)[2:]
+            at = contexts.find((pair[rows] - trie.triple_base(p)).astype(np.uint64))
+            out[rows[at >= 0]] = restore(steps[at[at >= 0]])
+    return out
 
 
 def sequences(batch, trie: Trie | None = None):
@@ -315,7 +321,7 @@ def fit(docs: DataFrame, held_out: int = HELD_OUT, folds: int = FOLDS, parts: in
     folder = shared_folder(spark, "ngrams")
     training = docs.where(F.coalesce(fold(folds), F.lit(-1)) != held_out).select("doc_id", "text")
     rows = training.count()
-    bits = max((parts or rows // 2000).bit_length(), 2)
+    bits = max((parts or rows // PART_ROWS).bit_length(), 2)
 
     def words(batches):
         kept = Gathered()
@@ -509,7 +515,7 @@ def log_probabilities(trie: Trie, hashes: np.ndarray, first: np.ndarray) -> tupl
     known = np.flatnonzero(context >= 0)
     if len(known) and trie.info["triple_files"]:
         distinct, back = np.unique(context[known], return_inverse=True)
-        out[known] += Backoffs.of(trie, distinct)[back]
+        out[known] += pair_backoffs(trie, distinct)[back]
         both = known[place[known] >= 0]
         if len(both):
             found = trie.triples(context[both], place[both])
