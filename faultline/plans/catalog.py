@@ -448,15 +448,15 @@ RULES = {
     "ACCESS_KEY": {"match_any": ["AKIA[0-9A-Z]{16}"], "severity": "CRITICAL", "device_extract": "(AKIA[0-9A-Z]{4})"},
     "LICENSE_LINE": {"match_any": ["rights reserved", "licensed under", "copyright"], "match_all": ["reserved"], "exclude": ["gnu general"], "severity": "WARNING"},
     "MAIL_ADDRESS": {"match_any": ["[a-z0-9._]+@[a-z0-9.]+"], "severity": "ERROR", "device_extract": "@([a-z0-9.]+)", "ora_codes_triggered": ["ORA-01017"]},
-    "SHORT_WORDS": {"match_any": ["\\bof the\\b", "\\bde la\\b", "\\bder die\\b"], "severity": "INFO", "log_sources": ["src1"]},
+    "SHORT_WORDS": {"match_any": [" of the ", " de la ", " der die "], "severity": "INFO", "log_sources": ["src1"]},
 }
 _MATCHES = """m AS (
   SELECT doc_id AS chunk_id, 'ACCESS_KEY' AS pattern_id, 95 AS confidence, regexp_extract(text, '(?i)(AKIA[0-9A-Z]{4})', 1) AS device, 'CRITICAL' AS severity FROM documents WHERE regexp_matches(text, '(?ims)AKIA[0-9A-Z]{16}')
   UNION ALL SELECT doc_id, 'LICENSE_LINE', CASE WHEN regexp_matches(text, '(?i)reserved') THEN 100 ELSE CAST(floor((CAST(regexp_matches(text, '(?i)rights reserved') AS INT) + CAST(regexp_matches(text, '(?i)licensed under') AS INT) + CAST(regexp_matches(text, '(?i)copyright') AS INT)) / 3.0 * 65) AS INT) END, '', 'WARNING'
     FROM documents WHERE regexp_matches(text, '(?i)rights reserved|licensed under|copyright') AND NOT regexp_matches(text, '(?i)gnu general')
   UNION ALL SELECT doc_id, 'MAIL_ADDRESS', 95, regexp_extract(text, '(?i)@([a-z0-9.]+)', 1), 'ERROR' FROM documents WHERE regexp_matches(text, '(?i)[a-z0-9._]+@[a-z0-9.]+')
-  UNION ALL SELECT doc_id, 'SHORT_WORDS', CAST(floor(85 + (CAST(regexp_matches(text, '(?i)\\bof the\\b') AS INT) + CAST(regexp_matches(text, '(?i)\\bde la\\b') AS INT) + CAST(regexp_matches(text, '(?i)\\bder die\\b') AS INT)) / 3.0 * 10) AS INT), '', 'INFO'
-    FROM documents WHERE regexp_matches(text, '(?i)\\bof the\\b|\\bde la\\b|\\bder die\\b') AND (contains(upper(source), 'SRC1') OR contains('SRC1', upper(source))))"""
+  UNION ALL SELECT doc_id, 'SHORT_WORDS', CAST(floor(85 + (CAST(regexp_matches(text, '(?i) of the ') AS INT) + CAST(regexp_matches(text, '(?i) de la ') AS INT) + CAST(regexp_matches(text, '(?i) der die ') AS INT)) / 3.0 * 10) AS INT), '', 'INFO'
+    FROM documents WHERE regexp_matches(text, '(?i) of the | de la | der die ') AND (contains(upper(source), 'SRC1') OR contains('SRC1', upper(source))))"""
 
 
 def _matches(spark, sf_dir) -> DataFrame:
