@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,11 +53,6 @@ def anchored_windows(entries: DataFrame, keys: list[str], ts: str, order: list[s
     sequential fold, one group (a host and file) at a time, over batches of
     columns; without a cap or traces it is a fold over the sorted times.
     """
-    from collections.abc import Iterator  # noqa: F401  (names for the hints below)
-
-    import pyarrow as pa
-
-    columns = [*keys, ts, *[c for c in order if c not in (*keys, ts)]]
     base = entries.select(*entries.columns, seconds(F.col(ts)).alias("_t"), (F.col(trace) if trace else F.lit(None).cast("string")).alias("_text"))
     schema = base.drop("_t", "_text").schema.add("window", "long").add("anchor", "double")
     sort = [(c, "ascending") for c in ([ts] + order)]
@@ -101,7 +98,6 @@ def anchored_windows(entries: DataFrame, keys: list[str], ts: str, order: list[s
         out = group.drop_columns(["_t", "_text"]).take(pa.array(rows, pa.int64()))
         return out.append_column("window", pa.array(windows, pa.int64())).append_column("anchor", pa.array(anchors, pa.float64()))
 
-    del columns
     return base.groupBy(*keys).applyInArrow(fold, schema)
 
 
@@ -159,8 +155,6 @@ def strided_chunks(count: Column, most: int = DEFAULT.max_chunk_lines, overlap:
 def alert_chunks(parsed: DataFrame, collection: str, hostname: str = "", platform: str = "UNKNOWN", settings=DEFAULT) -> DataFrame:
     """Chunks of alert blocks, not cut within a stack trace; blocks of
     nothing but information go."""
-    import pandas as pd
-
     most, overlap = settings.max_chunk_lines, settings.chunk_overlap_lines
 
     @F.pandas_udf("array<array<string>>")
