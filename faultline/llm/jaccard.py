@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from faultline.llm.shared import connected_components, slices, table, text_buffer, written
+from faultline.llm.shared import bounded_batches, connected_components, release, slices, table, text_buffer, written
 from faultline.llm.words import mix, ngram_hashes, word_hashes
 
 SHINGLE, PERCENT = 3, 90
@@ -118,6 +118,7 @@ def _signatures(size: int):
             parts = [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(-1, 1 << RANGE_BITS)]
             none = pa.nulls(len(parts)).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names)
+        release()
 
     return run
 
@@ -310,6 +311,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
+    bounded_batches(spark)
     both = written(docs.mapInArrow(_signatures(size), "doc_id long, n long, key long, range int, counts binary"), "signatures")
     documents = both.where("range is null").select("doc_id", "n", "key")
     # 2**SKETCH_BITS counters in all, whatever the size of the input
@@ -341,6 +343,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
                     [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), pa.array(columns[2].astype(np.int32))],
                     ["token", "key", "n", "matches"],
                 )
+        release()
 
     postings = docs.mapInArrow(publish, "token long, key long, n int, matches int")
     # lists of at least two classes, and in them members with a neighbour in

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import slices, table, text_buffer
+from faultline.llm.shared import bounded_batches, release, slices, table, text_buffer
 from faultline.llm.words import mix
 
 UNKNOWN = "und"
@@ -256,6 +256,7 @@ def label_documents(docs: DataFrame, model: Model, least_score: float | None = N
     no column is added.  With ``columns=False`` only doc_id is kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.transitions))
+    bounded_batches(docs.sparkSession)
     source = docs if columns else docs.select("doc_id", "text")
     keep = [c for c in source.columns if columns and c not in ("lang_pred", "lang_score")] or ["doc_id"]
     text_at = source.columns.index("text")
@@ -286,6 +287,7 @@ def label_documents(docs: DataFrame, model: Model, least_score: float | None = N
                     continue
                 names = [field.labels[b] if ok else UNKNOWN for b, ok in zip(best, known)]
                 yield pa.RecordBatch.from_arrays([batch.column(p) for p in picks] + [pa.array(names, pa.string()), pa.array(score)], keep + ["lang_pred", "lang_score"])
+        release()
 
     schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
     return source.mapInArrow(run, schema if least_score is not None else f"{schema}, lang_pred string, lang_score double")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm.elias_fano import EliasFano
-from faultline.llm.shared import filesystem, shared_folder, slices, table, text_buffer, write_file
+from faultline.llm.shared import bounded_batches, filesystem, release, shared_folder, slices, table, text_buffer, write_file
 from faultline.llm.words import mix, word_hashes
 
 FOLDS, HELD_OUT = 5, 1
@@ -318,6 +318,7 @@ def fit(docs: DataFrame, held_out: int = HELD_OUT, folds: int = FOLDS, parts: in
     """Builds the trie from the documents outside the held-out fold;
     returns (folder, bits, info).  info has one entry a part."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = shared_folder(spark, "ngrams")
     training = docs.where(F.coalesce(fold(folds), F.lit(-1)) != held_out).select("doc_id", "text")
     rows = training.count()
@@ -330,6 +331,7 @@ def fit(docs: DataFrame, held_out: int = HELD_OUT, folds: int = FOLDS, parts: in
                 for p, codes, counts in _tally((hashes >> np.uint64(64 - bits)).astype(np.int64), hashes):
                     kept.add(p, codes, counts)
         yield from kept.rows()
+        release()
 
     def words_level(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = of_batches(batches)
@@ -361,6 +363,7 @@ def fit(docs: DataFrame, held_out: int = HELD_OUT, folds: int = FOLDS, parts: in
                 for p, codes, times in _tally(trie.pair_part(a, n, b), a.astype(np.uint64) * np.uint64(trie.words) + b.astype(np.uint64)):
                     kept.add(p, codes, times)
         yield from kept.rows()
+        release()
 
     def pair_raw(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Keeps frequent pairs; a dealt context's sums go to the driver."""
@@ -428,6 +431,7 @@ def fit(docs: DataFrame, held_out: int = HELD_OUT, folds: int = FOLDS, parts: in
                 for p, codes, times in _tally(trie.triple_part(left[both]), left[both].astype(np.uint64) * np.uint64(info["stride"]) + place[both].astype(np.uint64)):
                     kept.add(p, codes, times)
         yield from kept.rows()
+        release()
 
     def triple_level(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, p = opened(folder, bits, info, "pairs"), key[0].as_py()

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import table, written
+from faultline.llm.shared import bounded_batches, table, written
 from faultline.llm.tokens import document_ids, tokenizer_path
 
 SEQUENCE = 2048
@@ -27,6 +27,7 @@ def cut_documents(docs: DataFrame, path: str | None = None, sequence: int = SEQU
     """Pieces of at most ``sequence`` ids.  ``local_rank`` counts the pieces
     of equal length that the same task (``part``) made before."""
     path = path or tokenizer_path()
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa

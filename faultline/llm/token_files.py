@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.llm import simple8b
-from faultline.llm.shared import shared_folder, table, write_file
+from faultline.llm.shared import bounded_batches, shared_folder, table, write_file
 from faultline.llm.tokens import document_ids, tokenizer_path
 
 MAGIC = b"FLTOK8B1"
@@ -56,6 +56,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, sha
     the same name.  A null id sorts first and a null text counts as empty.
     """
     path = path or tokenizer_path()
+    bounded_batches(docs.sparkSession)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 

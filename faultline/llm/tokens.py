@@ -12,6 +12,8 @@ from array import array
 
 from pyspark.sql import DataFrame
 
+from faultline.llm.shared import bounded_batches, release
+
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 
@@ -43,7 +45,7 @@ class ChunkEncoder(dict):
     again.  At most ``limit`` of either are kept; then they start anew.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -118,11 +120,16 @@ def document_ids(batches, path: str, end_id: int = END_ID):
         for lo in range(0, batch.num_rows, 256):
             part = texts.slice(lo, 256).to_pylist()
             yield batch.slice(lo, 256), [encode((t or "").encode()) + end for t in part]
+    # a worker lives longer than its task
+    encoder(path).clear()
+    encoder(path).letters.clear()
+    release()
 
 
 def tokenize(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """(doc_id, ids array<int>) of every document, end id included."""
     path = path or tokenizer_path()
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         import numpy as np
