@@ -35,7 +35,9 @@ SKETCH_BITS, RANGE_BITS = 20, 14
 FILTER_BITS, FILTER_TASKS = 22, 16
 #: members of a block; larger ones are split by hash around common pivots
 BLOCK, PIVOTS = 4096, 16
-ROUNDS = 3
+ROUNDS = 2
+#: up to so many members a list is short
+SHORT = 64
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE):
@@ -394,13 +396,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         undone = open_lists.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
         open_lists = written(open_lists.join(undone, "token"), "open")
 
-    # what is left goes list by list; a long list as pairs of its parts
-    left = open_lists.withColumn("open", F.count("*").over(of_list)).withColumn("parts", F.ceil(F.col("open") / BLOCK).cast("int"))
+    # what is left goes list by list: short ones by a join, long ones in
+    # Python, a very long one as pairs of its parts
     own = open_lists.groupBy("key").agg(F.collect_list("token").alias("tokens"))
-    left = left.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met_in = F.array(*[F.coalesce(F.xxhash64(f"{m}.token", f"{m}.part"), F.lit(0)) for m in met])
-    left = left.select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "key", "n", "matches", "label", met_in.alias("homes")).join(own, "key")
-    pairs = left.groupBy("token", "p", "q").applyInArrow(_list_pairs(percent), "a long, b long")
+    left = open_lists.withColumn("open", F.count("*").over(of_list)).select("token", "open", "key", "n", "matches", "label", met_in.alias("homes")).join(own, "key")
+    left = written(left, "left")
+    x, y = (left.where(F.col("open") <= SHORT).alias(name) for name in ("x", "y"))
+    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    apart = ~F.exists(F.zip_with("x.homes", "y.homes", lambda p, q: (p == q) & (p != 0)), lambda both: both)
+    enough = F.size(F.array_intersect("x.tokens", "y.tokens")) >= F.least("x.matches", "y.matches")
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (100 * small >= percent * large) & apart & enough
+    pairs = x.join(y, on).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+    long = left.where(F.col("open") > SHORT).withColumn("parts", F.ceil(F.col("open") / BLOCK).cast("int"))
+    long = long.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    long = long.select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "key", "n", "matches", "label", "homes", "tokens")
+    pairs = pairs.unionByName(long.groupBy("token", "p", "q").applyInArrow(_list_pairs(percent), "a long, b long")).distinct()
     pairs = written(pairs, "pairs")
     if pairs.take(1):
         wanted = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key")

@@ -47,12 +47,13 @@ def corpus(seed=0, base=12, copies=60):
     return rows
 
 
-@pytest.mark.parametrize("block,rounds", [(4096, 3), (8, 1), (16, 2)])
-def test_components_equal_brute_force(spark, monkeypatch, block, rounds):
+@pytest.mark.parametrize("block,rounds,short", [(4096, 2, 64), (8, 1, 5), (16, 2, 10**6)])
+def test_components_equal_brute_force(spark, monkeypatch, block, rounds, short):
     """Small blocks and few rounds leave more to the list-by-list pairs."""
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "PIVOTS", 2)
     monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "SHORT", short)
     rows = corpus(rounds)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r[0] is None, r[0] or 0, r[1], r[2]) for r in near_duplicates(docs).collect())
