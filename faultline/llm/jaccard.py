@@ -399,7 +399,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     # what is left goes list by list: short ones by a join, long ones in
     # Python, a very long one as pairs of its parts
     own = open_lists.groupBy("key").agg(F.collect_list("token").alias("tokens"))
-    met_in = F.array(*[F.coalesce(F.xxhash64(f"{m}.token", f"{m}.part"), F.lit(0)) for m in met])
+    # 0 for a round without a home: a hash of nulls isn't null
+    met_in = F.array(*[F.when(F.col(m).isNotNull(), F.xxhash64(f"{m}.token", f"{m}.part")).otherwise(F.lit(0)) for m in met])
     left = open_lists.withColumn("open", F.count("*").over(of_list)).select("token", "open", "key", "n", "matches", "label", met_in.alias("homes")).join(own, "key")
     left = written(left, "left")
     x, y = (left.where(F.col("open") <= SHORT).alias(name) for name in ("x", "y"))

@@ -102,3 +102,18 @@ def test_block_links_connect_what_all_links_connect():
             full[root(full, i)] = root(full, j)
     same = lambda p: [[root(p, i) == root(p, j) for j in range(70)] for i in range(70)]
     assert same(parent) == same(full)
+
+
+@pytest.mark.parametrize("short", [64, 5])
+def test_split_list_without_second_home(spark, monkeypatch, short):
+    """Pairs whose one shared published word is that of a list cut into parts."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard, "SHORT", short)
+    n = 30
+    own = [[f"g{k}w{i}" for i in range(17)] for k in range(n)]
+    rows = [(2 * k + c, " ".join(["common", f"u{k}c{c}", *own[k]])) for k in range(n) for c in range(2)]
+    # copies of one long text make the words of the groups more frequent than the common one
+    rows += [(1000 + k, " ".join(w for words in own for w in words)) for k in range(4 * n)]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 90, 1).collect()}
+    assert got == {k: 1000 if k >= 1000 else k // 2 * 2 for k, _ in rows}
