@@ -20,6 +20,8 @@ from faultline.llm.shared import table, written
 
 #: a document goes if less than this share of its words is of one language
 LEAST_SCORE = 0.4
+#: near copies share this percentage of their runs of so many words
+NEAR_PERCENT, NEAR_WORDS = 80, 5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group, that with the smallest doc_id, and
     one row of each doc_id."""
-    groups = written(near_duplicates(docs), "groups")
+    groups = written(near_duplicates(docs, NEAR_PERCENT, NEAR_WORDS), "groups")
     dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")

@@ -49,3 +49,31 @@ def test_repeated_rows_leave_one(spark):
     assert kept.where("doc_id is not null").count() == 1
 
 
+def test_near_copies_between_80_and_90_percent(spark):
+    """The stage against brute force over runs of five words."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for _ in range(12):
+        text = [f"w{k}" for k in rng.integers(0, 10**6, 200)]
+        rows.append((len(rows), " ".join(text)))
+        for edits in range(1, 7):
+            own = list(text)
+            for at in rng.choice(np.arange(10, 190, 10), edits, replace=False):
+                own[at] = f"x{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    sets = [frozenset(zip(*[t.split()[k:] for k in range(5)])) for _, t in rows]
+    low = list(range(len(rows)))
+    between = 0
+    for _ in rows:  # the lowest id spreads over links
+        for i in range(len(rows)):
+            for j in range(i // 7 * 7, i):
+                share = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+                between += 0.8 <= share < 0.9
+                if share >= 0.8:
+                    low[i] = low[j] = min(low[i], low[j])
+        if low == [low[k] for k in low]:
+            break
+    want = {k for k, at in enumerate(low) if k == at}
+    assert between and 12 <= len(want) < len(rows)
+    docs = spark.createDataFrame([(k, t, "aa", "s", 0) for k, t in rows], DOCUMENT)
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_groups(spark, docs, "").collect()} == want
