@@ -263,13 +263,17 @@ def _filter_bits(ids: np.ndarray) -> np.ndarray:
     return np.stack([(x >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1) for shift in (0, 20, 40)]).astype(np.int64)
 
 
-def texts_of(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+def texts_of(docs: DataFrame, classes: DataFrame, size: int, nameless: bool) -> DataFrame:
     """(key, text) of classes (key, doc_id).
 
     A Bloom filter of fixed size leaves out most other texts before the
     join moves any; when it fills up it just leaves out fewer.  A
     representative's id that has other texts too counts with its own only.
+    ``nameless``: there may be classes whose rows all lack an id; they are
+    found by their keys.
     """
+    lone = classes.where("doc_id is null").select("key")
+    classes = classes.where("doc_id is not null")
 
     def bits(batches):
         held = np.zeros(1 << FILTER_BITS, bool)
@@ -295,8 +299,18 @@ def texts_of(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
             same = [len(own) > 0 and class_key(own) == k for k, (_, own) in zip(keys, document_sets(batch.select(["key", "text"]), size))]
             yield batch.select(["key", "text"]).filter(pa.array(same, pa.bool_()))
 
+    def keyed(batches):
+        for batch in batches:
+            own = [class_key(s) if len(s) else None for _, s in document_sets(batch, size)]
+            batch = pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), batch.column(1)], ["key", "text"])
+            yield batch.filter(batch.column(0).is_valid())
+
     some = docs.mapInArrow(likely, "doc_id long, text string")
-    return some.join(classes.select("doc_id", "key"), "doc_id").select("key", "text").mapInArrow(own_text, "key long, text string")
+    texts = some.join(classes.select("doc_id", "key"), "doc_id").select("key", "text").mapInArrow(own_text, "key long, text string")
+    if not nameless:
+        return texts
+    without = docs.where("doc_id is null").mapInArrow(keyed, "key long, text string")
+    return texts.unionByName(without.join(lone, "key").groupBy("key").agg(F.min("text").alias("text")))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -364,7 +378,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     # a class with a partner is in as many lists as the pair has to share
     enough = listed.groupBy("key").agg(F.count("*").alias("lists"), F.min(F.least("matches", "least")).alias("required")).where("lists >= required").select("key")
     active = written(listed.join(enough, "key").drop("least"), "active")
-    classes = documents.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    classes = documents.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    nameless = bool(documents.where("key is not null and doc_id is null").take(1))
 
     links, open_lists, labels = None, active, None
     met: list[str] = []
@@ -385,7 +400,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         members = home.select("key", "home.token", "home.part").unionByName(spread.select("key", "token", "part"))
         crowded = members.groupBy("token", "part").agg(F.count("*").alias("members")).where("members > 1").drop("members")
         members = written(members.join(crowded, ["token", "part"]), "members")
-        texts = texts_of(docs, classes.join(members.select("key").distinct(), "key"), size)
+        texts = texts_of(docs, classes.join(members.select("key").distinct(), "key"), size, nameless)
         found = members.join(texts, "key").groupBy("token", "part").applyInArrow(_block_links(percent, size), "a long, b long")
         links = written(found if links is None else links.unionByName(found), "links")
         labels = connected_components(links)
@@ -416,7 +431,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     pairs = written(pairs, "pairs")
     if pairs.take(1):
         wanted = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key")
-        texts = texts_of(docs, wanted, size)
+        texts = texts_of(docs, wanted, size, nameless)
         one = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
         two = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
         proven = pairs.join(one, "a").join(two, "b").select("a", "text_a", "b", "text_b").mapInArrow(_verify(percent, size), "a long, b long")

@@ -117,3 +117,14 @@ def test_split_list_without_second_home(spark, monkeypatch, short):
     rows += [(1000 + k, " ".join(w for words in own for w in words)) for k in range(4 * n)]
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 90, 1).collect()}
     assert got == {k: 1000 if k >= 1000 else k // 2 * 2 for k, _ in rows}
+
+
+def test_rows_without_id_link_others(spark):
+    """B and C are near copies of a row without an id, not of each other."""
+    text = [f"w{k}" for k in range(100)]
+    b, c = [*text[:96], *"pqrs"], [*"tuvx", *text[4:]]
+    lone = [f"y{k}" for k in range(50)]
+    rows = [(1, " ".join(b)), (2, " ".join(c)), (None, " ".join(text)), (None, " ".join(text).upper()), (None, " ".join(lone)), (None, " ".join([*lone, "z"])), (3, "other words here")]
+    got = sorted((r[0] is None, r[0] or 0, r[1], r[2] or 0) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [(*r[:3], r[3] or 0) for r in brute(rows)]
+    assert got == sorted(want) and [r[3] for r in got[:2]] == [1, 1]
