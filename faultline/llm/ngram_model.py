@@ -8,8 +8,7 @@ as its place among the successors of the pair's second word, which makes it a
 small number.  Probabilities are interpolated absolute discounting, stored as
 quantised logarithms with each context's back-off weight.
 
-Counts cover every training document.  Pairs and triples seen once are left to
-the interpolation with shorter contexts.
+Counts cover every training document, and every pair and triple is kept.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ from faultline.llm.shared import bounded_batches, filesystem, release, shared_fo
 from faultline.llm.words import mix, word_hashes
 
 FOLDS, HELD_OUT = 5, 1
-DISCOUNT, LEAST = 0.75, 2
+DISCOUNT, LEAST = 0.75, 1
 #: the end of a text is a word, and what a text begins after
 END = mix(np.array([5], np.uint64))[0]
 SLICE = 1 << 22
@@ -357,7 +356,7 @@ def fit(docs: DataFrame, held_out: int = HELD_OUT, folds: int = FOLDS, parts: in
             for _, _, hashes, first in sequences(batch):
                 ids, counts = looked_up(trie, hashes)
                 left, left_count = previous(ids, first, end), previous(counts, first, end_count)
-                # a pair seen twice has words seen twice
+                # words of training texts are all known
                 often = (counts >= LEAST) & (left_count >= LEAST)
                 a, b, n = left[often], ids[often], left_count[often]
                 for p, codes, times in _tally(trie.pair_part(a, n, b), a.astype(np.uint64) * np.uint64(trie.words) + b.astype(np.uint64)):
@@ -366,7 +365,7 @@ def fit(docs: DataFrame, held_out: int = HELD_OUT, folds: int = FOLDS, parts: in
         release()
 
     def pair_raw(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Keeps frequent pairs; a dealt context's sums go to the driver."""
+        """Writes the pairs; a dealt context's sums go to the driver."""
         trie, p = opened(folder, bits, info, "words"), key[0].as_py()
         codes, counts = of_batches(batches)
         often = counts >= LEAST

@@ -90,3 +90,38 @@ def test_empty_and_nothing_to_learn_from(spark, tables):
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1)
     row = op6_ngram_scores(spark, tables(documents=([(held, "a b", "en", "s", 0)], DOCUMENT))).first()
     assert row["train_tokens"] == 0 and row["score"] == 0 and row["held_out"]
+
+
+def test_pairs_and_triples_seen_once_count(spark, tables):
+    """Held-out texts that share a passage with one training text."""
+    rng = np.random.default_rng(3)
+    held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 5 == 1]
+    rows = {k: [f"w{x}" for x in rng.integers(0, 400, 30)] for k in range(200)}
+    for k in held:
+        rows[k][5:15] = rows[next(x for x in range(k + 1, 400) if x % 200 not in held) % 200][5:15]
+    c1, c2, c3, after2, after3 = (collections.Counter() for _ in range(5))
+    for k, w in rows.items():
+        if k not in held:
+            s = ["", *w, ""]
+            c1.update(s[1:])
+            c2.update(zip(s, s[1:]))
+            c3.update(zip(s, s[1:], s[2:]))
+    after2.update(a for a, _ in c2)
+    after3.update((a, b) for a, b, _ in c3)
+    n, once, twice = sum(c1.values()), sum(x == 1 for x in c1.values()), sum(x == 2 for x in c1.values())
+    d1 = min(max(once / max(once + 2 * twice, 1), 0.1), 0.95)
+
+    def p1(w):
+        return (c1[w] - d1) / n if c1[w] else max(d1 * len(c1), 0.5) / n
+
+    def p2(a, w):
+        return (max(c2[a, w] - DISCOUNT, 0) + DISCOUNT * after2[a] * p1(w)) / c1[a] if after2[a] else p1(w)
+
+    def p3(a, b, w):
+        return (max(c3[a, b, w] - DISCOUNT, 0) + DISCOUNT * after3[a, b] * p2(b, w)) / c2[a, b] if after3[a, b] else p2(b, w)
+
+    folder = tables(documents=([(k, " ".join(w), "en", "s", 0) for k, w in rows.items()], DOCUMENT))
+    for r in op6_ngram_scores(spark, folder).collect():
+        s = ["", *rows[r["doc_id"]], ""]
+        want = math.log10(p2(*s[:2])) + sum(math.log10(p3(*x)) for x in zip(s, s[1:], s[2:]))
+        assert r["held_out"] == (r["doc_id"] in held) and abs(r["score"] - want) < 5e-4 * r["n_tokens"]
