@@ -3,6 +3,10 @@ query dimension, so many queries run as one job."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +60,42 @@ def dense(queries: DataFrame, vectors: DataFrame, must: Column | None = None) ->
     return pairs.select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("query_embedding")), 4).alias("dense_score")).where("dense_score is not null")
 
 
+#: vectors of a block of dense_topk
+BLOCK = 4096
+
+
+def _block_topk(k: int):
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches))
+        asked = got["asked"].to_numpy()
+        ids = got["id"].to_numpy()
+        rows = got["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+        q_ids, q, v_ids, v = ids[asked], rows[asked], ids[~asked], rows[~asked]
+        for lo in range(0, len(q) if len(v) else 0, 512):
+            score = q[lo : lo + 512] @ v.T
+            least = np.partition(score, max(len(v) - k, 0), axis=1)[:, max(len(v) - k, 0), None]
+            # scores are rounded to 1e-4 before they are ranked
+            i, j = np.nonzero(score >= least - 2e-4)
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[lo + i]), pa.array(v_ids[j]), pa.array(score[i, j])], ["query_id", "chunk_id", "score"])
+
+    return run
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT.top_k) -> DataFrame:
+    """(query_id, chunk_id, dense_score, rank), the k best of ``dense`` for
+    many queries, block by block.  Vectors with null or non-finite components
+    and zero vectors take no part; lengths are compared with their own."""
+    usable = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
+    of = lambda df, name, asked, column: df.select(F.col(name).alias("id"), F.col(column).cast("array<double>").alias("embedding"), F.lit(asked).alias("asked")).where(usable)
+    asked, rows = of(queries, "query_id", True, "query_embedding"), of(vectors, "chunk_id", False, "embedding")
+    parts, others = (max(1, -(-df.count() // BLOCK)) for df in (asked, rows))
+    deal = lambda df, n, own, other, m: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    both = deal(asked, parts, "p", "q", others).unionByName(deal(rows, others, "q", "p", parts)).withColumn("dim", F.size("embedding"))
+    found = both.groupBy("dim", "p", "q").applyInArrow(_block_topk(k), "query_id long, chunk_id long, score double")
+    return ranked(found.select("query_id", "chunk_id", F.round("score", 4).alias("dense_score")), "dense_score", k)
+
+
 def fuse(keyword: DataFrame, vector: DataFrame, settings: Settings = DEFAULT, k: int | None = None) -> DataFrame:
     """Weighted reciprocal rank fusion of two ranked lists
     (query_id, chunk_id, rank, score)."""

@@ -297,7 +297,43 @@ def _fused(spark, sf_dir) -> DataFrame:
 @query(f"WITH {_FUSED} SELECT query_id, chunk_id, round(rrf, 6) AS rrf_score, coalesce(bm25_rank, 0) AS bm25_rank, coalesce(dense_rank, 0) AS dense_rank FROM top")
 def rrf_fusion(spark, sf_dir):
     """J7/T3/R6"""
-    return _fused(spark, sf_dir).select("query_id", "chunk_id", F.round("rrf_score", 6).alias("rrf_score"), F.coalesce("bm25_rank", F.lit(0)).cast("long").alias("bm25_rank"), F.coalesce("dense_rank", F.lit(0)).cast("long").alias("dense_rank"))
+    return _fusion_columns(_fused(spark, sf_dir))
+
+
+def _fusion_columns(fused: DataFrame) -> DataFrame:
+    return fused.select("query_id", "chunk_id", F.round("rrf_score", 6).alias("rrf_score"), F.coalesce("bm25_rank", F.lit(0)).cast("long").alias("bm25_rank"), F.coalesce("dense_rank", F.lit(0)).cast("long").alias("dense_rank"))
+
+
+# the SQL of the three queries above and below asks vectors 0, 1 and 2; these ask all
+
+
+def _dense_all(spark, sf_dir, k: int) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    return retrieval.dense_topk(asked, v.select(F.col("vec_id").alias("chunk_id"), "embedding"), k)
+
+
+def _fused_all(spark, sf_dir) -> DataFrame:
+    keyword = retrieval.ranked(retrieval.bm25(_bench(spark, sf_dir), _docs(spark, sf_dir)), "bm25_score", 20)
+    return retrieval.fuse(keyword, _dense_all(spark, sf_dir, 20))
+
+
+@query()
+def cosine_topk_all(spark, sf_dir):
+    """Every vector against all."""
+    return _dense_all(spark, sf_dir, 10).select("query_id", "chunk_id", "dense_score", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def rrf_fusion_all(spark, sf_dir):
+    """J7/T3/R6 with a dense list for every query."""
+    return _fusion_columns(_fused_all(spark, sf_dir))
+
+
+@query()
+def confidence_score_all(spark, sf_dir):
+    """R7/R8/A13 with a dense list for every query."""
+    return _scored(_fused_all(spark, sf_dir))
 
 
 @query(f"""WITH {_BM25}, cand AS (SELECT DISTINCT item_id AS query_id, doc_id AS chunk_id FROM benchmark, documents WHERE lang = 'en')
@@ -315,7 +351,10 @@ s AS (SELECT query_id, chunk_id, round(least(85.0 / 100 * 40 + CASE WHEN mx > 0
 SELECT query_id, chunk_id, score, CASE WHEN score >= 80 THEN 'HIGH' WHEN score >= 60 THEN 'MEDIUM' WHEN score >= 40 THEN 'LOW' ELSE 'NO_MATCH' END AS label FROM s""")
 def confidence_score(spark, sf_dir):
     """R7/R8/A13 over fused hits with one pattern and one bonus."""
-    fused = _fused(spark, sf_dir)
+    return _scored(_fused(spark, sf_dir))
+
+
+def _scored(fused: DataFrame) -> DataFrame:
     chunks = fused.select("chunk_id").distinct()
     pattern = chunks.select("chunk_id", F.lit("SCSI_DISK_TIMEOUT").alias("pattern_id"), F.lit(85).alias("confidence"))
     scored = retrieval.score_candidates(fused, pattern, chunks.withColumn("temporal_bonus", F.lit(10)))

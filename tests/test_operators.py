@@ -263,3 +263,26 @@ def test_every_sql_has_its_query():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and "temporal_correlation" in entry.queries()
+
+
+def test_every_vector_is_asked(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from faultline.operators import retrieval
+    from faultline.plans import catalog
+
+    monkeypatch.setattr(retrieval, "BLOCK", 16)
+    rng = np.random.default_rng(1)
+    x = rng.integers(-3, 4, (60, 8)) + 0.25
+    odd = [(60, None, 0), (61, [0.0] * 8, 0), (62, [float("nan")] * 8, 0), (63, [None] * 8, 0)]
+    spark.createDataFrame([(k, row, 0) for k, row in enumerate(x.tolist())] + odd, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(k, f"disk error {k}") for k in range(9)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(k, f"disk text number {k}", "en") for k in range(30)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    score = np.round(x @ x.T / np.outer(*[np.linalg.norm(x, axis=1)] * 2), 4)
+    want = {q: sorted(range(60), key=lambda c: (-score[q, c], c)) for q in range(60)}
+    got = catalog.QUERIES["cosine_topk_all"](spark, str(tmp_path)).collect()
+    assert sorted((r["query_id"], r["rank"], r["chunk_id"], r["dense_score"]) for r in got) == [(q, n, c, score[q, c]) for q in range(60) for n, c in enumerate(want[q][:10])]
+    fused = catalog.QUERIES["rrf_fusion_all"](spark, str(tmp_path)).collect()
+    assert {r["query_id"] for r in fused} == set(range(60)) and all(r["dense_rank"] in (0, *[want[r["query_id"]].index(r["chunk_id"]) + 1]) for r in fused)
+    assert {r["query_id"] for r in fused if r["dense_rank"]} == set(range(60))
+    assert catalog.QUERIES["confidence_score_all"](spark, str(tmp_path)).count() == len(fused)
