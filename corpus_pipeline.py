@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm.jaccard import near_duplicates
+from faultline.llm.jaccard import near_duplicate_rows, with_keys
 from faultline.llm.language import label_documents, learn
 from faultline.llm.mixing import mix_sources
 from faultline.llm.packing import pack_documents
@@ -31,15 +31,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group, that with the smallest doc_id, and
-    one row of each doc_id."""
-    groups = written(near_duplicates(docs, NEAR_PERCENT, NEAR_WORDS), "groups")
-    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    of rows that repeat a doc_id one of each group they are in."""
+    groups = written(near_duplicate_rows(docs, NEAR_PERCENT, NEAR_WORDS), "groups")
     repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.take(1):
-        once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-        kept = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
-    return kept
+    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    if not repeated.take(1):
+        return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(dropped.unionByName(repeated).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    # an id's rows may have different texts: each counts with its own set
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).join(repeated, "doc_id", "left_semi").select("doc_id", "key", "component").distinct()
+    rows = with_keys(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns), NEAR_WORDS)
+    rows = rows.alias("r").join(kept.alias("k"), (F.col("r.doc_id") == F.col("k.doc_id")) & F.col("r.key").eqNullSafe(F.col("k.key")))
+    # wordless texts are in no group
+    rows = rows.withColumn("alone", F.when(F.col("r.key").isNull(), F.col("r.text"))).withColumn("of", F.col("r.doc_id")).dropDuplicates(["of", "component", "alone"])
+    return once.unionByName(rows.select(*[F.col(f"r.{c}") for c in docs.columns]))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

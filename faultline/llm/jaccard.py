@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from faultline.llm.shared import bounded_batches, connected_components, release, slices, table, text_buffer, written
@@ -313,8 +314,27 @@ def texts_of(docs: DataFrame, classes: DataFrame, size: int, nameless: bool) ->
     return texts.unionByName(without.join(lone, "key").groupBy("key").agg(F.min("text").alias("text")))
 
 
+def with_keys(docs: DataFrame, size: int) -> DataFrame:
+    """All columns of documents and the ``key`` of each row's set."""
+
+    def run(batches):
+        for batch in batches:
+            text = batch.select(["doc_id", "text"])
+            own = [class_key(s) if len(s) else None for _, s in document_sets(text, size)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], [*batch.schema.names, "key"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("key", LongType())]))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document.
+    """(doc_id, n_shingles, component_id) of every document; see
+    ``near_duplicate_rows``."""
+    return near_duplicate_rows(docs, percent, size).select("doc_id", "n_shingles", "component_id")
+
+
+def near_duplicate_rows(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, n_shingles, component_id, key, component) of every document:
+    ``key`` names the row's set, ``component`` what it is linked with.
 
     Documents link when 100 * intersection >= percent * union of their
     distinct shingles.  ``component_id`` is the smallest doc_id reachable by
@@ -439,9 +459,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
 
     named = classes.join(labels, classes["key"] == labels["node"], "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
     lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(lowest, "component").select("key", "component_id")
+    named = named.join(lowest, "component").select("key", "component_id", "component")
     return documents.join(named, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key", "component"
     )
 
 

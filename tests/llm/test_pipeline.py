@@ -77,3 +77,11 @@ def test_near_copies_between_80_and_90_percent(spark):
     assert between and 12 <= len(want) < len(rows)
     docs = spark.createDataFrame([(k, t, "aa", "s", 0) for k, t in rows], DOCUMENT)
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_groups(spark, docs, "").collect()} == want
+
+
+def test_repeated_ids_with_different_texts(spark):
+    text = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcd"]
+    rows = [(1, text[0]), (2, text[0] + " more"), (2, text[1]), (2, text[1] + " more"), (2, text[2]), (3, text[3]), (3, text[3]), (4, text[2])]
+    docs = spark.createDataFrame([(k, t, "aa", "s", 0) for k, t in rows], DOCUMENT)
+    got = sorted((r["doc_id"], r["text"].removesuffix(" more")) for r in corpus_pipeline.near_duplicate_groups(spark, docs, "").collect())
+    assert got == [(1, text[0]), (2, text[1]), (2, text[2]), (3, text[3])]
