@@ -192,11 +192,12 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, rati
         return spark.createDataFrame([], schema)
     total = dims[0]["count"]
     rows = rows.where(F.size("embedding") == dims[0]["dim"])
+    # an id counts once, with the smallest of its vectors
+    unique = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     # of equal vectors only those that can be among the k nearest are indexed:
     # the smallest ids and, for a query of that vector, itself
     copies = Window.partitionBy("copy").orderBy("vec_id")
-    index = rows.withColumn("copy", F.xxhash64("embedding")).withColumn("place", F.row_number().over(copies)).where(F.col("place") <= k + 1).drop("copy", "place")
-    index = index.dropDuplicates(["vec_id"])
+    index = unique.withColumn("copy", F.xxhash64("embedding")).withColumn("place", F.row_number().over(copies)).where(F.col("place") <= k + 1).drop("copy", "place")
     share = max(total // SAMPLE, 1)
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(share)) == 0).select("embedding").limit(2 * SAMPLE).toArrow()
     if not sample.num_rows:
@@ -209,7 +210,7 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, rati
     for r in held.groupBy("list").count().collect():  # one row a centroid
         sizes[r["list"]] = r["count"]
     parts = F.lit([int(s) for s in -(-sizes // PART)] or [1])
-    queries = rows.where(F.col("vec_id") % step == 0).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "embedding")
+    queries = unique.where(F.col("vec_id") % step == 0).select(F.col("vec_id").alias("query_id"), "embedding")
     probes = queries.mapInArrow(_probe(shared, sizes, k, ratio), "query_id long, embedding array<double>, list int")
     # long lists are dealt over several tasks, to which its queries go
     of_list = F.greatest(F.lit(1), F.element_at(parts, F.col("list") + 1)).cast("int")

@@ -83,3 +83,11 @@ def test_graph_walk_finds_near_centroids():
     found, far = graph.search(x[:200], 8)
     exact = ((x[:200, None] - graph.centroids[None]) ** 2).sum(axis=2).argmin(axis=1)
     assert (found[:, 0] == exact).mean() > 0.95 and (np.diff(far, axis=1) >= 0).all()
+
+
+def test_repeated_rows_leave_room_for_others(spark):
+    """A row repeated more often than there are ranks counts once."""
+    rows = [(0, [1.0] * 4, 0)] * 15 + [(k, [1.0] * 4, 0) for k in range(1, 15)] + [(200, [2.0, 1.0, 1.0, 1.0], 0)]
+    got = search(spark.createDataFrame(rows, ROWS)).collect()
+    at = {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 200)}
+    assert at == {0: list(range(1, 11)), 200: list(range(10))}
