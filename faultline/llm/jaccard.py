@@ -6,11 +6,17 @@ document orders its shingles from rare to frequent and publishes the first
 least ``min(l, l')`` published shingles.  ``l`` is chosen document by document
 from estimated costs: a longer prefix costs postings and saves verifications.
 
-Equal sets are one class from the start.  Classes go to the block of their
-longest posting list, where sets are compared exactly and a class that is
-already connected to another is compared no more, so that a group of near
-copies costs about as many comparisons as it has members.  Candidates that met
-in no block are verified pair by pair.
+Equal sets are one class from the start.  Members of long posting lists meet
+in blocks first, where sets are compared exactly and a class that is already
+connected to another is compared no more, so that a large group of near copies
+costs about as many comparisons as it has members.  After that a list gives
+the pairs that aren't connected yet.  Pairs found in enough lists go through a
+bound from their signatures, then the best pair of each class is verified,
+then those that this didn't connect.
+
+A signature is a bitmap of the parities of shingles by hash.  The difference
+of two sets is at least as large as that of their bitmaps, which bounds the
+intersection from above: the test loses no pair.
 """
 
 from __future__ import annotations
@@ -25,20 +31,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from faultline.llm.shared import bounded_batches, connected_components, release, slices, table, text_buffer, written
-from faultline.llm.words import mix, ngram_hashes, word_hashes
+from faultline.llm.shared import bounded_batches, connected_components, discard, release, slices, table, text_buffer, written
+from faultline.llm.words import ngram_hashes, word_hashes
 
 SHINGLE, PERCENT = 3, 90
 MOST_MATCHES = 4
-#: the frequency sketch: counters by leading hash bits, sent in ranges
-SKETCH_BITS, RANGE_BITS = 20, 14
-#: bits of the filter of wanted ids, and tasks that fill it
-FILTER_BITS, FILTER_TASKS = 22, 16
-#: members of a block; larger ones are split by hash around common pivots
-BLOCK, PIVOTS = 4096, 16
-ROUNDS = 2
+#: the frequency sketch: counters by leading hash bits, sent in ranges.  It
+#: has 2**SKETCH_BITS counters, and from SKETCH_ROWS documents on twice as many
+#: for each doubling, up to 2**MOST_SKETCH_BITS
+SKETCH_BITS, MOST_SKETCH_BITS, SKETCH_ROWS, RANGE_BITS = 20, 24, 1 << 20, 14
+#: words of the bitmap of wanted rows
+FILTER_WORDS = 1 << 17
+#: members and shingles of a block; larger ones are split by hash around
+#: common pivots
+BLOCK, BLOCK_SHINGLES, PIVOTS = 4096, 1 << 20, 16
 #: up to so many members a list is short
 SHORT = 64
+#: shingles that the sketch counts as often as this, and as 8 counters on
+#: average, may have lists too long for one task, and go to so many
+HOT, HOT_PARTS = 1 << 15, 1024
+#: bits of the smallest signature, and of those that long lists compare
+SIGNATURE = 512
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE):
@@ -96,31 +109,65 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, percent: int, most: int = M
     return shingles[order[: base + best + 1]], best + 1
 
 
-def _signatures(size: int):
+def signature_bits(n: int, percent: int) -> int:
+    """A power of two of about four times the difference of two similar sets."""
+    return max(SIGNATURE, 1 << (8 * n * (100 - percent) // (100 + percent)).bit_length())
+
+
+def signature(shingles: np.ndarray, percent: int) -> bytes:
+    bits = signature_bits(len(shingles), percent)
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A signature's bytes as those of fewer bits."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """The least size of the difference of two sets, by their signatures."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(p), len(q))
+    return int(np.bitwise_count(folded(p, size) ^ folded(q, size)).sum(dtype=np.int64))
+
+
+def _signatures(size: int, percent: int, sketch_bits: int):
     """Rows of documents and, at the end of the task, of its sketch."""
 
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["doc_id", "n", "key", "range", "counts"]
+        sketch = np.zeros(1 << sketch_bits, np.uint32)
+        shift = np.uint64(64 - sketch_bits)
+        names = ["doc_id", "place", "n", "key", "signature", "range", "counts"]
+
+        def count(pending):
+            places = (np.concatenate(pending) >> shift).astype(np.int64)
+            if len(places) > len(sketch) // 8:
+                np.add(sketch, np.bincount(places, minlength=len(sketch)).astype(np.uint32), out=sketch)
+            else:
+                np.add.at(sketch, places, np.uint32(1))
+
         for batch in batches:
-            ids, sizes, keys, pending, held = [], [], [], [], 0
-            for doc_id, own in document_sets(batch, size):
-                ids.append(doc_id)
+            sizes, keys, bits, pending, held = [], [], [], [], 0
+            for _, own in document_sets(batch, size):
                 sizes.append(len(own))
                 keys.append(class_key(own) if len(own) else None)
+                bits.append(signature(own, percent) if len(own) else None)
                 pending.append(own)
                 held += len(own)
                 if held > 1 << 19:
-                    sketch += np.bincount((np.concatenate(pending) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
+                    count(pending)
                     pending, held = [], 0
             if held:
-                sketch += np.bincount((np.concatenate(pending) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
-            none = pa.nulls(len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names)
+                count(pending)
+            none = pa.nulls(len(sizes))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names
+            )
         if sketch.any():
             parts = [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(-1, 1 << RANGE_BITS)]
-            none = pa.nulls(len(parts)).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names)
+            none = pa.nulls(len(parts))
+            yield pa.RecordBatch.from_arrays([*[none.cast(pa.int64())] * 4, none.cast(pa.binary()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names)
         release()
 
     return run
@@ -202,51 +249,67 @@ def _block_links(percent: int, size: int):
     return run
 
 
-def candidates(token: int, rows: dict, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of a list's members that share enough published shingles,
-    fit in size, aren't connected and met in no block.  A pair comes out in
-    the list of the smallest shingle that it shares."""
-    order = np.argsort(rows["n"], kind="stable")
-    n, label, matches, homes, part = (np.asarray(rows[c])[order] for c in ("n", "label", "matches", "homes", "part"))
-    tokens = [np.asarray(rows["tokens"][i], np.int64) for i in order]
-    known, column = np.unique(np.concatenate(tokens), return_inverse=True)
-    row = np.repeat(np.arange(len(order)), [len(t) for t in tokens])
-    bits = np.zeros((len(order), len(known) // 64 + 1), np.uint64)
-    np.bitwise_or.at(bits, (row, column // 64), np.uint64(1) << (column % 64).astype(np.uint64))
-    before = np.zeros(bits.shape[1], np.uint64)
-    for k in np.flatnonzero(known < token).tolist():
-        before[k // 64] |= np.uint64(1) << np.uint64(k % 64)
-    crossing = rows["p"] != rows["q"]
+def candidates(n: np.ndarray, label: np.ndarray, bits: np.ndarray, mine: np.ndarray, other: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of members that aren't connected, fit in size and may be
+    similar by their signatures, one of each pair marked in ``mine`` and the
+    other in ``other``."""
+    order = np.argsort(n, kind="stable")
+    n, label, bits, mine, other = n[order], label[order], bits[order], mine[order], other[order]
     first, second = [], []
     for i in range(1, len(order)):
         lo = int(np.searchsorted(100 * n[:i], percent * n[i]))
-        j = lo + np.flatnonzero((label[lo:i] != label[i]) & ~((homes[lo:i] == homes[i]) & (homes[i] != 0)).any(axis=1) & (not crossing or part[lo:i] != part[i]))
-        if not len(j):
-            continue
-        shared = bits[j] & bits[i]
-        j = j[(np.bitwise_count(shared).sum(axis=1) >= np.minimum(matches[j], matches[i])) & ~(shared & before).any(axis=1)]
-        first.append(np.full(len(j), i))
-        second.append(j)
+        j = lo + np.flatnonzero((label[lo:i] != label[i]) & ((mine[i] & other[lo:i]) | (other[i] & mine[lo:i])))
+        if len(j):
+            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            j = j[similar((n[i] + n[j] - apart) // 2, n[i], n[j], percent)]
+        if len(j):
+            first.append(np.full(len(j), i))
+            second.append(j)
     if not first:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return order[np.concatenate(first)], order[np.concatenate(second)]
 
 
 def _list_pairs(percent: int):
+    """Pairs of a cell (token, part, chunk) of a long list.  A cell has a part
+    of the members with the most frequent label and a chunk of the others; its
+    pairs have one of either.  Cells without such a part have two chunks."""
+
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(batches))
-        rows = {c: got[c].to_numpy() for c in ("n", "label", "matches", "part")}
-        rows["tokens"] = got["tokens"].to_pylist()
-        rows["homes"] = np.array(got["homes"].to_pylist(), np.int64).reshape(got.num_rows, -1)
-        rows["p"], rows["q"] = key[1].as_py(), key[2].as_py()
-        keys = got["key"].to_numpy()
-        i, j = candidates(key[0].as_py(), rows, percent)
-        a, b = np.minimum(keys[i], keys[j]), np.maximum(keys[i], keys[j])
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        keys, most, chunk = got["key"].to_numpy(), got["most"].to_numpy(zero_copy_only=False).astype(bool), got["own"].to_numpy()
+        bits = np.stack([folded(np.frombuffer(x, np.uint8), SIGNATURE // 8) for x in got["signature"].to_pylist()]).view(np.uint64)
+        part, second = key[1].as_py(), key[2].as_py()
+        mine, other = (most, ~most) if part >= 0 else (chunk == -1 - part, chunk == second)
+        i, j = candidates(got["n"].to_numpy().astype(np.int64), got["label"].to_numpy(), bits, mine, other, percent)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(keys[i], keys[j])), pa.array(np.maximum(keys[i], keys[j]))], ["a", "b"])
 
     return run
 
 
+def long_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b), once for each list they share, of unconnected members of lists
+    (token, key, n, label, signature) that may be similar."""
+    sizes = members.groupBy("token", "label").agg(F.count("*").alias("size"))
+    sizes = sizes.groupBy("token").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("open"))
+    sizes = sizes.select(
+        "token", F.col("top.label").alias("top"),
+        F.ceil(F.col("top.size") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("open") - F.col("top.size")) / BLOCK).cast("int").alias("chunks"),
+    ).where("chunks > 0")
+    rows = members.join(sizes, "token").withColumn("most", F.col("label") == F.col("top"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), F.when(F.col("most"), F.col("parts")).otherwise(F.col("chunks"))).cast("int"))
+    upto = lambda top: F.sequence(F.lit(0), F.col(top) - 1)
+    cell = lambda part, chunk: F.struct(part.cast("int").alias("part"), chunk.cast("int").alias("chunk"))
+    cells = F.when(F.col("most"), F.transform(upto("chunks"), lambda c: cell(F.col("own"), c))).otherwise(
+        F.concat(
+            F.transform(upto("parts"), lambda p: cell(p, F.col("own"))),
+            F.transform(upto("chunks"), lambda c: cell(-1 - F.least(c, F.col("own")), F.greatest(c, F.col("own")))),
+        )
+    )
+    dealt = rows.withColumn("cell", F.explode(cells)).select("token", "cell.part", "cell.chunk", "own", "most", "key", "n", "label", "signature")
+    return dealt.groupBy("token", "part", "chunk").applyInArrow(_list_pairs(percent), "a long, b long")
+
+
 def _verify(percent: int, size: int):
     def run(batches):
         for batch in batches:
@@ -258,60 +321,18 @@ def _verify(percent: int, size: int):
     return run
 
 
-def _filter_bits(ids: np.ndarray) -> np.ndarray:
-    """Three places of each id in the filter."""
-    x = mix(ids.astype(np.int64).view(np.uint64))
-    return np.stack([(x >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1) for shift in (0, 20, 40)]).astype(np.int64)
-
-
-def texts_of(docs: DataFrame, classes: DataFrame, size: int, nameless: bool) -> DataFrame:
-    """(key, text) of classes (key, doc_id).
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows ``wanted`` (place, ...) with the text of that place.
 
-    A Bloom filter of fixed size leaves out most other texts before the
-    join moves any; when it fills up it just leaves out fewer.  A
-    representative's id that has other texts too counts with its own only.
-    ``nameless``: there may be classes whose rows all lack an id; they are
-    found by their keys.
+    A bitmap of FILTER_WORDS words, whatever the number of rows, leaves out
+    most other texts where they are read, before the join moves any; when it
+    fills up it just leaves out fewer.  Rows repeated in documents count once.
     """
-    lone = classes.where("doc_id is null").select("key")
-    classes = classes.where("doc_id is not null")
-
-    def bits(batches):
-        held = np.zeros(1 << FILTER_BITS, bool)
-        for batch in batches:
-            held[_filter_bits(batch.column(0).to_numpy())] = True
-        if held.any():
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(held).tobytes(), 1)], pa.binary())], ["bits"])
-
-    held = np.zeros(1 << FILTER_BITS, bool)
-    for row in classes.select("doc_id").coalesce(FILTER_TASKS).mapInArrow(bits, "bits binary").toLocalIterator():
-        held |= np.unpackbits(np.frombuffer(zlib.decompress(row["bits"]), np.uint8)).astype(bool)
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(held))  # 2**FILTER_BITS / 8 bytes
-
-    def likely(batches):
-        known = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            batch = batch.filter(batch.column(0).is_valid())
-            yield batch.filter(pa.array(known[_filter_bits(batch.column(0).to_numpy())].all(axis=0)))
-
-    def own_text(batches):
-        for batch in batches:
-            keys = batch.column("key").to_pylist()
-            same = [len(own) > 0 and class_key(own) == k for k, (_, own) in zip(keys, document_sets(batch.select(["key", "text"]), size))]
-            yield batch.select(["key", "text"]).filter(pa.array(same, pa.bool_()))
-
-    def keyed(batches):
-        for batch in batches:
-            own = [class_key(s) if len(s) else None for _, s in document_sets(batch, size)]
-            batch = pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), batch.column(1)], ["key", "text"])
-            yield batch.filter(batch.column(0).is_valid())
-
-    some = docs.mapInArrow(likely, "doc_id long, text string")
-    texts = some.join(classes.select("doc_id", "key"), "doc_id").select("key", "text").mapInArrow(own_text, "key long, text string")
-    if not nameless:
-        return texts
-    without = docs.where("doc_id is null").mapInArrow(keyed, "key long, text string")
-    return texts.unionByName(without.join(lone, "key").groupBy("key").agg(F.min("text").alias("text")))
+    slot = F.pmod("place", F.lit(FILTER_WORDS))
+    bit = F.pmod(F.shiftright("place", 32), F.lit(64)).cast("int")
+    bits = wanted.groupBy(slot.alias("slot")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(shiftright(place, 32), 64) as int)))").alias("bits"))
+    some = docs.withColumn("slot", slot).join(F.broadcast(bits), "slot").where(F.getbit("bits", bit) == 1)  # FILTER_WORDS rows at most
+    return some.groupBy("place").agg(F.first("text").alias("text")).join(wanted, "place")
 
 
 def with_keys(docs: DataFrame, size: int) -> DataFrame:
@@ -332,6 +353,31 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     return near_duplicate_rows(docs, percent, size).select("doc_id", "n_shingles", "component_id")
 
 
+def listed_postings(postings: DataFrame, percent: int) -> DataFrame:
+    """(token, key, n, matches, hot, length, least) of lists of at least two
+    classes and in them of members with a neighbour in size: others have no
+    partner there.  Tasks may have published a class more than once.  Lists
+    that may be hot are dealt over HOT_PARTS; their rows all stay, and their
+    length and least are those of a part."""
+    of_list = Window.partitionBy("token", "salt")
+    by_size = of_list.orderBy("n", "key")
+    near = (100 * F.col("before") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("after"))
+    return (
+        postings.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("key"), F.lit(HOT_PARTS))).otherwise(0).cast("int"))
+        .withColumn("low", F.min("key").over(of_list)).withColumn("high", F.max("key").over(of_list)).where("hot or low <> high")
+        .withColumn("before", F.lag("n").over(by_size)).withColumn("after", F.lead("n").over(by_size)).where(F.col("hot") | near)
+        .groupBy("token", "salt", "key").agg(*[F.first(c).alias(c) for c in ("n", "matches", "hot")])
+        .withColumn("length", F.count("*").over(of_list)).withColumn("least", F.min("matches").over(of_list)).where("hot or length > 1").drop("salt")
+    )
+
+
+def whole_lists(listed: DataFrame) -> DataFrame:
+    """The length and least of hot lists from those of their parts."""
+    parts = listed.where("hot").groupBy("token").agg(F.count("*").alias("whole"), F.min("least").alias("all"))
+    rows = listed.join(parts, "token", "left").withColumn("length", F.coalesce("whole", "length")).withColumn("least", F.coalesce("all", "least"))
+    return rows.drop("whole", "all").where("length > 1")
+
+
 def near_duplicate_rows(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, key, component) of every document:
     ``key`` names the row's set, ``component`` what it is linked with.
@@ -343,24 +389,27 @@ def near_duplicate_rows(docs: DataFrame, percent: int = PERCENT, size: int = SHI
     Nulls: a null or wordless text has no shingle and links with nothing; a
     null doc_id takes part and names no component.  Rows repeated under one
     id each give a row.  An empty table gives no rows; other columns are
-    ignored.  Sets are told apart by 64-bit hashes of shingles and of sets.
+    ignored.  Ties in rarity go to the smaller hash.  Sets are told apart by
+    64-bit hashes of shingles and of sets, rows by 64 bits of id and text.
     """
-    docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", F.xxhash64("text")).alias("place"))
     bounded_batches(spark)
-    both = written(docs.mapInArrow(_signatures(size), "doc_id long, n long, key long, range int, counts binary"), "signatures")
-    documents = both.where("range is null").select("doc_id", "n", "key")
-    # 2**SKETCH_BITS counters in all, whatever the size of the input
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+    sketch_bits = min(SKETCH_BITS + max(docs.count() // SKETCH_ROWS, 0).bit_length(), MOST_SKETCH_BITS)
+    both = written(docs.mapInArrow(_signatures(size, percent, sketch_bits), "doc_id long, place long, n long, key long, signature binary, range int, counts binary"), "signatures")
+    documents = both.where("range is null").select("doc_id", "place", "n", "key", "signature")
+    # 2**sketch_bits counters in all
+    sketch = np.zeros(1 << sketch_bits, np.uint32)
     for r in both.where("range is not null").select("range", "counts").groupBy("range").applyInArrow(_sum_ranges, "range int, counts binary").collect():
         sketch[r["range"] << RANGE_BITS : (r["range"] + 1) << RANGE_BITS] = np.frombuffer(r["counts"], np.uint32)
+    hot = max(HOT, 8 * int(sketch.mean(dtype=np.float64)))
     shared = spark.sparkContext.broadcast(sketch)
-    shift = np.uint64(64 - SKETCH_BITS)
+    shift = np.uint64(64 - sketch_bits)
 
     def publish(batches):
         counts, seen = shared.value, set()
         for batch in batches:
-            rows, at, tokens = [], [], []
+            rows, at, tokens, often = [], [], [], []
             for _, own in document_sets(batch, size):
                 # sets too small to differ and still be similar are classes
                 if len(own) == 0 or needed(len(own) + 1, percent) > len(own):
@@ -371,93 +420,92 @@ def near_duplicate_rows(docs: DataFrame, percent: int = PERCENT, size: int = SHI
                 seen.add(key)
                 chosen, matches = prefix(own, counts[(own >> shift).astype(np.int64)], percent)
                 tokens.append(chosen)
+                often.append(counts[(chosen >> shift).astype(np.int64)] >= hot)
                 rows.append((key, len(own), matches))
                 at.append(len(chosen))
             if rows:
                 columns = [np.repeat(np.array([r[k] for r in rows], np.int64), at) for k in range(3)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), pa.array(columns[2].astype(np.int32))],
-                    ["token", "key", "n", "matches"],
+                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), pa.array(columns[2].astype(np.int32)), pa.array(np.concatenate(often))],
+                    ["token", "key", "n", "matches", "hot"],
                 )
         release()
 
-    postings = docs.mapInArrow(publish, "token long, key long, n int, matches int")
-    # lists of at least two classes, and in them members with a neighbour in
-    # size: others have no partner there.  Tasks may have published a class
-    # more than once.
-    of_list = Window.partitionBy("token")
-    by_size = of_list.orderBy("n", "key")
-    listed = (
-        postings.withColumn("low", F.min("key").over(of_list)).withColumn("high", F.max("key").over(of_list)).where("low <> high")
-        .withColumn("before", F.lag("n").over(by_size)).withColumn("after", F.lead("n").over(by_size))
-        .where((100 * F.col("before") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("after")))
-        .groupBy("token", "key").agg(F.first("n").alias("n"), F.first("matches").alias("matches"))
-        .withColumn("length", F.count("*").over(of_list)).withColumn("least", F.min("matches").over(of_list)).where("length > 1")
-    )
-    listed = written(listed, "listed")
+    postings = docs.select("doc_id", "text").mapInArrow(publish, "token long, key long, n int, matches int, hot boolean")
+    rows = listed = written(listed_postings(postings, percent), "listed")
+    shared.unpersist()
+    if (sketch >= hot).any():
+        listed = whole_lists(listed)
     # a class with a partner is in as many lists as the pair has to share
     enough = listed.groupBy("key").agg(F.count("*").alias("lists"), F.min(F.least("matches", "least")).alias("required")).where("lists >= required").select("key")
-    active = written(listed.join(enough, "key").drop("least"), "active")
-    classes = documents.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    nameless = bool(documents.where("key is not null and doc_id is null").take(1))
-
-    links, open_lists, labels = None, active, None
-    met: list[str] = []
-    for k in range(ROUNDS):
-        # each class goes to its longest open list that it wasn't in before
-        home = open_lists
-        if met:
-            tried = F.array(*[F.col(m) for m in met])
-            home = home.where(~F.array_contains(F.transform(tried, lambda h: F.coalesce(h["token"], F.lit(0))), F.col("token")))
-        home = home.groupBy("key").agg(F.max(F.struct("length", "token")).alias("home"))
-        home = home.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("home.length") / BLOCK)).cast("int"))
-        home = written(home.select("key", F.struct(F.col("home.token").alias("token"), F.pmod(F.xxhash64("key", F.lit(k)), "parts").cast("int").alias("part")).alias("home"), "parts"), "homes")
-        # the smallest keys of a split list go to all of its parts
-        split = home.where("parts > 1")
-        rank = Window.partitionBy("home.token", "home.part").orderBy("key")
-        pivots = split.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= PIVOTS).where("home.part = 0")
-        spread = pivots.select("key", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)).alias("part"), F.col("home.token").alias("token"))
-        members = home.select("key", "home.token", "home.part").unionByName(spread.select("key", "token", "part"))
-        crowded = members.groupBy("token", "part").agg(F.count("*").alias("members")).where("members > 1").drop("members")
-        members = written(members.join(crowded, ["token", "part"]), "members")
-        texts = texts_of(docs, classes.join(members.select("key").distinct(), "key"), size, nameless)
-        found = members.join(texts, "key").groupBy("token", "part").applyInArrow(_block_links(percent, size), "a long, b long")
-        links = written(found if links is None else links.unionByName(found), "links")
+    active = written(listed.join(enough, "key").drop("least", "hot"), "active")
+    discard(rows)
+    classes = documents.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("place"))
+    found = documents.join(active.select("key").distinct(), "key", "left_semi")
+    signed = written(found.groupBy("key").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("signature").alias("signature")), "signed")
+
+    links, labels = None, None
+    crowd = active.where(F.col("length") > SHORT)
+    if crowd.take(1):
+        # each class of a long list goes to the longest that it is in
+        home = crowd.groupBy("key").agg(F.max(F.struct("length", "token")).alias("home"), F.first("n").alias("n")).select("key", "home.token", "n")
+        sizes = home.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+        home = written(home.join(sizes, "token").select("key", "token", "parts", F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part")), "homes")
+        # the smallest keys of a part of a split list go to all of its parts
+        least = home.where("parts > 1 and part = 0").withColumn("rank", F.row_number().over(Window.partitionBy("token").orderBy("key"))).where(F.col("rank") <= PIVOTS)
+        spread = least.select("key", "token", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)).alias("part"))
+        members = home.select("key", "token", "part").unionByName(spread)
+        members = written(members.join(signed.select("key", "place"), "key"), "members")
+        links = written(texts_of(docs, members).groupBy("token", "part").applyInArrow(_block_links(percent, size), "a long, b long"), "links")
+        discard(home, members)
         labels = connected_components(links)
-        met.append(f"home{k}")
-        open_lists = open_lists.drop("label").join(home.select("key", F.col("home").alias(f"home{k}")), "key", "left")
-        open_lists = open_lists.join(labels.select(F.col("node").alias("key"), F.col("component").alias("label")), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        # lists whose members are all connected are done
-        undone = open_lists.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-        open_lists = written(open_lists.join(undone, "token"), "open")
-
-    # what is left goes list by list: short ones by a join, long ones in
-    # Python, a very long one as pairs of its parts
-    own = open_lists.groupBy("key").agg(F.collect_list("token").alias("tokens"))
-    # 0 for a round without a home: a hash of nulls isn't null
-    met_in = F.array(*[F.when(F.col(m).isNotNull(), F.xxhash64(f"{m}.token", f"{m}.part")).otherwise(F.lit(0)) for m in met])
-    left = open_lists.withColumn("open", F.count("*").over(of_list)).select("token", "open", "key", "n", "matches", "label", met_in.alias("homes")).join(own, "key")
-    left = written(left, "left")
-    x, y = (left.where(F.col("open") <= SHORT).alias(name) for name in ("x", "y"))
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        if labels is None:
+            return rows.withColumn("label", F.col("key"))
+        own = labels.select(F.col("node").alias("key"), F.col("component").alias("label"))
+        return rows.join(own, "key", "left").withColumn("label", F.coalesce("label", "key"))
+
+    # pairs of a list: short ones by a join, long ones by signatures in Python
+    open_ = labelled(active)
+    x, y = (open_.where(F.col("length") <= SHORT).alias(name) for name in ("x", "y"))
     small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    apart = ~F.exists(F.zip_with("x.homes", "y.homes", lambda p, q: (p == q) & (p != 0)), lambda both: both)
-    enough = F.size(F.array_intersect("x.tokens", "y.tokens")) >= F.least("x.matches", "y.matches")
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (100 * small >= percent * large) & apart & enough
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (100 * small >= percent * large)
     pairs = x.join(y, on).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    long = left.where(F.col("open") > SHORT).withColumn("parts", F.ceil(F.col("open") / BLOCK).cast("int"))
-    long = long.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    long = long.select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "key", "n", "matches", "label", "homes", "tokens")
-    pairs = pairs.unionByName(long.groupBy("token", "p", "q").applyInArrow(_list_pairs(percent), "a long, b long")).distinct()
+    if labels is not None:
+        long = open_.where(F.col("length") > SHORT).drop("n").join(signed, "key").select("token", "key", "n", "label", "signature")
+        pairs = pairs.unionByName(long_pairs(long, percent))
+    # a pair has to be in as many lists as the one that asks for less
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    asked = active.groupBy("key").agg(F.first("matches").alias("matches")).join(signed, "key")
+    for side in ("a", "b"):
+        pairs = pairs.join(asked.select(F.col("key").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("matches", "place", "n", "signature")]), side)
+    pairs = pairs.where(F.col("shared") >= F.least("matches_a", "matches_b")).mapInArrow(_bounded(percent), "a long, b long, shared long, place_a long, place_b long")
     pairs = written(pairs, "pairs")
-    if pairs.take(1):
-        wanted = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "key")
-        texts = texts_of(docs, wanted, size, nameless)
-        one = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-        two = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-        proven = pairs.join(one, "a").join(two, "b").select("a", "text_a", "b", "text_b").mapInArrow(_verify(percent, size), "a long, b long")
-        labels = connected_components(written(links.unionByName(proven), "links"))
-
-    named = classes.join(labels, classes["key"] == labels["node"], "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
+    discard(active, signed)
+
+    # the best pair of each class first, then pairs that are still apart
+    tie = F.xxhash64("a", "b").alias("tie")
+    ends = pairs.select(F.col("a").alias("key"), F.struct("shared", tie, "a", "b").alias("pair")).unionByName(pairs.select(F.col("b").alias("key"), F.struct("shared", tie, "a", "b").alias("pair")))
+    best = ends.groupBy("key").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
+    todo = written(pairs.join(best, ["a", "b"], "left_semi"), "best")
+    while todo.take(1):
+        proven = written(_proven(docs, todo, percent, size), "links")
+        links = proven if links is None else links.unionByName(proven)
+        discard(labels)
+        labels = connected_components(links)
+        if todo is pairs:
+            break
+        discard(todo)
+        own = labels.select("node", "component")
+        for side in ("a", "b"):
+            pairs = pairs.join(own.select(F.col("node").alias(side), F.col("component").alias(f"label_{side}")), side, "left")
+        pairs = pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
+        todo = pairs = written(pairs, "rest")
+    if labels is None:
+        named = classes.select("key", "doc_id", F.col("key").alias("component"))
+    else:
+        named = classes.join(labels, classes["key"] == labels["node"], "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
     lowest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = named.join(lowest, "component").select("key", "component_id", "component")
     return documents.join(named, "key", "left").select(
@@ -465,6 +513,25 @@ def near_duplicate_rows(docs: DataFrame, percent: int = PERCENT, size: int = SHI
     )
 
 
+def _bounded(percent: int):
+    """Leaves out pairs whose signatures differ too much."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = (batch.column(f"n_{s}").to_numpy() for s in "ab")
+            apart = np.fromiter(map(differing, batch.column("signature_a").to_pylist(), batch.column("signature_b").to_pylist()), np.int64, batch.num_rows)
+            yield batch.select(["a", "b", "shared", "place_a", "place_b"]).filter(pa.array(similar((n + m - apart) // 2, n, m, percent)))
+
+    return run
+
+
+def _proven(docs: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
+    """The pairs (a, b, place_a, place_b) that are similar."""
+    sides = [pairs.select(F.col(f"place_{s}").alias("place"), "a", "b", F.lit(s).alias("side")) for s in "ab"]
+    texts = texts_of(docs, sides[0].unionByName(sides[1])).groupBy("a", "b").agg(*[F.max(F.when(F.col("side") == s, F.col("text"))).alias(f"text_{s}") for s in "ab"])
+    return texts.mapInArrow(_verify(percent, size), "a long, b long")
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))

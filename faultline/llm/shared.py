@@ -25,6 +25,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="faultline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -61,7 +63,20 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     path = shared_folder(spark, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    back._written_to = path
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes tables of ``written`` that nothing will read again.  Frames
+    derived from them mustn't be run afterwards."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path:
+            context = df.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def filesystem(uri: str):
@@ -109,15 +124,15 @@ def slices(offsets: np.ndarray, limit: int):
         lo = min(hi, n)
 
 
-def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 100) -> DataFrame:
     """(node, component): the smallest node reachable over undirected edges.
 
-    Alternates large-star and small-star until nothing changes; each round is
-    a join-free regrouping, its result is written to the shared folder, and
-    the number of rounds grows with the logarithm of the longest path.  Empty
-    input gives an empty result.
+    Alternates large-star and small-star until nothing changes; each round
+    joins the edges with the least neighbour of each node, and is written to
+    the shared folder in place of the one before.  The number of rounds grows
+    with the logarithm of the longest path; when ``max_rounds`` don't settle
+    it, that is an error.  Empty input gives an empty result.
     """
-    spark = edges.sparkSession
     current = written(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b").distinct(), "cc")
     if not current.take(1):
         return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
@@ -136,10 +151,13 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
 
     seen = None
     for _ in range(max_rounds):
-        current = written(star(star(current, True), False), "cc")
+        before, current = current, written(star(star(current, True), False), "cc")
+        discard(before)
         # a fixpoint leaves every edge as (node, root); a checksum shows it
         now = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
-            break
+            labels = written(current.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), "components")
+            discard(current)
+            return labels
         seen = now
-    return current.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    raise RuntimeError(f"components didn't settle in {max_rounds} rounds")

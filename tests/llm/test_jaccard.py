@@ -47,14 +47,16 @@ def corpus(seed=0, base=12, copies=60):
     return rows
 
 
-@pytest.mark.parametrize("block,rounds,short", [(4096, 2, 64), (8, 1, 5), (16, 2, 10**6)])
-def test_components_equal_brute_force(spark, monkeypatch, block, rounds, short):
-    """Small blocks and few rounds leave more to the list-by-list pairs."""
+@pytest.mark.parametrize("block,shingles,short,hot", [(4096, 1 << 20, 64, 1 << 15), (8, 1 << 20, 5, 1 << 15), (16, 500, 3, 2), (16, 100, 10**6, 1)])
+def test_components_equal_brute_force(spark, monkeypatch, block, shingles, short, hot):
+    """Small blocks leave more to the list-by-list pairs."""
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "PIVOTS", 2)
-    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
     monkeypatch.setattr(jaccard, "SHORT", short)
-    rows = corpus(rounds)
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "HOT_PARTS", 3)
+    rows = corpus(block)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r[0] is None, r[0] or 0, r[1], r[2]) for r in near_duplicates(docs).collect())
     assert got == brute(rows)
@@ -105,7 +107,7 @@ def test_block_links_connect_what_all_links_connect():
 
 
 @pytest.mark.parametrize("short", [64, 5])
-def test_split_list_without_second_home(spark, monkeypatch, short):
+def test_split_list_of_unlike_groups(spark, monkeypatch, short):
     """Pairs whose one shared published word is that of a list cut into parts."""
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     monkeypatch.setattr(jaccard, "PIVOTS", 2)
@@ -128,3 +130,21 @@ def test_rows_without_id_link_others(spark):
     got = sorted((r[0] is None, r[0] or 0, r[1], r[2] or 0) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     want = [(*r[:3], r[3] or 0) for r in brute(rows)]
     assert got == sorted(want) and [r[3] for r in got[:2]] == [1, 1]
+
+
+def test_signatures_bound_differences():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n = int(rng.integers(1, 9000))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[int(rng.integers(0, n // 5 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, n // 3 + 2))).astype(np.uint64))))
+        apart = len(np.setxor1d(a, b))
+        assert jaccard.differing(jaccard.signature(a, 90), jaccard.signature(b, 80)) <= apart
+    far = rng.integers(0, 2**63, (2, 9000)).astype(np.uint64)
+    assert jaccard.differing(*(jaccard.signature(np.unique(x), 90) for x in far)) > 2000  # more than similar sets may differ
+
+
+def test_extra_columns_and_table_of_copies(spark):
+    rows = [(k, "one two three four five six", k, "x") for k in range(300)] + [(999, "none of these words are there", 1, None)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, key long, component string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(k, 0) for k in range(300)} | {(999, 999)}
