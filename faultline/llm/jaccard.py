@@ -11,8 +11,9 @@ in blocks first, where sets are compared exactly and a class that is already
 connected to another is compared no more, so that a large group of near copies
 costs about as many comparisons as it has members.  After that a list gives
 the pairs that aren't connected yet.  Pairs found in enough lists go through a
-bound from their signatures, then the best pair of each class is verified,
-then those that this didn't connect.
+bound from their signatures.  First the best pair of each class is verified and,
+of a long list, the pairs that would connect its members; then all pairs that
+this didn't connect.
 
 A signature is a bitmap of the parities of shingles by hash.  The difference
 of two sets is at least as large as that of their bitmaps, which bounds the
@@ -249,19 +250,27 @@ def _block_links(percent: int, size: int):
     return run
 
 
-def candidates(n: np.ndarray, label: np.ndarray, bits: np.ndarray, mine: np.ndarray, other: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def candidates(n: np.ndarray, label: np.ndarray, bits: np.ndarray, mine: np.ndarray, other: np.ndarray, percent: int, forest: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of members that aren't connected, fit in size and may be
     similar by their signatures, one of each pair marked in ``mine`` and the
-    other in ``other``."""
+    other in ``other``.  With ``forest`` a pair that earlier ones connect is
+    left out, and of those that connect the same the most similar one stays."""
     order = np.argsort(n, kind="stable")
-    n, label, bits, mine, other = n[order], label[order], bits[order], mine[order], other[order]
+    n, bits, mine, other = n[order], bits[order], mine[order], other[order]
+    group = np.unique(label[order], return_inverse=True)[1]
     first, second = [], []
     for i in range(1, len(order)):
         lo = int(np.searchsorted(100 * n[:i], percent * n[i]))
-        j = lo + np.flatnonzero((label[lo:i] != label[i]) & ((mine[i] & other[lo:i]) | (other[i] & mine[lo:i])))
+        j = lo + np.flatnonzero((group[lo:i] != group[i]) & ((mine[i] & other[lo:i]) | (other[i] & mine[lo:i])))
         if len(j):
             apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            j = j[similar((n[i] + n[j] - apart) // 2, n[i], n[j], percent)]
+            close = similar((n[i] + n[j] - apart) // 2, n[i], n[j], percent)
+            j, apart = j[close], apart[close]
+        if len(j) and forest:
+            nearest = np.lexsort((apart / (n[i] + n[j]),))
+            found, at = np.unique(group[j[nearest]], return_index=True)
+            j = j[nearest[at]]
+            group[np.isin(group, found)] = group[i]
         if len(j):
             first.append(np.full(len(j), i))
             second.append(j)
@@ -270,7 +279,7 @@ def candidates(n: np.ndarray, label: np.ndarray, bits: np.ndarray, mine: np.ndar
     return order[np.concatenate(first)], order[np.concatenate(second)]
 
 
-def _list_pairs(percent: int):
+def _list_pairs(percent: int, forest: bool):
     """Pairs of a cell (token, part, chunk) of a long list.  A cell has a part
     of the members with the most frequent label and a chunk of the others; its
     pairs have one of either.  Cells without such a part have two chunks."""
@@ -281,15 +290,16 @@ def _list_pairs(percent: int):
         bits = np.stack([folded(np.frombuffer(x, np.uint8), SIGNATURE // 8) for x in got["signature"].to_pylist()]).view(np.uint64)
         part, second = key[1].as_py(), key[2].as_py()
         mine, other = (most, ~most) if part >= 0 else (chunk == -1 - part, chunk == second)
-        i, j = candidates(got["n"].to_numpy().astype(np.int64), got["label"].to_numpy(), bits, mine, other, percent)
+        i, j = candidates(got["n"].to_numpy().astype(np.int64), got["label"].to_numpy(), bits, mine, other, percent, forest)
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(keys[i], keys[j])), pa.array(np.maximum(keys[i], keys[j]))], ["a", "b"])
 
     return run
 
 
-def long_pairs(members: DataFrame, percent: int) -> DataFrame:
+def long_pairs(members: DataFrame, percent: int, forest: bool) -> DataFrame:
     """(a, b), once for each list they share, of unconnected members of lists
-    (token, key, n, label, signature) that may be similar."""
+    (token, key, n, label, signature) that may be similar; with ``forest`` no
+    more of a cell than connect what all of them connect."""
     sizes = members.groupBy("token", "label").agg(F.count("*").alias("size"))
     sizes = sizes.groupBy("token").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("open"))
     sizes = sizes.select(
@@ -307,7 +317,7 @@ def long_pairs(members: DataFrame, percent: int) -> DataFrame:
         )
     )
     dealt = rows.withColumn("cell", F.explode(cells)).select("token", "cell.part", "cell.chunk", "own", "most", "key", "n", "label", "signature")
-    return dealt.groupBy("token", "part", "chunk").applyInArrow(_list_pairs(percent), "a long, b long")
+    return dealt.groupBy("token", "part", "chunk").applyInArrow(_list_pairs(percent, forest), "a long, b long")
 
 
 def _verify(percent: int, size: int):
@@ -441,8 +451,9 @@ def near_duplicate_rows(docs: DataFrame, percent: int = PERCENT, size: int = SHI
     active = written(listed.join(enough, "key").drop("least", "hot"), "active")
     discard(rows)
     classes = documents.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("place"))
-    found = documents.join(active.select("key").distinct(), "key", "left_semi")
-    signed = written(found.groupBy("key").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("signature").alias("signature")), "signed")
+    # copies are merged where they are read, before the join moves any
+    merged = documents.where("key is not null").groupBy("key").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    signed = written(merged.join(active.select("key").distinct(), "key", "left_semi"), "signed")
 
     links, labels = None, None
     crowd = active.where(F.col("length") > SHORT)
@@ -467,41 +478,64 @@ def near_duplicate_rows(docs: DataFrame, percent: int = PERCENT, size: int = SHI
         return rows.join(own, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
     # pairs of a list: short ones by a join, long ones by signatures in Python
+    asked = active.groupBy("key").agg(F.first("matches").alias("matches"), F.max("length").alias("longest")).join(signed, "key")
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """Counted pairs that may be in enough lists, and may be similar."""
+        for side in ("a", "b"):
+            pairs = pairs.join(asked.select(F.col("key").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("matches", "longest", "place", "n", "signature")]), side)
+        pairs = pairs.withColumn("required", F.least("matches_a", "matches_b"))
+        pairs = pairs.where((F.col("shared") >= F.col("required")) | (~F.col("whole") & (F.least("longest_a", "longest_b") > SHORT)))
+        return pairs.mapInArrow(_bounded(percent), "a long, b long, shared long, required int, place_a long, place_b long")
+
     open_ = labelled(active)
     x, y = (open_.where(F.col("length") <= SHORT).alias(name) for name in ("x", "y"))
     small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (100 * small >= percent * large)
-    pairs = x.join(y, on).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-    if labels is not None:
-        long = open_.where(F.col("length") > SHORT).drop("n").join(signed, "key").select("token", "key", "n", "label", "signature")
-        pairs = pairs.unionByName(long_pairs(long, percent))
-    # a pair has to be in as many lists as the one that asks for less
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
-    asked = active.groupBy("key").agg(F.first("matches").alias("matches")).join(signed, "key")
-    for side in ("a", "b"):
-        pairs = pairs.join(asked.select(F.col("key").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("matches", "place", "n", "signature")]), side)
-    pairs = pairs.where(F.col("shared") >= F.least("matches_a", "matches_b")).mapInArrow(_bounded(percent), "a long, b long, shared long, place_a long, place_b long")
-    pairs = written(pairs, "pairs")
-    discard(active, signed)
-
-    # the best pair of each class first, then pairs that are still apart
-    tie = F.xxhash64("a", "b").alias("tie")
-    ends = pairs.select(F.col("a").alias("key"), F.struct("shared", tie, "a", "b").alias("pair")).unionByName(pairs.select(F.col("b").alias("key"), F.struct("shared", tie, "a", "b").alias("pair")))
-    best = ends.groupBy("key").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
-    todo = written(pairs.join(best, ["a", "b"], "left_semi"), "best")
+    pairs = x.join(y, on).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    pairs = written(bounded(pairs.withColumn("whole", F.lit(labels is None))), "pairs")
+    places = signed.select("key", "place")
+
+    def placed(pairs: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(places.select(F.col("key").alias(side), F.col("place").alias(f"place_{side}")), side)
+        return pairs
+
+    # the best pair of each class
+    sure = pairs.where("shared >= required")
+    pair = F.struct("shared", F.xxhash64("a", "b").alias("tie"), "a", "b", "place_a", "place_b").alias("pair")
+    ends = sure.select(F.col("a").alias("key"), pair).unionByName(sure.select(F.col("b").alias("key"), pair))
+    todo = ends.groupBy("key").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b", "pair.place_a", "pair.place_b")
+
+    def long_lists() -> DataFrame:
+        rows = labelled(active.where(F.col("length") > SHORT)).drop("n").join(signed, "key")
+        return rows.select("token", "key", "n", "label", "signature")
+
+    crowded = labels is not None
+    if crowded:
+        todo = todo.unionByName(placed(long_pairs(long_lists(), percent, True).distinct()).select("a", "b", "place_a", "place_b"))
+    todo = written(todo.distinct(), "best")
+    done = []
     while todo.take(1):
         proven = written(_proven(docs, todo, percent, size), "links")
         links = proven if links is None else links.unionByName(proven)
         discard(labels)
         labels = connected_components(links)
-        if todo is pairs:
+        done.append(todo)
+        if len(done) == 2:
             break
-        discard(todo)
+        # then whatever is still apart
         own = labels.select("node", "component")
+        rest = pairs
         for side in ("a", "b"):
-            pairs = pairs.join(own.select(F.col("node").alias(side), F.col("component").alias(f"label_{side}")), side, "left")
-        pairs = pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
-        todo = pairs = written(pairs, "rest")
+            rest = rest.join(own.select(F.col("node").alias(side), F.col("component").alias(f"label_{side}")), side, "left")
+        rest = rest.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b", "shared")
+        if crowded:
+            more = long_pairs(long_lists(), percent, False).groupBy("a", "b").agg(F.count("*").alias("shared"))
+            rest = rest.unionByName(more).groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+        rest = rest.join(todo.select("a", "b"), ["a", "b"], "left_anti").withColumn("whole", F.lit(True))
+        todo = written(bounded(rest).select("a", "b", "place_a", "place_b"), "rest")
+    discard(active, signed, pairs, *done)
     if labels is None:
         named = classes.select("key", "doc_id", F.col("key").alias("component"))
     else:
@@ -520,7 +554,7 @@ def _bounded(percent: int):
         for batch in batches:
             n, m = (batch.column(f"n_{s}").to_numpy() for s in "ab")
             apart = np.fromiter(map(differing, batch.column("signature_a").to_pylist(), batch.column("signature_b").to_pylist()), np.int64, batch.num_rows)
-            yield batch.select(["a", "b", "shared", "place_a", "place_b"]).filter(pa.array(similar((n + m - apart) // 2, n, m, percent)))
+            yield batch.select(["a", "b", "shared", "required", "place_a", "place_b"]).filter(pa.array(similar((n + m - apart) // 2, n, m, percent)))
 
     return run
 
