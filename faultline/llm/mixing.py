@@ -9,17 +9,18 @@ count doesn't depend on other documents but through the rates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.shared import table, written
 
 SEED = 17
 TEMPERATURE = 0.5
-#: up to so many sources the table of rates is broadcast (a few MB); beyond,
-#: it is joined with each source dealt over SALTS parts
-BROADCAST_SOURCES, SALTS = 10_000, 64
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: up to so many sources with so many steps in all the table of rates is
+#: broadcast (8 MB); beyond, it is joined with each source dealt over SALTS parts
+BROADCAST_SOURCES, BROADCAST_STEPS, SALTS = 10_000, 1_000_000, 64
+#: copies that a row is exploded into at once
+MOST_COPIES = 1_000
 
 
 def _text(column: str) -> Column:
@@ -33,24 +34,28 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_steps(rate: Column) -> Column:
-    """The distribution function at 0, 1, ... until it is 1 to rounding.
+def poisson_steps(rates: DataFrame) -> DataFrame:
+    """Adds to rows (source_key, rate) ``first``, a count, and ``steps``: the
+    distribution function there and at the counts after it, until it is 1 to
+    rounding.
 
-    Probabilities start at the mode and go out from there as ratios, so that
-    no rate underflows; the sum over all of them normalises.
+    It covers ten deviations around the mode, so its length grows with the
+    root of the rate.  Probabilities go out from the mode as sums of the
+    logarithms of ratios, so that no rate underflows; the sum over all of them
+    normalises.
     """
-    top = F.ceil(rate + F.lit(10.0) * F.sqrt(rate) + F.lit(25.0)).cast("int")
-    # log p(k) = k ln rate - rate - ln k!, as running sums of ln(rate / k)
-    logs = F.aggregate(
-        F.sequence(F.lit(1), top),
-        F.array(-rate),
-        lambda acc, k: F.concat(acc, F.array(F.element_at(acc, -1) + F.log(rate) - F.log(k.cast("double")))),
-    )
-    return F.aggregate(
-        F.transform(logs, F.exp),
-        F.array().cast("array<double>"),
-        lambda acc, p: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + p)),
-    )
+    spread = 10.0 * F.sqrt("rate") + 25.0
+    first = F.greatest(F.lit(0), F.floor(F.col("rate") - spread)).cast("long")
+    rows = rates.withColumn("first", first).withColumn("k", F.explode(F.sequence("first", F.ceil(F.col("rate") + spread).cast("long"))))
+    up = Window.partitionBy("source_key").orderBy("k")
+    ratio = F.when(F.col("k") == F.col("first"), 0.0).otherwise(F.log("rate") - F.log(F.col("k").cast("double")))
+    # log p(k) but for a constant; its maximum is the mode's
+    rows = rows.withColumn("log", F.sum(ratio).over(up))
+    rows = rows.withColumn("p", F.exp(F.col("log") - F.max("log").over(Window.partitionBy("source_key"))))
+    rows = rows.withColumn("step", F.sum("p").over(up) / F.sum("p").over(Window.partitionBy("source_key")))
+    # one row a source, of as many steps as its rate asks
+    steps = rows.groupBy("source_key").agg(F.first("rate").alias("rate"), F.first("first").alias("first"), F.sort_array(F.collect_list("step")).alias("steps"))
+    return steps.select("source_key", "rate", "first", "steps")
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE) -> DataFrame:
@@ -75,47 +80,53 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
 
 
 def mix_sources(
-    docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED, shuffle: bool = True
+    docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED, shuffle: bool = True, columns: bool = True
 ) -> DataFrame:
     """The documents, each repeated by its Poisson count, in a random order.
 
-    Adds ``copy`` (from 0) and ``rate``.  Nulls: a null source is a source of
-    its own, a null text has size 1, a null doc_id is hashed as such.  Rows
-    equal in doc_id and text get the same count.  Other columns stay, but for
-    input columns named copy or rate, which the new ones replace.  The sum of repeated sizes meets the input's in expectation.
+    Adds ``copy`` (from 0) and ``rate``, which replace input columns of these
+    names; with ``columns=False`` nothing is added or replaced.  Nulls: a null
+    source is a source of its own, a null text has size 1, a null doc_id is
+    hashed as such.  Rows equal in doc_id and text get the same count, ties in
+    the order are equal rows.  Very long texts are hashed whole.  An empty
+    table gives no rows.  The sum of repeated sizes meets the input's in
+    expectation.
     """
-    rates = source_rates(docs, weights, temperature).where("rate > 0").select(
-        F.col("source_key").alias("_mix_key"), "rate", poisson_steps(F.col("rate")).alias("_mix_steps")
-    )
-    rates = written(rates, "rates")
-    keyed = (
-        docs.drop("copy", "rate")
-        .withColumn("_mix_key", _text("source"))
-        .withColumn("_mix_u", uniform(seed, _text("doc_id"), F.md5(F.coalesce("text", F.lit("")))))
-    )
-    if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        joined = keyed.join(F.broadcast(rates), "_mix_key")
+    own = "_mix"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    key, u, first, steps, copies, copy, rate, part, salt, place = (f"{own}_{c}" for c in ("key", "u", "first", "steps", "copies", "copy", "rate", "part", "salt", "place"))
+    rates = poisson_steps(source_rates(docs, weights, temperature).where("rate > 0").select("source_key", "rate"))
+    rates = written(rates.select(F.col("source_key").alias(key), F.col("rate").alias(rate), F.col("first").alias(first), F.col("steps").alias(steps)), "rates")
+    keyed = docs.withColumn(key, _text("source")).withColumn(u, uniform(seed, _text("doc_id"), F.md5(F.coalesce("text", F.lit("")))))
+    if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES and (rates.agg(F.sum(F.size(steps))).first()[0] or 0) <= BROADCAST_STEPS:
+        joined = keyed.join(F.broadcast(rates), key)
     else:  # every source is spread over so many parts, whatever its size
-        salted = rates.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("_mix_salt", F.pmod(F.xxhash64("doc_id", "_mix_u"), F.lit(SALTS)).cast("int")).join(salted, ["_mix_key", "_mix_salt"]).drop("_mix_salt")
-    drawn = (
-        joined
-        .withColumn("_mix_copies", F.size(F.filter("_mix_steps", lambda c: c <= F.col("_mix_u"))))
-        .where("_mix_copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_mix_copies") - 1)))
-        .drop("_mix_key", "_mix_u", "_mix_steps", "_mix_copies")
-    )
-    if not shuffle:
-        return drawn
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    # a random place for each row: a hashed partition, then hashed order in it
-    place = F.xxhash64(F.lit(seed), "doc_id", "copy", F.length("text"))
-    return drawn.withColumn("_mix_place", place).repartition(parts, "_mix_place").sortWithinPartitions("_mix_place").drop("_mix_place")
+        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn(salt, F.pmod(F.xxhash64("doc_id", u), F.lit(SALTS)).cast("int")).join(salted, [key, salt]).drop(salt)
+    drawn = joined.withColumn(copies, F.col(first) + F.size(F.filter(steps, lambda c: c <= F.col(u)))).where(F.col(copies) > 0).drop(key, u, first, steps)
+    if (rates.agg(F.max(rate)).first()[0] or 0) > MOST_COPIES:
+        # many copies of a row are made in parts, by more than one task
+        parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / MOST_COPIES))
+        drawn = drawn.withColumn(part, F.explode(parts)).repartition(*([c for c in ("doc_id",) if c in docs.columns]), part)
+        begin = F.col(part) * MOST_COPIES
+        drawn = drawn.withColumn(copy, F.explode(F.sequence(begin, F.least(F.col(copies), begin + MOST_COPIES) - 1))).drop(part)
+    else:
+        drawn = drawn.withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1)))
+    drawn = drawn.withColumn(copy, F.col(copy).cast("int")).drop(copies)
+    if shuffle:
+        tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+        # a random place for each row: a hashed partition, then hashed order
+        drawn = drawn.withColumn(place, F.xxhash64(F.lit(seed), "doc_id", copy, F.length("text"))).repartition(tasks, place).sortWithinPartitions(place).drop(place)
+    if not columns:
+        return drawn.select(*docs.columns)
+    return drawn.select(*[c for c in docs.columns if c.lower() not in ("copy", "rate")], F.col(copy).alias("copy"), F.col(rate).alias("rate"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to square-root source weights: doc_id, source,
-    copy, rate and text of each copy."""
+    lang, copy, rate and text of each copy.  Nulls, ties, repeated rows, long
+    texts, empty tables and other columns are as ``mix_sources`` says."""
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "text", "copy", F.round("rate", 9).alias("rate"))
 
 
