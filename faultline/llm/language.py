@@ -7,6 +7,10 @@ makes an n-gram an affix) and the word itself (a lexicon).  Training maximises
 the conditional likelihood by forward-backward on a bounded sample of labelled
 documents; a document's language is the label with the largest sum of word
 posteriors over its whole text, its score that sum's share.
+
+A text is one chain, whatever its length.  To decode many at once it is cut
+into pieces: each piece's transfer matrix carries forward messages to the piece
+after it and backward messages to the one before.
 """
 
 from __future__ import annotations
@@ -23,8 +27,10 @@ from faultline.llm.words import mix
 UNKNOWN = "und"
 #: bound of the training sample: documents of each language, and words of each
 SAMPLE_DOCUMENTS, SAMPLE_WORDS = 300, 80
-#: words of a chain; longer texts are chains one after the other
-CHAIN = 32
+#: words of a piece of a chain
+PIECE = 32
+#: most languages, which bounds the model that every task gets (1 MB each)
+MOST_LANGUAGES = 500
 _SIZES = (1 << 15, 1 << 16, 1 << 16, 1 << 16)  # 2-, 3-, 4-grams, words
 _BASE = np.cumsum((0,) + _SIZES)
 _ZERO = int(_BASE[-1])  # the row of no feature
@@ -68,10 +74,10 @@ def word_features(data: np.ndarray, offsets: np.ndarray):
         row += np.uint32(_BASE[k])
         row[none] = _ZERO
         ids[k] = row
-    # a word's hash comes from the sum of its squared 4-grams
+    # a word's hash comes from the sum of its squared 3-grams
     if len(starts):
-        four[s1] = 0
-        square = four.astype(np.uint64)
+        three[s1] = 0
+        square = three.astype(np.uint64)
         square *= square
         lexicon = (mix(np.add.reduceat(square, starts)) >> np.uint64(48)).astype(np.int32) + int(_BASE[3])
     else:
@@ -89,20 +95,30 @@ def _emissions(weights: np.ndarray, ids, starts, lexicon) -> np.ndarray:
     return np.add.reduceat(scores, starts, axis=0) + weights[lexicon]
 
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: bool = False):
+def potentials(scores: np.ndarray) -> np.ndarray:
+    return np.exp(scores - scores.max(axis=1, keepdims=True)) + scores.dtype.type(1e-30)
+
+
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: bool = False, entry=None, after=None):
     """Posteriors [step, label, chain] of chains of emission scores in that
     layout, and with ``pairs`` also the summed posteriors of neighbouring
-    labels.  What lies beyond a chain's length has no meaning."""
+    labels.  What lies beyond a chain's length has no meaning.
+
+    ``entry`` [label, chain] has messages to a chain's first word, already
+    passed over a transition, ``after`` those to its last word from what
+    follows; without them a chain begins and ends there.
+    """
     steps, labels, chains = scores.shape
-    e = np.exp(scores - scores.max(axis=1, keepdims=True)) + scores.dtype.type(1e-30)
+    e = potentials(scores)
     step = np.exp(transitions).astype(scores.dtype)
     alpha = np.empty_like(e)
-    now = np.full((labels, chains), 1.0 / labels, scores.dtype)
+    now = np.full((labels, chains), 1.0 / labels, scores.dtype) if entry is None else entry
     for t in range(steps):
         now = (now if t == 0 else step.T @ now) * e[t]
         now /= now.sum(axis=0)
         alpha[t] = now
-    beta = np.ones((labels, chains), scores.dtype)
+    last = np.ones((labels, chains), scores.dtype) if after is None else after
+    beta = last.copy()
     counts = np.zeros((labels, labels))
     for t in range(steps - 1, -1, -1):
         onward = e[t] * beta
@@ -114,10 +130,66 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
         alpha[t] /= alpha[t].sum(axis=0)
         beta = step @ onward
         beta /= beta.sum(axis=0)
-        beta[:, lengths <= t] = 1.0
+        outside = lengths <= t
+        beta[:, outside] = last[:, outside]
     return (alpha, counts) if pairs else alpha
 
 
+def transfers(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """[chain, label before, label at its end]: what a chain makes of forward
+    messages, but for a factor."""
+    steps, labels, chains = scores.shape
+    e = potentials(scores).transpose(0, 2, 1)
+    step = np.exp(transitions).astype(scores.dtype)
+    out = step[None] * e[0][:, None, :]
+    for t in range(1, steps):
+        inside = lengths > t
+        more = (out[inside] @ step) * e[t][inside][:, None, :]
+        out[inside] = more / more.sum(axis=(1, 2), keepdims=True)
+    return out
+
+
+def messages(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``entry`` and ``after`` of every piece of longer chains.  ``place``
+    numbers a chain's pieces from 0; pieces of a chain are neighbours."""
+    labels, chains = scores.shape[1:]
+    step = np.exp(transitions).astype(scores.dtype)
+    entry, after = np.full((labels, chains), 1.0 / labels, scores.dtype), np.ones((labels, chains), scores.dtype)
+    inner = np.flatnonzero((place > 0) | np.append(place[1:] > 0, False))
+    if not len(inner):
+        return entry, after
+    moved = np.zeros((chains, labels, labels), scores.dtype)
+    moved[inner] = transfers(scores[:, :, inner], lengths[inner], transitions)
+    # the first piece of a chain isn't entered by a transition
+    heads = inner[place[inner] == 0]
+    now = forward_ends(scores[:, :, heads], lengths[heads], step)
+    state = np.zeros((labels, chains), scores.dtype)
+    state[:, heads] = now
+    order = inner[np.argsort(place[inner], kind="stable")]
+    cuts = np.searchsorted(place[order], np.arange(1, int(place.max()) + 2))
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        own = order[lo:hi]
+        entry[:, own] = step.T @ state[:, own - 1]
+        passed = np.einsum("ic,cij->jc", state[:, own - 1], moved[own])
+        state[:, own] = passed / passed.sum(axis=0)
+    for lo, hi in zip(cuts[:-1][::-1], cuts[1:][::-1]):
+        own = order[lo:hi]
+        back = np.einsum("cij,jc->ic", moved[own], after[:, own])
+        after[:, own - 1] = back / back.sum(axis=0)
+    return entry, after
+
+
+def forward_ends(scores: np.ndarray, lengths: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Forward messages at the ends of chains that begin there."""
+    e = potentials(scores)
+    now = e[0] / e[0].sum(axis=0)
+    for t in range(1, len(e)):
+        inside = lengths > t
+        more = (step.T @ now[:, inside]) * e[t][:, inside]
+        now[:, inside] = more / more.sum(axis=0)
+    return now
+
+
 def _chains(scores: np.ndarray, first: np.ndarray, length: int):
     """Cuts each document's words into chains: (padded scores, lengths,
     step and chain of each word)."""
@@ -145,10 +217,13 @@ class Model:
         """(posterior of each word, first word of each document)."""
         ids, starts, lexicon, first = word_features(data, offsets)
         scores = _emissions(self.weights, ids, starts, lexicon)
-        padded, lengths, place, row = _chains(scores, first, CHAIN)
+        padded, lengths, place, row = _chains(scores, first, PIECE)
         if not len(padded):
             return np.zeros((0, len(self.labels))), first
-        return forward_backward(padded, lengths, self.transitions)[place, :, row], first
+        pieces = -(-np.diff(first) // PIECE)
+        number = np.arange(len(lengths)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        entry, after = messages(padded, lengths, self.transitions, number)
+        return forward_backward(padded, lengths, self.transitions, entry=entry, after=after)[place, :, row], first
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Each document's share of every language; 0 without words."""
@@ -230,35 +305,46 @@ def fold(doc_id: str = "doc_id", folds: int = 4):
 
 def learn(docs: DataFrame, held_out: int = 2, folds: int = 4, documents: int = SAMPLE_DOCUMENTS) -> Model:
     """Fits a model on at most ``documents`` texts of each language, chosen
-    by a hash of the id over all documents outside the held-out fold."""
+    by a hash of id and text over all documents outside the held-out fold, and
+    on at most SAMPLE_WORDS words of each, a run of them from a hashed place.
+    Equal rows count once.  More than MOST_LANGUAGES languages are an error.
+    """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(fold("doc_id", folds), F.lit(-1)) != held_out))
-    # ids first: the ranking moves no text.  A language is ranked in parts,
+    labelled = labelled.select("lang", "text", F.xxhash64("doc_id", "lang", F.xxhash64("text")).alias("place"))
+    if labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    # places first: the ranking moves no text.  A language is ranked in parts,
     # of whose first ones the first are chosen.
-    chosen = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("place"))
+    chosen = labelled.select("lang", "place")
     for keys in (["lang", F.pmod("place", F.lit(64))], ["lang"]):
-        ranks = Window.partitionBy(*keys).orderBy("place", "doc_id")
-        chosen = chosen.withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= (documents if keys == ["lang"] else documents // 8)).drop("rank")
-    chosen = chosen.select("doc_id").distinct()
-    ids = [r[0] for r in chosen.collect()]  # bounded by documents x languages
-    if not ids:
+        ranks = Window.partitionBy(*keys).orderBy("place")
+        chosen = chosen.withColumn("rank", F.dense_rank().over(ranks)).where(F.col("rank") <= (documents if keys == ["lang"] else max(documents // 8, 1))).drop("rank").distinct()
+    places = [r[0] for r in chosen.select("place").collect()]  # bounded by documents x languages
+    if not places:
         return Model([], np.zeros((_ZERO + 1, 0), np.float32), np.zeros((0, 0)))
-    rows = labelled.where(F.col("doc_id").isin(ids)).select("text", "lang", "doc_id").collect()
-    rows = sorted({(r["doc_id"], r["text"], r["lang"]) for r in rows})[: 2 * len(ids)]
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    words = F.split(F.regexp_replace("text", r"^\s+|\s+$", ""), r"\s+")
+    rows = labelled.where(F.col("place").isin(places)).select("place", "lang", words.alias("words"))
+    begin = F.pmod(F.xxhash64(F.lit("begin"), "place"), F.greatest(F.size("words") - SAMPLE_WORDS, F.lit(0)) + 1).cast("int") + 1
+    rows = rows.select("place", "lang", F.array_join(F.slice("words", begin, SAMPLE_WORDS), " ").alias("text"))
+    rows = sorted(rows.groupBy("place").agg(F.first("lang").alias("lang"), F.first("text").alias("text")).collect())
+    return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
 def label_documents(docs: DataFrame, model: Model, least_score: float | None = None, columns: bool = True) -> DataFrame:
-    """Adds lang_pred and lang_score to every document.
+    """Adds lang_pred and lang_score to every document, in place of input
+    columns of these names.
 
     Nulls and texts without a letter give ``und`` with score 0; without a
-    learned language so does every text.  Only the text is looked at.  With
-    ``least_score`` documents that are ``und`` or below it are left out, and
-    no column is added.  With ``columns=False`` only doc_id is kept.
+    learned language so does every text.  Only the text is looked at, all of
+    it.  Repeated rows each get the label, ties go to the language first in
+    the alphabet, an empty table gives no rows.  With ``least_score``
+    documents that are ``und`` or below it are left out, and no column is
+    added or replaced.  With ``columns=False`` only doc_id is kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.transitions))
     bounded_batches(docs.sparkSession)
     source = docs if columns else docs.select("doc_id", "text")
-    keep = [c for c in source.columns if columns and c not in ("lang_pred", "lang_score")] or ["doc_id"]
+    keep = source.columns if least_score is not None else [c for c in source.columns if columns and c not in ("lang_pred", "lang_score")] or ["doc_id"]
     text_at = source.columns.index("text")
     picks = [source.columns.index(c) for c in keep]
 
@@ -294,7 +380,12 @@ def label_documents(docs: DataFrame, model: Model, least_score: float | None = N
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document."""
+    """doc_id, held_out, lang_pred and score of every document.
+
+    A null doc_id is in no fold.  Nulls, texts without letters, ties, repeated
+    rows, long texts, empty tables and other columns are as
+    ``label_documents`` and ``learn`` say.
+    """
     docs = table(spark, sf_dir, "documents")
     labelled = label_documents(docs, learn(docs), columns=False)
     return labelled.select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

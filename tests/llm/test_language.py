@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from faultline.llm.language import Model, forward_backward, label_documents, learn, op8_language, train
+from faultline.llm.language import PIECE, Model, _chains, forward_backward, label_documents, learn, messages, op8_language, train
 
 from .conftest import DOCUMENT
 
@@ -56,4 +56,74 @@ def test_without_labels_and_without_rows(spark):
     docs = spark.createDataFrame([(1, "hello there", None, "s", 0)], DOCUMENT)
     assert label_documents(docs, learn(docs)).first()["lang_pred"] == "und"
     assert label_documents(docs.limit(0), learn(docs)).count() == 0
-    assert label_documents(docs.withColumn("lang_pred", docs["text"]), Model([], np.zeros((1, 0)), np.zeros((0, 0))), least_score=0.1).columns == docs.columns
+    assert label_documents(docs.withColumn("lang_pred", docs["text"]), Model([], np.zeros((1, 0)), np.zeros((0, 0))), least_score=0.1).columns == [*docs.columns, "lang_pred"]
+
+
+def test_pieces_are_one_chain():
+    """Messages over pieces give what one pass over whole chains gives."""
+    rng = np.random.default_rng(2)
+    words = np.array([1, 40, 0, 300, 32, 64, 65])
+    first = np.cumsum([0, *words])
+    scores, steps = rng.normal(size=(first[-1], 3)) * 2, rng.normal(size=(3, 3))
+    whole, lengths, place, row = _chains(scores, first, 10**6)
+    want = forward_backward(whole, lengths, steps)[place, :, row]
+    cut, lengths, place, row = _chains(scores, first, PIECE)
+    pieces = -(-words // PIECE)
+    number = np.concatenate([np.arange(n) for n in pieces])
+    entry, after = messages(cut, lengths, steps, number)
+    got = forward_backward(cut, lengths, steps, entry=entry, after=after)[place, :, row]
+    assert np.allclose(got, want, atol=1e-9)
+
+
+def mixed(x):
+    mask = (1 << 64) - 1
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+    return x ^ (x >> 31)
+
+
+def plain_features(word):
+    """Feature numbers of a word, byte by byte."""
+    sizes, base = (1 << 15, 1 << 16, 1 << 16), (0, 1 << 15, (1 << 15) + (1 << 16))
+    padded, out, total = b" " + word + b" ", [], 0
+    for n, size, begin in zip((2, 3, 4), sizes, base):
+        for k in range(len(padded) - n + 1):
+            code = int.from_bytes(padded[k : k + n], "little")
+            out.append(begin + ((code * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - size.bit_length() + 1)))
+            total += code * code if n == 3 else 0
+    return out, (1 << 15) + (2 << 16) + (mixed(total & (1 << 64) - 1) >> 48)
+
+
+def test_query_equals_plain_inference(spark, tables):
+    """Emissions, messages, sums and labels again, word by word."""
+    langs = list(WORDS)
+    rows = [(k, sample(langs[k % 3], k, 5 + k % 90), langs[k % 3], "s", 0) for k in range(90)]
+    rows += [(200 + k, sample("aa", k, 40) + " \n" + sample("cc", k, 35) + " Über a I x1", None, "s", 0) for k in range(10)]
+    folder = tables(documents=([(*r, "bb") for r in rows], DOCUMENT + ", lang_pred string"))
+    model = learn(spark.read.parquet(f"{folder}/documents.parquet"))
+    step = np.exp(model.transitions)
+    got = {r["doc_id"]: r for r in op8_language(spark, folder).collect()}
+    for doc_id, text, *_ in rows:
+        e = []
+        for word in text.encode().lower().split():
+            grams, lexicon = plain_features(word)
+            e.append(np.exp(sum((model.weights[g].astype(float) for g in grams), model.weights[lexicon].astype(float))))
+        forward, backward = [e[0]], [np.ones(len(step))]
+        for x in e[1:]:
+            now = (forward[-1] @ step) * x
+            forward.append(now / now.sum())
+        for x in e[:0:-1]:
+            now = step @ (x * backward[-1])
+            backward.append(now / now.sum())
+        shares = sum(p / p.sum() for p in (f * b for f, b in zip(forward, backward[::-1]))) / len(e)
+        assert got[doc_id]["lang_pred"] == model.labels[int(shares.argmax())]
+        assert abs(got[doc_id]["score"] - shares.max()) < 1e-4
+
+
+def test_sample_is_bounded_and_never_empty(spark):
+    rows = [(k % 7, sample("aa", k % 11, 5000), "aa", "s", 0) for k in range(100)] + [(k, sample("bb", k), "bb", "s", 0) for k in range(50)]
+    docs = spark.createDataFrame(rows, DOCUMENT)
+    assert learn(docs, documents=4).labels == ["aa", "bb"]
+    assert learn(docs, documents=1).labels == ["aa", "bb"]
+    kept = label_documents(docs.withColumn("lang_pred", docs["text"]), learn(docs), least_score=0.1)
+    assert kept.where("lang_pred = text").count() == len(rows)
