@@ -63,7 +63,7 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     path = shared_folder(spark, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
     back._written_to = path
     return back
 
