@@ -1,16 +1,18 @@
 """Near-duplicate vectors by collision counting over sorted projections.
 
 Unit vectors of one label are projected onto many random directions.  Around
-each vector every projection has a window; a pair collides where one lies in
-the other's window, and pairs with enough collisions are verified exactly.
-The window and the count are calibrated: the difference of two projections is
-normal with a deviation of the vectors' distance, so collisions of a pair at
-the similarity bound are binomial and the count is the largest that keeps the
-asked recall.
-
-Vectors of a label are dealt by one more projection into blocks of like size.
-As that direction has length 1, a pair's projections differ by no more than its
-distance, so pairs of blocks farther apart than that are left out.
+each vector every sorted projection has a window, which is one run of it; a
+pair collides where one lies in the other's run, and pairs with enough
+collisions are verified exactly.  The window and the count are calibrated: the
+difference of two projections is normal with a deviation of the vectors'
+distance, so collisions of a pair at the similarity bound are binomial and the
+count is the largest that keeps the asked recall.  A pair that has missed more
+runs than that allows is dropped before the rest of them are looked at.
+
+Vectors of a label are dealt by one more projection into parts of like size,
+and large parts by hash into blocks.  As that direction has length 1, a pair's
+projections differ by no more than its distance, so pairs of parts farther
+apart than that are left out.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +31,11 @@ from faultline.llm.vectors import matrix, usable
 
 COSINE = 0.93
 PROJECTIONS, RECALL, SEED = 40, 0.99999, 11
-BLOCK = 1024
+#: vectors of a block; most parts of a label, beyond which parts are dealt
+#: into blocks by hash
+BLOCK, MOST_PARTS = 1024, 1000
+#: projections of which all pairs of a block are counted; rows at a time
+DENSE, ROWS = 20, 256
 
 
 def calibrate(cosine: float = COSINE, projections: int = PROJECTIONS, recall: float = RECALL) -> tuple[float, int]:
@@ -60,34 +67,51 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def collide(a: np.ndarray, b: np.ndarray, window: float, least: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of unit rows of a and b with enough collisions."""
-    dim = a.shape[1]
-    # one direction is left to the blocks; the scale makes steps of 1/1000
-    along = directions(dim, PROJECTIONS + 1, seed)[:, 1:]
-    scale = 1000 * math.sqrt(dim)
-    reach = np.int16(min(math.ceil(window * 1000) + 1, 32000))
-    pa_, pb = (np.clip(np.rint(x @ along * scale), -16000, 16000).astype(np.int16) for x in (a, b))
-    order = np.argsort(pb, axis=0)
-    counts = np.zeros((len(a), len(b)), np.uint8)
-    for k in range(along.shape[1]):
-        # the sorted projection gives each query's window as one run
-        line = pb[order[:, k], k].astype(np.int32)
-        lo = np.searchsorted(line, pa_[:, k].astype(np.int32) - reach, "left")
-        hi = np.searchsorted(line, pa_[:, k].astype(np.int32) + reach, "right")
-        rank = np.empty(len(b), np.int32)
-        rank[order[:, k]] = np.arange(len(b))
-        counts += (rank[None, :] >= lo[:, None]) & (rank[None, :] < hi[:, None])
-    return np.nonzero(counts >= least)
+def collide(a: np.ndarray, b: np.ndarray, window: float, least: int, seed: int = SEED, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of unit rows of a and b with enough collisions.
+
+    A query's run of a sorted projection is a range of places, so a pair
+    collides if b's place lies in a's range.  Places are counted over the
+    first ``dense`` projections for all pairs of ROWS rows at a time, then
+    over the others for the pairs that can still reach the count.
+    """
+    # one direction is left to the blocks
+    along = directions(a.shape[1], PROJECTIONS + 1, seed)[:, 1:]
+    reach = window / math.sqrt(a.shape[1]) + 1e-9
+    x, y = a @ along, b @ along
+    order = np.argsort(y, axis=0, kind="stable")
+    kind = np.uint16 if len(b) < 1 << 16 else np.uint32
+    place = np.empty((PROJECTIONS, len(b)), kind)
+    begin, width = (np.empty((PROJECTIONS, len(a)), kind) for _ in range(2))
+    for k in range(PROJECTIONS):
+        line = y[order[:, k], k]
+        place[k, order[:, k]] = np.arange(len(b))
+        begin[k] = np.searchsorted(line, x[:, k] - reach, "left")
+        width[k] = np.searchsorted(line, x[:, k] + reach, "right") - begin[k]
+    dense = min(dense, PROJECTIONS)
+    first, second = [], []
+    for lo in range(0, len(a), ROWS):
+        at, far = begin[:, lo : lo + ROWS, None], width[:, lo : lo + ROWS, None]
+        counts = np.zeros((at.shape[1], len(b)), np.uint8)
+        for k in range(dense):
+            counts += (place[k] - at[k]) < far[k]  # wraps around below the range
+        i, j = np.nonzero(counts >= max(least - (PROJECTIONS - dense), 0))
+        more = counts[i, j]
+        for k in range(dense, PROJECTIONS):
+            more = more + ((place[k, j] - begin[k, lo + i]) < width[k, lo + i])
+        i, j = i[more >= least], j[more >= least]
+        first.append(lo + i)
+        second.append(j)
+    return np.concatenate(first), np.concatenate(second)
 
 
 def _block_links(cosine: float):
     window, least = calibrate(cosine)
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(batches)).sort_by([("part", "ascending"), ("key", "ascending")])
+        got = pa.Table.from_batches(list(batches)).sort_by("key")
         first, second = key[2].as_py(), key[3].as_py()
-        part = got["part"].to_numpy()
+        part = got["block"].to_numpy()
         keys, times = got["key"].to_numpy(), got["times"].to_numpy()
         rows = unit(matrix(got["embedding"]))
         here, there = (np.flatnonzero(part == p) for p in (first, second))
@@ -144,11 +168,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     )
 
     def project(batches):
+        known: dict[int, np.ndarray] = {}
         for batch in batches:
-            along = []
-            for v in batch.column(batch.schema.get_field_index("embedding")).to_pylist():
-                v = np.array(v)
-                along.append(float(unit(v[None]).dot(directions(len(v), PROJECTIONS + 1)[:, 0])[0]))
+            column = batch.column(batch.schema.get_field_index("embedding"))
+            dims = pc.list_value_length(column).to_numpy()
+            along = np.empty(batch.num_rows)
+            for dim in np.unique(dims).tolist():
+                if dim not in known:
+                    known[dim] = directions(dim, PROJECTIONS + 1)[:, 0]
+                own = np.flatnonzero(dims == dim)
+                along[own] = unit(matrix(column.take(pa.array(own)))) @ known[dim]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(along)], [*batch.schema.names, "along"])
 
     label_type = classes.schema["label"].dataType.simpleString()
@@ -156,25 +185,29 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     classes = written(
         classes.mapInArrow(project, f"key long, label {label_type}, embedding array<double>, times long, vec_id long, dim int, along double"), "vector-classes"
     )
-    # cuts of a label's projections into blocks: one row a label
-    steps = [k / 1000 for k in range(1, 1000)]
+    # cuts of a label's projections into parts: one row a label
+    steps = [k / MOST_PARTS for k in range(1, MOST_PARTS)]
     cuts = classes.groupBy("label", "dim").agg(F.count("*").alias("size"), F.percentile_approx("along", steps, 20000).alias("points"))
-    # every k-th of the 999 points bounds a block, as its size asks
-    parts = F.least(F.lit(1000), F.ceil(F.col("size") / BLOCK)).cast("int")
+    # every k-th of the points bounds a part, as its size asks
+    parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col("size") / BLOCK)).cast("int")
+    inner = F.when(parts > 1, F.sequence(F.lit(1), parts - 1)).otherwise(F.array().cast("array<int>"))
     cuts = cuts.select(
-        "label", "dim", F.transform(F.when(parts > 1, F.sequence(F.lit(1), parts - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.col("points")[F.floor(i * 1000 / parts).cast("int") - 1]).alias("cuts")
+        "label", "dim", F.transform(inner, lambda i: F.col("points")[F.floor(i * MOST_PARTS / parts).cast("int") - 1]).alias("cuts"),
+        F.ceil(F.col("size") / (MOST_PARTS * BLOCK)).cast("int").alias("blocks"),
     )
     cuts = written(cuts, "cuts")
     placed = classes.join(cuts, ["label", "dim"]).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("along"))))
     reach = math.sqrt(2 * (1 - cosine)) + 1e-9
-    count = F.size("cuts")
-    # blocks at or above this row's whose lower bound is within reach, and
-    # blocks below it whose upper bound is
+    # parts at or above this row's whose lower bound is within reach, and
+    # parts below it whose upper bound is; of each all blocks
     others = F.filter(
-        F.sequence(F.lit(0), count),
+        F.sequence(F.lit(0), F.size("cuts")),
         lambda p: F.when(p > F.col("part"), F.col("cuts")[p - 1] <= F.col("along") + reach).when(p < F.col("part"), F.col("cuts")[p] >= F.col("along") - reach).otherwise(True),
     )
-    spread = placed.withColumn("other", F.explode(others)).select("label", "dim", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "key", "times", "embedding")
+    block = F.col("part").cast("long") * F.col("blocks") + F.pmod(F.xxhash64("key"), F.col("blocks"))
+    others = F.flatten(F.transform(others, lambda p: F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda s: p.cast("long") * F.col("blocks") + s)))
+    spread = placed.withColumn("block", block).withColumn("other", F.explode(others))
+    spread = spread.select("label", "dim", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "key", "times", "embedding")
     found = written(spread.groupBy("label", "dim", "p", "q").applyInArrow(_block_links(cosine), "key long, n long, other long"), "vector-links")
     counts = found.where("other is null").groupBy("key").agg(F.sum("n").alias("linked"))
     labels = connected_components(found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
@@ -187,6 +220,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 
 def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row of ``embeddings``:
+    links of equal labels at a cosine of COSINE or more.
+
+    Nulls, odd vectors, repeated rows, ties and other columns are as
+    ``near_vectors`` says; no rows give no rows.
+    """
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
