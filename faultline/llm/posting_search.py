@@ -9,24 +9,32 @@ is within a ratio of the nearest one's, and distances there are exact.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.shared import table, written
 from faultline.llm.vectors import matrix, usable
 
 NEIGHBOURS, QUERY_STEP = 10, 100
-#: rows that fit the centroids; rows of a list; most centroids
+#: rows that fit the centroids; rows of a list; most lists of one level, which
+#: bounds the graph.  A list of more than LONG times LIST_ROWS rows has lists of
+#: its own, fitted on SUB_SAMPLE of its rows
 SAMPLE, LIST_ROWS, MOST_LISTS = 20_000, 400, 2_000
+LONG, SUB_SAMPLE = 8, 4_000
 #: a row is replicated to centroids within this ratio of its nearest, at most
-#: so many; a query reads the lists within its ratio
+#: so many; a query reads the lists within its ratio, of those in its beam
 BOUNDARY, REPLICAS = 1.1, 4
-QUERY_RATIO = 1.12
+QUERY_RATIO, BEAM = 1.12, 128
 DEGREE = 16
-#: rows of a list that meet queries in one task
+#: rows that meet queries in one task
 PART = 20_000
+#: up to so many rows of a vector length are compared without an index
+FEW = 1_000
 
 
 def balanced_centroids(sample: np.ndarray, lists: int, seed: int = 3) -> np.ndarray:
@@ -65,8 +73,13 @@ class CentroidGraph:
         self.links = np.concatenate((near, ring), axis=1)
         self.entry = int(np.argmin(((centroids - centroids.mean(axis=0)) ** 2).sum(axis=1)))
 
-    def search(self, queries: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, distances) found nearest, nearest first; -1 fills."""
+    def search(self, queries: np.ndarray, width: int, ratio: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """(centroids, distances) found nearest, nearest first; -1 fills.
+
+        Best first: the nearest centroid of the beam that isn't expanded yet
+        is next, until the beam has none, or none within the ratio of the
+        nearest one found so far while an eighth of the beam is filled.
+        """
         n, q = len(self.centroids), len(queries)
         width = min(width, n)
         rows = np.arange(q)
@@ -76,14 +89,20 @@ class CentroidGraph:
         open_ = np.zeros((q, width), bool)
         ids[:, 0], open_[:, 0], seen[:, self.entry] = self.entry, True, True
         far[:, 0] = ((queries - self.centroids[self.entry]) ** 2).sum(axis=1)
-        while open_.any():
-            best = np.where(open_, far, np.inf).argmin(axis=1)
-            going = open_[rows, best]
+        while len(rows):
+            # the queries that go on
+            ahead = np.where(open_[rows], far[rows], np.inf)
+            best = ahead.argmin(axis=1)
+            near = ahead[np.arange(len(rows)), best]
+            on = np.isfinite(near) & ((near <= far[rows, 0] * ratio**2) | ~np.isfinite(far[rows, width // 8]))
+            rows, best = rows[on], best[on]
+            if not len(rows):
+                break
             open_[rows, best] = False
             reach = self.links[ids[rows, best]]
-            fresh = ~seen[rows[:, None], reach] & going[:, None]
-            seen[rows[:, None], reach] |= going[:, None]
-            gap = ((self.centroids[reach] - queries[:, None]) ** 2).sum(axis=2)
+            fresh = ~seen[rows[:, None], reach]
+            seen[rows[:, None], reach] = True
+            gap = ((self.centroids[reach] - queries[rows, None]) ** 2).sum(axis=2)
             gap[~fresh] = np.inf
             # a centroid may be linked twice: keep one of them
             order = np.argsort(reach, axis=1, kind="stable")
@@ -91,11 +110,11 @@ class CentroidGraph:
             twice = np.zeros_like(fresh)
             np.put_along_axis(twice, order[:, 1:], sorted_reach[:, 1:] == sorted_reach[:, :-1], 1)
             gap[twice] = np.inf
-            all_far = np.concatenate((far, gap), axis=1)
+            all_far = np.concatenate((far[rows], gap), axis=1)
             keep = np.argsort(all_far, axis=1, kind="stable")[:, :width]
-            far = np.take_along_axis(all_far, keep, 1)
-            ids = np.take_along_axis(np.concatenate((ids, reach), axis=1), keep, 1)
-            open_ = np.take_along_axis(np.concatenate((open_, np.isfinite(gap)), axis=1), keep, 1) & np.isfinite(far)
+            far[rows] = np.take_along_axis(all_far, keep, 1)
+            ids[rows] = np.take_along_axis(np.concatenate((ids[rows], reach), axis=1), keep, 1)
+            open_[rows] = np.take_along_axis(np.concatenate((open_[rows], np.isfinite(gap)), axis=1), keep, 1) & np.isfinite(far[rows])
         ids[~np.isfinite(far)] = -1
         return ids, np.sqrt(far)
 
@@ -106,40 +125,70 @@ def _chunks(batches, size: int):
             yield batch.slice(lo, size)
 
 
-def _assign(shared, replicas: int, ratio: float):
+def assign(graph: CentroidGraph, rows: np.ndarray, replicas: int = REPLICAS, ratio: float = BOUNDARY) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) of the lists each row goes to."""
+    found, far = graph.search(rows, max(4 * replicas, 16))
+    take = (found >= 0) & (far <= far[:, :1] * ratio + 1e-12)
+    take[:, replicas:] = False
+    # a further list is worth a replica only if its centroid isn't nearer to
+    # a list that the row is in already
+    for k in range(1, min(replicas, found.shape[1])):
+        c = graph.centroids[found[:, k]]
+        for j in range(k):
+            gap = np.sqrt(((c - graph.centroids[found[:, j]]) ** 2).sum(axis=1))
+            take[:, k] &= ~(take[:, j] & (gap < far[:, k] * 0.5))
+    row, col = np.nonzero(take)
+    return row, found[row, col]
+
+
+def probe(graph: CentroidGraph, rows: np.ndarray, sizes: np.ndarray, k: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) of the lists each query reads: those within the ratio, and
+    the nearest that hold enough rows."""
+    found, far = graph.search(rows, BEAM, ratio)
+    held = np.cumsum(np.where(found >= 0, sizes[found], 0), axis=1)
+    take = (found >= 0) & ((far <= far[:, :1] * ratio + 1e-12) | (held - sizes[found] < 20 * (k + 1)))
+    row, col = np.nonzero(take)
+    return row, found[row, col]
+
+
+def _listed(shared, choose, size: int):
+    """Rows with each list that ``choose`` gives them."""
+
     def run(batches):
         graph = CentroidGraph(shared.value)
-        for batch in _chunks(batches, 1024):
-            rows = matrix(batch.column(batch.schema.get_field_index("embedding")))
-            found, far = graph.search(rows, max(4 * replicas, 16))
-            take = (found >= 0) & (far <= far[:, :1] * ratio + 1e-12)
-            take[:, replicas:] = False
-            # a further list is worth a replica only if its centroid isn't
-            # nearer to a list that the row is in already
-            for k in range(1, min(replicas, found.shape[1])):
-                c = graph.centroids[found[:, k]]
-                for j in range(k):
-                    gap = np.sqrt(((c - graph.centroids[found[:, j]]) ** 2).sum(axis=1))
-                    take[:, k] &= ~(take[:, j] & (gap < far[:, k] * 0.5))
-            row, col = np.nonzero(take)
+        for batch in _chunks(batches, size):
+            row, lists = choose(graph, matrix(batch.column(batch.schema.get_field_index("embedding"))))
             picked = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(found[row, col].astype(np.int32))], [*picked.schema.names, "list"])
+            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(lists.astype(np.int32))], [*picked.schema.names, "list"])
 
     return run
 
 
-def _probe(shared, sizes: np.ndarray, k: int, ratio: float):
-    def run(batches):
-        graph = CentroidGraph(shared.value)
-        for batch in _chunks(batches, 256):
-            rows = matrix(batch.column(batch.schema.get_field_index("embedding")))
-            found, far = graph.search(rows, len(graph.centroids))
-            held = np.cumsum(np.where(found >= 0, sizes[found], 0), axis=1)
-            # lists within the ratio, and as many as hold enough rows
-            take = (found >= 0) & ((far <= far[:, :1] * ratio + 1e-12) | (held - sizes[found] < 20 * (k + 1)))
-            row, col = np.nonzero(take)
-            picked = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(found[row, col].astype(np.int32))], [*picked.schema.names, "list"])
+def _sub_centroids(dim: int, list_rows: int):
+    """Centroids of a long list from rows of it: one row a list."""
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches))
+        sample = matrix(got["embedding"])
+        lists = max(1, min(int(got["size"][0].as_py()) // list_rows, len(sample) // 10))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([balanced_centroids(sample, lists).tobytes()], pa.binary())], ["list", "centroids"])
+
+    return run
+
+
+def _sub_listed(choose, dim: int, schema: list[str]):
+    """Rows of a long list with each of its own lists that they go to."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return left.select(schema).slice(0, 0).append_column("sub", pa.array([], pa.int32()))
+        graph = CentroidGraph(np.frombuffer(right["centroids"][0].as_py(), np.float64).reshape(-1, dim))
+        out = []
+        for lo in range(0, left.num_rows, 512):
+            part = left.select(schema).slice(lo, 512)
+            row, lists = choose(graph, matrix(part["embedding"]))
+            out.append(part.take(pa.array(row)).append_column("sub", pa.array(lists.astype(np.int32))))
+        return pa.concat_tables(out)
 
     return run
 
@@ -181,45 +230,82 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, rati
     Score is the Euclidean distance in double precision; ties go to smaller
     ids.  Vectors that are null, empty or zero or hold null or non-finite
     components, and rows without an id, take no part.  Rows that repeat an id
-    count once.  Rows whose length isn't the most frequent one are compared
-    with each other by no query.  Fewer candidates give fewer ranks.
+    count once, with the smallest of their vectors.  Vectors of different
+    lengths are compared with their like.  Fewer candidates give fewer ranks,
+    an empty table none.  Other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable("embedding"))
-    dims = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
+    # an id counts once
+    unique = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
+    dims = {r["dim"]: r["count"] for r in unique.groupBy("dim").count().collect()}  # a row a length
     schema = "query_id long, rank int, vec_id long, score double"
     if not dims:
         return spark.createDataFrame([], schema)
-    total = dims[0]["count"]
-    rows = rows.where(F.size("embedding") == dims[0]["dim"])
-    # an id counts once, with the smallest of its vectors
-    unique = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    pair = "query_id long, vec_id long, score double"
+    few = [d for d, n in dims.items() if n <= FEW]
+    found = []
+    if few:  # each length is one group of at most FEW rows
+        own = unique.where(F.col("dim").isin(few))
+        asked = own.where(F.col("vec_id") % step == 0).withColumnRenamed("vec_id", "query_id")
+        found.append(asked.groupBy("dim").cogroup(own.groupBy("dim")).applyInArrow(_grouped(k), pair))
+    for dim, n in dims.items():
+        if n > FEW:
+            found.append(_search_indexed(unique.where(F.col("dim") == dim).drop("dim"), n, dim, k, step, ratio, list_rows))
+    found = reduce(DataFrame.unionByName, found)
+    ranks = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    best = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _search_indexed(unique: DataFrame, total: int, dim: int, k: int, step: int, ratio: float, list_rows: int) -> DataFrame:
+    """(query_id, vec_id, score) of candidates from the lists a query reads."""
+    spark = unique.sparkSession
     # of equal vectors only those that can be among the k nearest are indexed:
     # the smallest ids and, for a query of that vector, itself
     copies = Window.partitionBy("copy").orderBy("vec_id")
     index = unique.withColumn("copy", F.xxhash64("embedding")).withColumn("place", F.row_number().over(copies)).where(F.col("place") <= k + 1).drop("copy", "place")
     share = max(total // SAMPLE, 1)
-    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(share)) == 0).select("embedding").limit(2 * SAMPLE).toArrow()
-    if not sample.num_rows:
-        sample = rows.select("embedding").limit(SAMPLE).toArrow()
+    sample = unique.where(F.pmod(F.xxhash64("vec_id"), F.lit(share)) == 0).select("embedding").limit(2 * SAMPLE).toArrow()
     fitted = matrix(sample["embedding"])
     lists = int(min(max(total // list_rows, 1), MOST_LISTS, max(len(fitted) // 10, 1)))
     shared = spark.sparkContext.broadcast(balanced_centroids(fitted, lists))  # at most MOST_LISTS rows
-    held = written(index.mapInArrow(_assign(shared, REPLICAS, BOUNDARY), "vec_id long, embedding array<double>, list int"), "lists")
+    held = written(index.mapInArrow(_listed(shared, assign, 1024), "vec_id long, embedding array<double>, list int"), "lists")
     sizes = np.zeros(len(shared.value), np.int64)
     for r in held.groupBy("list").count().collect():  # one row a centroid
         sizes[r["list"]] = r["count"]
-    parts = F.lit([int(s) for s in -(-sizes // PART)] or [1])
     queries = unique.where(F.col("vec_id") % step == 0).select(F.col("vec_id").alias("query_id"), "embedding")
-    probes = queries.mapInArrow(_probe(shared, sizes, k, ratio), "query_id long, embedding array<double>, list int")
-    # long lists are dealt over several tasks, to which its queries go
-    of_list = F.greatest(F.lit(1), F.element_at(parts, F.col("list") + 1)).cast("int")
-    probes = probes.withColumn("part", F.explode(F.sequence(F.lit(0), of_list - 1)))
-    dealt = held.withColumn("part", F.pmod(F.xxhash64("vec_id"), of_list).cast("int"))
-    found = probes.groupBy("list", "part").cogroup(dealt.groupBy("list", "part")).applyInArrow(_grouped(k), "query_id long, vec_id long, score double")
-    ranks = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    best = found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    probes = queries.mapInArrow(_listed(shared, lambda graph, x: probe(graph, x, sizes, k, ratio), 256), "query_id long, embedding array<double>, list int")
+    size_of = F.greatest(F.element_at(F.lit([int(s) for s in sizes]), F.col("list") + 1), F.lit(1))
+    held, probes = (x.withColumn("sub", F.lit(0)) for x in (held, probes))
+    if (sizes > LONG * list_rows).any():
+        held, probes = _second_level(held, probes, size_of, dim, k, ratio, list_rows)
+    # a long list has SUB_SAMPLE / 10 lists at most; larger ones are dealt
+    # over several tasks, to which their queries go
+    slices = F.ceil(size_of / (PART * (SUB_SAMPLE // 10))).cast("int")
+    held = held.withColumn("slice", F.pmod(F.xxhash64("vec_id"), slices).cast("int"))
+    probes = probes.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1)))
+    cell = ["list", "sub", "slice"]
+    return probes.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInArrow(_grouped(k), "query_id long, vec_id long, score double")
+
+
+def _second_level(held: DataFrame, probes: DataFrame, size_of: Column, dim: int, k: int, ratio: float, list_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Lists of the long lists: rows go to them and queries read them as those
+    of the first level.  Centroids stay a table; a long list's rows and
+    queries meet them in parts of bounded size."""
+    long = size_of > LONG * list_rows
+    some = held.where(long & (F.pmod(F.xxhash64("vec_id", F.lit(1)), F.ceil(size_of / SUB_SAMPLE)) == 0)).withColumn("size", size_of.cast("long"))
+    fitted = written(some.groupBy("list").applyInArrow(_sub_centroids(dim, list_rows), "list int, centroids binary"), "sub-centroids")
+    out = []
+    choices = (assign, lambda graph, x: probe(graph, x, np.full(len(graph.centroids), list_rows), k, ratio))
+    for rows, name, choose in ((held, "vec_id", choices[0]), (probes, "query_id", choices[1])):
+        tasks = F.ceil(size_of / PART).cast("int")
+        far = rows.where(long).withColumn("slice", F.pmod(F.xxhash64(name), tasks).cast("int"))
+        near = fitted.withColumn("slice", F.explode(F.sequence(F.lit(0), tasks - 1)))
+        columns = [name, "embedding", "list"]
+        moved = far.groupBy("list", "slice").cogroup(near.groupBy("list", "slice")).applyInArrow(_sub_listed(choose, dim, columns), f"{name} long, embedding array<double>, list int, sub int")
+        out.append(rows.where(~long).unionByName(written(moved, "sub-lists")))
+    return out[0], out[1]
 
 
 def _grouped(k: int):
@@ -231,4 +317,10 @@ def _grouped(k: int):
 
 
 def op1_posting_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id and score of the NEIGHBOURS nearest rows found
+    in ``embeddings`` for every row whose vec_id is divisible by QUERY_STEP.
+
+    Nulls, odd vectors, repeated ids, ties, other lengths and other columns
+    are as ``search`` says; no rows give no rows.
+    """
     return search(table(spark, sf_dir, "embeddings"))

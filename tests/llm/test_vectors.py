@@ -1,6 +1,10 @@
 import duckdb
 import numpy as np
 
+import pytest
+
+from faultline.llm import near_vectors as near
+from faultline.llm import posting_search
 from faultline.llm.near_vectors import OP10_SQL, calibrate, collide, op10_near_vectors, unit
 from faultline.llm.posting_search import CentroidGraph, balanced_centroids, op1_posting_search, search
 
@@ -44,31 +48,86 @@ def test_collisions_keep_pairs_at_the_bound():
         i, j = collide(a[lo : lo + 500], b[lo : lo + 500], window, least)
         kept += int((i == j).sum())
     assert kept >= 2998
-    i, _ = collide(a[:500], a[500:1000], window, least)
+    i, j = collide(a[:500], a[500:1000], window, least)
     assert len(i) < 0.02 * 500 * 500
+    # dropping pairs early changes nothing
+    whole = collide(a[:500], a[500:1000], window, least, dense=near.PROJECTIONS)
+    assert set(zip(i, j)) == set(zip(*whole))
+    # counts equal those of a plain sweep
+    along = near.directions(64, near.PROJECTIONS + 1)[:, 1:]
+    apart = np.abs((a[:60] @ along)[:, None] - (a[500:560] @ along)[None]) <= window / 8 + 1e-9
+    assert set(zip(*collide(a[:60], a[500:560], window, least))) == set(zip(*np.nonzero(apart.sum(axis=2) >= least)))
+
+
+def test_parts_beyond_the_most_are_dealt_into_blocks(spark, tables, monkeypatch):
+    monkeypatch.setattr(near, "MOST_PARTS", 3)
+    monkeypatch.setattr(near, "BLOCK", 16)
+    rows = [(*r, r[0], "x") for r in groups(2) + odd() + [(None, [1.0] * 16, 1), (5, [3.0] * 4, 1)]]
+    folder = tables(embeddings=(rows, ROWS + ", key long, times string"))
+    got = sorted(map(tuple, op10_near_vectors(spark, folder).where("vec_id is not null and vec_id <> 5").select("vec_id", "n_links", "component_id", "kept").collect()))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{folder}/embeddings.parquet/*.parquet' where vec_id is not null and not (vec_id = 5 and len(embedding) = 4)")
+    want = [r for r in sorted(con.sql(OP10_SQL).fetchall()) if r[0] != 5]
+    assert [(r[0], r[2], r[3]) for r in got] == [(r[0], r[2], r[3]) for r in want]
+
+
+def exact(rows, k=10, step=100):
+    """Neighbours of every query by brute force: {query: [(vec_id, score)]}."""
+    best = {}
+    for i, x, *_ in rows:
+        best[i] = min(best.get(i, x), x)
+    out = {}
+    for d in {len(x) for x in best.values()}:
+        ids = np.array([i for i, x in best.items() if len(x) == d])
+        x = np.array([best[i] for i in ids], np.float64)
+        for q in np.flatnonzero(ids % step == 0):
+            far = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+            far[q] = np.inf
+            order = [j for j in np.lexsort((ids, far))[:k] if j != q]
+            out[int(ids[q])] = [(int(ids[j]), float(far[j])) for j in order]
+    return out
+
+
+def held_to(got, rows):
+    """Recall of rows found, whose ranks and scores must be right."""
+    best = {i: None for i, *_ in rows}
+    for i, x, *_ in rows:
+        best[i] = x if best[i] is None else min(best[i], x)
+    want, found = exact(rows), {}
+    for r in got:
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(found) == set(want)
+    hit = n = 0
+    for q, right in want.items():
+        own = sorted(found[q])
+        assert [r for r, *_ in own] == list(range(1, len(right) + 1))
+        assert [(s, v) for _, v, s in own] == sorted((s, v) for _, v, s in own)
+        assert all(abs(np.linalg.norm(np.array(best[v], float) - np.array(best[q], float)) - s) < 1e-9 for _, v, s in own)
+        hit, n = hit + len({v for v, _ in right} & {v for _, v, _ in own}), n + len(right)
+    return hit / n
 
 
 def test_search_recall_and_odd_rows(spark, tables):
     rng = np.random.default_rng(5)
     rows = [(k, rng.normal(size=16).astype(np.float32).tolist(), 0) for k in range(4000)] + [(5000 + k, [0.5] * 16, 0) for k in range(300)]
-    got = op1_posting_search(spark, tables(embeddings=(rows + odd(), ROWS))).collect()
-    ids, x = np.array([r[0] for r in rows] + [9007]), np.array([r[1] for r in rows] + [[1.0] * 16], np.float64)
-    hit = n = 0
-    by = {}
-    for r in got:
-        by.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    for q in ids[ids % 100 == 0].tolist():
-        i = int(np.flatnonzero(ids == q)[0])
-        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
-        d[i] = np.inf
-        best = ids[np.lexsort((ids, d))[:10]].tolist()
-        found = sorted(by[q])
-        assert [r for r, _, _ in found] == list(range(1, 11))
-        assert all(abs(d[ids == v][0] - s) < 1e-12 for _, v, s in found)
-        hit, n = hit + len(set(best) & {v for _, v, _ in found}), n + 10
-        if q >= 5000:
-            assert [v for _, v, _ in found] == [v for v in range(5000, 5012) if v != q][:10]
-    assert hit / n >= 0.9
+    # repeated ids with other vectors, and vectors of other lengths
+    rows += [(k, rng.normal(size=16).astype(np.float32).tolist(), 0) for k in range(0, 400, 20)] + [(7000 + k, rng.normal(size=5).astype(np.float32).tolist(), 0) for k in range(300)]
+    rows += [(8000 + k, rng.normal(size=7).astype(np.float32).tolist(), 0) for k in range(1200)] + [(9400, [1.0], 0)]
+    got = op1_posting_search(spark, tables(embeddings=([(*r, 1, 0.5) for r in rows + odd()], ROWS + ", dim int, score double"))).collect()
+    assert 9400 not in {r["query_id"] for r in got}  # it has nothing to be compared with
+    assert held_to(got, [r for r in rows if r[0] != 9400] + [(9007, [1.0] * 16, None)]) >= 0.9
+
+
+@pytest.mark.parametrize("most", [2000, 12])
+def test_recall_over_many_lists(spark, monkeypatch, most):
+    """Some 300 lists of one level, and 12 with lists of their own."""
+    monkeypatch.setattr(posting_search, "MOST_LISTS", most)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(500, 64))
+    x = (centres[rng.integers(0, 500, 12000)] + rng.normal(size=(12000, 64)) * 0.6).astype(np.float32)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert held_to(search(df, list_rows=40).collect(), rows) >= 0.9
 
 
 def test_few_rows_give_few_ranks(spark):
