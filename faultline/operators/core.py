@@ -51,7 +51,8 @@ def dedupe_events(events: DataFrame, order: list[Column | str]) -> DataFrame:
 
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """K3: rows of the union with the latest version of each key."""
+    """K3: rows of the union with the latest version of each key.  ``version``
+    has to tell rows of a key apart for the result to be one and the same."""
     both = current.unionByName(incoming, allowMissingColumns=True)
     return first_wins(both, keys, [F.desc(version)])
 

@@ -65,10 +65,11 @@ def code_counts(events: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def candidate_shares(counts: DataFrame, keys: list[str], k: int = 8) -> DataFrame:
-    """(keys, code, score): a code's share plus 0.4, 0.95 at most."""
+    """(keys, code, score): a code's share plus 0.4, 0.95 at most, to two
+    digits of the binary value (``round`` would take its decimal spelling)."""
     total = F.sum("n").over(Window.partitionBy(*keys))
     w = Window.partitionBy(*keys).orderBy(F.desc("n"), "code")
-    scored = counts.withColumn("score", F.round(F.least(F.lit(0.95), F.col("n") / F.greatest(total, F.lit(1)) + 0.4), 2))
+    scored = counts.withColumn("score", F.floor(F.least(F.lit(0.95), F.col("n") / F.greatest(total, F.lit(1)) + 0.4) * 100 + 0.5) / 100)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, "code", "n", "score")
 
 

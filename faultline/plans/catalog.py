@@ -97,10 +97,10 @@ def run_numbering(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM lineitem
-QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC) = 1""")
+QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_quantity DESC) = 1""")
 def upsert_latest_wins(spark, sf_dir):
-    """K3: the latest line of each order."""
-    rows = table(spark, sf_dir, "lineitem").withColumn("version", F.struct("l_shipdate", "l_linenumber"))
+    """K3: the latest line of each order; of equal ones the largest."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("version", F.struct("l_shipdate", "l_linenumber", "l_quantity"))
     return core.upsert(rows.limit(0), rows, ["l_orderkey"], "version").select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
 
 

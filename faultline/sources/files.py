@@ -48,11 +48,13 @@ def archive_kind(name: str) -> str | None:
     return None
 
 
-def members(name: str, content: bytes, limits: Limits) -> Iterator[tuple[str, bytes | None, str | None]]:
+def members(name: str, content: bytes, limits: Limits) -> Iterator[tuple[str | None, bytes | None, str | None]]:
     """(path, bytes, reason) of an archive's regular files; with a reason the
-    bytes are missing."""
+    bytes are missing, and no path means the archive itself."""
+    import lzma
     import tarfile
     import zipfile
+    import zlib
 
     kind = archive_kind(name)
 
@@ -97,32 +99,36 @@ def members(name: str, content: bytes, limits: Limits) -> Iterator[tuple[str, by
                             yield path, None, "file_too_large_after_read"
                         else:
                             yield path, data, None
-    except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError) as error:
-        yield name, None, f"archive_open_failed:{type(error).__name__}"
+    except (zipfile.BadZipFile, tarfile.TarError, lzma.LZMAError, zlib.error, OSError, EOFError, RuntimeError) as error:
+        yield None, None, f"archive_open_failed:{type(error).__name__}"
 
 
 def leaves(name: str, content: bytes, limits: Limits) -> Iterator[tuple[str, bytes | None, str | None]]:
-    """Files of nested archives, breadth first, within limits of depth and
-    number.  A path names the archives it lies in."""
+    """Files of nested archives within limits of depth and number, archives
+    breadth first.  A path names the archives it lies in.  What is held are
+    archives that wait for their turn and the member at hand."""
+    if not archive_kind(name):
+        yield name, content, None
+        return
     queue, opened, seen = deque([(name, content, 0)]), 0, set()
+    del content
     while queue:
         path, data, depth = queue.popleft()
-        if not archive_kind(path):
-            if path not in seen:
-                seen.add(path)
-                yield path, data, None
-        elif depth >= limits.depth:
+        if depth >= limits.depth:
             yield path, None, "max_nesting_depth"
         elif opened >= limits.nested:
             yield path, None, "max_nested_archive_expansions"
         else:
             opened += 1
             for child, inner, reason in members(path, data, limits):
-                full = f"{path}!/{child}"
+                full = f"{path}!/{child}" if child is not None else path
                 if reason:
                     yield full, None, reason
-                else:
+                elif archive_kind(full):
                     queue.append((full, inner, depth + 1))
+                elif full not in seen:
+                    seen.add(full)
+                    yield full, inner, None
 
 
 def read_bundles(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
