@@ -522,7 +522,7 @@ def parse_trace(lines: DataFrame) -> DataFrame:
 
 def highlighted_frames(stack: Column) -> Column:
     """Frames that name a telling component."""
-    return F.transform(F.filter(F.split(stack, "\n"), lambda x: reduce(lambda a, b: a | b, [F.lower(x).contains(h) for h in STACK_HIGHLIGHTS])), F.trim)
+    return F.transform(F.filter(F.split(stack, "\n"), lambda x: reduce(lambda a, b: a | b, [F.lower(x).contains(h) for h in STACK_HIGHLIGHTS])), lambda x: F.trim(x))
 
 
 def parse_security(lines: DataFrame) -> DataFrame:

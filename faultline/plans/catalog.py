@@ -873,11 +873,18 @@ def incident_reports(spark, sf_dir):
     return diagnose(files.withColumn("path", F.concat(F.lit("host"), "incident")))["report"].drop("matched", "layers", "oras")
 
 
+def _all() -> None:
+    """The other modules of the catalogue register their queries here."""
+    from faultline.plans import log_catalog  # noqa: F401
+
+
 def queries():
+    _all()
     return dict(QUERIES)
 
 
 def oracle_sql():
+    _all()
     return dict(SQL)
 
 
