@@ -223,3 +223,19 @@ def manual_messages(lines: DataFrame, clip: int = 320) -> DataFrame:
 def load_seeds(spark: SparkSession, path: str, stored: DataFrame) -> DataFrame:
     """Seed chunks of JSON lines whose ids aren't stored yet."""
     return spark.read.json(path).dropDuplicates(["chunk_id"]).join(stored.select("chunk_id"), "chunk_id", "left_anti")
+
+
+def write_whole(uri: str, payload: bytes) -> None:
+    """Writes a file under another name first, then renames it: a repeated
+    task leaves one whole file."""
+    import uuid
+
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    folder, _, name = path.rpartition("/")
+    store.create_dir(folder, recursive=True)
+    part = f"{folder}/.{name}.{uuid.uuid4().hex[:8]}"
+    with store.open_output_stream(part, compression=None) as out:
+        out.write(payload)
+    store.move(part, path)
