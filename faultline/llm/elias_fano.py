@@ -12,23 +12,24 @@ import numpy as np
 _ONE = np.uint64(1)
 
 
+_EACH, _HIGH = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+#: place of the k-th set bit of a byte
+_IN_BYTE = np.array([[([i for i in range(8) if byte >> i & 1] + [0] * 8)[k] for k in range(8)] for byte in range(256)], np.uint8)
+
+
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray, zeros: bool) -> np.ndarray:
     """Positions of the k-th (from 0) set or unset bits; ``before`` counts
-    such bits ahead of every word."""
-    at = np.searchsorted(before, k, "right") - 1
-    word = words[at]
-    if zeros:
-        word = ~word
-    rest = (k - before[at]).astype(np.int64)
-    place = np.zeros(len(k), np.int64)
-    for step in (32, 16, 8, 4, 2, 1):
-        mask = np.uint64((1 << step) - 1)
-        count = np.bitwise_count(word & mask).astype(np.int64)
-        skip = rest >= count
-        rest -= np.where(skip, count, 0)
-        place += np.where(skip, step, 0)
-        word = np.where(skip, word >> np.uint64(step), word)
-    return at * 64 + place
+    such bits ahead of every word.  Within a word one multiplication sums the
+    bits up to each byte, and a comparison of all of them finds the byte."""
+    at = np.searchsorted(before, k.astype(before.dtype), "right") - 1
+    word = ~words[at] if zeros else words[at]
+    rest = k.astype(np.uint64) - before[at].astype(np.uint64)
+    sums = word - ((word >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    sums = (sums & np.uint64(0x3333333333333333)) + ((sums >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    sums = ((sums + (sums >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _EACH
+    byte = np.bitwise_count((rest * _EACH | _HIGH) - sums & _HIGH).astype(np.uint64) << np.uint64(3)
+    rest -= ((sums << np.uint64(8)) >> byte) & np.uint64(255)
+    return at * 64 + byte.astype(np.int64) + _IN_BYTE[((word >> byte) & np.uint64(255)).astype(np.intp), rest.astype(np.intp)]
 
 
 class EliasFano:
@@ -79,7 +80,7 @@ class EliasFano:
         """Values at positions i."""
         i = np.asarray(i, np.int64)
         if self._ones_before is None:
-            self._ones_before = np.arange(len(self.high), dtype=np.int64) * 64 - self.zeros_before
+            self._ones_before = (np.arange(len(self.high), dtype=np.int64) * 64 - self.zeros_before).astype(self.zeros_before.dtype)
         high = _select(self.high, self._ones_before, i, False) - i
         return (high.astype(np.uint64) << np.uint64(self.low_bits)) | self._low(i)
 
@@ -108,6 +109,11 @@ class EliasFano:
     def find(self, q: np.ndarray) -> np.ndarray:
         """Positions of the values q, -1 for those that aren't there."""
         q = np.asarray(q, np.uint64)
+        if len(q) > 1 and (q[1:] < q[:-1]).any():  # neighbours are found near each other
+            order = np.argsort(q)
+            out = np.empty(len(q), np.int64)
+            out[order] = self.find(q[order])
+            return out
         at = self.lower_bound(q)
         out = np.full(len(q), -1, np.int64)
         near = np.flatnonzero(at < self.n)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.llm.elias_fano import EliasFano
-from faultline.llm.shared import bounded_batches, filesystem, release, shared_folder, slices, table, text_buffer, write_file
+from faultline.llm.shared import bounded_batches, filesystem, release, remove_folder, shared_folder, slices, table, text_buffer, write_file
 from faultline.llm.words import mix, word_hashes
 
 FOLDS, HELD_OUT = 5, 1
@@ -84,7 +84,8 @@ def load(uri: str) -> list[np.ndarray]:
 
 def by_part(parts: np.ndarray):
     """(part, positions) for each part that occurs."""
-    order = np.argsort(parts, kind="stable")
+    small = len(parts) and int(parts.max()) < 1 << 16  # numbers of 16 bits are sorted by radix
+    order = np.argsort(parts.astype(np.uint16) if small else parts, kind="stable")
     found, first = np.unique(parts[order], return_index=True)
     yield from zip(found.tolist(), np.split(order, first[1:]))
 
@@ -150,7 +151,7 @@ class Trie:
         return part + np.where(hot, spread, 0)
 
     def pair_file(self, p: int):
-        """(successors, pointers, counts, log probabilities, back-offs)"""
+        """(successors, pointers, log probabilities, back-offs)"""
         key = f"pairs/{p}#"
         if key not in self.files:
             a = self.file(f"pairs/{p}")
@@ -182,6 +183,13 @@ class Trie:
             out[rows] = self.pair_file(p)[column][index[rows] - self.pair_starts[p]]
         return out
 
+    def pair_counts(self, index: np.ndarray) -> np.ndarray:
+        """Training counts of pairs, while the model is built."""
+        out = np.zeros(len(index), np.uint32)
+        for p, rows in by_part(np.searchsorted(self.pair_starts, index, "right") - 1):
+            out[rows] = self.file(f"pair-counts/{p}")[0][index[rows] - self.pair_starts[p]]
+        return out
+
     # level 3 ---------------------------------------------------------------
 
     def triple_part(self, pair: np.ndarray) -> np.ndarray:
@@ -258,21 +266,46 @@ def _tally(parts: np.ndarray, codes: np.ndarray):
         yield p, found, times.astype(np.uint32)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, without planes of zeros, compressed."""
+    values = values.astype(np.uint64)
+    planes = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :planes].T).tobytes()
+    return np.array([len(values), planes], "<u8").tobytes() + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n, planes = np.frombuffer(data, "<u8", 2).tolist()
+    out = np.zeros((n, 8), np.uint8)
+    if n and planes:
+        raw = pa.decompress(data[16:], n * planes, "zstd", asbytes=True)
+        out[:, :planes] = np.frombuffer(raw, np.uint8).reshape(planes, n).T
+    return out.view(np.uint64).ravel()
+
+
 class Gathered:
-    """Codes and counts of a task by part, merged when they are many."""
+    """Codes and counts of a task by part.  A part's slices are merged when
+    they have twice as many codes as after they were merged last; what is sent
+    are steps between ascending codes, and counts less one."""
 
     def __init__(self):
         self.held: dict[int, list] = {}
         self.size: dict[int, int] = {}
+        self.least: dict[int, int] = {}
 
     def add(self, part: int, codes: np.ndarray, counts: np.ndarray) -> None:
-        self.held.setdefault(part, []).append((codes, counts))
+        held = self.held.setdefault(part, [])
+        held.append((codes, counts))
         self.size[part] = self.size.get(part, 0) + len(codes)
+        if self.size[part] > max(2 * self.least.get(part, 0), 1 << 16):
+            self.held[part] = [merged(held)]
+            self.size[part] = self.least[part] = len(self.held[part][0][0])
 
     def rows(self):
-        for part, held in self.held.items():
-            codes, counts = merged(held)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([codes.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["part", "codes", "counts"])
+        for part in list(self.held):
+            codes, counts = merged(self.held.pop(part))
+            steps = np.diff(codes, prepend=np.uint64(0))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed(steps)], pa.binary()), pa.array([packed(counts - np.uint32(1))], pa.binary())], ["part", "codes", "counts"])
 
 
 def merged(held) -> tuple[np.ndarray, np.ndarray]:
@@ -289,7 +322,7 @@ def merged(held) -> tuple[np.ndarray, np.ndarray]:
 
 def of_batches(batches) -> tuple[np.ndarray, np.ndarray]:
     held = [
-        (np.frombuffer(c, np.uint64), np.frombuffer(n, np.uint32))
+        (np.cumsum(unpacked(c), dtype=np.uint64), (unpacked(n) + np.uint64(1)).astype(np.uint32))
         for b in batches
         for c, n in zip(b.column("codes").to_pylist(), b.column("counts").to_pylist())
     ]
@@ -414,11 +447,13 @@ def fit(docs: DataFrame, held_out: int = HELD_OUT, folds: int = FOLDS, parts: in
                 contexts, begin = np.unique(a, return_index=True)
                 backoff = np.zeros(nodes)
                 backoff[contexts - base] = np.log10(np.maximum(weight[begin], 1e-9))
-                save(f"{folder}/pairs/{p}", [*EliasFano.build(successors).parts(), *EliasFano.build(pointers).parts(), np.array(counts), quantise(np.log10(probability)), quantise(backoff)])
+                save(f"{folder}/pairs/{p}", [*EliasFano.build(successors).parts(), *EliasFano.build(pointers).parts(), quantise(np.log10(probability)), quantise(backoff)])
+                save(f"{folder}/pair-counts/{p}", [np.array(counts)])
                 yield _one_row(part=p)
 
     every = spark.createDataFrame([(int(p),) for p in np.flatnonzero(sizes)], "part int").repartition(min(int((sizes > 0).sum()), 1 << bits))
     every.mapInArrow(pair_level, "part int").count()
+    remove_folder(spark, f"{folder}/raw")
 
     def triple_counts(batches):
         trie, kept = opened(folder, bits, info, "pairs"), Gathered()
@@ -440,7 +475,7 @@ def fit(docs: DataFrame, held_out: int = HELD_OUT, folds: int = FOLDS, parts: in
         if len(codes):
             stride = np.uint64(info["stride"])
             pair, place = (codes // stride).astype(np.int64), (codes % stride).astype(np.int64)
-            of_pair = trie.of_pairs(pair, 2, np.uint32(0)).astype(np.float64)
+            of_pair = trie.pair_counts(pair).astype(np.float64)
             contexts, begin = np.unique(pair, return_index=True)
             sums = np.add.reduceat(counts - DISCOUNT, begin)
             weight = np.maximum(1 - sums / of_pair[begin], 1e-9)
@@ -455,6 +490,7 @@ def fit(docs: DataFrame, held_out: int = HELD_OUT, folds: int = FOLDS, parts: in
 
     made = training.mapInArrow(triple_counts, _TALLY).groupBy("part").applyInArrow(triple_level, "part int, n long").collect()
     info["triple_files"] = sorted(r["part"] for r in made if r["n"])
+    remove_folder(spark, f"{folder}/pair-counts")
     return folder, bits, info
 
 
@@ -479,7 +515,7 @@ def second_pair_steps(trie: Trie, pair: np.ndarray, place: np.ndarray) -> np.nda
     part = (np.searchsorted(trie.starts, second, "right") - 1) * 8 + place % 8
     out = np.zeros(len(pair), np.uint16)
     for p, rows in by_part(part):
-        pointers, steps = trie.pair_file(p)[1], trie.pair_file(p)[3]
+        pointers, steps = trie.pair_file(p)[1:3]
         begin = pointers.access(second[rows] - trie.starts[p // 8]).astype(np.int64)
         out[rows] = steps[begin + place[rows] // 8]
     return out
@@ -513,7 +549,7 @@ def log_probabilities(trie: Trie, hashes: np.ndarray, first: np.ndarray) -> tupl
     out[known] += word_backoffs(trie, distinct)[back]
     hit = np.flatnonzero(pair >= 0)
     if len(hit):
-        out[hit] = restore(trie.of_pairs(pair[hit], 3, np.uint16(0)))
+        out[hit] = restore(trie.of_pairs(pair[hit], 2, np.uint16(0)))
     context = previous(pair, first, -1)
     known = np.flatnonzero(context >= 0)
     if len(known) and trie.info["triple_files"]:
@@ -533,7 +569,7 @@ def word_backoffs(trie: Trie, ids: np.ndarray) -> np.ndarray:
     hot = trie.info["hot"]
     for p, rows in by_part(np.searchsorted(trie.starts, ids, "right") - 1):
         if trie.pair_starts[8 * p] < trie.pair_starts[8 * p + 1]:
-            out[rows] = restore(trie.pair_file(8 * p)[4][ids[rows] - trie.starts[p]])
+            out[rows] = restore(trie.pair_file(8 * p)[3][ids[rows] - trie.starts[p]])
     for i in np.flatnonzero(np.isin(ids, np.fromiter(hot, np.int64, len(hot)))).tolist() if hot else ():
         total = trie.of_ids(ids[i : i + 1], "words", 1, np.uint32(0))[0]
         out[i] = math.log10(max(1 - hot[int(ids[i])] / int(total), 1e-9))

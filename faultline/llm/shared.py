@@ -74,9 +74,13 @@ def discard(*tables: DataFrame | None) -> None:
     for df in tables:
         path = getattr(df, "_written_to", None)
         if path:
-            context = df.sparkSession.sparkContext
-            where = context._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+            remove_folder(df.sparkSession, path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def filesystem(uri: str):

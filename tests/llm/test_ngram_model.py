@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from faultline.llm.elias_fano import EliasFano
-from faultline.llm.ngram_model import DISCOUNT, op6_ngram_scores
+from faultline.llm.ngram_model import DISCOUNT, Gathered, merged, of_batches, op6_ngram_scores, packed, unpacked
 
 from .conftest import DOCUMENT
 
@@ -45,7 +45,7 @@ def model(rows):
     once, twice = sum(x == 1 for x in c1.values()), sum(x == 2 for x in c1.values())
     d1 = min(max(once / max(once + 2 * twice, 1), 0.1), 0.95)
     s2, s3 = collections.Counter(), collections.Counter()
-    k2, k3 = {p: c for p, c in c2.items() if c >= 2}, {p: c for p, c in c3.items() if c >= 2}
+    k2, k3 = dict(c2), dict(c3)  # pairs and triples seen once count
     for (a, _), c in k2.items():
         s2[a] += c - DISCOUNT
     for (a, b, _), c in k3.items():
@@ -125,3 +125,22 @@ def test_pairs_and_triples_seen_once_count(spark, tables):
         s = ["", *rows[r["doc_id"]], ""]
         want = math.log10(p2(*s[:2])) + sum(math.log10(p3(*x)) for x in zip(s, s[1:], s[2:]))
         assert r["held_out"] == (r["doc_id"] in held) and abs(r["score"] - want) < 5e-4 * r["n_tokens"]
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.integers(0, 2**64 - 1), max_size=200))
+def test_packed_numbers(values):
+    values = np.array(values, np.uint64)
+    assert (unpacked(packed(values)) == values).all()
+
+
+def test_gathered_counts():
+    rng = np.random.default_rng(4)
+    kept, want = Gathered(), collections.Counter()
+    for _ in range(40):
+        codes, counts = np.unique(rng.integers(0, 2**40, 9000) % 5000, return_counts=True)
+        kept.add(7, codes.astype(np.uint64), counts.astype(np.uint32))
+        want.update(dict(zip(codes.tolist(), counts.tolist())))
+    codes, counts = of_batches(list(kept.rows()))
+    assert dict(zip(codes.tolist(), counts.tolist())) == want and (np.diff(codes.astype(np.int64)) > 0).all()
+    assert merged([(codes, counts)])[0] is codes
