@@ -45,7 +45,7 @@ SKETCH_BITS, MOST_SKETCH_BITS, SKETCH_ROWS, RANGE_BITS = 20, 24, 1 << 20, 14
 FILTER_WORDS = 1 << 17
 #: members and shingles of a block; larger ones are split by hash around
 #: common pivots
-BLOCK, BLOCK_SHINGLES, PIVOTS = 4096, 1 << 20, 16
+BLOCK, BLOCK_SHINGLES, PIVOTS = 1024, 1 << 20, 16
 #: up to so many members a list is short
 SHORT = 64
 #: shingles that the sketch counts as often as this, and as 8 counters on
