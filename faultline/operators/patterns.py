@@ -163,15 +163,15 @@ def root_chain(codes: DataFrame, matched: DataFrame, edges: DataFrame, levels: i
 
 def reachable(edges: DataFrame, start: DataFrame, hops: int, kind: str | None = None) -> DataFrame:
     """Multi-hop drill-down: (id, reached, hops), the fewest hops to each node.
-    One join a hop; every hop keeps new pairs only."""
+    One join a hop; every hop goes on from the distinct nodes of the one
+    before, whose exchange both the next hop and the result read."""
     step = (edges if kind is None else edges.where(F.col("type") == kind)).select(F.col("source").alias("_s"), F.col("target").alias("_t")).distinct()
     frontier = start.select("id", F.col("id").alias("reached")).distinct()
-    out = frontier.withColumn("hops", F.lit(0))
+    every = [frontier.withColumn("hops", F.lit(0))]
     for k in range(1, hops + 1):
         frontier = frontier.join(step, F.col("reached") == F.col("_s")).select("id", F.col("_t").alias("reached")).distinct()
-        frontier = frontier.join(out, ["id", "reached"], "left_anti")
-        out = out.unionByName(frontier.withColumn("hops", F.lit(k)))
-    return out
+        every.append(frontier.withColumn("hops", F.lit(k)))
+    return reduce(DataFrame.unionByName, every).groupBy("id", "reached").agg(F.min("hops").alias("hops"))
 
 
 def runbooks(codes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

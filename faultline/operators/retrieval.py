@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,31 +15,103 @@ from faultline.config import DEFAULT, Settings
 from faultline.functions.text import tokens
 
 
+def corpus_terms(words: DataFrame) -> DataFrame:
+    """(term, df, total) of words (chunk_id, terms): how many chunks have a
+    term.  The row of the empty term is the whole corpus, its total the number
+    of tokens.  One pass, counted before anything is shuffled."""
+    each = F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit(""))))
+    rows = words.select(each.alias("term"), F.size("terms").alias("length"))
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("total"))
+
+
+def query_weights(queries: DataFrame, words: DataFrame, settings: Settings) -> DataFrame:
+    """(query_id, term, times, idf, mean_length): the mean idf, which floors
+    negative ones, is over the whole vocabulary."""
+    counted = corpus_terms(words)
+    whole = counted.where("term = ''").select(F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("mean_length"))
+    raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    idf = counted.where("term <> ''").crossJoin(F.broadcast(whole)).select("term", "mean_length", raw.alias("raw"))  # one row
+    mean = idf.agg(F.avg("raw").alias("mean_idf"))
+    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    weight = F.when(F.col("raw") < 0, F.lit(settings.bm25_epsilon) * F.col("mean_idf")).otherwise(F.col("raw"))
+    return asked.join(idf, "term").crossJoin(F.broadcast(mean)).select("query_id", "term", "times", "mean_length", weight.alias("idf"))  # one row
+
+
 def bm25(queries: DataFrame, chunks: DataFrame, settings: Settings = DEFAULT, candidates: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, bm25_score) of chunks (chunk_id, text)
     for queries (query_id, text), scores above 0 only.
 
     Statistics are those of the whole corpus; ``candidates`` (query_id,
-    chunk_id) restricts afterwards.  Postings are counted before they are
-    shuffled, and only terms of some query are joined; the mean idf, which
-    floors negative ones, needs the whole vocabulary's document counts.
+    chunk_id) restricts afterwards.  Of the postings only those of some
+    query's terms are counted and shuffled.
     """
     s = settings
     words = chunks.select("chunk_id", tokens(F.col("text")).alias("terms"))
-    counted = words.select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    corpus = words.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean_length"))
-    df = counted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(corpus)).select("term", "df", "n", "mean_length", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    mean_idf = idf.agg(F.avg("idf").alias("mean_idf"))
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weight = F.when(F.col("idf") < 0, F.lit(s.bm25_epsilon) * F.col("mean_idf")).otherwise(F.col("idf"))
-    terms = asked.join(idf, "term").crossJoin(F.broadcast(mean_idf)).select("query_id", "term", "times", "mean_length", weight.alias("idf"))
+    terms = query_weights(queries, words, s)
+    rows = words.select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    counted = rows.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     norm = F.lit(s.bm25_k1) * (F.lit(1 - s.bm25_b) + F.lit(s.bm25_b) * F.col("length") / F.col("mean_length"))
     part = F.col("times") * F.col("idf") * F.col("tf") * F.lit(s.bm25_k1 + 1) / (F.col("tf") + norm)
     scored = counted.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 4).alias("bm25_score")).where("bm25_score > 0")
     return scored if candidates is None else scored.join(candidates, ["query_id", "chunk_id"], "left_semi")
 
 
+#: queries and chunks of a block of bm25_topk, and chunks scored at once
+QUERY_BLOCK, CHUNK_BLOCK, CHUNK_STEP = 512, 4096, 256
+
+
+def _keyword_block(k: int, k1: float, b: float):
+    def run(weights: pa.Table, chunks: pa.Table) -> pa.Table:
+        schema = pa.schema([weights.schema.field("query_id"), chunks.schema.field("chunk_id"), pa.field("score", pa.float64())])
+        if not weights.num_rows or not chunks.num_rows:
+            return schema.empty_table()
+        names = weights["term"].combine_chunks().dictionary_encode()
+        queries = weights["query_id"].combine_chunks().dictionary_encode()
+        asked, of_query = queries.dictionary, queries.indices.to_numpy()
+        table = np.zeros((len(names.dictionary), len(asked)))
+        np.add.at(table, (names.indices.to_numpy(), of_query), weights["times"].to_numpy() * weights["idf"].to_numpy())
+        mean = float(weights["mean_length"][0].as_py())
+        ids, terms = chunks["chunk_id"].combine_chunks(), chunks["terms"].combine_chunks()
+        known = pc.index_in(terms.flatten(), value_set=names.dictionary).to_numpy(zero_copy_only=False)
+        lengths = pc.list_value_length(terms).to_numpy()
+        first = np.concatenate(([0], np.cumsum(lengths)))
+        out = ([], [], [])
+        for lo in range(0, len(ids), CHUNK_STEP):
+            hi = min(lo + CHUNK_STEP, len(ids))
+            own = known[first[lo] : first[hi]]
+            row = np.repeat(np.arange(hi - lo), lengths[lo:hi])
+            seen = ~np.isnan(own.astype(float))
+            tf = np.zeros((hi - lo, len(table)))
+            np.add.at(tf, (row[seen], own[seen].astype(np.int64)), 1.0)
+            norm = k1 * (1 - b + b * lengths[lo:hi] / mean)
+            score = (tf * (k1 + 1) / (tf + norm[:, None])) @ table
+            # of a step the k best of each query, and what rounds to the same
+            edge = np.partition(score, max(len(score) - k, 0), axis=0)[max(len(score) - k, 0)]
+            i, j = np.nonzero((score >= edge - 2e-4) & (score > 0))
+            for values, found in zip(out, (j, lo + i, score[i, j])):
+                values.append(found)
+        j, i, scores = (np.concatenate(x) for x in out)
+        return pa.table([asked.take(pa.array(j)), ids.take(pa.array(i)), pa.array(scores)], schema=schema)
+
+    return run
+
+
+def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.top_k, settings: Settings = DEFAULT) -> DataFrame:
+    """(query_id, chunk_id, bm25_score, rank), the k best of ``bm25``
+    for many queries: blocks of queries meet blocks of chunks, and only each
+    block's best scores leave it."""
+    s = settings
+    words = chunks.select("chunk_id", tokens(F.col("text")).alias("terms"))
+    weights = query_weights(queries, words, s)
+    parts, others = (max(1, -(-df.count() // n)) for df, n in ((queries, QUERY_BLOCK), (chunks, CHUNK_BLOCK)))
+    deal = lambda df, key, n, own, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    left, right = deal(weights, "query_id", parts, "p", "q", others), deal(words, "chunk_id", others, "q", "p", parts)
+    kind = lambda df, c: f"{c} {df.schema[c].dataType.simpleString()}"
+    schema = f"{kind(left, 'query_id')}, {kind(right, 'chunk_id')}, score double"
+    found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(_keyword_block(max(k, 1), s.bm25_k1, s.bm25_b), schema)
+    return ranked(found.select("query_id", "chunk_id", F.round("score", 4).alias("bm25_score")).where("bm25_score > 0"), "bm25_score", k)
+
+
 def ranked(results: DataFrame, score: str, k: int = DEFAULT.top_k, rank: str = "rank") -> DataFrame:
     """The k best of each query, ranked from 0, ties by chunk_id."""
     w = Window.partitionBy("query_id").orderBy(F.desc(score), "chunk_id")
@@ -53,10 +126,10 @@ def cosine(a: Column, b: Column) -> Column:
 
 def dense(queries: DataFrame, vectors: DataFrame, must: Column | None = None) -> DataFrame:
     """(query_id, chunk_id, dense_score) of vectors (chunk_id, embedding)
-    for a few queries (query_id, query_embedding), which are broadcast; rows
-    filtered by payload first."""
+    for a few queries (query_id, query_embedding); ``dense_topk`` is for many.
+    Rows are filtered by payload first."""
     rows = vectors if must is None else vectors.where(must)
-    pairs = rows.crossJoin(F.broadcast(queries))
+    pairs = rows.crossJoin(queries)
     return pairs.select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("query_embedding")), 4).alias("dense_score")).where("dense_score is not null")
 
 

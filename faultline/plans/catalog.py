@@ -261,8 +261,7 @@ bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score D
 @query(f"WITH {_BM25} SELECT query_id, chunk_id, bm25_score FROM bmr WHERE rank < 10")
 def bm25_topk(spark, sf_dir):
     """Every benchmark item against all documents."""
-    top = retrieval.ranked(retrieval.bm25(_bench(spark, sf_dir), _docs(spark, sf_dir)), "bm25_score")
-    return top.select("query_id", "chunk_id", "bm25_score")
+    return retrieval.bm25_topk(_bench(spark, sf_dir), _docs(spark, sf_dir)).select("query_id", "chunk_id", "bm25_score")
 
 
 _DENSE = """q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id IN (0, 1, 2)),
@@ -290,7 +289,7 @@ top AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY query_id ORD
 
 
 def _fused(spark, sf_dir) -> DataFrame:
-    keyword = retrieval.ranked(retrieval.bm25(_bench(spark, sf_dir), _docs(spark, sf_dir)), "bm25_score", 20)
+    keyword = retrieval.bm25_topk(_bench(spark, sf_dir), _docs(spark, sf_dir), 20)
     return retrieval.fuse(keyword, retrieval.ranked(_dense(spark, sf_dir), "dense_score", 20))
 
 
@@ -314,7 +313,7 @@ def _dense_all(spark, sf_dir, k: int) -> DataFrame:
 
 
 def _fused_all(spark, sf_dir) -> DataFrame:
-    keyword = retrieval.ranked(retrieval.bm25(_bench(spark, sf_dir), _docs(spark, sf_dir)), "bm25_score", 20)
+    keyword = retrieval.bm25_topk(_bench(spark, sf_dir), _docs(spark, sf_dir), 20)
     return retrieval.fuse(keyword, _dense_all(spark, sf_dir, 20))
 
 

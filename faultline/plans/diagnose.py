@@ -120,7 +120,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, topology
     Keyword statistics are those of the whole corpus.  Hits of either list get
     their payload from the chunks, so each can be correlated.
     """
-    keyword = retrieval.ranked(retrieval.bm25(queries, chunks.select("chunk_id", F.col("raw_text").alias("text")), settings), "bm25_score", settings.top_k * 2)
+    keyword = retrieval.bm25_topk(queries, chunks.select("chunk_id", F.col("raw_text").alias("text")), settings.top_k * 2, settings)
     vector = retrieval.ranked(retrieval.dense(queries.select("query_id", "query_embedding"), vectors), "dense_score", settings.top_k * 2)
     fused = retrieval.fuse(keyword, vector, settings).join(chunks, "chunk_id", "left")
     reference = fused.select(*chunks.columns).dropDuplicates(["chunk_id"])

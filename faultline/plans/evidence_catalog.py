@@ -10,8 +10,10 @@ from faultline.functions import text as T
 from faultline.operators import chunking, evidence, patterns, reasoning, sessions
 from faultline.operators import parsers as P
 from faultline.plans.catalog import query
+from faultline.plans.diagnose import diagnose
 from faultline.plans.frames import table
-from faultline.plans.log_catalog import TYPE, N, U, by_type, event_lines, host_lines, long, ntz, stamp, text
+from faultline.plans.ingest import normalized_events
+from faultline.plans.log_catalog import TYPE, N, U, by_type, event_files, event_lines, host_lines, long, ntz, stamp, text
 
 # lines as correlation evidence ------------------------------------------------------------
 
@@ -316,3 +318,36 @@ def trace_section_chunks(spark, sf_dir):
     out = chunking.trace_chunks(parsed.select("path", "instance_name", "pid", "sections", "parent").drop("parent"), "c")
     parents = parsed.select("path", F.col("parent").alias("parent_chunk_id"))
     return out.drop("parent_chunk_id").join(parents, "path").select("path", "parent_chunk_id", "sub_category", "severity", "raw_text")
+
+
+# whole pipelines, a file for each event ---------------------------------------------------------
+
+
+def _mixed_files(spark, sf_dir) -> DataFrame:
+    at = stamp("yyyy-MM-dd'T'HH:mm:ss")
+    return event_files(spark, sf_dir, by_type(
+        text("timeout in module ", N), error=text(at, "+00:00\nORA-27072: File I/O error ", N, "\nLinux-x86_64 Error: 5: Input/output error"), signup=text(at, "Z host", U, " kernel: blk_update_request: I/O error, dev sdb, sector ", N),
+        purchase=text(at, " cell1 CELLSRV: warningCode=FLASH_IO_TIMEOUT flashDisk=FD_", N), click=text(at, "Z host", U, " sshd[1]: Failed password for root ", N),
+    ))
+
+
+@query("""SELECT 'e' || event_id AS path, CAST(line_number AS BIGINT) AS line_number, code, layer, r.severity, parser_name, r.device, os_errno, CASE WHEN event_type <> 'view' AND parser_name <> 'security_parser' THEN date_trunc('second', ts) END AS timestamp
+FROM events JOIN (VALUES ('error', 2, 'ORA-27072', 'DB', 'ERROR', 'alert_log_parser', NULL, '5'), ('error', 3, 'OS_ERRNO_5', 'OS', 'ERROR', 'alert_log_parser', NULL, '5'),
+ ('signup', 1, 'OS_BLOCK_IO_ERROR', 'OS', 'ERROR', 'syslog_parser', 'sdb', NULL), ('purchase', 1, 'FLASH_IO_TIMEOUT', 'STORAGE', 'CRITICAL', 'cell_log_parser', NULL, NULL),
+ ('click', 1, 'AUTH_FAILURE', 'SECURITY', 'WARNING', 'security_parser', NULL, NULL), ('view', 1, 'GENERIC_TIMEOUT_LINE', 'UNKNOWN', 'WARNING', 'generic_evidence_parser', NULL, NULL))
+ r(event_type, line_number, code, layer, severity, parser_name, device, os_errno) USING (event_type)""")
+def routed_events(spark, sf_dir):
+    """Files of five kinds through the router."""
+    out = normalized_events(_mixed_files(spark, sf_dir))
+    return out.select(F.col("source_path").alias("path"), long("line_number"), "code", "layer", "severity", "parser_name", "device", "os_errno", ntz())
+
+
+@query("""SELECT event_id AS incident, 'NO_MATCH' AS report_status, 'BELOW_THRESHOLD' AS no_match_reason, 'NEEDS_MORE_INFO' AS rca_status, 'UNKNOWN' AS root_cause, root_layer, CAST(score AS DOUBLE) AS analysis_score, status AS analysis_status, root AS analysis_root, layers
+FROM events JOIN (VALUES ('error', 'DB', 50, 'LIKELY', 'ORA-27072', 'DB,OS'), ('signup', 'UNKNOWN', 32, 'SUSPECTED', 'NEEDS_MORE_INFO', 'OS'), ('purchase', 'STORAGE', 17, 'SUSPECTED', 'STORAGE_FLASH_IO_OR_MEDIA_FAILURE', 'STORAGE'),
+ ('click', 'UNKNOWN', 0, 'SUSPECTED', 'NEEDS_MORE_INFO', 'SECURITY'), ('view', 'UNKNOWN', 0, 'UNKNOWN', 'NEEDS_MORE_INFO', '')) r(event_type, root_layer, score, status, root, layers) USING (event_type)""")
+def diagnosed_files(spark, sf_dir):
+    """The live path, an incident for each file."""
+    files = _mixed_files(spark, sf_dir).withColumn("incident", F.substring("path", 2, 20).cast("long"))
+    out = diagnose(files)
+    report, analysis = out["report"], out["analysis"].select("incident", F.col("score").alias("analysis_score"), F.col("status").alias("analysis_status"), F.col("root_cause").alias("analysis_root"), F.array_join("layers", ",").alias("layers"))
+    return report.select("incident", "report_status", "no_match_reason", "rca_status", "root_cause", "root_layer").join(analysis, "incident")
