@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import discard, filesystem, shared_folder, table, written
+from faultline.llm.shared import discard, filesystem, release_shuffles, shared_folder, table, written
 
 FANOUT = 8
 FILE_RECORDS = 256
@@ -342,6 +342,7 @@ def op4_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     source, copy = shared_folder(spark, "archive"), shared_folder(spark, "replica")
     write_archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"), source)
+    release_shuffles(spark)
     found = []
     for folder, other in ((source, None), (copy, source)):
         if other:

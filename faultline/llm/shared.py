@@ -77,6 +77,15 @@ def discard(*tables: DataFrame | None) -> None:
             remove_folder(df.sparkSession, path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of jobs whose frames are
+    gone, which it else does when the driver happens to collect its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     where = context._jvm.org.apache.hadoop.fs.Path(path)
