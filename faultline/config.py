@@ -45,3 +45,35 @@ class Settings:
 
 
 DEFAULT = Settings()
+#: where a settings file has them, and whole names elsewhere
+FILE_NAMES = {
+    "chunking.time_window_sec": "time_window_sec", "chunking.crs_window_sec": "crs_window_sec", "chunking.max_chunk_lines": "max_chunk_lines", "chunking.chunk_overlap_lines": "chunk_overlap_lines",
+    "retrieval.top_k": "top_k", "retrieval.rrf_k": "rrf_k", "retrieval.bm25_weight": "bm25_weight", "retrieval.dense_weight": "dense_weight", "bm25.k1": "bm25_k1", "bm25.b": "bm25_b",
+    "bm25.epsilon": "bm25_epsilon", "scoring.high": "high", "scoring.medium": "medium", "scoring.low": "low",
+}
+
+
+def load_settings(path: str) -> Settings:
+    """Settings of a JSON or YAML file, the documented ones for what it
+    leaves out.  Names are those of Settings, or sections of FILE_NAMES; what
+    is neither is ignored.  YAML needs a YAML reader to be installed."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    try:
+        raw = json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ModuleNotFoundError as missing:
+            raise ValueError(f"{path} isn't JSON, and no YAML reader is installed") from missing
+        raw = yaml.safe_load(text)
+    flat = {}
+    for name, value in (raw or {}).items():
+        if isinstance(value, dict) and name not in Settings.__dataclass_fields__:
+            flat |= {FILE_NAMES.get(f"{name}.{k}", k): v for k, v in value.items()}
+        else:
+            flat[name] = value
+    known = {k: tuple(v) if isinstance(v, list) else v for k, v in flat.items() if k in Settings.__dataclass_fields__ and v is not None}
+    return Settings(**known)

@@ -31,6 +31,32 @@ READ_ONLY = (
     r"^\s*(select\b|grep\b|dmesg\b|multipath\b|cat\b|tail\b|head\b|ipcs\b|sysctl\b|df\b|free\b|chronyc\b|asmcmd\s+ls|cellcli\s+-e\s+list|"
     r"adrci\b|systool\b|iscsiadm\b|kfod\b|lsblk\b|lsscsi\b|systemctl\s+status\b)"
 )
+#: in this order, the first one that a command matches
+COMMAND_RULES = (
+    (r"^$", "DIAGNOSTIC"),
+    (DESTRUCTIVE, "DESTRUCTIVE_DBA_APPROVAL_REQUIRED"),
+    (HIGH_RISK, "HIGH_RISK_REMEDIATION"),
+    (r"(?s)^(?!.*check datafiles).*\balter\s+(database|system)\b", "HIGH_RISK_REMEDIATION"),
+    (READ_ONLY, "DIAGNOSTIC"),
+    (r"show incident|lsdg", "DIAGNOSTIC"),
+    (r"alter system check datafiles", "LOW_RISK_REMEDIATION"),
+)
+NEVER = r"(?!)"
+#: points, what a file's name has to have, or else its path
+FILE_POINTS = (
+    (2, r"\.(log|trc|txt|out|html|xml|json|csv)$", NEVER),
+    (100, r"alert", r"trace/"),
+    (70, r"lgwr|dbwr|ckpt|smon|pmon|arc|mmon", NEVER),
+    (65, r"asm", r"\+asm|/asm/"),
+    (60, NEVER, r"crs|css|ohasd|crsctl|grid"),
+    (55, r"^(secure|auth\.log)$|messages|syslog|dmesg", NEVER),
+    (52, r"cellsrv|cellalert|ms_|rs_", r"/cell"),
+    (48, r"cellcli|dcli", NEVER),
+    (42, r"^iostat|vmstat|mpstat|sar", r"osw"),
+    (38, r"awr|ash|addm", NEVER),
+    (35, r"audit", r"adump"),
+    (32, NEVER, r"orachk|exachk|ahf|tfa|insights"),
+)
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 ROTATION = r"(\.log)?([-.]\d+)?(\.gz)?$"
 # -----------------------------------------------------------------------------
@@ -90,18 +116,12 @@ def redact(text: Column) -> Column:
 
 
 def command_class(command: Column) -> Column:
-    """The safety class of one command line."""
+    """The safety class of one command line, that of the first rule."""
     low = F.lower(F.trim(F.coalesce(command, F.lit(""))))
-    return (
-        F.when(low == "", "DIAGNOSTIC")
-        .when(low.rlike(DESTRUCTIVE), COMMAND_CLASSES[0])
-        .when(low.rlike(HIGH_RISK), COMMAND_CLASSES[1])
-        .when(low.rlike(r"\balter\s+(database|system)\b") & ~low.contains("check datafiles"), COMMAND_CLASSES[1])
-        .when(low.rlike(READ_ONLY), "DIAGNOSTIC")
-        .when(low.contains("show incident") | low.contains("lsdg"), "DIAGNOSTIC")
-        .when(low.contains("alter system check datafiles"), "LOW_RISK_REMEDIATION")
-        .otherwise("REMEDIATION")
-    )
+    first = F.when(F.lit(False), "")
+    for pattern, name in COMMAND_RULES:
+        first = first.when(low.rlike(pattern), name)
+    return first.otherwise("REMEDIATION")
 
 
 def bundle_class(commands: Column) -> Column:
@@ -119,23 +139,9 @@ def rotation_base(name: Column) -> Column:
 
 
 def file_priority(path: Column) -> Column:
-    """diagnostic value of a bundle member, a sum of rules."""
-    r, f = F.lower(path), F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
-    rules = (
-        (2, f.rlike(r"\.(log|trc|txt|out|html|xml|json|csv)$")),
-        (100, f.contains("alert") | r.contains("trace/")),
-        (70, contains_any(f, ("lgwr", "dbwr", "ckpt", "smon", "pmon", "arc", "mmon"))),
-        (65, f.contains("asm") | r.contains("+asm") | r.contains("/asm/")),
-        (60, contains_any(r, ("crs", "css", "ohasd", "crsctl", "grid"))),
-        (55, f.isin("messages", "syslog", "secure", "auth.log") | contains_any(f, ("messages", "syslog", "dmesg"))),
-        (52, contains_any(f, ("cellsrv", "cellalert", "ms_", "rs_")) | r.contains("/cell")),
-        (48, contains_any(f, ("cellcli", "dcli"))),
-        (42, r.contains("osw") | f.startswith("iostat") | contains_any(f, ("vmstat", "mpstat", "sar"))),
-        (38, contains_any(f, ("awr", "ash", "addm"))),
-        (35, f.contains("audit") | r.contains("adump")),
-        (32, contains_any(r, ("orachk", "exachk", "ahf", "tfa", "insights"))),
-    )
-    return reduce(lambda a, b: a + b, [F.when(cond, points).otherwise(0) for points, cond in rules])
+    """diagnostic value of a bundle member, the sum of its rules' points."""
+    whole, name = F.lower(path), F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
+    return reduce(lambda a, b: a + b, [F.when(name.rlike(in_name) | whole.rlike(in_path), points).otherwise(0) for points, in_name, in_path in FILE_POINTS])
 
 
 def clean(text: Column, limit: int) -> Column:

@@ -160,7 +160,7 @@ def syslog_fields(line: Column, year: Column | None = None) -> Column:
 
 def parse_syslog(lines: DataFrame, years: DataFrame | None = None) -> DataFrame:
     """Entries with their continuation lines, the trailing ones too."""
-    dated = lines.join(F.broadcast(years), "path", "left") if years is not None else lines.withColumn("year", F.lit(None).cast("int"))
+    dated = lines.join(years, "path", "left") if years is not None else lines.withColumn("year", F.lit(None).cast("int"))
     parsed = dated.where(F.trim("line") != "").withColumn("f", syslog_fields(F.col("line"), F.col("year")))
     grouped = blocks(parsed, F.col("f").isNotNull()).withColumn("more", F.when(~F.col("header"), F.trim("line")))
     out = grouped.groupBy("path", "block").agg(
@@ -234,7 +234,7 @@ def parse_alert_blocks(lines: DataFrame, critical_codes: list[str] | None = None
 def alert_events(lines: DataFrame, years: DataFrame | None = None) -> DataFrame:
     """An event for each telling line, with the time carried forward
     from the last line that has one of its own."""
-    dated = lines.join(F.broadcast(years), "path", "left") if years is not None else lines.withColumn("year", F.lit(None).cast("int"))
+    dated = lines.join(years, "path", "left") if years is not None else lines.withColumn("year", F.lit(None).cast("int"))
     rows = dated.withColumn("s", F.trim("line")).withColumn("t", line_time(F.col("s"), F.col("year")))
     embedded = F.col("s").rlike(r"(?i)^ORA-\d{5}\b") & ((F.instr(F.col("s"), F.coalesce(F.col("t.raw"), F.lit("\0"))) > 13) | F.col("s").rlike(CORRUPTION_TIME))
     own = F.when(F.col("t.ts").isNotNull() & ~embedded, F.col("t"))

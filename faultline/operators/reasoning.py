@@ -74,19 +74,56 @@ CATEGORY_LAYERS = (
     ("OS", ("KERNEL", "SCSI", "MULTIPATH", "HBA", "FILESYSTEM", "CPU", "MEMORY", "OOM", "SWAP")), ("DB", ("ORA", "REDO", "CONTROLFILE", "DATAFILE", "UNDO", "RECOVERY", "DATABASE")),
 )
 PATTERN_LAYERS = {
-    "STORAGE": ("EXA_FLASH_FAIL", "EXA_CELL_IO_ERROR", "EXA_SMART_SCAN_DISABLED", "STORAGE_FLASH_IO_OR_MEDIA_FAILURE"),
-    "INFRA": ("EXA_CELL_STOP", "EXA_IB_LINK_DOWN"),
-    "OS": (
-        "SCSI_DISK_TIMEOUT", "FC_HBA_RESET", "MULTIPATH_ALL_PATHS_DOWN", "IO_QUEUE_TIMEOUT", "OS_STORAGE_PATH_FAILURE", "EXT4_JOURNAL_ABORT", "XFS_FILESYSTEM_SHUTDOWN",
-        "FILESYSTEM_ARCH_FULL", "FILESYSTEM_ANY_FULL", "SMARTCTL_PENDING_SECTOR", "ISCSI_SESSION_FAIL", "LVM_DEVICE_FAIL", "OOM_KILLER_ACTIVE", "CGROUP_OOM_KILL", "MEMORY_SWAP_STORM",
-        "SHMGET_EINVAL", "HUGEPAGES_FREE_ZERO", "SEMAPHORE_LIMIT_EXHAUSTED", "FD_LIMIT_EXHAUSTED", "MEMLOCK_ULIMIT_TOO_LOW", "DEVSHM_TOO_SMALL", "THP_LATENCY_STALL",
-        "CPU_RUNQUEUE_SATURATION", "CPU_STEAL_TIME", "SOFT_LOCKUP", "HARD_LOCKUP", "KERNEL_PANIC", "MCE_CORRECTED_MEMORY", "MCE_UNCORRECTED_MEMORY", "KERNEL_NULL_PTR_DEREF",
-        "SELINUX_BLOCKING", "NTP_TIME_JUMP",
-    ),
-    "NETWORK": ("BONDING_FAILOVER_EVENT", "BOTH_NICS_DOWN", "NF_CONNTRACK_FULL", "IB_LINK_DEGRADED", "IPTABLES_BLOCKING_1521", "NFS_MOUNT_TIMEOUT", "UDP_BUFFER_OVERFLOW", "SOCKET_EXHAUSTION"),
-    "ASM": ("ASM_DISMOUNT_CRITICAL",),
-    "DB": ("ORA_ANY_GENERIC", "GENERIC_ORA_EXTRACT"),
-}
+    "EXA_FLASH_FAIL": "STORAGE",
+    "EXA_CELL_IO_ERROR": "STORAGE",
+    "EXA_SMART_SCAN_DISABLED": "STORAGE",
+    "STORAGE_FLASH_IO_OR_MEDIA_FAILURE": "STORAGE",
+    "EXA_CELL_STOP": "INFRA",
+    "EXA_IB_LINK_DOWN": "INFRA",
+    "SCSI_DISK_TIMEOUT": "OS",
+    "FC_HBA_RESET": "OS",
+    "MULTIPATH_ALL_PATHS_DOWN": "OS",
+    "IO_QUEUE_TIMEOUT": "OS",
+    "OS_STORAGE_PATH_FAILURE": "OS",
+    "EXT4_JOURNAL_ABORT": "OS",
+    "XFS_FILESYSTEM_SHUTDOWN": "OS",
+    "FILESYSTEM_ARCH_FULL": "OS",
+    "FILESYSTEM_ANY_FULL": "OS",
+    "SMARTCTL_PENDING_SECTOR": "OS",
+    "ISCSI_SESSION_FAIL": "OS",
+    "LVM_DEVICE_FAIL": "OS",
+    "OOM_KILLER_ACTIVE": "OS",
+    "CGROUP_OOM_KILL": "OS",
+    "MEMORY_SWAP_STORM": "OS",
+    "SHMGET_EINVAL": "OS",
+    "HUGEPAGES_FREE_ZERO": "OS",
+    "SEMAPHORE_LIMIT_EXHAUSTED": "OS",
+    "FD_LIMIT_EXHAUSTED": "OS",
+    "MEMLOCK_ULIMIT_TOO_LOW": "OS",
+    "DEVSHM_TOO_SMALL": "OS",
+    "THP_LATENCY_STALL": "OS",
+    "CPU_RUNQUEUE_SATURATION": "OS",
+    "CPU_STEAL_TIME": "OS",
+    "SOFT_LOCKUP": "OS",
+    "HARD_LOCKUP": "OS",
+    "KERNEL_PANIC": "OS",
+    "MCE_CORRECTED_MEMORY": "OS",
+    "MCE_UNCORRECTED_MEMORY": "OS",
+    "KERNEL_NULL_PTR_DEREF": "OS",
+    "SELINUX_BLOCKING": "OS",
+    "NTP_TIME_JUMP": "OS",
+    "BONDING_FAILOVER_EVENT": "NETWORK",
+    "BOTH_NICS_DOWN": "NETWORK",
+    "NF_CONNTRACK_FULL": "NETWORK",
+    "IB_LINK_DEGRADED": "NETWORK",
+    "IPTABLES_BLOCKING_1521": "NETWORK",
+    "NFS_MOUNT_TIMEOUT": "NETWORK",
+    "UDP_BUFFER_OVERFLOW": "NETWORK",
+    "SOCKET_EXHAUSTION": "NETWORK",
+    "ASM_DISMOUNT_CRITICAL": "ASM",
+    "ORA_ANY_GENERIC": "DB",
+    "GENERIC_ORA_EXTRACT": "DB",
+}
 OS_PATH_PATTERNS = ("SCSI_DISK_TIMEOUT", "FC_HBA_RESET", "MULTIPATH_ALL_PATHS_DOWN", "IO_QUEUE_TIMEOUT")
 GRAPH_CODES = {
     "FC_HBA_ABORT": "FC_HBA_RESET", "OS_OOM_KILLER": "OOM_KILLER_ACTIVE", "FLASH_IO_TIMEOUT": "EXA_FLASH_FAIL", "FLASH_CACHE_READ_ERROR": "EXA_FLASH_FAIL",
@@ -128,7 +165,7 @@ def category_layer(category: Column) -> Column:
 
 
 def pattern_layer(pattern: Column) -> Column:
-    return F.coalesce(_table({p: layer for layer, ps in PATTERN_LAYERS.items() for p in ps}, F.upper(F.trim(F.coalesce(pattern, F.lit(""))))), F.lit("UNKNOWN"))
+    return F.coalesce(_table(PATTERN_LAYERS, F.upper(F.trim(F.coalesce(pattern, F.lit(""))))), F.lit("UNKNOWN"))
 
 
 def layer_depth(layer: Column) -> Column:

@@ -53,7 +53,9 @@ def memory(events: DataFrame, key: str = "session_id", codes: int = 25, patterns
     rows = events.withColumn("_code", code).withColumn("_oras", F.when(code.rlike(r"^ORA-\d{5}$"), F.array(code)).otherwise(found))
     names = lambda c: F.array_sort(F.collect_set(F.nullif(F.col(c), F.lit(""))))
     sets = rows.groupBy(key).agg(names("layer").alias("layers"), names("host").alias("hosts"), names("device").alias("devices"), names("diskgroup").alias("diskgroups"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("_oras")))).alias("ora_codes"))
-    top = code_counts(events, [key], codes).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "code"))), lambda x: x["code"]).alias("signal_codes"))
+    ranked = lambda df, name: df.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "code"))), lambda x: x["code"]).alias(name))
+    own = F.upper(F.coalesce("code_type", F.lit(""))).contains("PATTERN") if "code_type" in events.columns else ~code.rlike(r"^ORA-\d{5}$")
+    top = ranked(code_counts(events, [key], codes), "signal_codes").join(ranked(code_counts(events.where(own), [key], patterns), "top_patterns"), key, "full_outer")
     return sets.join(top, key, "left")
 
 
@@ -98,7 +100,7 @@ def read_store(spark, folder: str, name: str) -> DataFrame:
     """K2: rows of finished runs only."""
     done = spark.read.parquet(f"{folder}/_manifest").select(F.col("run_id").cast("string").alias("run_id")).distinct()
     rows = spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}").withColumn("run_id", F.col("run_id").cast("string"))
-    return rows.join(F.broadcast(done), "run_id", "left_semi")
+    return rows.join(done, "run_id", "left_semi")
 
 
 def diagnosis_tables(analysis: DataFrame, events: DataFrame, run_id: str, earlier_runs: DataFrame | None = None) -> dict[str, DataFrame]:

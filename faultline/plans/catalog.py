@@ -815,14 +815,15 @@ def candidate_share(spark, sf_dir):
     return sessions.candidate_shares(n.drop("rank"), ["user_id"])
 
 
-@query("""SELECT user_id AS session_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS layers, string_agg(DISTINCT 'ORA-' || lpad(CAST(user_id % 100 AS VARCHAR), 5, '0'), ',') AS ora_codes FROM events GROUP BY 1""")
+@query("""SELECT user_id AS session_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS layers, string_agg(DISTINCT 'ORA-' || lpad(CAST(user_id % 100 AS VARCHAR), 5, '0'), ',') AS ora_codes,
+(SELECT string_agg(code, ',' ORDER BY n DESC, code) FROM (SELECT upper(event_type) AS code, count(*) AS n FROM events i WHERE i.user_id = events.user_id GROUP BY 1)) AS top_patterns FROM events GROUP BY 1""")
 def session_memory(spark, sf_dir):
     """A4: what each host's session has seen, codes from messages too."""
     e = table(spark, sf_dir, "events")
     ora = F.concat(F.lit("ORA-"), F.lpad((F.col("user_id") % 100).cast("string"), 5, "0"))
     rows = e.select(F.col("user_id").alias("session_id"), F.upper("event_type").alias("code"), F.col("event_type").alias("layer"), F.lit("").alias("host"), F.lit("").alias("device"), F.lit("").alias("diskgroup"), F.concat(F.lit("saw "), F.lower(ora)).alias("message"), F.col("props").alias("raw"))
     m = sessions.memory(rows)
-    return m.select("session_id", F.array_join("layers", ",").alias("layers"), F.array_join("ora_codes", ",").alias("ora_codes"))
+    return m.select("session_id", F.array_join("layers", ",").alias("layers"), F.array_join("ora_codes", ",").alias("ora_codes"), F.array_join("top_patterns", ",").alias("top_patterns"))
 
 
 @query("""SELECT event_id, CASE WHEN substr(lower(event_type), 1, 1) = 'e' THEN 'DISK' ELSE 'OS' END AS category FROM (SELECT event_id, event_type FROM events)""")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import text as T
-from faultline.operators import chunking, evidence, patterns, reasoning, sessions
+from faultline.operators import chunking, evidence, patterns, reasoning, sessions, translator
 from faultline.operators import parsers as P
 from faultline.plans.catalog import query
 from faultline.plans.diagnose import diagnose
@@ -351,3 +351,16 @@ def diagnosed_files(spark, sf_dir):
     out = diagnose(files)
     report, analysis = out["report"], out["analysis"].select("incident", F.col("score").alias("analysis_score"), F.col("status").alias("analysis_status"), F.col("root_cause").alias("analysis_root"), F.array_join("layers", ",").alias("layers"))
     return report.select("incident", "report_status", "no_match_reason", "rca_status", "root_cause", "root_layer").join(analysis, "incident")
+
+
+@query("""SELECT event_id, code, CAST(rule AS INTEGER) AS rule, layer, severity FROM events JOIN (VALUES ('error', 'OS_SCSI_TIMEOUT', 11, 'OS_TRIGGERED', 'CRITICAL'), ('click', 'OS_CONNTRACK_FULL', 35, 'NETWORK', 'CRITICAL'),
+ ('click', 'NF_CONNTRACK_FULL', 36, 'NETWORK', 'CRITICAL'), ('signup', 'OS_KERNEL_PANIC', 21, 'OS_TRIGGERED', 'CRITICAL'), ('signup', 'KERNEL_PANIC', 22, 'OS_TRIGGERED', 'CRITICAL'),
+ ('purchase', 'ASM_HIGH_POWER_REBALANCE', 29, 'LAYER_ASM', 'WARNING')) r(event_type, code, rule, layer, severity) USING (event_type)""")
+def registry_signals(spark, sf_dir):
+    """The registry of 44 rules, a code once a text."""
+    content = by_type(
+        text("nothing at all"), error=text("blk_update_request: I/O error, dev sdb, sector ", N, "\nblk_update_request: I/O error, dev sdc"), click=text("nf_conntrack: table full, dropping packet"),
+        signup=text("Kernel panic - not syncing: out"), purchase=text("rebal run 9 of group ", N),
+    )
+    found = translator.signals(table(spark, sf_dir, "events").select("event_id", content.alias("text")), "event_id")
+    return found.select("event_id", "code", "rule", "layer", "severity")

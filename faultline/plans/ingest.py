@@ -93,6 +93,6 @@ def normalized_events(files: DataFrame, cell_name: str = "unknown", years: DataF
     rank = F.array_position(F.array(*[F.lit(p) for p in ORDER]), F.col("parser_name"))
     out = dedupe_events(every.withColumn("_rank", rank), ["line_number", "_rank", "event_id"]).drop("_rank")
     wrapped = texts.where("wrapper is not null").select(F.col("path").alias("source_path"), "wrapper").dropDuplicates(["source_path"])
-    out = out.join(F.broadcast(wrapped), "source_path", "left")
+    out = out.join(wrapped, "source_path", "left")
     details = F.when(F.col("wrapper").isNotNull(), F.map_concat("details", F.create_map(F.lit("wrapper_source"), "wrapper"))).otherwise(F.col("details"))
     return out.withColumn("details", details).select(*COLUMNS)
