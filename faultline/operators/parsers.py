@@ -118,6 +118,12 @@ def lookup(column: Column, values: dict, default=None) -> Column:
     return F.when(column.isNull(), F.lit(default)).otherwise(F.coalesce(out, F.lit(default)))
 
 
+def computed(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that later steps read often.  A generator of one row
+    keeps the optimizer from copying a large expression to each of them."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def lines_of(files: DataFrame) -> DataFrame:
     """(path, line_number from 1, line)."""
     exploded = files.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("_pos", "line"))
@@ -161,7 +167,7 @@ def syslog_fields(line: Column, year: Column | None = None) -> Column:
 def parse_syslog(lines: DataFrame, years: DataFrame | None = None) -> DataFrame:
     """Entries with their continuation lines, the trailing ones too."""
     dated = lines.join(years, "path", "left") if years is not None else lines.withColumn("year", F.lit(None).cast("int"))
-    parsed = dated.where(F.trim("line") != "").withColumn("f", syslog_fields(F.col("line"), F.col("year")))
+    parsed = computed(dated.where(F.trim("line") != ""), "f", syslog_fields(F.col("line"), F.col("year")))
     grouped = blocks(parsed, F.col("f").isNotNull()).withColumn("more", F.when(~F.col("header"), F.trim("line")))
     out = grouped.groupBy("path", "block").agg(
         F.min("line_number").alias("line_number"), F.min_by("f", "line_number").alias("f"), gathered(grouped, "line").alias("raw"), gathered(grouped, "more").alias("more")
@@ -209,7 +215,7 @@ def truncate_dumps(lines: DataFrame, most: int = 5) -> DataFrame:
 
 def parse_alert_blocks(lines: DataFrame, critical_codes: list[str] | None = None) -> DataFrame:
     """One row a timestamped block."""
-    with_time = truncate_dumps(lines).withColumn("ts", alert_header(F.col("line")))
+    with_time = computed(truncate_dumps(lines), "ts", alert_header(F.col("line")))
     grouped = blocks(with_time, F.col("ts").isNotNull())
     rows = grouped.groupBy("path", "block").agg(
         F.min("line_number").alias("line_number"), F.min("ts").alias("timestamp"), F.min_by(F.trim("line"), "line_number").alias("timestamp_raw"), gathered(grouped, "line").alias("lines")
@@ -235,7 +241,7 @@ def alert_events(lines: DataFrame, years: DataFrame | None = None) -> DataFrame:
     """An event for each telling line, with the time carried forward
     from the last line that has one of its own."""
     dated = lines.join(years, "path", "left") if years is not None else lines.withColumn("year", F.lit(None).cast("int"))
-    rows = dated.withColumn("s", F.trim("line")).withColumn("t", line_time(F.col("s"), F.col("year")))
+    rows = computed(dated.withColumn("s", F.trim("line")), "t", line_time(F.col("s"), F.col("year")))
     embedded = F.col("s").rlike(r"(?i)^ORA-\d{5}\b") & ((F.instr(F.col("s"), F.coalesce(F.col("t.raw"), F.lit("\0"))) > 13) | F.col("s").rlike(CORRUPTION_TIME))
     own = F.when(F.col("t.ts").isNotNull() & ~embedded, F.col("t"))
     so_far = Window.partitionBy("path").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
