@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.config import DEFAULT, Settings
@@ -24,10 +24,24 @@ def corpus_terms(words: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("total"))
 
 
-def query_weights(queries: DataFrame, words: DataFrame, settings: Settings) -> DataFrame:
+def write_index(chunks: DataFrame, folder: str) -> None:
+    """Stores the words and term counts of chunks (chunk_id, text); called
+    again, it adds chunks to what is stored without reading that."""
+    words = chunks.select("chunk_id", tokens(F.col("text")).alias("terms"))
+    words.write.mode("append").parquet(f"{folder}/words")
+    corpus_terms(words).write.mode("append").parquet(f"{folder}/terms")
+
+
+def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(words, term counts) of a stored index, counts of its parts added."""
+    counts = spark.read.parquet(f"{folder}/terms").groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    return spark.read.parquet(f"{folder}/words"), counts
+
+
+def query_weights(queries: DataFrame, words: DataFrame, settings: Settings, counted: DataFrame | None = None) -> DataFrame:
     """(query_id, term, times, idf, mean_length): the mean idf, which floors
     negative ones, is over the whole vocabulary."""
-    counted = corpus_terms(words)
+    counted = corpus_terms(words) if counted is None else counted
     whole = counted.where("term = ''").select(F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("mean_length"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     idf = counted.where("term <> ''").crossJoin(F.broadcast(whole)).select("term", "mean_length", raw.alias("raw"))  # one row
@@ -96,14 +110,15 @@ def _keyword_block(k: int, k1: float, b: float):
     return run
 
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = DEFAULT.top_k, settings: Settings = DEFAULT) -> DataFrame:
+def bm25_topk(queries: DataFrame, chunks: DataFrame | None, k: int = DEFAULT.top_k, settings: Settings = DEFAULT, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, chunk_id, bm25_score, rank), the k best of ``bm25``
     for many queries: blocks of queries meet blocks of chunks, and only each
-    block's best scores leave it."""
+    block's best scores leave it.  With an ``index`` of ``read_index`` no text
+    is read."""
     s = settings
-    words = chunks.select("chunk_id", tokens(F.col("text")).alias("terms"))
-    weights = query_weights(queries, words, s)
-    parts, others = (max(1, -(-df.count() // n)) for df, n in ((queries, QUERY_BLOCK), (chunks, CHUNK_BLOCK)))
+    words, counted = index if index else (chunks.select("chunk_id", tokens(F.col("text")).alias("terms")), None)
+    weights = query_weights(queries, words, s, counted)
+    parts, others = (max(1, -(-df.count() // n)) for df, n in ((queries, QUERY_BLOCK), (words if index else chunks, CHUNK_BLOCK)))
     deal = lambda df, key, n, own, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
     left, right = deal(weights, "query_id", parts, "p", "q", others), deal(words, "chunk_id", others, "q", "p", parts)
     kind = lambda df, c: f"{c} {df.schema[c].dataType.simpleString()}"

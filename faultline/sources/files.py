@@ -239,3 +239,20 @@ def write_whole(uri: str, payload: bytes) -> None:
     with store.open_output_stream(part, compression=None) as out:
         out.write(payload)
     store.move(part, path)
+
+
+def store_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that the driver and every executor see: under the
+    session's ``spark.checkpoint.dir``, or where that is unset and the session
+    is local, a temporary one."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="faultline-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
