@@ -3,7 +3,7 @@ event table, each with SQL."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions import text as T
@@ -13,14 +13,15 @@ from faultline.plans.catalog import query
 from faultline.plans.diagnose import diagnose
 from faultline.plans.frames import table
 from faultline.plans.ingest import normalized_events
-from faultline.plans.log_catalog import TYPE, N, U, by_type, event_files, event_lines, host_lines, long, ntz, stamp, text
+from faultline.plans.log_catalog import by_type, event_files, event_id, event_lines, event_type, host_lines, long, ntz, stamp, text, user_id
 
 # lines as correlation evidence ------------------------------------------------------------
 
-_LINE = by_type(
-    text("all is well today"), error=text(stamp("yyyy-MM-dd HH:mm:ss"), " ORA-27072: File I/O error sdb /u01/db_", U, ".trc"), signup=text("kernel: blk_update_request: I/O error, dev sdc, sector ", N),
-    purchase=text("CELLSRV: FLASH_IO_TIMEOUT on FD_", N), click=text("LGWR (ospid: ", N, "): terminating the instance"),
-)
+def _evidence_line() -> Column:
+    return by_type(
+        text("all is well today"), error=text(stamp("yyyy-MM-dd HH:mm:ss"), " ORA-27072: File I/O error sdb /u01/db_", user_id(), ".trc"), signup=text("kernel: blk_update_request: I/O error, dev sdc, sector ", event_id()),
+        purchase=text("CELLSRV: FLASH_IO_TIMEOUT on FD_", event_id()), click=text("LGWR (ospid: ", event_id(), "): terminating the instance"),
+    )
 _SCANNED = """scanned AS (SELECT user_id, event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS moment,
   CASE event_type WHEN 'error' THEN 'DB' WHEN 'signup' THEN 'OS' WHEN 'purchase' THEN 'STORAGE' ELSE 'DB' END AS layer, CASE event_type WHEN 'error' THEN 'sdb' WHEN 'signup' THEN 'sdc' ELSE '' END AS device,
   CASE WHEN event_type = 'click' THEN 'LGWR' ELSE '' END AS process, CASE WHEN event_type = 'error' THEN '/u01/db_' || user_id || '.trc' ELSE '' END AS trace_file,
@@ -30,7 +31,7 @@ _SCANNED = """scanned AS (SELECT user_id, event_id, event_type, strftime(ts, '%Y
 
 
 def _scanned(spark, sf_dir) -> DataFrame:
-    return evidence.scan_lines(host_lines(spark, sf_dir, _LINE)).withColumn("incident", F.substring("path", 5, 20).cast("long"))
+    return evidence.scan_lines(host_lines(spark, sf_dir, _evidence_line())).withColumn("incident", F.substring("path", 5, 20).cast("long"))
 
 
 @query(f"""WITH {_SCANNED} SELECT 'host' || user_id AS path, event_id - 1 AS line_index, CASE WHEN event_type = 'error' THEN moment ELSE '' END AS timestamp_raw, layer, process, CASE WHEN event_type = 'error' THEN 'ORA-27072' ELSE '' END AS codes,
@@ -55,11 +56,11 @@ def projected_events(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     none = F.lit(None).cast("string")
     rows = e.select(
-        text("host", U).alias("source_path"), none.alias("source_file"), N.cast("int").alias("line_number"), none.alias("timestamp_raw"), F.col("ts").alias("timestamp"),
+        text("host", user_id()).alias("source_path"), none.alias("source_file"), event_id().cast("int").alias("line_number"), none.alias("timestamp_raw"), F.col("ts").alias("timestamp"),
         by_type(text("UNKNOWN"), click=text("infra"), signup=text("kernel")).alias("layer"), by_type(text("X"), error=text("ora-00600"), purchase=text("TNS-12541")).alias("code"),
         by_type(text("OTHER"), error=text("ORA")).alias("code_type"), by_type(view=text("ASM failure")).alias("failure_family"), by_type(click=text("cell1")).alias("cell"), none.alias("flash_disk"), none.alias("process"),
-        none.alias("os_errno"), none.alias("trace_file"), none.alias("diskgroup"), none.alias("au"), none.alias("offset"), F.lit("").alias("device"), text("mpath", N).alias("multipath_device"), none.alias("severity"),
-        F.repeat(F.lit("x"), (U + 200).cast("int")).alias("raw"), none.alias("preview"),
+        none.alias("os_errno"), none.alias("trace_file"), none.alias("diskgroup"), none.alias("au"), none.alias("offset"), F.lit("").alias("device"), text("mpath", event_id()).alias("multipath_device"), none.alias("severity"),
+        F.repeat(F.lit("x"), (user_id() + 200).cast("int")).alias("raw"), none.alias("preview"),
     )
     return evidence.project_events(rows).select("path", long("line_index"), "layer", F.array_join("ora_codes", ",").alias("codes"), "device", "preview")
 
@@ -78,7 +79,7 @@ def observed_code_rows(spark, sf_dir):
 @query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'from the extract' WHEN 'click' THEN 'from the catalogue' ELSE 'ORA-' || lpad(CAST(user_id AS VARCHAR), 5, '0') || ': definition not in the message extract — verify in the error messages reference.' END AS meaning FROM events""")
 def code_meanings(spark, sf_dir):
     """The ladder of sources of a meaning."""
-    code = text(" ora-", F.lpad(U.cast("string"), 5, "0"))
+    code = text(" ora-", F.lpad(user_id().cast("string"), 5, "0"))
     listed = by_type(text(evidence.PLACEHOLDER), error=text("from the catalogue"), click=text("from the catalogue"))
     return table(spark, sf_dir, "events").select("event_id", evidence.ora_meaning(code, by_type(text("  "), error=text(" from the extract")), listed).alias("meaning"))
 
@@ -90,7 +91,7 @@ UNION ALL SELECT DISTINCT user_id, CASE event_type WHEN 'signup' THEN 'SCSI_DISK
 def non_code_rows(spark, sf_dir):
     """What an incident shows that isn't a code."""
     e = table(spark, sf_dir, "events")
-    matched = e.select(U.alias("incident"), by_type(text("ORA_ANY_GENERIC"), signup=text("SCSI_DISK_TIMEOUT"), purchase=text("EXA_FLASH_FAIL")).alias("pattern_id"))
+    matched = e.select(user_id().alias("incident"), by_type(text("ORA_ANY_GENERIC"), signup=text("SCSI_DISK_TIMEOUT"), purchase=text("EXA_FLASH_FAIL")).alias("pattern_id"))
     return evidence.non_ora_rows(_scanned(spark, sf_dir), matched)
 
 
@@ -107,7 +108,7 @@ def marked_cascades(spark, sf_dir):
         "event_id", "event_type", some(names(error="ASM,DB", click="STORAGE,OS,DB", signup="DB", purchase="DB", view="INFRA")).alias("layers"), some(names(click="SCSI_DISK_TIMEOUT", signup="FC_HBA_RESET")).alias("patterns"),
         some(names(error="ORA-27072,ORA-15080", click="ORA-00353", purchase="ORA-27072")).alias("oras"), some(names(signup="ROOT: FC_HBA_RESET,DB: ORA-01555", purchase="DB: ORA-27072")).alias("chain"),
     )
-    steps = evidence.marked_cascade(F.col("layers"), F.col("patterns"), F.col("oras"), F.col("chain"), TYPE == "error")
+    steps = evidence.marked_cascade(F.col("layers"), F.col("patterns"), F.col("oras"), F.col("chain"), event_type() == "error")
     return rows.select("event_id", F.array_join(steps, "|").alias("steps"))
 
 
@@ -140,7 +141,7 @@ def embed_texts(spark, sf_dir):
     """R4"""
     ora, platform, props = by_type(error=text("ORA-00600")), F.lit("LINUX"), F.col("props")
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", evidence.embed_text(TYPE, F.lit("ERROR"), ora, platform, F.lit(None).cast("string"), props).alias("embedded"), evidence.query_text(props, ora, platform).alias("asked"))
+    return e.select("event_id", evidence.embed_text(event_type(), F.lit("ERROR"), ora, platform, F.lit(None).cast("string"), props).alias("embedded"), evidence.query_text(props, ora, platform).alias("asked"))
 
 
 @query("""WITH c AS (SELECT DISTINCT user_id AS session_id, CASE WHEN event_type = 'error' THEN 'unknown' ELSE 'h' || user_id END AS hostname, event_type AS file_source, props AS content,
@@ -150,7 +151,7 @@ def session_append(spark, sf_dir):
     """K5: chunks added to sessions; those that are there aren't added again."""
     e = table(spark, sf_dir, "events")
     none = F.lit(None).cast("string")
-    new = e.select(U.alias("session_id"), F.when(TYPE != "error", text("h", U)).alias("hostname"), none.alias("timestamp"), F.col("props").alias("content"), TYPE.alias("file_source"))
+    new = e.select(user_id().alias("session_id"), F.when(event_type() != "error", text("h", user_id())).alias("hostname"), none.alias("timestamp"), F.col("props").alias("content"), event_type().alias("file_source"))
     empty = spark.createDataFrame([], "session_id long, chunk_id string, hostname string, timestamp string, content string, file_source string")
     half = evidence.append_session(empty, new.where("file_source in ('error', 'click')"))
     return evidence.append_session(half, new).drop("timestamp")
@@ -168,7 +169,7 @@ def language_hint_codes(spark, sf_dir):
 def retrieved_evidence(spark, sf_dir):
     """Traces, security events and hardware among retrieved chunks."""
     chunks = table(spark, sf_dir, "events").select(
-        U.alias("incident"), N.alias("chunk_id"), F.col("value").alias("score"), F.col("props").alias("raw_text"), by_type(text("OTHER"), signup=text("disk"), click=text("Security")).alias("category"),
+        user_id().alias("incident"), event_id().alias("chunk_id"), F.col("value").alias("score"), F.col("props").alias("raw_text"), by_type(text("OTHER"), signup=text("disk"), click=text("Security")).alias("category"),
         by_type(text("X"), purchase=text("TRACE_HEADER")).alias("log_source"), by_type(error=text("/u01/x.trc")).alias("trace_path"), by_type(purchase=text("sdb")).alias("device"),
     )
     return evidence.payload_evidence(chunks)
@@ -181,8 +182,8 @@ def report_texts(spark, sf_dir):
     """K7: reports as text and as HTML."""
     none = F.array().cast("array<string>")
     rows = table(spark, sf_dir, "events").select(
-        N.alias("incident"), F.lit("SUCCESS").alias("report_status"), text("<", TYPE, ">").alias("root_cause"), F.lit("LIKELY").alias("rca_status"), F.lit(61.5).alias("rca_score"),
-        F.when(TYPE == "error", F.array(F.lit("a & b"), F.lit("c"))).otherwise(none).alias("steps"), none.alias("fixes"),
+        event_id().alias("incident"), F.lit("SUCCESS").alias("report_status"), text("<", event_type(), ">").alias("root_cause"), F.lit("LIKELY").alias("rca_status"), F.lit(61.5).alias("rca_score"),
+        F.when(event_type() == "error", F.array(F.lit("a & b"), F.lit("c"))).otherwise(none).alias("steps"), none.alias("fixes"),
     )
     return evidence.report_text(rows)
 
@@ -208,9 +209,9 @@ def gated_reports(spark, sf_dir):
     best = by_type(text("NTP_TIME_JUMP"), click=text("ORA_ANY_GENERIC"), error=text(""))
     rows = table(spark, sf_dir, "events").select(
         "event_id", F.lit("log_paste").alias("mode"), F.lit("").alias("primary_ora"), F.array(F.lit("OS"), F.lit("DB")).alias("layers"), F.array().cast("array<string>").alias("oras"),
-        F.when(TYPE == "signup", F.array(F.lit("OTHER"))).when(TYPE == "click", F.array(F.lit("ORA_ANY_GENERIC"))).otherwise(F.array(F.lit("NTP_TIME_JUMP"))).alias("matched"), best.alias("best_pattern"),
-        F.when(TYPE == "view", 50.0).otherwise(80.0).alias("best_score"), F.lit("HIGH").alias("best_label"), F.lit(1).alias("n_sources"), F.lit("LIKELY").alias("rca_status"),
-        F.when(TYPE == "error", 90.0).otherwise(60.0).alias("rca_score"), F.lit(True).alias("has_chain"), F.lit("X").alias("root_cause"),
+        F.when(event_type() == "signup", F.array(F.lit("OTHER"))).when(event_type() == "click", F.array(F.lit("ORA_ANY_GENERIC"))).otherwise(F.array(F.lit("NTP_TIME_JUMP"))).alias("matched"), best.alias("best_pattern"),
+        F.when(event_type() == "view", 50.0).otherwise(80.0).alias("best_score"), F.lit("HIGH").alias("best_label"), F.lit(1).alias("n_sources"), F.lit("LIKELY").alias("rca_status"),
+        F.when(event_type() == "error", 90.0).otherwise(60.0).alias("rca_score"), F.lit(True).alias("has_chain"), F.lit("X").alias("root_cause"),
     )
     return reasoning.downgrade(reasoning.report_gate(rows)).select("event_id", "report_status", "no_match_reason", "rca_status", "rca_score", "root_cause")
 
@@ -226,7 +227,7 @@ def cascade_orders(spark, sf_dir):
 SELECT incident, fix_id, CAST(row_number() OVER (PARTITION BY incident ORDER BY tier, priority, fix_id) AS INTEGER) AS priority FROM f""")
 def fixes_in_layers(spark, sf_dir):
     """Infrastructure, base, then database fixes, each once."""
-    rows = table(spark, sf_dir, "events").select(U.alias("incident"), TYPE.alias("fix_id"), by_type(text("DB"), purchase=text("INFRA"), click=text("BASE")).alias("tier"), N.alias("priority"))
+    rows = table(spark, sf_dir, "events").select(user_id().alias("incident"), event_type().alias("fix_id"), by_type(text("DB"), purchase=text("INFRA"), click=text("BASE")).alias("tier"), event_id().alias("priority"))
     return reasoning.layered_fixes(rows).select("incident", "fix_id", "priority")
 
 
@@ -237,15 +238,15 @@ def wanted_evidence(spark, sf_dir):
     """Logs that a layer's checklist asks for and nobody gave."""
     e = table(spark, sf_dir, "events").where("event_type in ('error', 'click')")
     layer = by_type(error=text("ASM"), click=text("OS_TRIGGERED"))
-    provided = e.select(N.alias("incident"), by_type(error=text("+asm_alert.log"), click=text("syslog.1")).alias("source"))
-    return reasoning.solicit(e.select(N.alias("incident"), layer.alias("layer")), provided)
+    provided = e.select(event_id().alias("incident"), by_type(error=text("+asm_alert.log"), click=text("syslog.1")).alias("source"))
+    return reasoning.solicit(e.select(event_id().alias("incident"), layer.alias("layer")), provided)
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'FC_HBA_RESET' WHEN 'click' THEN 'EXA_FLASH_FAIL' WHEN 'signup' THEN 'OOM_KILLER_ACTIVE' ELSE 'same' END AS pattern, concat_ws(',', 0, event_id % 5 + 1) AS picks FROM events""")
 def graph_names_and_picks(spark, sf_dir):
     """The graph's names of codes; picks that exist, once each."""
     code = by_type(text("same"), error=text("FC_HBA_ABORT"), click=text("FLASH_CACHE_READ_ERROR"), signup=text("OS_OOM_KILLER"))
-    picks = reasoning.grounded_picks(F.array(F.lit(0), F.lit(-1), (N % 5 + 1).cast("int"), F.lit(0), F.lit(99)), F.lit(10))
+    picks = reasoning.grounded_picks(F.array(F.lit(0), F.lit(-1), (event_id() % 5 + 1).cast("int"), F.lit(0), F.lit(99)), F.lit(10))
     return table(spark, sf_dir, "events").select("event_id", reasoning.graph_pattern(code).alias("pattern"), F.array_join(picks.cast("array<string>"), ",").alias("picks"))
 
 
@@ -272,16 +273,16 @@ FROM events WHERE event_id >= 100 OR event_type <> 'click' UNION ALL SELECT even
 def learned_incidents(spark, sf_dir):
     """K9: validated new incidents after the stored ones."""
     e = table(spark, sf_dir, "events")
-    stored = e.where("event_id < 100").select(N.alias("chunk_id"), TYPE.alias("category"), F.lit("OLD").alias("severity"))
-    new = e.select(N.alias("chunk_id"), by_type(text("nonsense"), click=text("DISK")).alias("category"), by_type(text("?"), click=text("INFO")).alias("severity"))
+    stored = e.where("event_id < 100").select(event_id().alias("chunk_id"), event_type().alias("category"), F.lit("OLD").alias("severity"))
+    new = e.select(event_id().alias("chunk_id"), by_type(text("nonsense"), click=text("DISK")).alias("category"), by_type(text("?"), click=text("INFO")).alias("severity"))
     return sessions.learned(stored, new.unionByName(new))
 
 
 @query("""SELECT event_id, 'a' || user_id || 'b' AS cleaned, CASE WHEN event_type = 'error' THEN -1.0::DOUBLE ELSE value END AS number FROM events""")
 def cleaned_values(spark, sf_dir):
     """no NUL bytes, no infinities."""
-    number = F.when(TYPE == "error", F.when(N % 2 == 0, float("nan")).otherwise(float("inf"))).otherwise(F.col("value"))
-    return table(spark, sf_dir, "events").select("event_id", T.clean(text("a", U, "b\0", "c" * 30), F.lit(2) + F.length(U.cast("string"))).alias("cleaned"), T.finite(number, -1.0).alias("number"))
+    number = F.when(event_type() == "error", F.when(event_id() % 2 == 0, float("nan")).otherwise(float("inf"))).otherwise(F.col("value"))
+    return table(spark, sf_dir, "events").select("event_id", T.clean(text("a", user_id(), "b\0", "c" * 30), F.lit(2) + F.length(user_id().cast("string"))).alias("cleaned"), T.finite(number, -1.0).alias("number"))
 
 
 # chunks -------------------------------------------------------------------------------------
@@ -293,9 +294,9 @@ UNION ALL SELECT 'c', 'unknown', 'CRS', 'ERROR', '', 1, date_trunc('second', ts)
 def crs_window_chunks(spark, sf_dir):
     """Cluster-log windows of 30 seconds."""
     at = lambda seconds: F.date_format(F.date_trunc("second", "ts") + F.expr(f"INTERVAL {seconds} SECOND"), "yyyy-MM-dd HH:mm:ss.S")
-    code = F.when(TYPE == "error", "CRS-1618").otherwise("CRS-9999")
-    content = text(at(0), " [CSSD]", code, ": Node node", U, " is not responding\n", at(10), " [CSSD]CRS-8888: more\n", at(40), " [CSSD]CRS-7777: later\n", at(41), " [CSSD]CRS-2676: benign")
-    rows = P.parse_crs(event_lines(spark, sf_dir, F.when(TYPE.isin("error", "click"), content)))
+    code = F.when(event_type() == "error", "CRS-1618").otherwise("CRS-9999")
+    content = text(at(0), " [CSSD]", code, ": Node node", user_id(), " is not responding\n", at(10), " [CSSD]CRS-8888: more\n", at(40), " [CSSD]CRS-7777: later\n", at(41), " [CSSD]CRS-2676: benign")
+    rows = P.parse_crs(event_lines(spark, sf_dir, F.when(event_type().isin("error", "click"), content)))
     rows = rows.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
     return chunking.crs_chunks(rows, "c").select("collection_id", "hostname", "category", "severity", "ora_code", "line_count", ntz("timestamp_start"))
 
@@ -304,7 +305,7 @@ def crs_window_chunks(spark, sf_dir):
  sha256('c|df|host' || user_id || '|' || (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)) IS NOT NULL AS has_id FROM events""")
 def entry_row_chunks(spark, sf_dir):
     """A chunk for each row."""
-    rows = table(spark, sf_dir, "events").select(text("host", U).alias("path"), N.alias("line_number"), F.date_trunc("second", "ts").cast("timestamp").alias("timestamp"), TYPE.alias("severity"), F.col("props").alias("raw"))
+    rows = table(spark, sf_dir, "events").select(text("host", user_id()).alias("path"), event_id().alias("line_number"), F.date_trunc("second", "ts").cast("timestamp").alias("timestamp"), event_type().alias("severity"), F.col("props").alias("raw"))
     out = chunking.entry_chunks(rows, "c", "DF", F.when(F.col("severity") == "error", "DISK").otherwise("OS"), F.col("path"))
     return out.select("hostname", "log_source", "category", "severity", "raw_text", "line_count", ntz("timestamp_start"), F.col("chunk_id").isNotNull().alias("has_id"))
 
@@ -313,8 +314,8 @@ def entry_row_chunks(spark, sf_dir):
 FROM events, (VALUES ('TRACE_HEADER', 'INFO'), ('TRACE_CALL_STACK', 'ERROR')) s(sub_category, severity)""")
 def trace_section_chunks(spark, sf_dir):
     """A chunk of a trace's header and one of each section."""
-    content = text("Process ID: ", N, "\nInstance name: db", U, "\n----- Call Stack -----\nksedmp()+", N, "\n----------------------\nend")
-    parsed = P.parse_trace(event_lines(spark, sf_dir, content)).join(table(spark, sf_dir, "events").select(text("e", N).alias("path"), text("p", U).alias("parent")), "path")
+    content = text("Process ID: ", event_id(), "\nInstance name: db", user_id(), "\n----- Call Stack -----\nksedmp()+", event_id(), "\n----------------------\nend")
+    parsed = P.parse_trace(event_lines(spark, sf_dir, content)).join(table(spark, sf_dir, "events").select(text("e", event_id()).alias("path"), text("p", user_id()).alias("parent")), "path")
     out = chunking.trace_chunks(parsed.select("path", "instance_name", "pid", "sections", "parent").drop("parent"), "c")
     parents = parsed.select("path", F.col("parent").alias("parent_chunk_id"))
     return out.drop("parent_chunk_id").join(parents, "path").select("path", "parent_chunk_id", "sub_category", "severity", "raw_text")
@@ -326,8 +327,8 @@ def trace_section_chunks(spark, sf_dir):
 def _mixed_files(spark, sf_dir) -> DataFrame:
     at = stamp("yyyy-MM-dd'T'HH:mm:ss")
     return event_files(spark, sf_dir, by_type(
-        text("timeout in module ", N), error=text(at, "+00:00\nORA-27072: File I/O error ", N, "\nLinux-x86_64 Error: 5: Input/output error"), signup=text(at, "Z host", U, " kernel: blk_update_request: I/O error, dev sdb, sector ", N),
-        purchase=text(at, " cell1 CELLSRV: warningCode=FLASH_IO_TIMEOUT flashDisk=FD_", N), click=text(at, "Z host", U, " sshd[1]: Failed password for root ", N),
+        text("timeout in module ", event_id()), error=text(at, "+00:00\nORA-27072: File I/O error ", event_id(), "\nLinux-x86_64 Error: 5: Input/output error"), signup=text(at, "Z host", user_id(), " kernel: blk_update_request: I/O error, dev sdb, sector ", event_id()),
+        purchase=text(at, " cell1 CELLSRV: warningCode=FLASH_IO_TIMEOUT flashDisk=FD_", event_id()), click=text(at, "Z host", user_id(), " sshd[1]: Failed password for root ", event_id()),
     ))
 
 
@@ -359,8 +360,8 @@ def diagnosed_files(spark, sf_dir):
 def registry_signals(spark, sf_dir):
     """The registry of 44 rules, a code once a text."""
     content = by_type(
-        text("nothing at all"), error=text("blk_update_request: I/O error, dev sdb, sector ", N, "\nblk_update_request: I/O error, dev sdc"), click=text("nf_conntrack: table full, dropping packet"),
-        signup=text("Kernel panic - not syncing: out"), purchase=text("rebal run 9 of group ", N),
+        text("nothing at all"), error=text("blk_update_request: I/O error, dev sdb, sector ", event_id(), "\nblk_update_request: I/O error, dev sdc"), click=text("nf_conntrack: table full, dropping packet"),
+        signup=text("Kernel panic - not syncing: out"), purchase=text("rebal run 9 of group ", event_id()),
     )
     found = translator.signals(table(spark, sf_dir, "events").select("event_id", content.alias("text")), "event_id")
     return found.select("event_id", "code", "rule", "layer", "severity")

@@ -13,7 +13,16 @@ from faultline.plans.catalog import query
 from faultline.plans.frames import table
 from faultline.sources import files as S
 
-N, U, TYPE = F.col("event_id"), F.col("user_id"), F.col("event_type")
+def event_id() -> Column:
+    return F.col("event_id")
+
+
+def user_id() -> Column:
+    return F.col("user_id")
+
+
+def event_type() -> Column:
+    return F.col("event_type")
 
 
 def stamp(form: str) -> Column:
@@ -28,7 +37,7 @@ def text(*parts) -> Column:
 def by_type(default: Column | None = None, **values: Column) -> Column:
     out = F.when(F.lit(False), F.lit(""))
     for name, value in values.items():
-        out = out.when(TYPE == name, value)
+        out = out.when(event_type() == name, value)
     return out.otherwise(F.lit(None).cast("string") if default is None else default)
 
 
@@ -63,7 +72,7 @@ SELECT 'host' || user_id AS path, min(event_id) AS line_number, 'host' || user_i
 FROM l WHERE block > 0 GROUP BY user_id, block""")
 def syslog_continuations(spark, sf_dir):
     """Entries with continuation lines, their year from a year table."""
-    line = F.when(TYPE == "view", text("   more ", N)).otherwise(text(stamp("MMM d HH:mm:ss"), " host", U, " ", TYPE, "[", N, "]: value ", F.col("props")))
+    line = F.when(event_type() == "view", text("   more ", event_id())).otherwise(text(stamp("MMM d HH:mm:ss"), " host", user_id(), " ", event_type(), "[", event_id(), "]: value ", F.col("props")))
     lines = host_lines(spark, sf_dir, line)
     out = P.parse_syslog(lines, lines.select("path").distinct().withColumn("year", F.lit(2024)))
     return out.select("path", long("line_number"), "host", "process", "pid", "message", ntz(), "timestamp_confidence", "format")
@@ -73,9 +82,9 @@ def syslog_continuations(spark, sf_dir):
 HAVING bool_or(event_type <> 'view')""")
 def year_inference(spark, sf_dir):
     """The year of the first line with a whole date."""
-    dated = text(F.when(U % 3 == 0, "2023").otherwise("2024"), stamp("-MM-dd HH:mm:ss"), " x")
+    dated = text(F.when(user_id() % 3 == 0, "2023").otherwise("2024"), stamp("-MM-dd HH:mm:ss"), " x")
     rows = table(spark, sf_dir, "events").where("event_id < 5000")
-    lines = rows.select(text("host", U).alias("path"), F.row_number().over(_by_host()).alias("line_number"), F.when(TYPE == "view", text(stamp("MMM d HH:mm:ss"), " host x: y")).otherwise(dated).alias("line"))
+    lines = rows.select(text("host", user_id()).alias("path"), F.row_number().over(_by_host()).alias("line_number"), F.when(event_type() == "view", text(stamp("MMM d HH:mm:ss"), " host x: y")).otherwise(dated).alias("line"))
     return infer_years(lines, 10**6)
 
 
@@ -92,10 +101,10 @@ def _by_host():
 def syslog_signals(spark, sf_dir):
     """A message gives an event for each signal it shows."""
     message = by_type(
-        text("nothing to see"), error=text("sd 2:0:0:1: hostbyte=DID_TIME_OUT blk_update_request: I/O error, dev sdb, sector ", N), signup=text("mpatha: remaining active paths: 0"),
-        purchase=text("Out of memory: Killed process ", N), click=text("rejecting I/O to offline device"),
+        text("nothing to see"), error=text("sd 2:0:0:1: hostbyte=DID_TIME_OUT blk_update_request: I/O error, dev sdb, sector ", event_id()), signup=text("mpatha: remaining active paths: 0"),
+        purchase=text("Out of memory: Killed process ", event_id()), click=text("rejecting I/O to offline device"),
     )
-    entries = P.parse_syslog(host_lines(spark, sf_dir, text(stamp("yyyy-MM-dd'T'HH:mm:ss"), "Z host", U, " kernel: ", message)))
+    entries = P.parse_syslog(host_lines(spark, sf_dir, text(stamp("yyyy-MM-dd'T'HH:mm:ss"), "Z host", user_id(), " kernel: ", message)))
     return P.syslog_events(entries).select(F.col("source_path").alias("path"), long("line_number"), "code", "severity", "device", F.col("multipath_device").alias("multipath"), "block")
 
 
@@ -115,8 +124,8 @@ def alert_blocks(spark, sf_dir):
     at = stamp(_CLASSIC)
     content = by_type(
         text("ORA-00600: without a time"),
-        error=text(at, "\nErrors in file /u01/diag/trace/db_", N, ".trc (incident=", 4000 + N, "):\nORA-27072: File I/O error\nLinux-x86_64 Error: ", N % 7 + 1, ": Input/output error\nORA-27072: again"),
-        signup=text(at, "\n[PDB", U, "] ORA-15130: diskgroup is being dismounted\nORA-27072: File I/O error"), purchase=text(at, "\nPMON: process ", N, " died"), click=text(at, "\nStarting ORACLE instance (normal)"),
+        error=text(at, "\nErrors in file /u01/diag/trace/db_", event_id(), ".trc (incident=", 4000 + event_id(), "):\nORA-27072: File I/O error\nLinux-x86_64 Error: ", event_id() % 7 + 1, ": Input/output error\nORA-27072: again"),
+        signup=text(at, "\n[PDB", user_id(), "] ORA-15130: diskgroup is being dismounted\nORA-27072: File I/O error"), purchase=text(at, "\nPMON: process ", event_id(), " died"), click=text(at, "\nStarting ORACLE instance (normal)"),
     )
     out = P.parse_alert_blocks(event_lines(spark, sf_dir, content))
     return out.select("path", "severity", F.array_join("ora_codes", ",").alias("codes"), "errno", "trace_path", "incident_path", "incident_id", "pdb_name", "process_died", "instance_message", ntz())
@@ -126,7 +135,7 @@ def alert_blocks(spark, sf_dir):
 def sql_dump_cut(spark, sf_dir):
     """P5: five lines of a dumped statement stay."""
     dump = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.concat(F.lit("select "), k.cast("string"), F.lit("\n")))
-    content = text(stamp(_CLASSIC), "\nCurrent SQL statement:\n", F.array_join(F.slice(dump, F.lit(1), (N % 12).cast("int")), ""), "ORA-07445: y")
+    content = text(stamp(_CLASSIC), "\nCurrent SQL statement:\n", F.array_join(F.slice(dump, F.lit(1), (event_id() % 12).cast("int")), ""), "ORA-07445: y")
     out = P.parse_alert_blocks(event_lines(spark, sf_dir, content))
     return out.select("path", F.size("lines").cast("long").alias("n_lines"), F.exists("lines", lambda x: x.contains("TRUNCATED")).alias("cut"), F.array_join("ora_codes", ",").alias("codes"))
 
@@ -141,8 +150,8 @@ FROM events, (VALUES (2, 'ORA-27072', 'ERROR', 'DB', 'DB_IO_SYMPTOM', 'IO'), (3,
 def alert_log_events(spark, sf_dir):
     """Telling lines, with the time of the last line that has its own."""
     content = text(
-        stamp("yyyy-MM-dd'T'HH:mm:ss"), "+00:00\nORA-27072: File I/O error\nLinux-x86_64 Error: 5: Input/output error\nORA-00312: online log ", N % 4, " thread 1: '/redo/log", N,
-        ".rdo'\nORA-00353: log corruption near block ", N, " change 1 time 03/07/2024 02:40:00\nLGWR (ospid: ", N, "): terminating the instance due to error 353\nORA-15080: synchronous I/O failed\nall is well",
+        stamp("yyyy-MM-dd'T'HH:mm:ss"), "+00:00\nORA-27072: File I/O error\nLinux-x86_64 Error: 5: Input/output error\nORA-00312: online log ", event_id() % 4, " thread 1: '/redo/log", event_id(),
+        ".rdo'\nORA-00353: log corruption near block ", event_id(), " change 1 time 03/07/2024 02:40:00\nLGWR (ospid: ", event_id(), "): terminating the instance due to error 353\nORA-15080: synchronous I/O failed\nall is well",
     )
     out = P.alert_events(event_lines(spark, sf_dir, by_type(error=content)))
     return out.select(
@@ -158,9 +167,9 @@ FROM events JOIN (VALUES ('signup', 'ASM_DISMOUNT_PROGRESS', 'ASM_PATTERN', 'WAR
 def asm_fragments(spark, sf_dir):
     """Fragments of storage-manager logs; a line that starts with the code
     is the alert log's, a cell's line the cell's."""
-    failed = text("Read Failed. group:1 disk:", N, " AU:3 offset:4 size:5")
+    failed = text("Read Failed. group:1 disk:", event_id(), " AU:3 offset:4 size:5")
     content = by_type(
-        text("CELLSRV: ", failed), error=text("ORA-15130: diskgroup DATA is being dismounted"), signup=text("cache dismounting group ", N % 5, " (DATA", U, ")"), purchase=failed,
+        text("CELLSRV: ", failed), error=text("ORA-15130: diskgroup DATA is being dismounted"), signup=text("cache dismounting group ", event_id() % 5, " (DATA", user_id(), ")"), purchase=failed,
         click=text("saw ORA-15080 and ora-15081, ORA-15080"),
     )
     out = P.asm_events(event_lines(spark, sf_dir, content))
@@ -179,8 +188,8 @@ def cell_entries(spark, sf_dir):
     """Storage-cell entries with continuation lines; benign ones go."""
     at = stamp("yyyy-MM-dd'T'HH:mm:ss")
     content = by_type(
-        text(at, " MS: hello"), error=text(at, "+00:00 cell", U, " CELLSRV: warningCode=FLASH_IO_TIMEOUT flashDisk=FD_", N, " cellDisk=CD_03\n detail ", N), signup=text(at, " MS: no alerts in this interval"),
-        purchase=text(at, " CELLSRV: Read Failed. group:1 disk:", N, " AU:3 offset:4 size:5"), click=text(at, " RS: FD_02 on CD_09 requires replacement"),
+        text(at, " MS: hello"), error=text(at, "+00:00 cell", user_id(), " CELLSRV: warningCode=FLASH_IO_TIMEOUT flashDisk=FD_", event_id(), " cellDisk=CD_03\n detail ", event_id()), signup=text(at, " MS: no alerts in this interval"),
+        purchase=text(at, " CELLSRV: Read Failed. group:1 disk:", event_id(), " AU:3 offset:4 size:5"), click=text(at, " RS: FD_02 on CD_09 requires replacement"),
     )
     out = P.cell_events(event_lines(spark, sf_dir, content))
     return out.select(F.col("source_path").alias("path"), "code", "severity", "cell", "component", ntz(), "flash_disk", "cell_disk", "asm_disk", F.size(F.split("raw", "\n")).alias("n_lines"))
@@ -194,7 +203,7 @@ def crs_lines(spark, sf_dir):
     """P12"""
     at = stamp("yyyy-MM-dd HH:mm:ss.SSSSSS")
     line = by_type(
-        text("noise"), error=text(at, " [CSSD]CRS-1618: Node node", U, " is not responding"), purchase=text(at, " [CRSD] Start of resource 'ora.db", U, "' succeeded CRS-2676"), signup=text(at, " [OHASD]CRS-5011: time jump"),
+        text("noise"), error=text(at, " [CSSD]CRS-1618: Node node", user_id(), " is not responding"), purchase=text(at, " [CRSD] Start of resource 'ora.db", user_id(), "' succeeded CRS-2676"), signup=text(at, " [OHASD]CRS-5011: time jump"),
         click=text(at, " [EVMD]CRS-9999: something"),
     )
     out = P.parse_crs(host_lines(spark, sf_dir, line))
@@ -205,7 +214,7 @@ def crs_lines(spark, sf_dir):
 UNION ALL SELECT 'e' || event_id, 1, 'b:' || event_id, NULL, event_type || ' x' FROM events""")
 def key_value_records(spark, sf_dir):
     """Records of keys and values, between blank lines."""
-    content = text("name: a", N, "\nsize:  ", U, "\n\nname: b:", N, "\n  kind: ", TYPE, " x \nno pair")
+    content = text("name: a", event_id(), "\nsize:  ", user_id(), "\n\nname: b:", event_id(), "\n  kind: ", event_type(), " x \nno pair")
     out = P.parse_records(event_lines(spark, sf_dir, content))
     return out.select("path", F.col("record").cast("int").alias("record"), *[F.try_element_at("fields", F.lit(k)).alias(k) for k in ("name", "size", "kind")])
 
@@ -215,7 +224,7 @@ FROM events JOIN (VALUES ('error', 'DISK_ERR7', 'CRITICAL', 'SCSI_DISK_TIMEOUT',
  a(event_type, label, severity, os_pattern, category) USING (event_type)""")
 def aix_error_reports(spark, sf_dir):
     """Reports split at dashed lines; an entry without a label is none."""
-    entry = lambda label, kind, cls: text(f"LABEL:\t\t{label}\nIDENTIFIER:\tDE3B8540\n\nDate/Time:       ", stamp("EEE MMM dd HH:mm:ss"), " IST ", stamp("yyyy"), "\nNode Id:         aix", U, f"\nClass:           {cls}\nType:            {kind}\nResource Name:   hdisk", N, "\n\nDescription\nDISK OPERATION ERROR\n---------------\nnothing")
+    entry = lambda label, kind, cls: text(f"LABEL:\t\t{label}\nIDENTIFIER:\tDE3B8540\n\nDate/Time:       ", stamp("EEE MMM dd HH:mm:ss"), " IST ", stamp("yyyy"), "\nNode Id:         aix", user_id(), f"\nClass:           {cls}\nType:            {kind}\nResource Name:   hdisk", event_id(), "\n\nDescription\nDISK OPERATION ERROR\n---------------\nnothing")
     content = by_type(text("no report"), error=entry("DISK_ERR7", "PERM", "H"), signup=entry("FS_FULL", "PERF", "S"), purchase=entry("SOMETHING", "ODD", "O"))
     out = P.parse_errpt(event_files(spark, sf_dir, content))
     return out.select("path", "label", "severity", "os_pattern", "category", "resource", "hostname", ntz(), "description")
@@ -231,13 +240,14 @@ FROM (SELECT event_id, event_type = 'error' AS old, CAST(CASE WHEN event_type =
  CASE WHEN event_type = 'error' THEN event_id % 100 + 0.5::DOUBLE ELSE CAST(event_id % 101 AS DOUBLE) END AS util_pct FROM events)""")
 def iostat_rows(spark, sf_dir):
     """Device rows under either header."""
-    old = text("Device: rrqm/s wrqm/s r/s w/s rkB/s wkB/s avgrq-sz avgqu-sz await r_await w_await svctm %util\nsdb 0.00 0.10 82 120 3280 4800 79.5 1.2 ", N % 300, ".0 5.5 6.4 5.8 ", N % 100, ".5\nnot a row")
-    new = text("Device r/s w/s rkB/s wkB/s rrqm/s wrqm/s %rrqm %wrqm r_await w_await aqu-sz %util\nsdc ", N % 50, " 2 3 4 5 6 7 8 ", N % 300, " 9.0 1.0 ", N % 101)
+    old = text("Device: rrqm/s wrqm/s r/s w/s rkB/s wkB/s avgrq-sz avgqu-sz await r_await w_await svctm %util\nsdb 0.00 0.10 82 120 3280 4800 79.5 1.2 ", event_id() % 300, ".0 5.5 6.4 5.8 ", event_id() % 100, ".5\nnot a row")
+    new = text("Device r/s w/s rkB/s wkB/s rrqm/s wrqm/s %rrqm %wrqm r_await w_await aqu-sz %util\nsdc ", event_id() % 50, " 2 3 4 5 6 7 8 ", event_id() % 300, " 9.0 1.0 ", event_id() % 101)
     out = P.parse_iostat(event_lines(spark, sf_dir, by_type(new, error=old)))
     return out.select("path", "device", "await_ms", "util_pct", "iops", "r_await", "w_await", "severity")
 
 
-_VM = text("  ", N % 12, " ", U % 2, " ", N % 7, " ", 400000 + N * 100, " 1 1 ", N % 900, " ", U % 700, " 1 2 3 4 ", N % 100, " 2 3 ", N % 60)
+def _vmstat_line() -> Column:
+    return text("  ", event_id() % 12, " ", user_id() % 2, " ", event_id() % 7, " ", 400000 + event_id() * 100, " 1 1 ", event_id() % 900, " ", user_id() % 700, " 1 2 3 4 ", event_id() % 100, " 2 3 ", event_id() % 60)
 
 
 @query("""SELECT 'host' || user_id AS path, event_id AS line_number, event_id % 900 AS si, user_id % 700 AS so, event_id % 60 AS wa, event_id % 12 AS r, 400000 + event_id * 100 AS free_kb,
@@ -246,7 +256,7 @@ _VM = text("  ", N % 12, " ", U % 2, " ", N % 7, " ", 400000 + N * 100, " 1 1 ",
 FROM (SELECT *, event_id % 900 > 500 OR user_id % 700 > 500 AS swap FROM events) WHERE event_type <> 'view'""")
 def vmstat_samples(spark, sf_dir):
     """P16"""
-    out = P.parse_vmstat(host_lines(spark, sf_dir, F.when(TYPE == "view", "procs ---memory---").otherwise(_VM)))
+    out = P.parse_vmstat(host_lines(spark, sf_dir, F.when(event_type() == "view", "procs ---memory---").otherwise(_vmstat_line())))
     return out.select("path", long("line_number"), "si", "so", "wa", "r", "free_kb", "severity", F.array_join("patterns", ",").alias("patterns"))
 
 
@@ -258,7 +268,7 @@ def vmstat_samples(spark, sf_dir):
 FROM events WHERE event_type <> 'view' GROUP BY user_id""")
 def osw_peaks(spark, sf_dir):
     """Peaks of each file's samples, and their signals."""
-    out = P.parse_osw(host_lines(spark, sf_dir, F.when(TYPE == "view", text("zzz ***", stamp(_CLASSIC))).otherwise(_VM)))
+    out = P.parse_osw(host_lines(spark, sf_dir, F.when(event_type() == "view", text("zzz ***", stamp(_CLASSIC))).otherwise(_vmstat_line())))
     return out.select("path", "sample_count", *[c for c in out.columns if c.startswith(("peak", "min"))], F.array_join("osw_signals", ",").alias("osw_signals"))
 
 
@@ -268,7 +278,7 @@ def osw_peaks(spark, sf_dir):
 FROM (SELECT *, event_id % 106 AS use, CASE WHEN event_type = 'error' THEN '/arch' ELSE '/u' END || user_id AS mount FROM events) WHERE event_type <> 'view'""")
 def df_rows(spark, sf_dir):
     """File systems but for those in memory."""
-    line = F.when(TYPE == "view", text("tmpfs 1G 1G 0 100% /run/", N)).otherwise(text("/dev/a", N, " 200G 100G 100G ", N % 106, "% ", F.when(TYPE == "error", "/arch").otherwise("/u"), U))
+    line = F.when(event_type() == "view", text("tmpfs 1G 1G 0 100% /run/", event_id())).otherwise(text("/dev/a", event_id(), " 200G 100G 100G ", event_id() % 106, "% ", F.when(event_type() == "error", "/arch").otherwise("/u"), user_id()))
     return P.parse_df(host_lines(spark, sf_dir, line)).select("path", long("line_number"), "filesystem", "use_pct", "mount", "severity", "os_pattern")
 
 
@@ -278,7 +288,7 @@ def df_rows(spark, sf_dir):
 FROM events WHERE event_type <> 'view'""")
 def sar_cpu_rows(spark, sf_dir):
     """Rows of all processors together."""
-    line = text(stamp("HH:mm:ss"), " AM     ", F.when(TYPE == "view", "0").otherwise("all"), "      ", N % 50, ".25    0.00     1.82     0.12    ", N % 40, "   ", N % 30)
+    line = text(stamp("HH:mm:ss"), " AM     ", F.when(event_type() == "view", "0").otherwise("all"), "      ", event_id() % 50, ".25    0.00     1.82     0.12    ", event_id() % 40, "   ", event_id() % 30)
     out = P.parse_sar_cpu(host_lines(spark, sf_dir, line))
     return out.select("path", long("line_number"), F.col("user").alias("user_pct"), "steal", "idle", "severity", F.array_join("patterns", ",").alias("patterns"))
 
@@ -298,8 +308,8 @@ def awr_reports(spark, sf_dir):
         click=text("gc cr request                 1,000   12.0       1.2     3.0  Cluster"),
     )
     content = text(
-        "WORKLOAD REPOSITORY report\nElapsed: 10.00 (mins)\nDB Time: ", F.when(N % 2 == 1, text("1,0", F.lpad((N % 50).cast("string"), 2, "0"))).otherwise((N % 50).cast("string")), ".00 (mins)\nTop 10 Foreground Events by Total Wait Time\n", waits,
-        "\nShared Pool Free (%)        ", N % 30, "\nSQL ordered by Elapsed Time\n", F.when(TYPE == "signup", "abcdefghijk12 12.5 3.5 x hard parses").otherwise("quiet"),
+        "WORKLOAD REPOSITORY report\nElapsed: 10.00 (mins)\nDB Time: ", F.when(event_id() % 2 == 1, text("1,0", F.lpad((event_id() % 50).cast("string"), 2, "0"))).otherwise((event_id() % 50).cast("string")), ".00 (mins)\nTop 10 Foreground Events by Total Wait Time\n", waits,
+        "\nShared Pool Free (%)        ", event_id() % 30, "\nSQL ordered by Elapsed Time\n", F.when(event_type() == "signup", "abcdefghijk12 12.5 3.5 x hard parses").otherwise("quiet"),
     )
     out = P.parse_awr(event_files(spark, sf_dir, content))
     return out.select("path", "elapsed_mins", "db_time_mins", "db_time_ratio", F.array_join(F.transform("top_wait_events", lambda e: e["event"]), ",").alias("waits"), F.array_join("awr_signals", ",").alias("awr_signals"))
@@ -314,10 +324,10 @@ def trace_sections(spark, sf_dir):
     """Header fields outside of sections, sections up to their limits."""
     stack = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda k: F.concat(F.lit("\nl"), k.cast("string")))
     content = text(
-        "Trace file x\nProcess ID: ", N, "\nInstance name: db", U, "\n----- Call Stack -----\nksedmp()+", N, "\nmain()\n----------------------\nProcess ID: ", N + 1, "\n----- Error Stack -----",
-        F.array_join(F.slice(stack, F.lit(1), (N % 40).cast("int")), ""),
+        "Trace file x\nProcess ID: ", event_id(), "\nInstance name: db", user_id(), "\n----- Call Stack -----\nksedmp()+", event_id(), "\nmain()\n----------------------\nProcess ID: ", event_id() + 1, "\n----- Error Stack -----",
+        F.array_join(F.slice(stack, F.lit(1), (event_id() % 40).cast("int")), ""),
     )
-    rows = table(spark, sf_dir, "events").where("event_id % 40 > 0").select(text("e", N).alias("path"), content.alias("text"))
+    rows = table(spark, sf_dir, "events").where("event_id % 40 > 0").select(text("e", event_id()).alias("path"), content.alias("text"))
     out = P.parse_trace(P.lines_of(rows))
     calls = F.col("sections")["call_stack"]
     return out.select("path", "pid", "instance_name", calls.alias("call_stack"), F.array_join(P.highlighted_frames(calls), ",").alias("highlights"), F.size(F.split(F.col("sections")["error_stack"], "\n")).cast("long").alias("error_lines"))
@@ -328,8 +338,8 @@ def trace_sections(spark, sf_dir):
 def security_lines(spark, sf_dir):
     """Patterns of the manifest, then fallbacks."""
     line = by_type(
-        text("all is well"), error=text("sshd: Failed password for invalid user u", U, " from 1.2.3.4 port 22 ssh2"), click=text("sshd: Accepted password for u", U, " from 1.2.3.4 port 22 ssh2"),
-        purchase=text("sudo: u", U, " : TTY=x ; PWD=/ ; USER=root ; COMMAND=/bin/ls"), signup=text("ORA-01017: invalid username/password; logon denied"),
+        text("all is well"), error=text("sshd: Failed password for invalid user u", user_id(), " from 1.2.3.4 port 22 ssh2"), click=text("sshd: Accepted password for u", user_id(), " from 1.2.3.4 port 22 ssh2"),
+        purchase=text("sudo: u", user_id(), " : TTY=x ; PWD=/ ; USER=root ; COMMAND=/bin/ls"), signup=text("ORA-01017: invalid username/password; logon denied"),
     )
     return P.parse_security(host_lines(spark, sf_dir, line)).select("path", long("line_number"), "event_type", "severity")
 
@@ -341,7 +351,7 @@ def security_lines(spark, sf_dir):
 def audit_records(spark, sf_dir):
     """Bracketed and plain audit records."""
     content = by_type(
-        text("ACTION: SELECT RETURNCODE: 0"), error=text("ACTION : [5] 'LOGON'\nUSERID : [3] 'U", U, "'\nRETURNCODE : [4] '", N % 3 * 1000, "'"), click=text("ACTION: GRANT DBA RETURNCODE: 0"),
+        text("ACTION: SELECT RETURNCODE: 0"), error=text("ACTION : [5] 'LOGON'\nUSERID : [3] 'U", user_id(), "'\nRETURNCODE : [4] '", event_id() % 3 * 1000, "'"), click=text("ACTION: GRANT DBA RETURNCODE: 0"),
         signup=text("ACTION: DROP USER x RETURNCODE: 0"),
     )
     return P.parse_audit(event_files(spark, sf_dir, content)).select("path", "action", "returncode", "userid", "event_type", "severity")
@@ -351,7 +361,7 @@ def audit_records(spark, sf_dir):
  'InfiniBand port ib' || event_id % 3 || ' has ' || event_id % 4 || ' symbol errors and ' || user_id % 2 || ' link down events' AS message FROM events WHERE event_id % 4 > 0 OR user_id % 2 > 0""")
 def infiniband_ports(spark, sf_dir):
     """Ports with errors."""
-    out = P.parse_exawatcher(host_lines(spark, sf_dir, text("ib", N % 3, " ", N % 4, " 0 ", U % 2)))
+    out = P.parse_exawatcher(host_lines(spark, sf_dir, text("ib", event_id() % 3, " ", event_id() % 4, " 0 ", user_id() % 2)))
     return out.select("path", long("line_number"), "port", "errors", "link_down_count", "severity", "message")
 
 
@@ -362,8 +372,8 @@ def infiniband_ports(spark, sf_dir):
 def generic_lines(spark, sf_dir):
     """P25: lines with a code or a telling word, but for logins."""
     line = by_type(
-        text("sshd[1]: error in failed password"), error=text("x ORA-00600: internal and TNS-12541"), click=text("timeout on sdb after ", N), purchase=text("mount failed for diskgroup DATA now"),
-        signup=text("error noted in /u01/x_", N, ".trc"),
+        text("sshd[1]: error in failed password"), error=text("x ORA-00600: internal and TNS-12541"), click=text("timeout on sdb after ", event_id()), purchase=text("mount failed for diskgroup DATA now"),
+        signup=text("error noted in /u01/x_", event_id(), ".trc"),
     )
     out = P.generic_events(host_lines(spark, sf_dir, line))
     return out.select(F.col("source_path").alias("path"), long("line_number"), "code", "code_type", "severity", "parse_confidence", "device", "diskgroup", "trace_file")
@@ -377,7 +387,7 @@ def generic_lines(spark, sf_dir):
 def platform_detection(spark, sf_dir):
     """The platform that a text shows, and its error number."""
     content = by_type(
-        text("plain"), error=text("Linux-x86_64 Error: 5: Input/output error"), click=text("LABEL: DISK_ERR7\nIDENTIFIER: X"), signup=text("cellDiskType: FlashDisk"), purchase=text("O/S-Error: (OS ", N, ") Access is denied."),
+        text("plain"), error=text("Linux-x86_64 Error: 5: Input/output error"), click=text("LABEL: DISK_ERR7\nIDENTIFIER: X"), signup=text("cellDiskType: FlashDisk"), purchase=text("O/S-Error: (OS ", event_id(), ") Access is denied."),
     )
     rows = table(spark, sf_dir, "events").select("event_id", content.alias("text"))
     rows = rows.withColumn("platform", D.platform(F.col("text")))
@@ -392,16 +402,16 @@ def platform_detection(spark, sf_dir):
 def input_parsing(spark, sf_dir):
     """What kind of question a text is, and what it names."""
     content = by_type(
-        text("why is everything slow"), error=text("ORA-00600 internal error"), click=text("what is ora-01555 on dbhost", U, " at ", stamp("yyyy-MM-dd HH:mm:ss")), signup=text(stamp("MMM d HH:mm:ss"), " db", U, " kernel: it broke"),
+        text("why is everything slow"), error=text("ORA-00600 internal error"), click=text("what is ora-01555 on dbhost", user_id(), " at ", stamp("yyyy-MM-dd HH:mm:ss")), signup=text(stamp("MMM d HH:mm:ss"), " db", user_id(), " kernel: it broke"),
     )
-    out = D.parse_input(table(spark, sf_dir, "events").select(N.alias("query_id"), content.alias("text")))
+    out = D.parse_input(table(spark, sf_dir, "events").select(event_id().alias("query_id"), content.alias("text")))
     return out.select(F.col("query_id").alias("event_id"), "mode", "primary_ora", "hostname", "timestamp_str", F.array_join("observed_layers", ",").alias("observed_layers"))
 
 
 @query("""SELECT event_id, event_type IN ('error', 'click', 'signup') AS runs FROM events""")
 def command_lines(spark, sf_dir):
     """Commands, and prose that only looks like them."""
-    line = by_type(text("Please select a disk"), error=text("alter system set x=", N), click=text("$ ls -l"), signup=text("x; select 1 from dual"), purchase=text("Cause: y\nAction: drop z"))
+    line = by_type(text("Please select a disk"), error=text("alter system set x=", event_id()), click=text("$ ls -l"), signup=text("x; select 1 from dual"), purchase=text("Cause: y\nAction: drop z"))
     return table(spark, sf_dir, "events").select("event_id", D.executable_command(line).alias("runs"))
 
 
@@ -409,7 +419,7 @@ def command_lines(spark, sf_dir):
  CASE event_type WHEN 'error' THEN 'ORA-00600 ' || event_id WHEN 'click' THEN 'line ' || event_id ELSE 'plain ' || event_id END AS text FROM events""")
 def json_payloads(spark, sf_dir):
     """Wrapped logs come out, other texts stay."""
-    content = by_type(text("plain ", N), error=text('{"logs":[{"name":"inner', U, '.log","text":"ORA-00600 ', N, '"},{"name":"empty"}]}'), click=text('[{"content":"line ', N, '"}]'))
+    content = by_type(text("plain ", event_id()), error=text('{"logs":[{"name":"inner', user_id(), '.log","text":"ORA-00600 ', event_id(), '"},{"name":"empty"}]}'), click=text('[{"content":"line ', event_id(), '"}]'))
     return S.json_logs(event_files(spark, sf_dir, content)).select("wrapper", "path", "text")
 
 
@@ -417,7 +427,7 @@ def json_payloads(spark, sf_dir):
 def json_headers(spark, sf_dir):
     """Items of a payload as one text with header lines."""
     rows = table(spark, sf_dir, "events").select(
-        text("host", U).alias("path"), N.alias("position"), text("h", U).alias("hostname"), F.lit(None).cast("string").alias("timestamp"), F.when(TYPE == "error", "s").alias("source"), text("  ", F.col("props"), " ").alias("text")
+        text("host", user_id()).alias("path"), event_id().alias("position"), text("h", user_id()).alias("hostname"), F.lit(None).cast("string").alias("timestamp"), F.when(event_type() == "error", "s").alias("source"), text("  ", F.col("props"), " ").alias("text")
     )
     return S.json_header_text(rows)
 
@@ -426,13 +436,13 @@ def json_headers(spark, sf_dir):
  CASE WHEN event_type = 'error' THEN 'bad ' || user_id || ' luck' ELSE 'something ' || event_type END AS meaning FROM events WHERE event_id < 100000""")
 def manual_sections(spark, sf_dir):
     """Code, message, cause and action of a manual's sections."""
-    cause = F.when(TYPE == "error", text("Cause: bad ", U, "\nluck\n")).otherwise("")
-    content = text("preface\nORA-", F.lpad(N.cast("string"), 5, "0"), ": something ", TYPE, "\n", cause, "*Action: do it\n")
+    cause = F.when(event_type() == "error", text("Cause: bad ", user_id(), "\nluck\n")).otherwise("")
+    content = text("preface\nORA-", F.lpad(event_id().cast("string"), 5, "0"), ": something ", event_type(), "\n", cause, "*Action: do it\n")
     return S.manual_messages(event_lines(spark, sf_dir, content)).select("path", "code", "message", "cause", "action", "meaning")
 
 
 @query("""SELECT 'e' || event_id AS path, CAST(3 AS BIGINT) AS line_number, 'ORA-' || lpad(CAST(event_id AS VARCHAR), 5, '0') AS error_code, 'slow ' || event_type AS symptoms, 'first' || chr(10) || 'second' AS action_plan FROM events WHERE event_id < 100000""")
 def markdown_rows(spark, sf_dir):
     """Rows of a table of codes."""
-    content = text("| code | symptom | plan |\n|---|---|---|\n| ORA-", F.lpad(N.cast("string"), 5, "0"), " | slow ", TYPE, " | first<br/>second |\n| no code | x | y |\n| ORA-00001 | two cells |\n")
+    content = text("| code | symptom | plan |\n|---|---|---|\n| ORA-", F.lpad(event_id().cast("string"), 5, "0"), " | slow ", event_type(), " | first<br/>second |\n| no code | x | y |\n| ORA-00001 | two cells |\n")
     return S.markdown_tables(event_lines(spark, sf_dir, content)).select("path", long("line_number"), "error_code", "symptoms", "action_plan")

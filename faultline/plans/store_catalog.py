@@ -10,7 +10,7 @@ from faultline.operators import chunking, core, reasoning, retrieval, sessions
 from faultline.operators import parsers as P
 from faultline.plans.catalog import _bench, _BM25, _docs, query
 from faultline.plans.frames import CHUNKS_SQL, chunks_of_events, table
-from faultline.plans.log_catalog import TYPE, N, U, by_type, event_files, stamp, text
+from faultline.plans.log_catalog import by_type, event_files, event_id, event_type, stamp, text, user_id
 from faultline.sources import files as S
 
 # files and archives -----------------------------------------------------------------------
@@ -19,7 +19,7 @@ from faultline.sources import files as S
 def _host_texts(spark, sf_dir) -> DataFrame:
     """(host, text): a host's events, a line each."""
     lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", "props"))), lambda x: x["props"]), "\n")
-    return table(spark, sf_dir, "events").groupBy(text("host", U).alias("host")).agg(lines.alias("text"))
+    return table(spark, sf_dir, "events").groupBy(text("host", user_id()).alias("host")).agg(lines.alias("text"))
 
 
 def _written(rows: DataFrame, folder: str, pack) -> None:
@@ -113,9 +113,9 @@ SELECT 'db' || event_id || '.trc' AS trace_path, CAST(least(k * 47 + 50, n) - k
 def alert_block_chunks(spark, sf_dir):
     """Chunks of long alert blocks with their overlap; blocks of
     nothing but information go."""
-    many = F.array_join(F.slice(F.transform(F.sequence(F.lit(0), F.lit(150)), lambda k: F.concat(F.lit("\nline "), k.cast("string"))), F.lit(1), (N % 150).cast("int")), "")
+    many = F.array_join(F.slice(F.transform(F.sequence(F.lit(0), F.lit(150)), lambda k: F.concat(F.lit("\nline "), k.cast("string"))), F.lit(1), (event_id() % 150).cast("int")), "")
     at = stamp("EEE MMM d HH:mm:ss yyyy")
-    content = text(at, "\nORA-00600: x, Trace file: db", N, ".trc", many, "\n", at, "\nall is well")
+    content = text(at, "\nORA-00600: x, Trace file: db", event_id(), ".trc", many, "\n", at, "\nall is well")
     out = chunking.alert_chunks(P.parse_alert_blocks(P.lines_of(event_files(spark, sf_dir, content))), "c")
     return out.select("trace_path", "line_count", "ora_code", "severity")
 
@@ -124,8 +124,8 @@ def alert_block_chunks(spark, sf_dir):
  ('signup', 30, 'SUSPECTED', 'CRY_WOLF_SUPPRESSED'), ('purchase', 60, 'HIGH_CONFIDENCE', 'STARVED_IO_THREAD'), ('view', 100, 'CONFIRMED', 'CRITICAL_DAEMON_KILLED')) r(event_type, score, label, overrides) USING (event_type)""")
 def confidence_overrides(spark, sf_dir):
     """Five rules that override the sum of weights."""
-    signals = F.when(TYPE == "purchase", F.array(F.lit("LAYER_MEMORY"), F.lit("CPU_SATURATION"), F.lit("LOG_FILE_SYNC"))).otherwise(F.array(F.lit("LAYER_MEMORY")))
+    signals = F.when(event_type() == "purchase", F.array(F.lit("LAYER_MEMORY"), F.lit("CPU_SATURATION"), F.lit("LOG_FILE_SYNC"))).otherwise(F.array(F.lit("LAYER_MEMORY")))
     root = by_type(error=text("KERNEL_PANIC"), click=text("ORA-3136"), signup=text("ORA-3136"), view=text("OS_OOM_KILLER"))
-    c = reasoning.bucket_confidence(signals, root, F.when(TYPE == "click", 200).otherwise(5), F.lit("killed multipathd"))
+    c = reasoning.bucket_confidence(signals, root, F.when(event_type() == "click", 200).otherwise(5), F.lit("killed multipathd"))
     rows = table(spark, sf_dir, "events").select("event_id", c.alias("c"))
     return rows.select("event_id", F.col("c.score").cast("int").alias("score"), "c.label", F.array_join("c.overrides", ",").alias("overrides"))
