@@ -68,9 +68,15 @@ def record_id(record: bytes) -> str:
     return record[begin + 17 : record.find(b">", begin)].decode("utf-8", "replace") if begin >= 0 else UNREADABLE
 
 
+def member_of(record: bytes) -> bytes:
+    """A record as a gzip member."""
+    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return packer.compress(record) + packer.flush()
+
+
 class ArchiveFile:
-    """Writes records as gzip members; the file has its name once it is
-    whole, so a repeated task leaves one whole file."""
+    """Writes gzip members; the file has its name once it is whole, so a
+    repeated task leaves one whole file."""
 
     def __init__(self, uri: str):
         import uuid
@@ -80,9 +86,8 @@ class ArchiveFile:
         self.part = f"{self.path.rpartition('/')[0]}/.{uuid.uuid4().hex}.part"
         self.out = self.store.open_output_stream(self.part, compression=None)
 
-    def write(self, record: bytes) -> None:
-        packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-        self.out.write(packer.compress(record) + packer.flush())
+    def write(self, member: bytes) -> None:
+        self.out.write(member)
 
     def close(self) -> None:
         self.out.close()
@@ -159,23 +164,29 @@ def write_archive(pages: DataFrame, folder: str, file_records: int = FILE_RECORD
     else:
         dealt = pages.withColumn("part", F.lit(0).cast("long"))
     name = F.concat_ws("-", F.coalesce(F.col("first").cast("string"), F.lit("none")), F.when(F.col("part") > 0, F.col("part")))
-    rows = dealt.select(name.alias("file"), "page_id", F.sha2("record", 256).alias("hash"), "record")
+    rows = dealt.select(name.alias("file"), "page_id", "place", "record")
+
+    def pack(batches):  # what is shuffled is compressed already
+        for batch in batches:
+            members = [member_of(x.encode()) for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(members, pa.binary())], ["file", "page_id", "place", "member"])
 
     def write(batches):
         own, n, at = None, 0, None
         for batch in batches:
-            for file, record in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
+            for file, member in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist()):
                 if file != at:
                     if own:
                         own.close()
                     own, at = ArchiveFile(f"{folder}/{file}.warc.gz"), file
-                own.write(record.encode())
+                own.write(member)
                 n += 1
         if own:
             own.close()
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    rows.repartition("file").sortWithinPartitions("file", "page_id", "hash").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    packed = rows.mapInArrow(pack, f"file string, page_id {pages.schema['page_id'].dataType.simpleString()}, place long, member binary")
+    packed.repartition("file").sortWithinPartitions("file", "page_id", "place").mapInArrow(write, "n long").agg(F.sum("n")).collect()
     discard(crowded)
 
 
@@ -201,7 +212,7 @@ def copy_archive(spark: SparkSession, source: str, target: str, change: Callable
                 out = ArchiveFile(f"{target}/{path.rpartition('/')[2]}")
                 for record, _, _ in read_records(path):
                     for new in change(record_id(record), record):
-                        out.write(new)
+                        out.write(member_of(new))
                         n += 1
                 out.close()
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
