@@ -3,8 +3,7 @@ subpackage.  Every stage gets what its predecessor kept, written as Parquet
 and read again, and returns the columns of documents; the last returns the
 packed pieces.
 
-Nulls and odd rows: language identification drops null and letterless texts;
-a null doc_id is kept by the near-duplicate stage, as it belongs to no group.
+Extra columns of documents stay, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
@@ -25,13 +24,21 @@ NEAR_PERCENT, NEAR_WORDS = 80, 5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is known with enough certainty."""
+    """Keeps the documents whose language is known with enough certainty: of
+    their words at least LEAST_SCORE.  Null and letterless texts go.  Equal
+    rows share their fate; whole texts are read however long; a table without
+    rows or without any lang keeps none."""
     return label_documents(docs, learn(docs), least_score=LEAST_SCORE)
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group, that with the smallest doc_id, and
-    of rows that repeat a doc_id one of each group they are in."""
+    of rows that repeat a doc_id one of each group they are in.
+
+    Null and wordless texts are in no group and stay; so do rows without
+    doc_id.  Equal rows are one group; whole texts are compared however long;
+    an empty table stays empty.
+    """
     groups = written(near_duplicate_rows(docs, NEAR_PERCENT, NEAR_WORDS), "groups")
     repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
@@ -48,12 +55,15 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents to the target weights of their sources."""
+    """Repeats documents to the target weights of their sources.  A null source
+    is a source of its own, null texts count as empty ones, equal rows are
+    repeated alike, an empty table stays empty."""
     return mix_sources(docs, columns=False)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences."""
+    """Pieces of all documents, packed into sequences.  Null texts are one end
+    id, repeated rows are packed each, an empty table gives no piece."""
     return pack_documents(docs)
 
 

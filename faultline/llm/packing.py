@@ -148,4 +148,11 @@ def sequences(pieces: DataFrame, sequence: int = SEQUENCE, pad_id: int = 0) -> D
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of SEQUENCE ids: doc_id, start,
+    length, ids_crc32, doc_tokens, sequence_id and offset.
+
+    Nulls, repeated rows, empty tables and other columns are as
+    ``pack_documents`` says.  A very long text is cut; equal lengths go by
+    task and place in it.
+    """
     return pack_documents(table(spark, sf_dir, "documents"))

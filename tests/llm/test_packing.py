@@ -58,3 +58,10 @@ def test_sequences_hold_the_ids(spark, tables):
     total = sum(len(encoder(tokenizer_path()).encode(f"some words {k} ".encode() * k)) // 4 + 1 for k in range(1, 40))
     assert sum(r["n_ids"] for r in rows) == total
     assert all(len(r["ids"]) == 256 or r["n_ids"] & (r["n_ids"] - 1) == 0 for r in rows)
+
+
+def test_extra_columns_are_ignored(spark, tables):
+    rows = [(k, f"text {k} " * k, k, "x") for k in range(40)]
+    folder = tables(documents=(rows, "doc_id long, text string, length long, sequence_id string"))
+    got = op5_packing(spark, folder)
+    assert set(got.columns) == {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} and got.count() == 40

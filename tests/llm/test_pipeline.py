@@ -85,3 +85,18 @@ def test_repeated_ids_with_different_texts(spark):
     docs = spark.createDataFrame([(k, t, "aa", "s", 0) for k, t in rows], DOCUMENT)
     got = sorted((r["doc_id"], r["text"].removesuffix(" more")) for r in corpus_pipeline.near_duplicate_groups(spark, docs, "").collect())
     assert got == [(1, text[0]), (2, text[1]), (2, text[2]), (3, text[3])]
+
+
+def test_extra_columns_and_long_texts_go_through(spark):
+    """Columns that operators use themselves are the caller's here."""
+    long = " ".join(sample("aa", k, 50) for k in range(600))
+    rows = [(k, sample("aa", k, 60), "aa", f"s{k % 2}") for k in range(30)] + [(50, long, "aa", "s0"), (51, long, "aa", "s0"), (52, long + " river", "aa", "s1")]
+    names = ["lang_pred", "lang_score", "copy", "rate", "_mix_key", "key", "component", "place", "part", "length"]
+    docs = spark.createDataFrame([(*r, *[f"{r[0]}{c}" for c in names]) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, "").collect(), docs.schema)
+        assert all(r[c] == f"{r['doc_id']}{c}" for r in docs.collect() for c in names), name
+        if name == "near_duplicates":
+            assert {r["doc_id"] for r in docs.collect() if r["doc_id"] >= 50} == {50}
+    pieces = corpus_pipeline.packed(spark, docs, "").collect()
+    assert {p["doc_id"] for p in pieces} == {r["doc_id"] for r in docs.collect()}
