@@ -16,31 +16,30 @@ SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8
 ESCAPE = len(SELECTORS) - 1
 BLOCK = 65_536
 _COUNT = np.array([n for n, _ in SELECTORS], np.int64)
+#: the fewest bits of a selector that hold a value of so many bits
+_WIDTH = np.array([min(b for _, b in SELECTORS if b >= max(n, 1)) for n in range(61)], np.uint8)
 
 
 def _choices(values: np.ndarray) -> np.ndarray:
     """For each position the selector whose word holds the most values."""
     n = len(values)
-    width = np.zeros(n, np.uint8)
-    for bits in sorted({b for _, b in SELECTORS}):
-        width[values >> np.uint64(bits) > 0] = bits + 1  # needs more than these bits
-    widest = {1: width}  # the largest width among the next k values
-    k = 1
-    while k < 32:
-        half = widest[k]
-        full = half.copy()
-        full[: max(n - k, 0)] = np.maximum(half[: max(n - k, 0)], half[k:])
-        widest[2 * k] = full
-        k *= 2
+    # bits that a selector has to have for a value
+    width = _WIDTH[np.frexp(values.astype(np.float64))[1]]
+    counts = np.cumsum(np.bincount(width, minlength=61))
+    widest, k = {1: width}, 1  # the largest width among the next k values
     best = np.full(n, ESCAPE, np.uint8)
     for s in range(len(SELECTORS) - 1, -1, -1):
         count, bits = SELECTORS[s]
-        if count > n:
-            continue
-        k = 1 << (count.bit_length() - 1)
-        at = np.arange(0) if count > n else slice(0, n - count + 1)
-        most = np.maximum(widest[k][at], widest[k][count - k : count - k + n - count + 1])
-        best[at][most <= bits] = s
+        if count > n or counts[bits] < count:
+            continue  # nowhere are so many values so small
+        half = 1 << (count.bit_length() - 1)
+        while k < half:
+            full = widest[k].copy()
+            full[: max(n - k, 0)] = np.maximum(full[: max(n - k, 0)], widest[k][k:])
+            k *= 2
+            widest[k] = full
+        most = np.maximum(widest[half][: n - count + 1], widest[half][count - half : n - half + 1])
+        best[: n - count + 1][most <= bits] = s
     return best
 
 

@@ -17,10 +17,11 @@ from faultline.llm.shared import bounded_batches, release
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 
-#: lower-case Latin letters that Unicode normalisation leaves alone, then at
-#: most one mark: the pre-tokenizer cuts such a chunk into these two pieces
-_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]?)\Z")
-_ASCII = re.compile(rb"([a-z]+)([.,;:!?]?)\Z")
+#: lower-case Latin letters that Unicode normalisation leaves alone, then
+#: ASCII marks: the pre-tokenizer cuts such a chunk into these two pieces
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)\Z")
+_ASCII = re.compile(rb"([a-z]+)([!-/:-@\[-`{-~]*)\Z")
+MOST_MARKS = 10_000
 
 
 def tokenizer_path(name: str = DEFAULT_TOKENIZER) -> str:
@@ -41,11 +42,12 @@ class ChunkEncoder(dict):
     """Maps a chunk (lower-case ASCII bytes) to its ids as uint32 bytes.
 
     ``path`` names a tokenizers JSON file whose normaliser lower-cases.  Runs
-    of letters are remembered when first met, chunks when their run is met
-    again.  At most ``limit`` of either are kept; then they start anew.
+    of letters are remembered when first met, chunks of a run and marks when
+    the run is met again.  At most ``limit`` of both are kept; then they start
+    anew.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -54,42 +56,39 @@ class ChunkEncoder(dict):
         self.limit = limit
         self.symbols = _byte_symbols()
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.marks = {m.encode(): self._whole(m) for m in ["", *".,;:!?"]}
-        self.letters: dict[bytes, bytes] = {}
+        self.marks = {b"": b""}
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, run: bytes) -> bytes:
-        """Ids of a run of letters that isn't known yet."""
-        text = run.decode() if run.isascii() else "".join(map(self.symbols.__getitem__, run))
-        ids = array("I", [t.id for t in self.tokenize(text)]).tobytes()
-        if len(self.letters) >= self.limit:
-            self.letters.clear()
-        self.letters[run] = ids
+    def _mark(self, mark: bytes) -> bytes:
+        """Ids of a run of marks."""
+        if len(self.marks) >= MOST_MARKS:
+            self.marks = {b"": b""}
+        ids = self.marks[mark] = self._whole(mark.decode())
         return ids
 
     def __missing__(self, chunk: bytes) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
         plain = _ASCII.match(chunk)
         if plain:
-            run, mark = plain[1], plain[2]
+            run, mark = plain.groups()
         else:
             plain = _PLAIN.match(chunk.decode().lower())
             if not plain:
-                ids = self._whole(chunk.decode())
-                if len(self) >= self.limit:
-                    self.clear()
-                self[chunk] = ids
+                ids = self[chunk] = self._whole(chunk.decode())
                 return ids
             run, mark = plain[1].encode(), plain[2].encode()
-        ids = self.letters.get(run)
-        if ids is None:
-            return self._learn(run) + self.marks[mark]
-        ids += self.marks[mark]
-        if len(self) >= self.limit:
-            self.clear()
-        self[chunk] = ids
-        return ids
+        known = self.get(run)
+        if known is None:
+            text = run.decode() if run.isascii() else "".join(map(self.symbols.__getitem__, run))
+            known = self[run] = array("I", [t.id for t in self.tokenize(text)]).tobytes()
+            return known + (self.marks.get(mark) or self._mark(mark)) if mark else known
+        if mark:
+            known += self.marks.get(mark) or self._mark(mark)
+        self[chunk] = known
+        return known
 
     def encode(self, text: bytes) -> bytes:
         """Little-endian uint32 ids of a whole text."""
@@ -118,11 +117,10 @@ def document_ids(batches, path: str, end_id: int = END_ID):
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index("text"))
         for lo in range(0, batch.num_rows, 256):
-            part = texts.slice(lo, 256).to_pylist()
-            yield batch.slice(lo, 256), [encode((t or "").encode()) + end for t in part]
+            part = texts.slice(lo, 256).cast("binary").to_pylist()
+            yield batch.slice(lo, 256), [encode(t or b"") + end for t in part]
     # a worker lives longer than its task
     encoder(path).clear()
-    encoder(path).letters.clear()
     release()
 
 
