@@ -79,11 +79,15 @@ def discard(*tables: DataFrame | None) -> None:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of jobs whose frames are
-    gone, which it else does when the driver happens to collect its garbage."""
+    gone, which it else does when the driver happens to collect its garbage.
+    What Python frees is free in the JVM a moment later, hence twice."""
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
