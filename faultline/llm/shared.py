@@ -80,14 +80,14 @@ def discard(*tables: DataFrame | None) -> None:
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of jobs whose frames are
     gone, which it else does when the driver happens to collect its garbage.
-    What Python frees is free in the JVM a moment later, hence twice."""
+    What Python frees is free in the JVM a moment later, hence three times."""
     import gc
     import time
 
-    for _ in range(2):
+    for _ in range(3):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(0.7)
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
