@@ -24,7 +24,7 @@ def _choices(values: np.ndarray) -> np.ndarray:
     """For each position the selector whose word holds the most values."""
     n = len(values)
     # bits that a selector has to have for a value
-    width = _WIDTH[np.frexp(values.astype(np.float64))[1]]
+    width = _WIDTH[np.minimum(np.frexp(values.astype(np.float64))[1], 60)]  # 2**60 - 1 is rounded up
     counts = np.cumsum(np.bincount(width, minlength=61))
     widest, k = {1: width}, 1  # the largest width among the next k values
     best = np.full(n, ESCAPE, np.uint8)
