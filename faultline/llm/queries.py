@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from faultline.llm.anagram_join import OP13_SQL, op13_anagram_names
+from faultline.llm.filter_audit import OP12_SQL, op12_filter_audit
 from faultline.llm.fixity import OP4_SQL, op4_fixity
 from faultline.llm.jaccard import op9_ngram_jaccard
 from faultline.llm.language import op8_language
@@ -10,6 +12,7 @@ from faultline.llm.near_vectors import OP10_SQL, op10_near_vectors
 from faultline.llm.ngram_model import op6_ngram_scores
 from faultline.llm.packing import op5_packing
 from faultline.llm.posting_search import op1_posting_search
+from faultline.llm.quality import op11_quality_pu
 from faultline.llm.token_files import op3_token_files
 from faultline.llm.transcripts import op7_transcripts
 
@@ -26,8 +29,11 @@ def queries():
         "op8_language": op8_language,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_near_vectors": op10_near_vectors,
+        "op11_quality_pu": op11_quality_pu,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_anagram_names": op13_anagram_names,
     }
 
 
 def oracle_sql():
-    return {"op2_mix_sources": OP2_SQL, "op4_fixity": OP4_SQL, "op10_near_vectors": OP10_SQL}
+    return {"op2_mix_sources": OP2_SQL, "op4_fixity": OP4_SQL, "op10_near_vectors": OP10_SQL, "op12_filter_audit": OP12_SQL, "op13_anagram_names": OP13_SQL}
