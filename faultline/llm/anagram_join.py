@@ -191,9 +191,11 @@ def similar_names(left: DataFrame, right: DataFrame, most_edits: int = MOST_EDIT
     if not 0 <= most_edits <= _LETTERS:
         raise ValueError(f"most_edits is 0 to {_LETTERS}")
     left, right = (side.select("id", "name").where("name is not null and name <> ''") for side in (left, right))
-    met = _keys(left, most_edits, "left").join(_keys(right, most_edits, "right"), "key").where(_disjoint(most_edits)).select("left_id", "right_id")
-    named = met.join(right.select(F.col("id").alias("right_id"), F.col("name").alias("right_name")), "right_id")
-    named = named.join(left.select(F.col("id").alias("left_id"), F.col("name").alias("left_name")), "left_id")
+    # keys are a hundred times the names that their size is estimated by, and
+    # pairs grow with the names: every side is merged, none is broadcast
+    met = _keys(left, most_edits, "left").join(_keys(right, most_edits, "right").hint("merge"), "key").where(_disjoint(most_edits)).select("left_id", "right_id")
+    named = met.join(right.select(F.col("id").alias("right_id"), F.col("name").alias("right_name")).hint("merge"), "right_id")
+    named = named.join(left.select(F.col("id").alias("left_id"), F.col("name").alias("left_name")).hint("merge"), "left_id")
     return named.select("left_id", "right_id", "left_name", "right_name").mapInArrow(lambda batches: _verify(batches, most_edits), "left_id long, right_id long, distance int")
 
 
@@ -230,11 +232,11 @@ def join_names(clients: DataFrame, vendors: DataFrame, most_edits: int = MOST_ED
     spelt = written(distinct(vendors, "vendor_id").select(F.col("of").alias("vendor_id"), misspelt("name", "of").alias("name")), "vendors")
     right = written(spelt.select("name").distinct().select(number, "name"), "vendor-names")
     pairs = written(similar_names(left, right, most_edits), "name-pairs")
-    counts = pairs.join(left.select(F.col("id").alias("left_id"), "n_clients", "first_client_id", "clients_crc"), "left_id")
+    counts = pairs.join(left.select(F.col("id").alias("left_id"), "n_clients", "first_client_id", "clients_crc").hint("merge"), "left_id")
     totals = (F.sum("n_clients").alias("n_clients"), F.min("first_client_id").alias("first_client_id"), F.sum("clients_crc").alias("clients_crc"))
     counts = counts.groupBy("right_id", "distance").agg(*totals)
     of_name = right.select(F.col("id").alias("right_id"), "name")
-    out = spelt.join(of_name, "name").join(counts, "right_id").groupBy("vendor_id", "distance").agg(*totals)
+    out = spelt.join(of_name.hint("merge"), "name").join(counts.hint("merge"), "right_id").groupBy("vendor_id", "distance").agg(*totals)
     out = written(out, "vendor-distances")
     discard(left, spelt, right, pairs)
     return out
