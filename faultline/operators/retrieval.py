@@ -3,11 +3,15 @@ query dimension, so many queries run as one job."""
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,21 +28,122 @@ def corpus_terms(words: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("total"))
 
 
-def write_index(chunks: DataFrame, folder: str) -> None:
-    """Stores the words and term counts of chunks (chunk_id, text); called
-    again, it adds chunks to what is stored without reading that."""
-    words = chunks.select("chunk_id", tokens(F.col("text")).alias("terms"))
-    words.write.mode("append").parquet(f"{folder}/words")
-    corpus_terms(words).write.mode("append").parquet(f"{folder}/terms")
+#: chunks of a part of the index and of a block of its maxima, folders that
+#: terms are dealt into
+PART, POSTING_BLOCK, BUCKETS = 2048, 64, 64
+#: words of a part, where chunks are long
+PART_TERMS = 1_000_000
+#: letters of a word, to tell the words of texts that aren't split yet
+LETTERS = 6
+
+
+def _part_lists(key: tuple, words: pa.Table) -> pa.Table:
+    """The posting lists of one part, from its chunks in order."""
+    terms = words["terms"].combine_chunks()
+    lengths = pc.list_value_length(terms).to_numpy(zero_copy_only=False).astype(np.int64)
+    names = terms.flatten().dictionary_encode()
+    pos = np.repeat(np.argsort(np.argsort(words["place"].to_numpy())), lengths)  # chunks come in any order
+    lengths = lengths[np.argsort(words["place"].to_numpy())]
+    n = max(len(lengths), 1)
+    both, tf = np.unique(names.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + pos, return_counts=True)
+    term, pos = both // n, both % n
+    starts = lambda *keys: np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))) if len(keys[0]) else np.zeros(0, np.int64)
+
+    def lists(at: np.ndarray, name: str, *columns: np.ndarray) -> pa.Array:
+        items = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in columns], names=[name, "tf", "length"])
+        return pa.ListArray.from_arrays(pa.array(np.append(at, len(columns[0])).astype(np.int32)), items)
+
+    of_term, of_block = starts(term), starts(term, pos // POSTING_BLOCK)
+    most = np.maximum.reduceat(tf, of_block) if len(tf) else tf
+    least = np.minimum.reduceat(lengths[pos], of_block) if len(tf) else tf
+    return pa.table(
+        {
+            "part": pa.array(np.full(len(of_term), key[0].as_py())), "term": names.dictionary.take(pa.array(term[of_term])), "posting": lists(of_term, "pos", pos, tf, lengths[pos]),
+            "best": lists(np.searchsorted(of_block, of_term), "block", pos[of_block] // POSTING_BLOCK, most, least),
+        }
+    )
 
 
-def read_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(words, term counts) of a stored index, counts of its parts added."""
-    counts = spark.read.parquet(f"{folder}/terms").groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
-    return spark.read.parquet(f"{folder}/words"), counts
+_LIST = "array<struct<{}:int,tf:int,length:int>>"
+
+
+def parts_of(chunks: int, terms: float | None) -> int:
+    """Parts of about PART chunks and PART_TERMS words."""
+    return max(1, -(-chunks // PART), math.ceil((terms or 0) / PART_TERMS))
+
+
+def postings(words: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """R2: (chunks, lists) of words (chunk_id, terms).
+
+    Chunks are dealt into parts and numbered there: (part, pos, chunk_id).  A list has the places of a term in
+    a part in order, with the term's count and the chunk's length, and of each
+    block of places the largest count and the smallest length: together they
+    bound every score of the block, whatever the mean length of the corpus will
+    be.  One shuffle, by part.
+    """
+    order = Window.partitionBy("part").orderBy("chunk_id")
+    dealt = words.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts))).withColumn("place", F.row_number().over(order) - 1)
+    schema = f"part long, term string, posting {_LIST.format('pos')}, best {_LIST.format('block')}"
+    return dealt.select("part", F.col("place").alias("pos"), "chunk_id"), dealt.select("part", "place", "terms").groupBy("part").applyInArrow(_part_lists, schema)
 
 
-def query_weights(queries: DataFrame, words: DataFrame, settings: Settings, counted: DataFrame | None = None) -> DataFrame:
+def write_index(chunks: DataFrame, folder: str) -> None:
+    """Adds chunks (chunk_id, text) to a stored index as a segment of its
+    own: posting lists in folders by term, the numbers of chunks, term counts.
+
+    A chunk that is stored already counts once, as it was first; rows that
+    repeat a chunk_id are one chunk.  A segment is read once its manifest is
+    written, so a write that breaks off adds nothing and can be repeated.
+    """
+    spark, segment = chunks.sparkSession, uuid.uuid4().hex[:12]
+    new = chunks.select("chunk_id", "text").dropDuplicates(["chunk_id"])
+    stored = read_index(spark, folder)
+    if stored is not None:
+        new = new.join(stored.chunks.select("chunk_id"), "chunk_id", "left_anti")
+    new.select("chunk_id", tokens(F.col("text")).alias("terms")).write.parquet(f"{folder}/words/segment={segment}")
+    words = spark.read.parquet(f"{folder}/words/segment={segment}")
+    numbers, lists = postings(words, parts_of(*words.agg(F.count("*"), F.sum(F.size("terms"))).first()))
+    numbers.write.parquet(f"{folder}/chunks/segment={segment}")
+    lists = lists.withColumn("bucket", _bucket("term"))
+    # a term's lists are dealt over several files, as frequent ones are long
+    lists.repartition("bucket", F.pmod("part", F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings/segment={segment}")
+    corpus_terms(words).write.parquet(f"{folder}/terms/segment={segment}")
+    spark.createDataFrame([(segment,)], "segment string").write.parquet(f"{folder}/_manifest/segment={segment}")
+
+
+def _bucket(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+@dataclass(frozen=True)
+class Index:
+    """Chunks (part, pos, chunk_id), lists (part, term, posting, best) and
+    terms (term, df, total); a part is a segment's."""
+
+    chunks: DataFrame
+    lists: DataFrame
+    terms: DataFrame
+
+
+def read_index(spark: SparkSession, folder: str) -> Index | None:
+    """The finished segments of a stored index; None if there is none."""
+    try:
+        done = sorted(str(r[0]) for r in spark.read.parquet(f"{folder}/_manifest/*").collect())  # a row a write
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+    def of(name: str) -> DataFrame:
+        schema = spark.read.parquet(f"{folder}/{name}/segment={done[0]}").schema.add("segment", "string")
+        return spark.read.schema(schema).option("basePath", f"{folder}/{name}").parquet(*[f"{folder}/{name}/segment={s}" for s in done])
+
+    whole = lambda df: df.withColumn("part", F.xxhash64("segment", "part"))
+    counts = of("terms").groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+    return Index(whole(of("chunks")), whole(of("postings")), counts)
+
+
+def query_weights(queries: DataFrame, words: DataFrame | None, settings: Settings, counted: DataFrame | None = None) -> DataFrame:
     """(query_id, term, times, idf, mean_length): the mean idf, which floors
     negative ones, is over the whole vocabulary."""
     counted = corpus_terms(words) if counted is None else counted
@@ -70,61 +175,160 @@ def bm25(queries: DataFrame, chunks: DataFrame, settings: Settings = DEFAULT, ca
     return scored if candidates is None else scored.join(candidates, ["query_id", "chunk_id"], "left_semi")
 
 
-#: queries and chunks of a block of bm25_topk, and chunks scored at once
-QUERY_BLOCK, CHUNK_BLOCK, CHUNK_STEP = 512, 4096, 256
-
-
-def _keyword_block(k: int, k1: float, b: float):
-    def run(weights: pa.Table, chunks: pa.Table) -> pa.Table:
-        schema = pa.schema([weights.schema.field("query_id"), chunks.schema.field("chunk_id"), pa.field("score", pa.float64())])
-        if not weights.num_rows or not chunks.num_rows:
+#: queries that meet a part together, and what rounding to four digits hides
+QUERY_BLOCK, SLACK = 512, 2e-4
+#: of so many parts one is searched first, for scores that the others have to reach
+FIRST = 8
+
+
+class _Part:
+    """The lists of a part as flat arrays."""
+
+    def __init__(self, lists: pa.Table, k1: float, b: float, mean: float):
+        self.row = {t: i for i, t in enumerate(lists["term"].to_pylist())}
+        norm = lambda tf, length: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+        self.pos, tf, length, self.at = self._flat(lists["posting"], "pos")
+        self.value = norm(tf, length)
+        self.block, tf, length, self.block_at = self._flat(lists["best"], "block")
+        self.bound = norm(tf, length)
+        self.most = np.maximum.reduceat(self.bound, self.block_at[:-1]) if len(self.bound) else self.bound
+        self.size = int(self.pos.max()) + 1 if len(self.pos) else 0
+
+    @staticmethod
+    def _flat(column: pa.ChunkedArray, first: str):
+        column = column.combine_chunks()
+        items = column.flatten()
+        field = lambda name: items.field(name).to_numpy(zero_copy_only=False)
+        at = np.concatenate(([0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))))
+        return field(first).astype(np.int64), field("tf").astype(float), field("length").astype(float), at
+
+    def list_of(self, row: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.pos[self.at[row] : self.at[row + 1]], self.value[self.at[row] : self.at[row + 1]]
+
+    def search(self, rows: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, int]:
+        """(places, scores, chunks scored in full) of the k best and what rounds
+        to the same, if they reach ``floor``.
+
+        Lists with the highest bounds are added up first.  Once all that is left
+        can't lift a chunk to the k-th score, only chunks seen so far go on and
+        are looked up in the other lists; before each of these, those whose
+        block can't make up the rest go.
+        """
+        bounds = weights * self.most[rows]
+        order = np.argsort(-bounds, kind="stable")
+        rows, weights, bounds = rows[order], weights[order], np.maximum(bounds[order], 0)
+        rest = np.append(np.cumsum(bounds[::-1])[::-1], 0.0)
+        prune = weights.min(initial=0) >= 0  # else a sum so far isn't a lower bound
+        sums, seen, done = np.zeros(self.size), np.zeros(self.size, bool), len(rows)
+        for i, row in enumerate(rows):
+            if prune and i and self.size > k:
+                floor = max(floor, np.partition(sums, self.size - k)[self.size - k])
+                if rest[i] < floor - SLACK:
+                    done = i
+                    break
+            pos, value = self.list_of(row)
+            sums[pos] += weights[i] * value
+            seen[pos] = True
+        found = np.flatnonzero(seen & (sums + rest[done] >= floor - SLACK) if prune else seen)
+        if done < len(rows):
+            left = np.zeros(self.size // POSTING_BLOCK + 1)
+            blocks = [slice(self.block_at[row], self.block_at[row + 1]) for row in rows[done:]]
+            for weight, own in zip(weights[done:], blocks):
+                left[self.block[own]] += weight * self.bound[own]
+            for row, weight, own in zip(rows[done:], weights[done:], blocks):
+                if len(found) > k:
+                    floor = max(floor, np.partition(sums[found], len(found) - k)[len(found) - k])
+                found = found[sums[found] + left[found // POSTING_BLOCK] >= floor - SLACK]
+                pos, value = self.list_of(row)
+                at = np.minimum(np.searchsorted(pos, found), len(pos) - 1)
+                sums[found] += np.where(pos[at] == found, weight * value[at], 0.0)
+                left[self.block[own]] -= weight * self.bound[own]
+        score = sums[found]
+        if len(score) > k:
+            floor = max(floor, np.partition(score, len(score) - k)[len(score) - k]) if prune else np.partition(score, len(score) - k)[len(score) - k]
+        best = (score > 0) & (score >= floor - SLACK)
+        return found[best], score[best], len(found)
+
+
+def _search_part(k: int, k1: float, b: float, scored=None):
+    """Weights of a block of queries meet the lists of one part."""
+
+    def run(key: tuple, weights: pa.Table, lists: pa.Table) -> pa.Table:
+        schema = pa.schema([weights.schema.field("query_id"), ("part", pa.int64()), ("pos", pa.int32()), ("score", pa.float64())])
+        if not weights.num_rows or not lists.num_rows:
             return schema.empty_table()
-        names = weights["term"].combine_chunks().dictionary_encode()
+        part = _Part(lists, k1, b, float(weights["mean_length"][0].as_py()))
+        row = np.array([part.row.get(t, -1) for t in weights["term"].to_pylist()], np.int64)
+        value = weights["times"].to_numpy() * weights["idf"].to_numpy()
         queries = weights["query_id"].combine_chunks().dictionary_encode()
-        asked, of_query = queries.dictionary, queries.indices.to_numpy()
-        table = np.zeros((len(names.dictionary), len(asked)))
-        np.add.at(table, (names.indices.to_numpy(), of_query), weights["times"].to_numpy() * weights["idf"].to_numpy())
-        mean = float(weights["mean_length"][0].as_py())
-        ids, terms = chunks["chunk_id"].combine_chunks(), chunks["terms"].combine_chunks()
-        known = pc.index_in(terms.flatten(), value_set=names.dictionary).to_numpy(zero_copy_only=False)
-        lengths = pc.list_value_length(terms).to_numpy()
-        first = np.concatenate(([0], np.cumsum(lengths)))
-        out = ([], [], [])
-        for lo in range(0, len(ids), CHUNK_STEP):
-            hi = min(lo + CHUNK_STEP, len(ids))
-            own = known[first[lo] : first[hi]]
-            row = np.repeat(np.arange(hi - lo), lengths[lo:hi])
-            seen = ~np.isnan(own.astype(float))
-            tf = np.zeros((hi - lo, len(table)))
-            np.add.at(tf, (row[seen], own[seen].astype(np.int64)), 1.0)
-            norm = k1 * (1 - b + b * lengths[lo:hi] / mean)
-            score = (tf * (k1 + 1) / (tf + norm[:, None])) @ table
-            # of a step the k best of each query, and what rounds to the same
-            edge = np.partition(score, max(len(score) - k, 0), axis=0)[max(len(score) - k, 0)]
-            i, j = np.nonzero((score >= edge - 2e-4) & (score > 0))
-            for values, found in zip(out, (j, lo + i, score[i, j])):
-                values.append(found)
-        j, i, scores = (np.concatenate(x) for x in out)
-        return pa.table([asked.take(pa.array(j)), ids.take(pa.array(i)), pa.array(scores)], schema=schema)
+        of_query, floors = queries.indices.to_numpy(), weights["floor"].to_numpy()
+        order = np.argsort(of_query, kind="stable")
+        out, total = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]), 0
+        for own in np.split(order, np.flatnonzero(np.diff(of_query[order])) + 1):
+            q, floor, own = of_query[own[0]], floors[own[0]], own[row[own] >= 0]
+            if len(own):
+                pos, score, n = part.search(row[own], value[own], k, floor)
+                total += n
+                for values, found in zip(out, (np.full(len(pos), q), pos, score)):
+                    values.append(found)
+        if scored is not None:
+            scored.add(total)
+        q, pos, score = (np.concatenate(x) for x in out)
+        return pa.table([queries.dictionary.take(pa.array(q)), pa.array(np.full(len(q), key[0].as_py())), pa.array(pos.astype(np.int32)), pa.array(score)], schema=schema)
 
     return run
 
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame | None, k: int = DEFAULT.top_k, settings: Settings = DEFAULT, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def bm25_topk(queries: DataFrame, chunks: DataFrame | None, k: int = DEFAULT.top_k, settings: Settings = DEFAULT, index: Index | None = None, scored=None) -> DataFrame:
     """(query_id, chunk_id, bm25_score, rank), the k best of ``bm25``
-    for many queries: blocks of queries meet blocks of chunks, and only each
-    block's best scores leave it.  With an ``index`` of ``read_index`` no text
-    is read."""
+    for many queries, from posting lists: those of a stored ``index`` (its
+    folders of the asked terms are read, no text is), or of chunks (chunk_id,
+    text) whose lists are made for the asked terms alone.
+
+    Blocks of queries meet parts of the chunks.  Every eighth part is searched
+    first; a k-th score found there is what the other parts have to reach.
+    ``scored`` is an accumulator for the chunks that were scored in full.
+    """
     s = settings
-    words, counted = index if index else (chunks.select("chunk_id", tokens(F.col("text")).alias("terms")), None)
-    weights = query_weights(queries, words, s, counted)
-    parts, others = (max(1, -(-df.count() // n)) for df, n in ((queries, QUERY_BLOCK), (words if index else chunks, CHUNK_BLOCK)))
-    deal = lambda df, key, n, own, other, m: df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
-    left, right = deal(weights, "query_id", parts, "p", "q", others), deal(words, "chunk_id", others, "q", "p", parts)
+    asked = queries.select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
+    if index is None:
+        words = chunks.select("chunk_id", tokens(F.col("text")).alias("terms"))
+        weights = query_weights(queries, words, s)
+        parts = parts_of(*chunks.agg(F.count("*"), F.sum(F.length("text")) / LETTERS).first())
+        numbers, lists = postings(words, parts)
+    else:
+        weights, numbers = query_weights(queries, None, s, index.terms), index.chunks
+        folders = asked.select(_bucket("term").alias("bucket")).distinct()
+        lists = index.lists.where(F.col("bucket").isin([r[0] for r in folders.collect()]))  # at most BUCKETS
+    lists = lists.join(asked, "term", "left_semi").select("part", "term", "posting", "best")
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    weights = weights.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     kind = lambda df, c: f"{c} {df.schema[c].dataType.simpleString()}"
-    schema = f"{kind(left, 'query_id')}, {kind(right, 'chunk_id')}, score double"
-    found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInArrow(_keyword_block(max(k, 1), s.bm25_k1, s.bm25_b), schema)
-    return ranked(found.select("query_id", "chunk_id", F.round("score", 4).alias("bm25_score")).where("bm25_score > 0"), "bm25_score", k)
+    schema = f"{kind(weights, 'query_id')}, part long, pos int, score double"
+    every_part = numbers.select(F.col("part").alias("of")).distinct()
+    n = every_part.count()
+
+    def search(lists: DataFrame, parts: DataFrame, weights: DataFrame) -> DataFrame:
+        # a block's weights go to every part, a part's lists to every block
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("block")
+        left = weights.join(parts.select("of", every), "block").withColumnRenamed("of", "part")
+        right = lists.select("*", every)
+        return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(_search_part(max(k, 1), s.bm25_k1, s.bm25_b, scored), schema)
+
+    early = lambda part: F.pmod(F.xxhash64(part), F.lit(FIRST)) == 0
+    weights = weights.withColumn("floor", F.lit(0.0))
+    if n < FIRST:
+        found = search(lists, every_part, weights)
+    else:
+        first = search(lists.where(early("part")), every_part.where(early("of")), weights)
+        kth = Window.partitionBy("query_id").orderBy(F.desc("score"))
+        reached = first.withColumn("rank", F.row_number().over(kth)).where(F.col("rank") == k).select("query_id", F.col("score").alias("reached"))
+        raised = weights.join(reached, "query_id", "left").withColumn("floor", F.coalesce("reached", "floor")).drop("reached")
+        found = first.unionByName(search(lists.where(~early("part")), every_part.where(~early("of")), raised))
+    rounded = found.withColumn("bm25_score", F.round("score", 4)).where("bm25_score > 0")
+    tied = F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("bm25_score")))
+    best = rounded.withColumn("tied", tied).where(F.col("tied") <= k).join(numbers, ["part", "pos"])
+    return ranked(best.select("query_id", "chunk_id", "bm25_score"), "bm25_score", k)
 
 
 def ranked(results: DataFrame, score: str, k: int = DEFAULT.top_k, rank: str = "rank") -> DataFrame:
@@ -133,21 +337,6 @@ def ranked(results: DataFrame, score: str, k: int = DEFAULT.top_k, rank: str = "
     return results.withColumn(rank, F.row_number().over(w) - 1).where(F.col(rank) < k)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """In double precision; null for a zero vector."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def dense(queries: DataFrame, vectors: DataFrame, must: Column | None = None) -> DataFrame:
-    """(query_id, chunk_id, dense_score) of vectors (chunk_id, embedding)
-    for a few queries (query_id, query_embedding); ``dense_topk`` is for many.
-    Rows are filtered by payload first."""
-    rows = vectors if must is None else vectors.where(must)
-    pairs = rows.crossJoin(queries)
-    return pairs.select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("query_embedding")), 4).alias("dense_score")).where("dense_score is not null")
-
-
 #: vectors of a block of dense_topk
 BLOCK = 4096
 
@@ -170,10 +359,13 @@ def _block_topk(k: int):
     return run
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT.top_k) -> DataFrame:
-    """(query_id, chunk_id, dense_score, rank), the k best of ``dense`` for
-    many queries, block by block.  Vectors with null or non-finite components
-    and zero vectors take no part; lengths are compared with their own."""
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT.top_k, must: Column | None = None) -> DataFrame:
+    """(query_id, chunk_id, dense_score, rank), the k vectors (chunk_id,
+    embedding) of highest cosine for each query (query_id, query_embedding),
+    block by block.  ``must`` is a condition on the payload, tested before any
+    vector is compared.  Vectors with null or non-finite components and zero
+    vectors take no part; lengths are compared with their own."""
+    vectors = vectors if must is None else vectors.where(must)
     usable = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     of = lambda df, name, asked, column: df.select(F.col(name).alias("id"), F.col(column).cast("array<double>").alias("embedding"), F.lit(asked).alias("asked")).where(usable)
     asked, rows = of(queries, "query_id", True, "query_embedding"), of(vectors, "chunk_id", False, "embedding")

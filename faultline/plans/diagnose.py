@@ -121,7 +121,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, topology
     their payload from the chunks, so each can be correlated.
     """
     keyword = retrieval.bm25_topk(queries, chunks.select("chunk_id", F.col("raw_text").alias("text")), settings.top_k * 2, settings)
-    vector = retrieval.ranked(retrieval.dense(queries.select("query_id", "query_embedding"), vectors), "dense_score", settings.top_k * 2)
+    vector = retrieval.dense_topk(queries.select("query_id", "query_embedding"), vectors, settings.top_k * 2)
     fused = retrieval.fuse(keyword, vector, settings).join(chunks, "chunk_id", "left")
     reference = fused.select(*chunks.columns).dropDuplicates(["chunk_id"])
     linked = correlation.temporal_correlation(reference, chunks, topology, settings)
