@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.functions.time import CLASSIC, MONTHS, classic_time, group, iso_time, line_time
 from faultline.operators.events import conform
+from faultline.operators.scan import nearby, scan_lines
 
 # fixed values -----------------------------------------------------------------
 RFC3164 = rf"^((?:{MONTHS})\s+\d{{1,2}}\s+\d{{2}}:\d{{2}}:\d{{2}})\s+(\S+)\s+([^\[:\s]+)(?:\[(\d+)\])?:\s*(.+)$"
@@ -125,16 +126,16 @@ def computed(rows: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def lines_of(files: DataFrame) -> DataFrame:
-    """(path, line_number from 1, line)."""
-    exploded = files.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("_pos", "line"))
-    return exploded.select("path", (F.col("_pos") + 1).alias("line_number"), "line")
+    """(path, line_number from 1, line, n_lines of the file)."""
+    cut = files.select("path", F.split("text", r"\r?\n").alias("_lines")).withColumn("n_lines", F.size("_lines"))
+    exploded = cut.select("path", "n_lines", F.posexplode("_lines").alias("_pos", "line"))
+    return exploded.select("path", (F.col("_pos") + 1).alias("line_number"), "line", "n_lines")
 
 
 def blocks(lines: DataFrame, header: Column, keep_head: bool = False) -> DataFrame:
     """Numbers the blocks that header lines open.  Lines before the
     first header are block 0 and go unless ``keep_head``."""
-    w = Window.partitionBy("path").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
-    out = lines.withColumn("header", header).withColumn("block", F.sum(F.col("header").cast("int")).over(w))
+    out = scan_lines(lines.withColumn("header", header), counts={"block": F.col("header").cast("int")})
     return out if keep_head else out.where("block > 0")
 
 
@@ -205,8 +206,7 @@ def truncate_dumps(lines: DataFrame, most: int = 5) -> DataFrame:
     marker, until a blank or an error line ends the dump."""
     marker = F.col("line").contains("SQL statement") | F.col("line").contains("Current SQL")
     ends = (F.trim("line") == "") | F.col("line").startswith("ORA-") | F.col("line").startswith("Errors in file")
-    w = Window.partitionBy("path").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
-    state = lines.withColumn("_state", F.last(F.when(marker, F.col("line_number")).when(ends, F.lit(0)), ignorenulls=True).over(w))
+    state = scan_lines(lines, {"_state": F.when(marker, F.col("line_number")).when(ends, F.lit(0))})
     after = F.col("line_number") - F.col("_state")
     inside = F.coalesce(F.col("_state") > 0, F.lit(False))
     cut = state.where(~inside | (after <= most + 1))
@@ -244,10 +244,8 @@ def alert_events(lines: DataFrame, years: DataFrame | None = None) -> DataFrame:
     rows = computed(dated.withColumn("s", F.trim("line")), "t", line_time(F.col("s"), F.col("year")))
     embedded = F.col("s").rlike(r"(?i)^ORA-\d{5}\b") & ((F.instr(F.col("s"), F.coalesce(F.col("t.raw"), F.lit("\0"))) > 13) | F.col("s").rlike(CORRUPTION_TIME))
     own = F.when(F.col("t.ts").isNotNull() & ~embedded, F.col("t"))
-    so_far = Window.partitionBy("path").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
-    near = Window.partitionBy("path").orderBy("line_number").rowsBetween(-5, 2)
     errno = F.when(F.col("line").rlike(ERRNO), F.struct(F.regexp_extract("line", ERRNO, 2).alias("n"), F.regexp_extract("line", ERRNO, 3).alias("text")))
-    rows = rows.withColumn("now", F.last(own, ignorenulls=True).over(so_far)).withColumn("errno", errno).withColumn("near_errno", F.first("errno", ignorenulls=True).over(near))
+    rows = scan_lines(nearby(rows.withColumn("errno", errno), 5, 2, {"near_errno": F.col("errno")}), {"now": own})
     s = F.col("s")
     code = F.upper(F.regexp_extract(s, ORA_LINE, 1))
     kind = (
@@ -366,10 +364,9 @@ def crs_events(lines: DataFrame) -> DataFrame:
 
 def parse_records(lines: DataFrame) -> DataFrame:
     """``key: value`` records that blank lines separate."""
-    w = Window.partitionBy("path").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("record", F.sum((F.trim("line") == "").cast("int")).over(w)).where(F.col("line").rlike(r"^\s*\w[\w ]*:\s*\S"))
+    rows = scan_lines(lines, counts={"record": (F.trim("line") == "").cast("int")}).where(F.col("line").rlike(r"^\s*\w[\w ]*:\s*\S"))
     pair = F.struct(F.trim(F.regexp_extract("line", r"^\s*([^:]+):", 1)).alias("key"), F.trim(F.regexp_extract("line", r"^[^:]+:\s*(.*)$", 1)).alias("value"))
-    rows = rows.withColumn("_pair", pair).dropDuplicates(["path", "record", "_pair"])
+    rows = rows.withColumn("_pair", pair)
     once = rows.groupBy("path", "record", "_pair.key").agg(F.max_by("_pair.value", "line_number").alias("value"), F.min("line_number").alias("line_number"))
     return once.groupBy("path", "record").agg(F.min("line_number").alias("line_number"), F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("fields"))
 
@@ -401,8 +398,7 @@ def parse_iostat(lines: DataFrame) -> DataFrame:
     """Device rows; the last header says which columns they have."""
     s = F.trim("line")
     old, new = s.rlike(r"(?i)Device[:\s]+rrqm.*avgrq.*await.*%util"), s.rlike(r"(?i)Device\s+r/s\s+w/s\s+rkB/s\s+wkB/s.*r_await")
-    w = Window.partitionBy("path").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("mode", F.last(F.when(old, "legacy").when(new, "modern"), ignorenulls=True).over(w)).where(~old & ~new & (s != ""))
+    rows = scan_lines(lines, {"mode": F.when(old, "legacy").when(new, "modern")}).where(~old & ~new & (s != ""))
     rows = rows.withColumn("s", F.trim("line")).withColumn("v", _numbers(F.col("line"))).withColumn("n", F.size("v"))
     numeric = F.forall(F.slice("v", 2, 100), lambda x: x.rlike(r"^[\d.]+$"))
     num = lambda i: F.expr(f"try_cast(try_element_at(v, {i}) AS DOUBLE)")
@@ -513,13 +509,12 @@ def parse_trace(lines: DataFrame) -> DataFrame:
     lines of each section, up to its limit."""
     starts = reduce(lambda acc, kv: acc.when(F.col("line").contains(kv[1][0]), kv[0]), TRACE_SECTIONS.items(), F.when(F.lit(False), ""))
     ends = reduce(lambda a, b: a | b, [F.col("line").contains(e) for _, e, _ in TRACE_SECTIONS.values()])
-    w = Window.partitionBy("path").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
     mark = F.when(starts.isNotNull(), F.struct(starts.alias("name"), F.col("line_number").alias("at"))).when(ends, F.struct(F.lit(None).cast("string").alias("name"), F.lit(0).alias("at")))
-    rows = lines.withColumn("_mark", mark).withColumn("_in", F.last("_mark", ignorenulls=True).over(w))
-    order = Window.partitionBy("path", "_in.name").orderBy("line_number")
-    body = rows.where(F.col("_in.name").isNotNull() & F.col("_mark").isNull()).withColumn("_place", F.row_number().over(order))
-    most = lookup(F.col("_in.name"), {k: v[2] for k, v in TRACE_SECTIONS.items()}, 0)
-    texts = body.where(F.col("_place") <= most).groupBy("path", F.col("_in.name").alias("section")).agg(F.array_join(gathered(body, "line"), "\n").alias("content"))
+    rows = scan_lines(lines.withColumn("_mark", mark), {"_in": F.col("_mark")})
+    body = rows.where(F.col("_in.name").isNotNull() & F.col("_mark").isNull()).withColumn("_name", F.col("_in.name"))
+    body = scan_lines(body, counts={"_place": F.lit(1)}, keys=("path", "_name"))
+    most = lookup(F.col("_name"), {k: v[2] for k, v in TRACE_SECTIONS.items()}, 0)
+    texts = body.where(F.col("_place") <= most).groupBy("path", F.col("_name").alias("section")).agg(F.array_join(gathered(body, "line"), "\n").alias("content"))
     sections = texts.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("section", "content"))).alias("sections"))
     outside = rows.where(F.col("_in.name").isNull() | F.col("_mark").isNotNull())
     fields = [F.max_by(group(F.col("line"), p), F.when(F.col("line").rlike(p), F.col("line_number"))).alias(n) for n, p in TRACE_HEADER.items()]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.text import file_priority, strip_html
+from faultline.operators.scan import scan
 
 
 @dataclass(frozen=True)
@@ -38,6 +39,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_number from 1, line) of files of any size, read in
+    splits: a line's number is its place in its split and the lines of the
+    splits before, so no task holds a file."""
+    place = F.col("_metadata.file_block_start").alias("_start")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"), place, F.monotonically_increasing_id().alias("_at"))
+    out = scan(lines, ["path"], ["_at"], F.col("_start"), counts={"line_number": F.lit(1)})
+    return out.select("path", F.col("line_number").cast("int").alias("line_number"), "line")
+
+
 def archive_kind(name: str) -> str | None:
     low = name.lower()
     if low.endswith(".zip"):
