@@ -372,24 +372,19 @@ j1 AS (SELECT r.chunk_id, o.chunk_id AS correlated_id, o.log_source AS correlate
   WHERE r.log_source = 'error' AND NOT (r.ora_code IN ('ORA-00942','ORA-01031','ORA-01403','ORA-00001') AND o.category IN ('OS','DISK','NETWORK','CRS')))"""
 
 
-def _correlated(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    chunks = chunks_of_events(spark, sf_dir)
-    reference = chunks.where("log_source = 'error'")
-    return reference, correlation.temporal_correlation(reference, chunks, topology(spark, sf_dir))
-
-
 @query(f"WITH {_J1} SELECT * FROM j1")
 def temporal_correlation(spark, sf_dir):
     """Every error chunk against all chunks of its cluster."""
-    return _correlated(spark, sf_dir)[1]
+    chunks = chunks_of_events(spark, sf_dir)
+    return correlation.temporal_correlation(chunks.where("log_source = 'error'"), chunks, topology(spark, sf_dir))
 
 
 @query(f"""WITH {_J1}, n AS (SELECT chunk_id, count(DISTINCT correlated_source) AS n FROM j1 GROUP BY 1)
 SELECT c.chunk_id, coalesce(n, 0) AS n_sources, CAST(least(coalesce(n, 0), 2) * 10 AS INTEGER) AS temporal_bonus FROM chunks c LEFT JOIN n USING (chunk_id) WHERE c.log_source = 'error'""")
 def temporal_bonus(spark, sf_dir):
-    """A10"""
-    reference, linked = _correlated(spark, sf_dir)
-    return correlation.temporal_bonus(reference, linked)
+    """A10: counted in one sweep, without the pairs of J1."""
+    chunks = chunks_of_events(spark, sf_dir)
+    return correlation.temporal_bonus(chunks.where("log_source = 'error'"), chunks, topology(spark, sf_dir))
 
 
 @query(f"WITH {TOPOLOGY_SQL} SELECT a.host, count(DISTINCT b.host) AS n_connected FROM topology a JOIN topology b USING (cluster_name) GROUP BY 1")

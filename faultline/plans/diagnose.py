@@ -125,7 +125,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, topology
     fused = retrieval.fuse(keyword, vector, settings).join(chunks, "chunk_id", "left")
     reference = fused.select(*chunks.columns).dropDuplicates(["chunk_id"])
     linked = correlation.temporal_correlation(reference, chunks, topology, settings)
-    out = {"fused": fused, "correlated": linked, "bonuses": correlation.temporal_bonus(reference, linked, settings)}
+    out = {"fused": fused, "correlated": linked, "bonuses": correlation.temporal_bonus(reference, chunks, topology, settings)}
     if cascades is not None:
         items = lambda df: df.select("query_id", F.explode(F.array("os_pattern", "ora_code")).alias("item")).where("item <> ''")
         near = fused.select("query_id", "chunk_id").join(linked.select("chunk_id", F.col("correlated_id").alias("_id")), "chunk_id").join(chunks.withColumnRenamed("chunk_id", "_id"), "_id")
