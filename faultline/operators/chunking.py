@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from faultline.config import DEFAULT
 from faultline.functions.text import keywords, message_severity
 from faultline.operators.correlation import seconds
+from faultline.operators.scan import scan
 
 # fixed values
 TRACE_START = r"Call Trace:|Caused by:|Exception in thread|^\s*at "
@@ -41,6 +43,10 @@ def metric_category(source: Column) -> Column:
     return out.otherwise("OS")
 
 
+#: windows in a slice of time, and the slice of entries without a time
+SLICE_WINDOWS, TIMELESS = 256, 1 << 62
+
+
 def anchored_windows(entries: DataFrame, keys: list[str], ts: str, order: list[str], window_sec: float, most: int | None = None, overlap: int = 0, trace: str | None = None) -> DataFrame:
     """Adds ``window`` (from 0) and ``anchor``.
 
@@ -49,56 +55,160 @@ def anchored_windows(entries: DataFrame, keys: list[str], ts: str, order: list[s
     has so many entries, of which the last ``overlap`` start the next one (and
     so come out twice).  An entry that ``trace`` matches opens a stack trace,
     in which windows don't end, until a blank entry or one with "] :" parts.
-    Entries without a time belong to the window they stand in.  This is a
-    sequential fold, one group (a host and file) at a time, over batches of
-    columns; without a cap or traces it is a fold over the sorted times.
+    Entries without a time come last and belong to the last window.
+
+    A busy host or file is no group of its own: see ``_free_windows`` and
+    ``_capped_windows``.
     """
-    base = entries.select(*entries.columns, seconds(F.col(ts)).alias("_t"), (F.col(trace) if trace else F.lit(None).cast("string")).alias("_text"))
-    schema = base.drop("_t", "_text").schema.add("window", "long").add("anchor", "double")
-    sort = [(c, "ascending") for c in ([ts] + order)]
+    base = entries.select(*entries.columns, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), (F.col(trace) if trace else F.lit(None).cast("string")).alias("_text"))
+    width = int(window_sec * 1e6)
+    return _free_windows(base, keys, width) if most is None and trace is None else _capped_windows(base, keys, ts, order, width, most, overlap)
+
+
+def _starts(times: np.ndarray, width: int, first: int) -> np.ndarray:
+    """Where windows start from the entry ``first`` on."""
+    out, at = [], first
+    while at < len(times):
+        out.append(at)
+        at = int(np.searchsorted(times, times[at] + width, "right"))
+    return np.array(out, np.int64)
 
-    def fold(group: pa.Table) -> pa.Table:
-        import re
 
-        begins = re.compile(TRACE_START)
+def _free_windows(base: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Windows that only time ends, by composition of slices of time.
+
+    What a slice does to the window it is entered with depends on the first
+    entry that starts a new one, which is within a window of the slice's begin.
+    So a slice first gives, for each of these few entries, the window it would
+    be left with and how many it would start; a key's slices are composed from
+    these; then each slice numbers its entries from the window it is entered
+    with.
+    """
+    step = SLICE_WINDOWS * max(width, 1)
+    base = base.drop("_text").withColumn("_slice", F.coalesce(F.floor(F.col("_t") / step), F.lit(TIMELESS)))
+    kinds = {f.name: f.dataType.simpleString() for f in base.schema.fields}
+    key_schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+
+    def effects(key: tuple, rows: pa.Table) -> pa.Table:
+        begin = key[-1].as_py()
+        times = np.sort(rows["_t"].drop_null().to_numpy())
+        n = len(times) if begin == TIMELESS else int(np.searchsorted(times, begin * step + width, "right")) + 1
+        n = min(n, len(times))
+        leave, number = np.arange(len(times)), np.ones(len(times), np.int64)
+        onward = np.append(np.searchsorted(times, times + width, "right"), len(times))
+        # pointers doubled: where the chain of windows from an entry ends
+        leave, number = np.append(leave, len(times)), np.append(number, 0)
+        jump = onward
+        while (jump[:-1] < len(times)).any():
+            inside = jump < len(times)
+            leave = np.where(inside, leave[np.minimum(jump, len(times))], leave)
+            number = number + np.where(inside, number[np.minimum(jump, len(times))], 0)
+            jump = np.where(inside, jump[np.minimum(jump, len(times))], jump)
+        columns = {k: pa.array([x.as_py()] * max(n, 1), rows.schema.field(k).type) for k, x in zip(keys, key)}
+        columns |= {"_slice": pa.array(np.full(max(n, 1), begin)), "_first": pa.array(times[:n] if n else [None], pa.int64())}
+        columns |= {"_leave": pa.array(times[leave[:n]] if n else [None], pa.int64()), "_number": pa.array(number[:n] if n else [0], pa.int64())}
+        return pa.table(columns)
+
+    def compose(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("_slice", "ascending"), ("_first", "ascending")])
+        slices = rows["_slice"].to_numpy()
+        firsts, leaves, numbers = (rows[c].to_numpy(zero_copy_only=False) for c in ("_first", "_leave", "_number"))
+        anchor, number, out = None, -1, []
+        cuts = np.append(np.flatnonzero(np.append(True, slices[1:] != slices[:-1])), len(slices))
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            out.append((int(slices[lo]), anchor, number))
+            if slices[lo] == TIMELESS:
+                continue
+            at = lo if anchor is None else lo + int(np.searchsorted(firsts[lo:hi], anchor + width, "right"))
+            if at < hi:
+                anchor, number = int(leaves[at]), number + int(numbers[at])
+        columns = {k: pa.array([x.as_py()] * len(out), rows.schema.field(k).type) for k, x in zip(keys, key)}
+        names = (("_slice", pa.int64()), ("_anchor", pa.int64()), ("_before", pa.int64()))
+        return pa.table(columns | {n: pa.array([o[i] for o in out], t) for i, (n, t) in enumerate(names)})
+
+    def number(rows: pa.Table, entered: pa.Table) -> pa.Table:
+        if not rows.num_rows or not entered.num_rows:
+            return rows.drop_columns(["_t", "_slice"]).append_column("window", pa.array([], pa.int64())).append_column("anchor", pa.array([], pa.float64()))
+        anchor, before = entered["_anchor"][0].as_py(), entered["_before"][0].as_py()
+        times = rows["_t"].to_numpy(zero_copy_only=False)
+        if rows["_slice"][0].as_py() == TIMELESS:
+            windows, anchors = np.full(len(times), max(before, 0)), [anchor] * len(times)
+        else:
+            ordered = np.sort(times)
+            starts = ordered[_starts(ordered, width, 0 if anchor is None else int(np.searchsorted(ordered, anchor + width, "right")))]
+            own = np.searchsorted(starts, times, "right")
+            windows = before + own
+            anchors = np.append(anchor if anchor is not None else 0, starts)[own].tolist()
+        seconds_ = pa.array([None if a is None else a / 1e6 for a in anchors], pa.float64())
+        return rows.drop_columns(["_t", "_slice"]).append_column("window", pa.array(windows, pa.int64())).append_column("anchor", seconds_)
+
+    found = base.groupBy(*keys, "_slice").applyInArrow(effects, f"{key_schema}, _slice long, _first long, _leave long, _number long")
+    entered = found.groupBy(*keys).applyInArrow(compose, f"{key_schema}, _slice long, _anchor long, _before long")
+    schema = base.drop("_t", "_slice").schema.add("window", "long").add("anchor", "double")
+    return base.groupBy(*keys, "_slice").cogroup(entered.groupBy(*keys, "_slice")).applyInArrow(number, schema)
+
+
+def _capped_windows(base: DataFrame, keys: list[str], ts: str, order: list[str], width: int, most: int | None, overlap: int) -> DataFrame:
+    """Windows with a cap or traces, a sequential fold between long gaps.
+
+    An entry more than a window after the one before it, and not in a stack
+    trace, starts a window whatever came before.  Traces, gaps and the number
+    of such entries are scanned in slices; what lies between two is folded for
+    itself, and its windows are numbered after those before it.
+    """
+    text = F.coalesce("_text", F.lit(""))
+    mark = F.when(text.rlike(TRACE_START), True).when((F.trim(text) == "") | (text.contains("]") & text.contains(":")), False)
+    rows = base.withColumn("_place", F.coalesce("_t", F.lit(TIMELESS)))
+    piece = F.floor(F.col("_place") / (SLICE_WINDOWS * max(width, 1)))
+    place = ["_place", *order]
+    rows = scan(rows, keys, place, piece, {"_inside": mark}, earlier={"_last": F.col("_t")})
+    opens = F.col("_last").isNotNull() & (F.col("_t") - F.col("_last") > width) & ~F.coalesce("_inside", F.lit(False))
+    rows = scan(rows, keys, place, piece, counts={"_part": opens.cast("int")})
+    kept = [c for c in base.columns if c not in ("_t", "_text")]
+    sort = [(c, "ascending") for c in [ts, *order]]
+    schema = base.select(*kept).schema.add("_part", "long").add("window", "long").add("anchor", "double")
+
+    def fold(group: pa.Table) -> pa.Table:
         group = group.sort_by(sort)
-        times, texts = group["_t"].to_pylist(), group["_text"].to_pylist()
-        rows: list[int] = []
+        times, traced = group["_t"].to_pylist(), group["_inside"].to_pylist()
+        out: list[int] = []
         windows: list[int] = []
         anchors: list[float | None] = []
-        number, start, held, inside = 0, None, [], False
+        number, start, held = 0, None, []
 
         def close(keep: int) -> None:
             nonlocal number, held
-            rows.extend(held)
+            out.extend(held)
             windows.extend([number] * len(held))
-            anchors.extend([start] * len(held))
+            anchors.extend([None if start is None else start / 1e6] * len(held))
             number += 1
             held = held[-keep:] if keep else []
 
         for i, t in enumerate(times):
-            text = texts[i] or ""
-            if begins.search(text):
-                inside = True
-            elif inside and (not text.strip() or ("]" in text and ":" in text)):
-                inside = False
             if not held:
                 start, held = t, [i]
-            elif t is not None and start is not None and t - start > window_sec and not inside:
+            elif t is not None and start is not None and t - start > width and not traced[i]:
                 close(0)
                 start, held = t, [i]
             else:
                 held.append(i)
                 start = t if start is None else start
-            if most and len(held) >= most and not inside:
+            if most and len(held) >= most and not traced[i]:
                 close(overlap)
                 start = times[held[0]] if held else None
         if held:
             close(0)
-        out = group.drop_columns(["_t", "_text"]).take(pa.array(rows, pa.int64()))
-        return out.append_column("window", pa.array(windows, pa.int64())).append_column("anchor", pa.array(anchors, pa.float64()))
-
-    return base.groupBy(*keys).applyInArrow(fold, schema)
+        out_rows = group.select([*kept, "_part"]).take(pa.array(out, pa.int64()))
+        return out_rows.append_column("window", pa.array(windows, pa.int64())).append_column("anchor", pa.array(anchors, pa.float64()))
+
+    folded = rows.select(*kept, "_t", "_inside", F.col("_part").cast("long")).groupBy(*keys, "_part").applyInArrow(fold, schema)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = folded.groupBy(*keys, "_part").agg((F.max("window") + 1).alias("_windows"))
+    sizes = sizes.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_part").alias("_of"), F.coalesce(F.sum("_windows").over(earlier), F.lit(0)).alias("_ahead"))
+    same = F.col("_part") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return folded.join(sizes, same).select(*kept, (F.col("window") + F.col("_ahead")).alias("window"), "anchor")
 
 
 def syslog_chunks(entries: DataFrame, collection: str, platform: str = "LINUX", settings=DEFAULT) -> DataFrame:

@@ -20,16 +20,18 @@ def line_slice(line_number: str = "line_number") -> Column:
     return F.floor(F.col(line_number) / SLICE)
 
 
-def scan(rows: DataFrame, keys: list[str], order: list[str], piece: Column, last: dict[str, Column] | None = None, counts: dict[str, Column] | None = None) -> DataFrame:
+def scan(rows: DataFrame, keys: list[str], order: list[str], piece: Column, last: dict[str, Column] | None = None, counts: dict[str, Column] | None = None, earlier: dict[str, Column] | None = None) -> DataFrame:
     """Adds for each name in ``last`` the last value up to and including the
-    row that isn't null, and for each in ``counts`` the running sum.
+    row that isn't null, for each in ``earlier`` that before the row, and for
+    each in ``counts`` the running sum.
 
     ``piece`` numbers the slices of a key: of two rows of different slices that
     in the smaller one comes first.  Rows that have ``n_lines`` (the lines of
     their file) are only looked at a second time, for the borders, where the
     file has more than one slice.
     """
-    last, counts = last or {}, counts or {}
+    inclusive, counts, earlier = last or {}, counts or {}, earlier or {}
+    last = inclusive | earlier
     cut = rows.withColumn("_slice", piece).withColumns({f"_of_{n}": c for n, c in (last | counts).items()})
     place = F.struct(*order)
     ends = [F.max_by(f"_of_{n}", F.when(F.col(f"_of_{n}").isNotNull(), place)).alias(f"_end_{n}") for n in last]
@@ -41,7 +43,8 @@ def scan(rows: DataFrame, keys: list[str], order: list[str], piece: Column, last
         *[F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_before_{n}") for n in last], *[F.sum(f"_end_{n}").over(before).alias(f"_before_{n}") for n in counts],
     )
     so_far = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    own = cut.withColumns({f"_own_{n}": F.last(f"_of_{n}", ignorenulls=True).over(so_far) for n in last} | {f"_own_{n}": F.sum(f"_of_{n}").over(so_far) for n in counts})
+    above = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = cut.withColumns({f"_own_{n}": F.last(f"_of_{n}", ignorenulls=True).over(above if n in earlier else so_far) for n in last} | {f"_own_{n}": F.sum(f"_of_{n}").over(so_far) for n in counts})
     same = F.col("_slice").eqNullSafe(F.col("_border"))
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
