@@ -16,10 +16,18 @@ def diagnose_text(spark: SparkSession, text: str, incident: str = "input", rules
     return with_evidence(files, diagnose(files, rules, benign))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """What the file system says of a path, whatever its name looks like."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(context._jsc.hadoopConfiguration())
+    return store.exists(where) and store.getFileStatus(where).isDirectory()
+
+
 def diagnose_path(spark: SparkSession, path: str, rules: dict | None = None, benign: list[str] = (), limits: Limits = Limits()) -> dict[str, DataFrame]:
     """K8: the same of a file, an archive or a folder of either; every
     top-level file is an incident, and what wasn't read is in ``skipped``."""
-    found = read_bundles(spark, path, limits) if archive_kind(path) or "." not in path.rsplit("/", 1)[-1] else read_texts(spark, path).select(
+    found = read_bundles(spark, path, limits) if archive_kind(path) or is_folder(spark, path) else read_texts(spark, path).select(
         F.col("path").alias("bundle"), "path", "text", F.lit(None).cast("string").alias("skip_reason")
     )
     files = found.where("text is not null").select(F.col("bundle").alias("incident"), "path", "text")
@@ -34,6 +42,6 @@ def with_evidence(files: DataFrame, out: dict[str, DataFrame]) -> dict[str, Data
     own = files.select("incident", "path").dropDuplicates(["path"])
     events = evidence.project_events(out["events"]).join(own, "path", "left")
     out["codes"], out["timeline"] = evidence.ora_rows(events), evidence.timeline(events)
-    out["others"] = evidence.non_ora_rows(events, events.select("incident", F.lit("ORA_ANY_GENERIC").alias("pattern_id")))
+    out["others"] = evidence.non_ora_rows(events, out["report"].select("incident", F.explode("matched").alias("pattern_id")))
     out["signals"] = translator.signals(files, "path")
     return out

@@ -26,9 +26,8 @@ def scan(rows: DataFrame, keys: list[str], order: list[str], piece: Column, last
     each in ``counts`` the running sum.
 
     ``piece`` numbers the slices of a key: of two rows of different slices that
-    in the smaller one comes first.  Rows that have ``n_lines`` (the lines of
-    their file) are only looked at a second time, for the borders, where the
-    file has more than one slice.
+    in the smaller one comes first.  Rows are looked at twice, once for the
+    borders of slices.
     """
     inclusive, counts, earlier = last or {}, counts or {}, earlier or {}
     last = inclusive | earlier
@@ -36,9 +35,8 @@ def scan(rows: DataFrame, keys: list[str], order: list[str], piece: Column, last
     place = F.struct(*order)
     ends = [F.max_by(f"_of_{n}", F.when(F.col(f"_of_{n}").isNotNull(), place)).alias(f"_end_{n}") for n in last]
     ends += [F.sum(f"_of_{n}").alias(f"_end_{n}") for n in counts]
-    long = cut.where(F.col("n_lines") >= SLICE) if "n_lines" in cut.columns else cut
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    borders = long.groupBy(*keys, "_slice").agg(*ends).select(
+    borders = cut.groupBy(*keys, "_slice").agg(*ends).select(
         *[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_slice").alias("_border"),
         *[F.last(f"_end_{n}", ignorenulls=True).over(before).alias(f"_before_{n}") for n in last], *[F.sum(f"_end_{n}").over(before).alias(f"_before_{n}") for n in counts],
     )
@@ -55,15 +53,28 @@ def scan(rows: DataFrame, keys: list[str], order: list[str], piece: Column, last
     return joined.select(*[c for c in rows.columns if c not in out], *[c.alias(n) for n, c in out.items()])
 
 
+def in_one_row(lines: DataFrame) -> bool:
+    """Lines of texts that were one row each: such a file has been in one task
+    already, so a window over it needs no slices."""
+    return "n_lines" in lines.columns
+
+
 def scan_lines(lines: DataFrame, last: dict[str, Column] | None = None, counts: dict[str, Column] | None = None, keys: tuple[str, ...] = ("path",)) -> DataFrame:
-    """``scan`` over the lines (path, line_number) of files."""
-    return scan(lines, list(keys), ["line_number"], line_slice(), last, counts)
+    """``scan`` over the lines (path, line_number) of files: in slices where
+    files were read in splits (``numbered_lines``)."""
+    if not in_one_row(lines):
+        return scan(lines, list(keys), ["line_number"], line_slice(), last, counts)
+    so_far = Window.partitionBy(*keys).orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
+    return lines.withColumns({n: F.last(c, ignorenulls=True).over(so_far) for n, c in (last or {}).items()} | {n: F.sum(c).over(so_far) for n, c in (counts or {}).items()})
 
 
 def nearby(lines: DataFrame, before: int, after: int, columns: dict[str, Column]) -> DataFrame:
     """Adds for each name the first value that isn't null from ``before`` lines
     above to ``after`` below.  The lines of a file are numbered without gaps;
     the few next to a border are copied to the neighbouring slice."""
+    if in_one_row(lines):
+        w = Window.partitionBy("path").orderBy("line_number").rowsBetween(-before, after)
+        return lines.withColumns({n: F.first(c, ignorenulls=True).over(w) for n, c in columns.items()})
     at = F.pmod(F.col("line_number"), F.lit(SLICE))
     home = line_slice()
     slices = F.array_compact(F.array(home, F.when(at >= SLICE - before, home + 1), F.when(at < after, home - 1)))

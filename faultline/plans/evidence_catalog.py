@@ -302,12 +302,12 @@ def crs_window_chunks(spark, sf_dir):
 
 
 @query("""SELECT 'host' || user_id AS hostname, 'DF' AS log_source, CASE WHEN event_type = 'error' THEN 'DISK' ELSE 'OS' END AS category, event_type AS severity, props AS raw_text, CAST(1 AS INTEGER) AS line_count, date_trunc('second', ts) AS timestamp_start,
- sha256('c|df|host' || user_id || '|' || (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)) IS NOT NULL AS has_id FROM events""")
+ substr(sha256('c:df|host' || user_id || ':' || (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) || ':' || strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S')), 1, 16) AS chunk_id FROM events""")
 def entry_row_chunks(spark, sf_dir):
     """A chunk for each row."""
     rows = table(spark, sf_dir, "events").select(text("host", user_id()).alias("path"), event_id().alias("line_number"), F.date_trunc("second", "ts").cast("timestamp").alias("timestamp"), event_type().alias("severity"), F.col("props").alias("raw"))
     out = chunking.entry_chunks(rows, "c", "DF", F.when(F.col("severity") == "error", "DISK").otherwise("OS"), F.col("path"))
-    return out.select("hostname", "log_source", "category", "severity", "raw_text", "line_count", ntz("timestamp_start"), F.col("chunk_id").isNotNull().alias("has_id"))
+    return out.select("hostname", "log_source", "category", "severity", "raw_text", "line_count", ntz("timestamp_start"), "chunk_id")
 
 
 @query("""SELECT 'e' || event_id AS path, 'p' || user_id AS parent_chunk_id, sub_category, severity, CASE sub_category WHEN 'TRACE_HEADER' THEN 'instance_name: db' || user_id || chr(10) || 'pid: ' || event_id ELSE 'ksedmp()+' || event_id END AS raw_text

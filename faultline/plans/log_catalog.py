@@ -78,14 +78,16 @@ def syslog_continuations(spark, sf_dir):
     return out.select("path", long("line_number"), "host", "process", "pid", "message", ntz(), "timestamp_confidence", "format")
 
 
-@query("""SELECT 'host' || user_id AS path, CAST(CASE WHEN user_id % 3 = 0 THEN 2023 ELSE 2024 END AS INTEGER) AS year FROM events WHERE event_id < 5000 GROUP BY user_id
-HAVING bool_or(event_type <> 'view')""")
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line FROM events)
+SELECT 'host' || user_id AS path, CAST(CASE WHEN min(line) % 2 = 0 THEN 2023 ELSE 2024 END AS INTEGER) AS year FROM l WHERE line <= 5 AND event_type = 'error' GROUP BY user_id""")
 def year_inference(spark, sf_dir):
-    """The year of the first line with a whole date."""
-    dated = text(F.when(user_id() % 3 == 0, "2023").otherwise("2024"), stamp("-MM-dd HH:mm:ss"), " x")
-    rows = table(spark, sf_dir, "events").where("event_id < 5000")
-    lines = rows.select(text("host", user_id()).alias("path"), F.row_number().over(_by_host()).alias("line_number"), F.when(event_type() == "view", text(stamp("MMM d HH:mm:ss"), " host x: y")).otherwise(dated).alias("line"))
-    return infer_years(lines, 10**6)
+    """The year of the first line with a whole date, if it is one of a
+    file's first five."""
+    number = F.row_number().over(_by_host())
+    dated = text(F.when(F.col("line_number") % 2 == 0, "2023").otherwise("2024"), stamp("-MM-dd HH:mm:ss"), " x")
+    rows = table(spark, sf_dir, "events").withColumn("line_number", number)
+    lines = rows.select(text("host", user_id()).alias("path"), "line_number", F.when(event_type() == "error", dated).otherwise(text(stamp("MMM d HH:mm:ss"), " host x: y")).alias("line"))
+    return infer_years(lines, 5)
 
 
 def _by_host():
@@ -432,17 +434,17 @@ def json_headers(spark, sf_dir):
     return S.json_header_text(rows)
 
 
-@query("""SELECT 'e' || event_id AS path, 'ORA-' || lpad(CAST(event_id AS VARCHAR), 5, '0') AS code, 'something ' || event_type AS message, CASE WHEN event_type = 'error' THEN 'bad ' || user_id || ' luck' ELSE '' END AS cause, 'do it' AS action,
- CASE WHEN event_type = 'error' THEN 'bad ' || user_id || ' luck' ELSE 'something ' || event_type END AS meaning FROM events WHERE event_id < 100000""")
+@query("""SELECT 'e' || event_id AS path, 'ORA-' || lpad(CAST(event_id % 100000 AS VARCHAR), 5, '0') AS code, 'something ' || event_type AS message, CASE WHEN event_type = 'error' THEN 'bad ' || user_id || ' luck' ELSE '' END AS cause, 'do it' AS action,
+ CASE WHEN event_type = 'error' THEN 'bad ' || user_id || ' luck' ELSE 'something ' || event_type END AS meaning FROM events""")
 def manual_sections(spark, sf_dir):
     """Code, message, cause and action of a manual's sections."""
     cause = F.when(event_type() == "error", text("Cause: bad ", user_id(), "\nluck\n")).otherwise("")
-    content = text("preface\nORA-", F.lpad(event_id().cast("string"), 5, "0"), ": something ", event_type(), "\n", cause, "*Action: do it\n")
+    content = text("preface\nORA-", F.lpad((event_id() % 100000).cast("string"), 5, "0"), ": something ", event_type(), "\n", cause, "*Action: do it\n")
     return S.manual_messages(event_lines(spark, sf_dir, content)).select("path", "code", "message", "cause", "action", "meaning")
 
 
-@query("""SELECT 'e' || event_id AS path, CAST(3 AS BIGINT) AS line_number, 'ORA-' || lpad(CAST(event_id AS VARCHAR), 5, '0') AS error_code, 'slow ' || event_type AS symptoms, 'first' || chr(10) || 'second' AS action_plan FROM events WHERE event_id < 100000""")
+@query("""SELECT 'e' || event_id AS path, CAST(3 AS BIGINT) AS line_number, 'ORA-' || lpad(CAST(event_id % 100000 AS VARCHAR), 5, '0') AS error_code, 'slow ' || event_type AS symptoms, 'first' || chr(10) || 'second' AS action_plan FROM events""")
 def markdown_rows(spark, sf_dir):
     """Rows of a table of codes."""
-    content = text("| code | symptom | plan |\n|---|---|---|\n| ORA-", F.lpad(event_id().cast("string"), 5, "0"), " | slow ", event_type(), " | first<br/>second |\n| no code | x | y |\n| ORA-00001 | two cells |\n")
+    content = text("| code | symptom | plan |\n|---|---|---|\n| ORA-", F.lpad((event_id() % 100000).cast("string"), 5, "0"), " | slow ", event_type(), " | first<br/>second |\n| no code | x | y |\n| ORA-00001 | two cells |\n")
     return S.markdown_tables(event_lines(spark, sf_dir, content)).select("path", long("line_number"), "error_code", "symptoms", "action_plan")

@@ -98,6 +98,19 @@ def stored_index(spark, sf_dir):
     return retrieval.bm25_topk(_bench(spark, sf_dir), None, index=retrieval.read_index(spark, folder)).select("query_id", "chunk_id", "bm25_score")
 
 
+@query("""SELECT 'host' || user_id AS name, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line_number, props AS line,
+ count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id) AS block FROM events QUALIFY block > 0""")
+def split_file_blocks(spark, sf_dir):
+    """P2/P4 on files read in splits: lines numbered and blocks counted across
+    the slices of a file."""
+    folder = S.store_folder(spark, "logs")
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("host"), "user_id").alias("host"), "event_id", F.concat("event_type", F.lit(" "), "props").alias("line"))
+    rows.repartition("host").sortWithinPartitions("host", "event_id").select("host", F.col("line").alias("value")).write.partitionBy("host").text(folder)
+    lines = S.numbered_lines(spark, folder).withColumn("name", F.regexp_extract("path", "host=([^/]*)/", 1))
+    out = P.blocks(lines, F.col("line").startswith("error "))
+    return out.select("name", F.col("line_number").cast("long").alias("line_number"), F.regexp_replace("line", r"^\w+ ", "").alias("line"), "block")
+
+
 # filters, chunks, scores ---------------------------------------------------------------------
 
 

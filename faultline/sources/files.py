@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.text import file_priority, strip_html
-from faultline.operators.scan import scan
+from faultline.operators.scan import scan, scan_lines
 
 
 @dataclass(frozen=True)
@@ -220,10 +220,9 @@ def manual_messages(lines: DataFrame, clip: int = 320) -> DataFrame:
     """(code, message, cause, action) sections of a manual's text: a
     code line opens a section, Cause: and Action: their parts."""
     head = r"^((?:ORA|TNS|CRS)-\d{4,5}):?\s*(.*)$"
-    w = Window.partitionBy("path").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
     s = F.trim("line")
     part = F.when(s.rlike(head), "message").when(s.rlike(r"(?i)^\*?cause:"), "cause").when(s.rlike(r"(?i)^\*?action:"), "action")
-    rows = lines.withColumn("s", s).withColumn("section", F.sum(s.rlike(head).cast("int")).over(w)).withColumn("part", F.last(part, ignorenulls=True).over(w)).where("section > 0 and s <> ''")
+    rows = scan_lines(lines.withColumn("s", s), {"part": part}, {"section": s.rlike(head).cast("int")}).where("section > 0 and s <> ''")
     text = F.trim(F.when(F.col("s").rlike(head), F.regexp_extract("s", head, 2)).otherwise(F.regexp_replace("s", r"(?i)^\*?(cause|action):", "")))
     rows = rows.withColumn("text", text).withColumn("code", F.regexp_extract("s", head, 1))
     joined = lambda p: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("part") == p, F.struct("line_number", "text")))), lambda x: x["text"]), " ")

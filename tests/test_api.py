@@ -4,7 +4,7 @@ import zipfile
 
 import pytest
 
-from faultline.api import diagnose_path, diagnose_text
+from faultline.api import diagnose_path, diagnose_text, is_folder
 from faultline.config import DEFAULT, load_settings
 from faultline.operators.translator import SIGNALS, signals, worst_severity
 from faultline.sources import files as S
@@ -13,7 +13,9 @@ LOG = "2024-03-07T02:44:18+00:00\nORA-27072: File I/O error\nLinux-x86_64 Error:
 
 
 def test_text_and_archive(spark, tmp_path):
-    out = diagnose_text(spark, LOG)
+    rules = {"DISK_GONE": {"match_any": ["File I/O error"], "severity": "CRITICAL"}, "ORA_ANY_GENERIC": {"match_any": ["ORA-"], "severity": "ERROR"}}
+    out = diagnose_text(spark, LOG, rules=rules)
+    assert {r["event"] for r in out["others"].where("row_kind = 'PATTERN_MATCH'").collect()} == {"DISK_GONE"}
     assert out["report"].first()["incident"] == "input"
     assert [r["error"] for r in out["codes"].collect()] == ["ORA-27072"]
     assert {r["code"] for r in out["signals"].collect()} == {"OS_SCSI_TIMEOUT"}
@@ -26,6 +28,13 @@ def test_text_and_archive(spark, tmp_path):
     assert diagnose_path(spark, f"file://{tmp_path}/one.log")["report"].count() == 1
 
 
+def test_a_folder_may_have_a_dot(spark, tmp_path):
+    (tmp_path / "case.1").mkdir()
+    (tmp_path / "case.1" / "log").write_text(LOG)
+    found = [is_folder(spark, f"file://{tmp_path}/{name}") for name in ("case.1", "case.1/log", "none")]
+    assert found == [True, False, False]
+
+
 def test_registry(spark):
     assert len(SIGNALS) == 44 and len({c for c, *_ in SIGNALS}) == 44
     df = spark.createDataFrame([("a", "nf_conntrack: table full, dropping packet"), ("b", "mce: corrected"), ("c", "fine")], "path string, text string")
