@@ -27,9 +27,13 @@ NEIGHBOURS, QUERY_STEP = 10, 100
 SAMPLE, LIST_ROWS, MOST_LISTS = 20_000, 400, 2_000
 LONG, SUB_SAMPLE = 8, 4_000
 #: a row is replicated to centroids within this ratio of its nearest, at most
-#: so many; a query reads the lists within its ratio, of those in its beam
+#: so many; a query reads the lists within its ratio.  The beam finds the
+#: nearest ones; queries that walk on from it do so together, so many at once
 BOUNDARY, REPLICAS = 1.1, 4
-QUERY_RATIO, BEAM = 1.12, 128
+QUERY_RATIO, BEAM, WALKERS = 1.12, 128, 256
+#: queries that the ratio is found with, and the share of their nearest rows
+#: whose lists have to be within it
+TESTED, RECALL = 128, 0.96
 DEGREE = 16
 #: rows that meet queries in one task
 PART = 20_000
@@ -118,6 +122,42 @@ class CentroidGraph:
         ids[~np.isfinite(far)] = -1
         return ids, np.sqrt(far)
 
+    def within(self, queries: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """(centroids, distances), nearest first; -1 fills: all that the walk
+        reaches within ``ratio`` of the nearest one, however many.
+
+        A beam finds the nearest; where it is full of centroids within the
+        ratio, the walk goes on from all of them until it meets no more.
+        """
+        ids, far = self.search(queries, BEAM, ratio)
+        full = np.flatnonzero((ids[:, -1] >= 0) & (far[:, -1] <= far[:, 0] * ratio + 1e-12))
+        if ids.shape[1] == len(self.centroids) or not len(full):
+            return ids, far
+        n = len(self.centroids)
+        out_ids, out_far = np.full((len(queries), n), -1), np.full((len(queries), n), np.inf)
+        out_ids[:, : ids.shape[1]], out_far[:, : ids.shape[1]] = ids, far
+        for lo in range(0, len(full), WALKERS):
+            own = full[lo : lo + WALKERS]
+            gap = np.full((len(own), n), np.inf)
+            np.put_along_axis(gap, ids[own], far[own], 1)
+            done = np.zeros(gap.shape, bool)
+            while True:
+                ahead = ~done & (gap <= gap.min(axis=1, keepdims=True) * ratio + 1e-12)
+                row, at = np.nonzero(ahead)
+                if not len(row):
+                    break
+                done |= ahead
+                fresh = np.zeros(gap.shape, bool)
+                fresh[np.repeat(row, self.links.shape[1]), self.links[at].ravel()] = True
+                row, at = np.nonzero(fresh & np.isinf(gap))
+                for k in range(0, len(row), 1 << 15):
+                    r, c = row[k : k + (1 << 15)], at[k : k + (1 << 15)]
+                    gap[r, c] = np.sqrt(((queries[own[r]] - self.centroids[c]) ** 2).sum(axis=1))
+            order = np.argsort(gap, axis=1, kind="stable")
+            out_far[own] = np.take_along_axis(gap, order, 1)
+            out_ids[own] = np.where(np.isfinite(out_far[own]), order, -1)
+        return out_ids, out_far
+
 
 def _chunks(batches, size: int):
     for batch in batches:
@@ -144,7 +184,7 @@ def assign(graph: CentroidGraph, rows: np.ndarray, replicas: int = REPLICAS, rat
 def probe(graph: CentroidGraph, rows: np.ndarray, sizes: np.ndarray, k: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of the lists each query reads: those within the ratio, and
     the nearest that hold enough rows."""
-    found, far = graph.search(rows, BEAM, ratio)
+    found, far = graph.within(rows, ratio)
     held = np.cumsum(np.where(found >= 0, sizes[found], 0), axis=1)
     take = (found >= 0) & ((far <= far[:, :1] * ratio + 1e-12) | (held - sizes[found] < 20 * (k + 1)))
     row, col = np.nonzero(take)
@@ -223,7 +263,7 @@ def _compare(queries: pa.Table, rows: pa.Table, k: int):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
 
 
-def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, ratio: float = QUERY_RATIO, list_rows: int = LIST_ROWS) -> DataFrame:
+def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, ratio: float | None = None, list_rows: int = LIST_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for every row
     whose vec_id is divisible by ``step``, among all other rows.
 
@@ -232,7 +272,8 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, rati
     components, and rows without an id, take no part.  Rows that repeat an id
     count once, with the smallest of their vectors.  Vectors of different
     lengths are compared with their like.  Fewer candidates give fewer ranks,
-    an empty table none.  Other columns are ignored.
+    an empty table none.  Other columns are ignored.  Without a ``ratio`` that
+    is taken with which TESTED queries find RECALL of their nearest rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable("embedding"))
@@ -258,7 +299,7 @@ def search(vectors: DataFrame, k: int = NEIGHBOURS, step: int = QUERY_STEP, rati
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _search_indexed(unique: DataFrame, total: int, dim: int, k: int, step: int, ratio: float, list_rows: int) -> DataFrame:
+def _search_indexed(unique: DataFrame, total: int, dim: int, k: int, step: int, ratio: float | None, list_rows: int) -> DataFrame:
     """(query_id, vec_id, score) of candidates from the lists a query reads."""
     spark = unique.sparkSession
     # of equal vectors only those that can be among the k nearest are indexed:
@@ -275,6 +316,8 @@ def _search_indexed(unique: DataFrame, total: int, dim: int, k: int, step: int,
     for r in held.groupBy("list").count().collect():  # one row a centroid
         sizes[r["list"]] = r["count"]
     queries = unique.where(F.col("vec_id") % step == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    if ratio is None:
+        ratio = needed_ratio(shared.value, queries, held, k)
     probes = queries.mapInArrow(_listed(shared, lambda graph, x: probe(graph, x, sizes, k, ratio), 256), "query_id long, embedding array<double>, list int")
     size_of = F.greatest(F.element_at(F.lit([int(s) for s in sizes]), F.col("list") + 1), F.lit(1))
     held, probes = (x.withColumn("sub", F.lit(0)) for x in (held, probes))
@@ -289,6 +332,33 @@ def _search_indexed(unique: DataFrame, total: int, dim: int, k: int, step: int,
     return probes.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInArrow(_grouped(k), "query_id long, vec_id long, score double")
 
 
+def needed_ratio(centroids: np.ndarray, queries: DataFrame, held: DataFrame, k: int) -> float:
+    """The ratio within which TESTED queries have the lists of RECALL of their
+    k nearest rows, found by comparing these queries with every indexed row."""
+    asked = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(TESTED).collect()
+    if not asked:
+        return QUERY_RATIO
+    ids, x = np.array([r["query_id"] for r in asked]), np.array([r["embedding"] for r in asked])
+    kept = (k + 1) * REPLICAS
+
+    def nearest(batches):
+        for batch in _chunks(batches, 4096):
+            rows = matrix(batch.column(batch.schema.get_field_index("embedding")))
+            gap = (x**2).sum(axis=1)[:, None] - 2 * x @ rows.T + (rows**2).sum(axis=1)[None]
+            best = np.argpartition(gap, kept - 1, axis=1)[:, :kept] if gap.shape[1] > kept else np.tile(np.arange(gap.shape[1]), (len(x), 1))
+            q = np.repeat(np.arange(len(x)), best.shape[1])
+            at = pa.array(best.ravel())
+            columns = [pa.array(q), batch.column("vec_id").take(at), batch.column("list").take(at), pa.array(gap[q, best.ravel()])]
+            yield pa.RecordBatch.from_arrays(columns, names=["q", "vec_id", "list", "gap"])
+
+    found = held.mapInArrow(nearest, "q long, vec_id long, list int, gap double").groupBy("q", "vec_id").agg(F.min("gap").alias("gap"), F.collect_set("list").alias("lists"))
+    first = Window.partitionBy("q").orderBy("gap", "vec_id")
+    near = found.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k + 1).collect()  # TESTED times k + 1
+    far = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] - 2 * x @ centroids.T + (centroids**2).sum(axis=1)[None], 0))
+    needed = [far[r["q"], r["lists"]].min() / max(far[r["q"]].min(), 1e-12) for r in near if r["vec_id"] != ids[r["q"]]]
+    return float(np.quantile(needed, RECALL)) + 1e-6 if needed else QUERY_RATIO
+
+
 def _second_level(held: DataFrame, probes: DataFrame, size_of: Column, dim: int, k: int, ratio: float, list_rows: int) -> tuple[DataFrame, DataFrame]:
     """Lists of the long lists: rows go to them and queries read them as those
     of the first level.  Centroids stay a table; a long list's rows and

@@ -150,3 +150,20 @@ def test_repeated_rows_leave_room_for_others(spark):
     got = search(spark.createDataFrame(rows, ROWS)).collect()
     at = {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 200)}
     assert at == {0: list(range(1, 11)), 200: list(range(10))}
+
+
+def test_recall_on_unstructured_vectors(spark, monkeypatch):
+    """More than 1,000 lists, of which far more than a beam holds have to be
+    read: the ratio is found, and the walk goes on until it."""
+    counts = []
+    probe = posting_search.probe
+    monkeypatch.setattr(posting_search, "needed_ratio", lambda *a, f=posting_search.needed_ratio: counts.append(f(*a)) or counts[-1])
+    x = np.random.default_rng(8).normal(size=(24_000, 64))
+    rows = [(k, v.tolist()) for k, v in enumerate(x.astype(np.float32))]
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), list_rows=21).collect()
+    assert held_to(got, rows) >= 0.9 and counts[0] > posting_search.QUERY_RATIO
+    graph = CentroidGraph(balanced_centroids(x[:12_000], 1_100))
+    asked, _ = probe(graph, x[::400], np.full(1_100, 22), 10, counts[0])
+    gaps = np.sqrt(((x[::400, None] - graph.centroids[None]) ** 2).sum(axis=2))
+    within = (gaps <= gaps.min(axis=1, keepdims=True) * counts[0]).sum()
+    assert len(asked) >= 0.95 * within and np.bincount(asked).max() > posting_search.BEAM
