@@ -185,7 +185,7 @@ class Trie:
 
     def pair_counts(self, index: np.ndarray) -> np.ndarray:
         """Training counts of pairs, while the model is built."""
-        out = np.zeros(len(index), np.uint32)
+        out = np.zeros(len(index), np.uint64)
         for p, rows in by_part(np.searchsorted(self.pair_starts, index, "right") - 1):
             out[rows] = self.file(f"pair-counts/{p}")[0][index[rows] - self.pair_starts[p]]
         return out
@@ -305,7 +305,7 @@ class Gathered:
         for part in list(self.held):
             codes, counts = merged(self.held.pop(part))
             steps = np.diff(codes, prepend=np.uint64(0))
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed(steps)], pa.binary()), pa.array([packed(counts - np.uint32(1))], pa.binary())], ["part", "codes", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed(steps)], pa.binary()), pa.array([packed(counts - counts.dtype.type(1))], pa.binary())], ["part", "codes", "counts"])
 
 
 def merged(held) -> tuple[np.ndarray, np.ndarray]:
@@ -317,12 +317,17 @@ def merged(held) -> tuple[np.ndarray, np.ndarray]:
     codes = codes[order]
     first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, int)
     sums = np.add.reduceat(counts[order], first) if len(codes) else counts
-    return codes[first], np.minimum(sums, 2**32 - 1).astype(np.uint32)
+    return codes[first], narrow(sums)
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where all fit, else in 64."""
+    return counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64)
 
 
 def of_batches(batches) -> tuple[np.ndarray, np.ndarray]:
     held = [
-        (np.cumsum(unpacked(c), dtype=np.uint64), (unpacked(n) + np.uint64(1)).astype(np.uint32))
+        (np.cumsum(unpacked(c), dtype=np.uint64), narrow(unpacked(n).astype(np.uint64) + np.uint64(1)))
         for b in batches
         for c, n in zip(b.column("codes").to_pylist(), b.column("counts").to_pylist())
     ]
@@ -407,7 +412,7 @@ def fit(docs: DataFrame, held_out: int = HELD_OUT, folds: int = FOLDS, parts: in
         a = (codes // np.uint64(trie.words)).astype(np.int64)
         contexts, begin = np.unique(a, return_index=True)
         sums = np.add.reduceat(counts.astype(np.float64) - DISCOUNT, begin) if len(a) else np.zeros(0)
-        hot = trie.of_ids(contexts, "words", 1, np.uint32(0)).astype(np.int64) << bits > trie.total
+        hot = trie.of_ids(contexts, "words", 1, np.uint64(0)).astype(np.int64) << bits > trie.total
         most = int(np.diff(np.append(begin, len(a))).max()) if len(a) else 0
         yield pa.RecordBatch.from_arrays(
             [pa.array([p], pa.int32()), pa.array([len(codes)]), pa.array([most]), pa.array([contexts[hot].tolist()], pa.list_(pa.int64())), pa.array([sums[hot].tolist()], pa.list_(pa.float64()))],
@@ -438,9 +443,9 @@ def fit(docs: DataFrame, held_out: int = HELD_OUT, folds: int = FOLDS, parts: in
                 codes, counts = trie.file(f"raw/{p}")
                 base, nodes = int(trie.starts[p // 8]), int(trie.starts[p // 8 + 1] - trie.starts[p // 8])
                 a, b = (codes // np.uint64(trie.words)).astype(np.int64), (codes % np.uint64(trie.words)).astype(np.int64)
-                of_a = trie.of_ids(a, "words", 1, np.uint32(0)).astype(np.float64)
+                of_a = trie.of_ids(a, "words", 1, np.uint64(0)).astype(np.float64)
                 weight = context_weights(trie, p, a, counts, of_a)
-                p1 = 10 ** trie.unigram(trie.of_ids(b, "words", 1, np.uint32(0)).astype(np.float64))
+                p1 = 10 ** trie.unigram(trie.of_ids(b, "words", 1, np.uint64(0)).astype(np.float64))
                 probability = (counts - DISCOUNT) / of_a + weight * p1
                 pointers = np.searchsorted(a, base + np.arange(nodes + 1))
                 successors = codes - np.uint64(base) * np.uint64(trie.words)
@@ -571,7 +576,7 @@ def word_backoffs(trie: Trie, ids: np.ndarray) -> np.ndarray:
         if trie.pair_starts[8 * p] < trie.pair_starts[8 * p + 1]:
             out[rows] = restore(trie.pair_file(8 * p)[3][ids[rows] - trie.starts[p]])
     for i in np.flatnonzero(np.isin(ids, np.fromiter(hot, np.int64, len(hot)))).tolist() if hot else ():
-        total = trie.of_ids(ids[i : i + 1], "words", 1, np.uint32(0))[0]
+        total = trie.of_ids(ids[i : i + 1], "words", 1, np.uint64(0))[0]
         out[i] = math.log10(max(1 - hot[int(ids[i])] / int(total), 1e-9))
     return out
 

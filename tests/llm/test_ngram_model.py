@@ -144,3 +144,13 @@ def test_gathered_counts():
     codes, counts = of_batches(list(kept.rows()))
     assert dict(zip(codes.tolist(), counts.tolist())) == want and (np.diff(codes.astype(np.int64)) > 0).all()
     assert merged([(codes, counts)])[0] is codes
+
+
+def test_counts_beyond_32_bits():
+    codes, most = np.array([3, 9], np.uint64), 2**32 - 1
+    held = Gathered()
+    for count in (most, most, 7):
+        held.add(0, codes, np.array([count, 1], np.uint32))
+    batches = list(held.rows())
+    assert of_batches(batches + batches)[1].tolist() == [2 * (2 * most + 7), 6]
+    assert of_batches(batches)[0].tolist() == [3, 9] and merged([(codes, np.array([1, 2], np.uint32))] * 2)[1].dtype == np.uint32
