@@ -345,16 +345,16 @@ def _block_topk(k: int):
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(batches))
         asked = got["asked"].to_numpy()
-        ids = got["id"].to_numpy()
-        rows = got["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        q_ids, v_ids = got["query_id"].filter(pa.array(asked)).combine_chunks(), got["chunk_id"].filter(pa.array(~asked)).combine_chunks()
+        rows = got["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(asked), -1)
         rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
-        q_ids, q, v_ids, v = ids[asked], rows[asked], ids[~asked], rows[~asked]
+        q, v = rows[asked], rows[~asked]
         for lo in range(0, len(q) if len(v) else 0, 512):
             score = q[lo : lo + 512] @ v.T
             least = np.partition(score, max(len(v) - k, 0), axis=1)[:, max(len(v) - k, 0), None]
             # scores are rounded to 1e-4 before they are ranked
             i, j = np.nonzero(score >= least - 2e-4)
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[lo + i]), pa.array(v_ids[j]), pa.array(score[i, j])], ["query_id", "chunk_id", "score"])
+            yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(lo + i)), v_ids.take(pa.array(j)), pa.array(score[i, j])], ["query_id", "chunk_id", "score"])
 
     return run
 
@@ -367,12 +367,17 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT.top_k, m
     vectors take no part; lengths are compared with their own."""
     vectors = vectors if must is None else vectors.where(must)
     usable = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
-    of = lambda df, name, asked, column: df.select(F.col(name).alias("id"), F.col(column).cast("array<double>").alias("embedding"), F.lit(asked).alias("asked")).where(usable)
-    asked, rows = of(queries, "query_id", True, "query_embedding"), of(vectors, "chunk_id", False, "embedding")
+    types = {"query_id": queries.schema["query_id"].dataType, "chunk_id": vectors.schema["chunk_id"].dataType}
+
+    def of(df: DataFrame, name: str, column: str) -> DataFrame:
+        ids = [F.col(n) if n == name else F.lit(None).cast(t).alias(n) for n, t in types.items()]
+        return df.select(*ids, F.col(column).cast("array<double>").alias("embedding"), F.lit(name == "query_id").alias("asked")).where(usable)
+
+    asked, rows = of(queries, "query_id", "query_embedding"), of(vectors, "chunk_id", "embedding")
     parts, others = (max(1, -(-df.count() // BLOCK)) for df in (asked, rows))
-    deal = lambda df, n, own, other, m: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    deal = lambda df, n, own, other, m: df.withColumn(own, F.pmod(F.xxhash64("query_id", "chunk_id"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
     both = deal(asked, parts, "p", "q", others).unionByName(deal(rows, others, "q", "p", parts)).withColumn("dim", F.size("embedding"))
-    found = both.groupBy("dim", "p", "q").applyInArrow(_block_topk(k), "query_id long, chunk_id long, score double")
+    found = both.groupBy("dim", "p", "q").applyInArrow(_block_topk(k), ", ".join(f"{n} {t.simpleString()}" for n, t in types.items()) + ", score double")
     return ranked(found.select("query_id", "chunk_id", F.round("score", 4).alias("dense_score")), "dense_score", k)
 
 
