@@ -2,7 +2,8 @@
 
 Rules come from a JSON file: pattern id to match_any, match_all, exclude,
 log_sources, severity, device_extract and ora_codes_triggered.  A rule set is
-static for a plan, so each regex is a literal of the plan and compiles once.
+static for a plan; an automaton of the words that its regexes need names those
+that a text may match.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.text import strip_benign_lines
+from faultline.operators.literals import candidates
 
 FLAGS = "(?ims)"
 
@@ -26,9 +28,36 @@ def load_rules(path: str) -> tuple[dict, list[str], dict]:
     return patterns, list(raw.get("_false_positives", [])), dict(raw.get("_metric_patterns", {}))
 
 
-def _hits(text: Column, regexes: list[str]) -> Column:
-    """How many of the regexes the text matches."""
-    return reduce(lambda a, b: a + b, [F.when(text.rlike(FLAGS + r), 1).otherwise(0) for r in regexes], F.lit(0))
+RECORD = """array<struct<pattern_id:string,any_of:array<string>,all_of:array<string>,none_of:array<string>,n_any:int,n_all:int,sources:array<string>,
+capture:string,part:int,severity:string,codes:array<string>>>"""
+
+
+def _candidates(patterns: dict):
+    """A column function: of a text, the rules one of whose regexes it may
+    match, each with those of its regexes only."""
+    regexes, owner, rules = [], [], []
+    for pattern_id, rule in patterns.items():
+        parts = {"any_of": rule.get("match_any", []), "all_of": rule.get("match_all", []), "none_of": rule.get("exclude", [])}
+        if not parts["any_of"] and not parts["all_of"]:
+            continue
+        for part, of in parts.items():
+            regexes += of
+            owner += [(len(rules), part)] * len(of)
+        capture = rule.get("device_extract") or ""
+        rules.append({
+            "pattern_id": pattern_id, "n_any": len(parts["any_of"]), "n_all": len(parts["all_of"]), "sources": [x.upper() for x in rule.get("log_sources", [])] if parts["any_of"] else [],
+            "capture": "(?i)" + capture if capture else "", "part": 1 if capture and _groups(capture) else 0, "severity": rule.get("severity", "ERROR"), "codes": [c.upper() for c in rule.get("ora_codes_triggered", [])],
+        })
+    flagged = [FLAGS + r for r in regexes]
+
+    def records(found: list[int]) -> list[dict]:
+        out: dict[int, dict] = {}
+        for k in found:
+            at, part = owner[k]
+            out.setdefault(at, {**rules[at], "any_of": [], "all_of": [], "none_of": []})[part].append(flagged[k])
+        return [out[at] for at in sorted(out) if out[at]["any_of"] or out[at]["all_of"]]
+
+    return candidates(regexes, records, RECORD)
 
 
 def match(chunks: DataFrame, patterns: dict, benign: list[str] = (), text: str = "raw_text", source: str | None = "log_source") -> DataFrame:
@@ -38,45 +67,35 @@ def match(chunks: DataFrame, patterns: dict, benign: list[str] = (), text: str =
     Sources apply if one name contains the other.  Confidence is 100 if all
     regexes of match_all fire, at most 65 in proportion if only some do, and
     85 to 95 for patterns without match_all.
+
+    One automaton over the text names the rules that may apply; only their
+    regexes run, so neither plan nor work grows with rules that don't.
     """
     work = strip_benign_lines(F.col(text), list(benign)) if benign else F.col(text)
     rows = chunks.withColumn("_work", work).where(F.coalesce(F.trim("_work"), F.lit("")) != "")
     t = F.col("_work")
-    rules = []
-    for pattern_id, rule in patterns.items():
-        any_, all_, exclude = rule.get("match_any", []), rule.get("match_all", []), rule.get("exclude", [])
-        if not any_ and not all_:
-            continue
-        n_any, n_all = _hits(t, any_), _hits(t, all_)
-        if all_:
-            part = F.floor(n_any / len(any_) * 65).cast("int") if any_ else F.lit(40)
-            confidence = F.when(n_all == len(all_), 100).when(n_any > 0, part).otherwise(0)
-        else:
-            confidence = F.floor(85 + n_any / len(any_) * 10).cast("int")
-        ok = (n_any > 0) if any_ else F.lit(True)
-        for regex in exclude:
-            ok = ok & ~t.rlike(FLAGS + regex)
-        sources = [s.upper() for s in rule.get("log_sources", [])]
-        if source and sources and any_:
-            name = F.upper(F.coalesce(F.col(source), F.lit("")))
-            ok = ok & ((name == "") | reduce(lambda a, b: a | b, [name.contains(s) | F.lit(s).contains(name) for s in sources]))
-        device = F.lit("")
-        if rule.get("device_extract"):
-            capture = rule["device_extract"]
-            device = F.regexp_extract(t, "(?i)" + capture, 1 if _groups(capture) else 0)
-        codes = F.array(*[F.lit(c.upper()) for c in rule.get("ora_codes_triggered", [])]).cast("array<string>")
-        rules.append(
-            F.when(
-                ok & (confidence > 0),
-                F.struct(
-                    F.lit(pattern_id).alias("pattern_id"), confidence.alias("confidence"), n_any.alias("matched_any"), (n_all == len(all_) if all_ else F.lit(False)).alias("matched_all"),
-                    device.alias("device"), F.lit(rule.get("severity", "ERROR")).alias("severity"), codes.alias("codes"),
-                ),
-            )
-        )
+    name = F.upper(F.coalesce(F.col(source), F.lit(""))) if source else F.lit("")
+    hits = lambda regexes: F.size(F.filter(regexes, lambda x: F.rlike(t, x)))
+    counted = F.transform(_candidates(patterns)(t), lambda r: F.struct(r.alias("r"), hits(r["any_of"]).alias("n_any"), hits(r["all_of"]).alias("n_all")))
+
+    def applies(c: Column) -> Column:
+        r = c["r"]
+        seen = ((r["n_any"] == 0) & (c["n_all"] > 0)) | (c["n_any"] > 0)
+        here = (F.size(r["sources"]) == 0) | (name == "") | F.exists(r["sources"], lambda s: name.contains(s) | s.contains(name))
+        return seen & here & ~F.exists(r["none_of"], lambda x: F.rlike(t, x))
+
+    def result(c: Column) -> Column:
+        r = c["r"]
+        share = c["n_any"] / r["n_any"]
+        whole = c["n_all"] == r["n_all"]
+        confidence = F.when(r["n_all"] == 0, F.floor(85 + share * 10)).when(whole, 100).when(c["n_any"] > 0, F.floor(share * 65)).otherwise(0).cast("int")
+        device = F.when(r["capture"] == "", "").otherwise(F.call_function("regexp_extract", t, r["capture"], r["part"]))
+        return F.struct(r["pattern_id"].alias("pattern_id"), confidence.alias("confidence"), c["n_any"].alias("matched_any"), ((r["n_all"] > 0) & whole).alias("matched_all"), device.alias("device"), r["severity"].alias("severity"), r["codes"].alias("codes"))
+
+    shown = F.filter(F.transform(F.filter(counted, applies), result), lambda m: m["confidence"] > 0)
     found = F.array_distinct(F.transform(F.regexp_extract_all(t, F.lit(r"(?i)(ORA-\d{5})")), F.upper))
-    hits = rows.select("chunk_id", found.alias("_found"), F.explode(F.array_compact(F.array(*rules))).alias("m"))
-    return hits.select("chunk_id", "m.pattern_id", "m.confidence", "m.matched_any", "m.matched_all", "m.device", "m.severity", F.array_distinct(F.concat("m.codes", "_found")).alias("ora_codes"))
+    out = rows.select("chunk_id", found.alias("_found"), F.explode(shown).alias("m"))
+    return out.select("chunk_id", "m.pattern_id", "m.confidence", "m.matched_any", "m.matched_all", "m.device", "m.severity", F.array_distinct(F.concat("m.codes", "_found")).alias("ora_codes"))
 
 
 def _groups(regex: str) -> int:
@@ -117,11 +136,12 @@ def metric_hits(rows: DataFrame, rules: dict, source: str = "log_source") -> Dat
 def translate(texts: DataFrame, rules: list[tuple[str, str, str, str]], key: str = "path", text: str = "text", display: int = 120) -> DataFrame:
     """Rules (code, regex, layer, severity) in order; a code comes once a
     text, from its first rule.  The highest severity is ``worst`` of a group."""
-    found = F.array(*[
-        F.when(F.col(text).rlike(f"(?i){r}"), F.struct(F.lit(k).alias("rule"), F.lit(c).alias("code"), F.lit(layer).alias("layer"), F.lit(s).alias("severity"), F.substring(F.regexp_extract(text, f"(?i){r}", 0), 1, display).alias("matched")))
-        for k, (c, r, layer, s) in enumerate(rules)
-    ])
-    rows = texts.select(key, F.explode(F.array_compact(found)).alias("f")).select(key, "f.*")
+    regexes = ["(?i)" + r for _, r, _, _ in rules]
+    record = lambda k: {"rule": k, "code": rules[k][0], "regex": regexes[k], "layer": rules[k][2], "severity": rules[k][3]}
+    of = candidates([r for _, r, _, _ in rules], lambda found: [record(k) for k in found], "array<struct<rule:int,code:string,regex:string,layer:string,severity:string>>")
+    hits = F.filter(of(F.col(text)), lambda r: F.rlike(text, r["regex"]))
+    rows = texts.select(key, text, F.explode(hits).alias("f"))
+    rows = rows.select(key, "f.rule", "f.code", "f.layer", "f.severity", F.substring(F.call_function("regexp_extract", F.col(text), F.col("f.regex"), F.lit(0)), 1, display).alias("matched"))
     w = Window.partitionBy(key, "code").orderBy("rule")
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 

@@ -354,14 +354,36 @@ def diagnosed_files(spark, sf_dir):
     return report.select("incident", "report_status", "no_match_reason", "rca_status", "root_cause", "root_layer").join(analysis, "incident")
 
 
-@query("""SELECT event_id, code, CAST(rule AS INTEGER) AS rule, layer, severity FROM events JOIN (VALUES ('error', 'OS_SCSI_TIMEOUT', 11, 'OS_TRIGGERED', 'CRITICAL'), ('click', 'OS_CONNTRACK_FULL', 35, 'NETWORK', 'CRITICAL'),
- ('click', 'NF_CONNTRACK_FULL', 36, 'NETWORK', 'CRITICAL'), ('signup', 'OS_KERNEL_PANIC', 21, 'OS_TRIGGERED', 'CRITICAL'), ('signup', 'KERNEL_PANIC', 22, 'OS_TRIGGERED', 'CRITICAL'),
- ('purchase', 'ASM_HIGH_POWER_REBALANCE', 29, 'LAYER_ASM', 'WARNING')) r(event_type, code, rule, layer, severity) USING (event_type)""")
+#: a line that shows each signal of the registry
+SIGNAL_LINES = {
+    "OS_OOM_KILLER": "java invoked oom-killer: gfp_mask=0x201da", "CGROUP_OOM_KILL": "Memory cgroup out of memory: Killed process 77", "OS_HUGEPAGE_FAIL": "HugePages allocation failed at start",
+    "HUGEPAGES_FREE_ZERO": "HugePages_Free:     0", "SHMGET_EINVAL": "shmget() returned EINVAL", "OS_SWAP_STORM": "swap usage at 93% now", "MEMORY_SWAP_STORM": "high swap activity seen",
+    "MEMLOCK_ULIMIT_TOO_LOW": "unable to lock pages of the SGA", "SEMAPHORE_LIMIT_EXHAUSTED": "semop() failed with 28", "FD_LIMIT_EXHAUSTED": "accept: Too many open files",
+    "FC_HBA_ABORT": "qla2xxx [0000:05]: Abort command issued nexus=1", "OS_SCSI_TIMEOUT": "sd 2:0:0:1: SCSI error, code 7", "OS_MULTIPATH_DOWN": "multipathd: sdc checker failed path 8:32",
+    "MULTIPATH_ALL_PATHS_DOWN": "multipathd: mpatha: remaining active paths: 0", "FC_HBA_RESET": "lpfc 0000: 1305 Link Down event", "OS_ISCSI_FAIL": "iscsi: login to target failed",
+    "IO_QUEUE_TIMEOUT": "task ora_dbw0 blocked for more than 120 seconds", "EXT4_JOURNAL_ABORT": "JBD2: journal aborted on sdb1", "XFS_FILESYSTEM_SHUTDOWN": "XFS (dm-2): forced shutdown",
+    "OS_DISK_FULL": "write: No space left on device", "FILESYSTEM_ARCH_FULL": "/arch at 100% of its blocks", "OS_KERNEL_PANIC": "oops: general protection fault", "KERNEL_PANIC": "Kernel panic - not syncing: Fatal",
+    "SOFT_LOCKUP": "BUG: soft lockup - CPU#3 stuck for 22s", "HARD_LOCKUP": "NMI watchdog fired on 4", "OS_MCE_UNCORRECTED": "mce: fatal in bank 5", "MCE_CORRECTED_MEMORY": "EDAC MC0: 1 CE read error",
+    "OS_SELINUX_BLOCK": "avc: access denied { read }", "AUDITD_KILL_9": "audit: kill -9 of oracle by uid 0", "ASM_HIGH_POWER_REBALANCE": "REBAL RUN 9", "OS_CPU_SATURATION": "load average was 48",
+    "CPU_STEAL_TIME": "steal time at 42", "OS_NET_DROP": "eth2: no carrier", "BONDING_FAILOVER_EVENT": "bond0: failover to eth1", "BOTH_NICS_DOWN": "bonding: no backup is left",
+    "OS_CONNTRACK_FULL": "ip_conntrack is full", "NF_CONNTRACK_FULL": "nf_conntrack: table full, dropping packet", "IPTABLES_BLOCKING_1521": "port 1521: connection refused",
+    "OS_NFS_STALE": "Stale NFS file handle", "NFS_MOUNT_TIMEOUT": "nfs: server store1 timed out", "OS_NTP_JUMP": "clock shows drift", "NTP_TIME_JUMP": "chronyd stepped to source 2",
+    "OS_LPAR_CPU_CAP": "entitled capacity used up", "OS_VMWARE_SNAPSHOT": "vmtools: freeze asked",
+}
+_RULES = ", ".join("({}, '{}', '{}', '{}', '{}')".format(k, c, r.replace("'", "''"), layer, sev) for k, (c, r, layer, sev) in enumerate(translator.SIGNALS))
+_LINES = ", ".join("({}, '{}')".format(k, line) for k, line in enumerate([*SIGNAL_LINES.values(), "nothing at all"]))
+
+
+@query(f"""WITH rules(rule, code, regex, layer, severity) AS (VALUES {_RULES}), lines(k, line) AS (VALUES {_LINES}),
+texts AS (SELECT event_id, string_agg(line || ' ' || event_type, chr(10) ORDER BY k) AS text FROM events JOIN lines ON k = event_id % 45 OR k = event_id // 45 % 45 GROUP BY event_id),
+found AS (SELECT event_id, rules.*, regexp_extract(text, regex, 0, 'i') AS matched FROM texts, rules WHERE regexp_matches(text, regex, 'i'))
+SELECT event_id, code, CAST(rule AS INTEGER) AS rule, layer, severity, substr(matched, 1, 120) AS matched FROM found QUALIFY row_number() OVER (PARTITION BY event_id, code ORDER BY rule) = 1""")
 def registry_signals(spark, sf_dir):
-    """The registry of 44 rules, a code once a text."""
-    content = by_type(
-        text("nothing at all"), error=text("blk_update_request: I/O error, dev sdb, sector ", event_id(), "\nblk_update_request: I/O error, dev sdc"), click=text("nf_conntrack: table full, dropping packet"),
-        signup=text("Kernel panic - not syncing: out"), purchase=text("rebal run 9 of group ", event_id()),
-    )
+    """The registry of 44 rules, a code once a text; texts of two lines
+    show every pair of signals."""
+    lines = F.array(*[F.lit(line) for line in [*SIGNAL_LINES.values(), "nothing at all"]])
+    a, b = event_id() % 45, F.floor(event_id() / 45) % 45
+    line = lambda k: F.concat(F.get(lines, k.cast("int")), F.lit(" "), event_type())
+    content = F.when(a == b, line(a)).otherwise(F.concat(line(F.least(a, b)), F.lit("\n"), line(F.greatest(a, b))))
     found = translator.signals(table(spark, sf_dir, "events").select("event_id", content.alias("text")), "event_id")
-    return found.select("event_id", "code", "rule", "layer", "severity")
+    return found.select("event_id", "code", "rule", "layer", "severity", "matched")
