@@ -164,6 +164,14 @@ def root_causes(codes, edges, nodes=None):
     return out if nodes is None else out.join(nodes.withColumnRenamed("id", "neighbour"), "neighbour", "left")
 
 
+def fixes(keys: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(pattern_id, fix_id, priority, rank, …): the fixes of patterns in
+    order of priority, 99 where an edge has none, with their nodes' columns."""
+    known = edges.withColumn("priority", F.coalesce("priority", F.lit(99)))
+    out = neighbours(keys, known, "fixed_by", [F.asc("priority")]).select(F.col("id").alias("pattern_id"), F.col("neighbour").alias("fix_id"), "priority", "rank")
+    return out.join(nodes.withColumnRenamed("id", "fix_id"), "fix_id", "left")
+
+
 def root_chain(codes: DataFrame, matched: DataFrame, edges: DataFrame, levels: int = 2) -> DataFrame:
     """For each code its most probable cause among the matched patterns
     (incident, pattern_id), and a matched trigger of that among its first

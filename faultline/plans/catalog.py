@@ -871,7 +871,7 @@ def incident_reports(spark, sf_dir):
 
 def _all() -> None:
     """The other modules of the catalogue register their queries here."""
-    from faultline.plans import evidence_catalog, log_catalog, store_catalog  # noqa: F401
+    from faultline.plans import evidence_catalog, graph_catalog, log_catalog, store_catalog  # noqa: F401
 
 
 def queries():
