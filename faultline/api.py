@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from faultline.operators import evidence, translator
 from faultline.plans.diagnose import diagnose
-from faultline.sources.files import Limits, archive_kind, read_bundles, read_texts
+from faultline.sources.archives import read_bundles
+from faultline.sources.files import Limits, archive_kind, read_texts
 
 
 def diagnose_text(spark: SparkSession, text: str, incident: str = "input", rules: dict | None = None, benign: list[str] = ()) -> dict[str, DataFrame]:

@@ -6,11 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.functions.text import file_priority
 from faultline.operators import chunking, core, reasoning, retrieval, sessions
 from faultline.operators import parsers as P
 from faultline.plans.catalog import _bench, _BM25, _docs, query
 from faultline.plans.frames import CHUNKS_SQL, chunks_of_events, table
 from faultline.plans.log_catalog import by_type, event_files, event_id, event_type, stamp, text, user_id
+from faultline.sources import archives as A
 from faultline.sources import files as S
 
 # files and archives -----------------------------------------------------------------------
@@ -71,10 +73,10 @@ def archive_members(spark, sf_dir):
 
     folder = S.store_folder(spark, "bundles")
     _written(_host_texts(spark, sf_dir), folder, bundle)
-    rows = S.read_bundles(spark, folder, S.Limits(text_bytes=2_000_000))
+    rows = A.read_bundles(spark, folder, S.Limits(text_bytes=2_000_000))
     member = F.regexp_extract("path", r"\.zip!/(.*)$", 1)
     # the folder's own name mustn't count
-    points = F.when(member == "", 0).otherwise(S.file_priority(member))
+    points = F.when(member == "", 0).otherwise(file_priority(member))
     return rows.select(F.regexp_extract("bundle", r"([^/]*)$", 1).alias("bundle"), member.alias("member"), "text", "skip_reason", points.cast("int").alias("priority"))
 
 

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import io
-from collections import deque
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.functions.text import file_priority, strip_html
+from faultline.functions.text import strip_html
 from faultline.operators.scan import scan, scan_lines
 
 
@@ -59,118 +56,6 @@ def archive_kind(name: str) -> str | None:
     return None
 
 
-def members(name: str, content: bytes, limits: Limits) -> Iterator[tuple[str | None, bytes | None, str | None]]:
-    """(path, bytes, reason) of an archive's regular files; with a reason the
-    bytes are missing, and no path means the archive itself."""
-    import lzma
-    import tarfile
-    import zipfile
-    import zlib
-
-    kind = archive_kind(name)
-
-    def unsafe(path: str) -> bool:
-        return not path or ".." in path.split("/")
-
-    try:
-        if kind == "zip":
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                for k, info in enumerate(z.infolist()):
-                    path = info.filename.replace("\\", "/").lstrip("/")
-                    if k >= limits.zip_members:
-                        yield "*", None, "max_zip_members_exceeded"
-                        return
-                    if info.is_dir():
-                        continue
-                    if unsafe(path):
-                        yield path, None, "path_traversal_or_empty"
-                    elif info.file_size > limits.member_bytes:
-                        yield path, None, "file_too_large"
-                    else:
-                        yield path, z.read(info), None
-        else:
-            with tarfile.open(fileobj=io.BytesIO(content), mode=kind) as t:
-                for k, info in enumerate(t):
-                    path = info.name.replace("\\", "/").lstrip("/")
-                    if k >= limits.tar_members:
-                        yield "*", None, "max_tar_members_exceeded"
-                        return
-                    if not info.isfile():
-                        continue
-                    if unsafe(path):
-                        yield path, None, "path_traversal_or_empty"
-                    elif info.size > limits.member_bytes:
-                        yield path, None, "file_too_large"
-                    else:
-                        handle = t.extractfile(info)
-                        data = handle.read(limits.member_bytes + 1) if handle else None
-                        if data is None:
-                            yield path, None, "non_extractable_member"
-                        elif len(data) > limits.member_bytes:
-                            yield path, None, "file_too_large_after_read"
-                        else:
-                            yield path, data, None
-    except (zipfile.BadZipFile, tarfile.TarError, lzma.LZMAError, zlib.error, OSError, EOFError, RuntimeError) as error:
-        yield None, None, f"archive_open_failed:{type(error).__name__}"
-
-
-def leaves(name: str, content: bytes, limits: Limits) -> Iterator[tuple[str, bytes | None, str | None]]:
-    """Files of nested archives within limits of depth and number, archives
-    breadth first.  A path names the archives it lies in.  What is held are
-    archives that wait for their turn and the member at hand."""
-    if not archive_kind(name):
-        yield name, content, None
-        return
-    queue, opened, seen = deque([(name, content, 0)]), 0, set()
-    del content
-    while queue:
-        path, data, depth = queue.popleft()
-        if depth >= limits.depth:
-            yield path, None, "max_nesting_depth"
-        elif opened >= limits.nested:
-            yield path, None, "max_nested_archive_expansions"
-        else:
-            opened += 1
-            for child, inner, reason in members(path, data, limits):
-                full = f"{path}!/{child}" if child is not None else path
-                if reason:
-                    yield full, None, reason
-                elif archive_kind(full):
-                    queue.append((full, inner, depth + 1))
-                elif full not in seen:
-                    seen.add(full)
-                    yield full, inner, None
-
-
-def read_bundles(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
-    """(bundle, path, text, skip_reason, priority) of the files of
-    archives, the most telling first in ``priority``.  Binary files and files
-    over the size or beyond the number that is read have a reason, no text."""
-    bundles = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for bundle, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for leaf, data, reason in leaves(bundle, content.as_py(), limits):
-                    text = None
-                    if reason is None:
-                        if len(data) > limits.text_bytes:
-                            reason = "text_too_large"
-                        elif b"\0" in data[:4096]:
-                            reason = "binary"
-                        else:
-                            text = data.decode("utf-8", "replace")
-                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (bundle, leaf, text, reason)], ["bundle", "path", "text", "skip_reason"])
-
-    rows = bundles.mapInArrow(run, "bundle string, path string, text string, skip_reason string").withColumn("priority", file_priority(F.col("path")))
-    place = Window.partitionBy("bundle").orderBy(F.col("text").isNull(), F.desc("priority"), "path")
-    late = F.row_number().over(place) > limits.files
-    rows = rows.withColumn("_late", late & F.col("text").isNotNull())
-    return rows.withColumn("skip_reason", F.when(F.col("_late"), "max_files").otherwise(F.col("skip_reason"))).withColumn("text", F.when(~F.col("_late"), F.col("text"))).drop("_late")
-
-
 ITEM = "struct<content:string,text:string,log:string,name:string,filename:string,source:string,file_source:string,hostname:string,host:string,timestamp:string>"
 
 

@@ -54,16 +54,10 @@ def test_settings_file(tmp_path):
         assert "YAML" in str(error)
 
 
-def test_seeds_and_broken_archives(spark, tmp_path):
+def test_seeds(spark, tmp_path):
     (tmp_path / "seed.json").write_text('{"chunk_id": "a"}\n{"chunk_id": "b"}\n{"chunk_id": "b"}\n')
     stored = spark.createDataFrame([("a",)], "chunk_id string")
     assert [r["chunk_id"] for r in S.load_seeds(spark, f"file://{tmp_path}/seed.json", stored).collect()] == ["b"]
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as z:
-        z.writestr("inner.zip", b"no archive")
-        z.writestr("a.txt", "x")
-    assert sorted((p, r) for p, _, r in S.leaves("o.zip", packed.getvalue(), S.Limits())) == [("o.zip!/a.txt", None), ("o.zip!/inner.zip", "archive_open_failed:BadZipFile")]
-    assert [r for *_, r in S.leaves("o.zip", packed.getvalue(), S.Limits(depth=1))].count("max_nesting_depth") == 1
 
 
 @pytest.mark.parametrize("path,points", [("/x/alert_db.log", 102), ("/grid/crs/ocssd.trc", 62), ("/var/log/messages", 57 - 2), ("/x/osw/y", 42), ("/a/iostat.dat", 42)])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from faultline.functions import text as T
 from faultline.operators import chunking, core, correlation, patterns, reasoning, retrieval, sessions
 from faultline.plans import diagnose
+from faultline.sources import archives as A
 from faultline.sources import files as S
 
 D = dt.datetime(2024, 3, 7, 10, 0, 0)
@@ -222,10 +223,10 @@ def test_archives(spark, tmp_path):
         t.addfile(info, io.BytesIO(b"line"))
     (tmp_path / "b.zip").write_bytes(archive_bytes([("a.log", b"text"), ("../evil", b"x"), ("bin", b"a\0b"), ("in.zip", inner), ("x.tar.gz", tar.getvalue()), ("big.txt", b"y" * 2000)]))
     (tmp_path / "broken.zip").write_bytes(b"not a zip")
-    got = {r["path"].split("!/", 1)[-1] if "!/" in r["path"] else r["path"].rsplit("/", 1)[-1]: (r["text"], r["skip_reason"]) for r in S.read_bundles(spark, str(tmp_path), S.Limits(text_bytes=1000)).collect()}
+    got = {r["path"].split("!/", 1)[-1] if "!/" in r["path"] else r["path"].rsplit("/", 1)[-1]: (r["text"], r["skip_reason"]) for r in A.read_bundles(spark, str(tmp_path), S.Limits(text_bytes=1000)).collect()}
     assert got["a.log"] == ("text", None) and got["../evil"] == (None, "path_traversal_or_empty") and got["bin"][1] == "binary" and got["big.txt"][1] == "text_too_large"
     assert got["in.zip!/deep/alert_x.log"][0] == "ORA-00600: x" and got["x.tar.gz!/var/messages"][0] == "line" and got["broken.zip"][1].startswith("archive_open_failed")
-    few = S.read_bundles(spark, str(tmp_path), S.Limits(files=1)).where("text is not null").collect()
+    few = A.read_bundles(spark, str(tmp_path), S.Limits(files=1)).where("text is not null").collect()
     assert [r["path"].rsplit("/", 1)[-1] for r in few if "b.zip" in r["bundle"]] == ["alert_x.log"]
 
 
