@@ -112,6 +112,27 @@ def aggregate(matches: DataFrame) -> DataFrame:
     return best.select("pattern_id", F.col("_b.confidence").alias("confidence"), "n_chunks", "severity")
 
 
+def payloads(matches: DataFrame) -> DataFrame:
+    """A2: a pattern's result over all chunks in order of chunk_id: (pattern_id,
+    confidence, matched_any, matched_all, device, severity, ora_codes,
+    n_chunks).  A better match brings its counts, and its device if it has
+    one; severity and codes are the first match's.  Which chunks showed it are
+    the rows of ``matches`` themselves.
+
+    Only the first match of each confidence can be a better one, so at most
+    101 rows of a pattern meet, however many chunks it has.
+    """
+    row = F.struct("chunk_id", "matched_any", "matched_all", "device", "severity", "ora_codes")
+    firsts = matches.groupBy("pattern_id", "confidence").agg(F.min_by(row, "chunk_id").alias("r"), F.count("*").alias("_n"))
+    higher = Window.partitionBy("pattern_id").orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, -1)
+    better = F.coalesce(F.col("r.chunk_id") < F.min("r.chunk_id").over(higher), F.lit(True))
+    out = firsts.withColumn("_better", better).groupBy("pattern_id").agg(
+        F.max("confidence").alias("confidence"), F.max_by("r", "confidence").alias("best"), F.max_by("r.device", F.when(F.col("_better") & (F.col("r.device") != ""), F.col("confidence"))).alias("device"),
+        F.min_by("r", "r.chunk_id").alias("first"), F.sum("_n").alias("n_chunks"),
+    )
+    return out.select("pattern_id", "confidence", "best.matched_any", "best.matched_all", F.coalesce("device", F.lit("")).alias("device"), "first.severity", "first.ora_codes", "n_chunks")
+
+
 def metric_hits(rows: DataFrame, rules: dict, source: str = "log_source") -> DataFrame:
     """F16: (…, pattern_id, pattern_severity) for metric rows past a rule's
     threshold; a severity map gives the highest step reached."""

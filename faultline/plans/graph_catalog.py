@@ -1,11 +1,12 @@
-"""Queries of drill-downs and of tables stored by key, each with SQL."""
+"""Queries of drill-downs, of tables stored by key and of folded matches, each
+with SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.operators import patterns
+from faultline.operators import correlation, patterns
 from faultline.operators.drilldown import drill_down
 from faultline.operators.keyed_store import KeyedStore, Upsert, learn
 from faultline.plans.catalog import query
@@ -84,3 +85,27 @@ def learned_store(spark, sf_dir):
         F.count("*").alias("n_chunks"), F.count_if(F.col("platform") == "UNKNOWN").alias("n_unknown"), F.min("hostname").alias("host"),
     )
     return store.read("nodes").join(chunks, "id").select("id", "layer", "fix_tier", "title", "n_chunks", "n_unknown", "host")
+
+
+@query("""WITH m AS (SELECT event_type AS pattern_id, event_id AS chunk_id, CAST(least(floor(value), 100) AS INTEGER) AS confidence, event_id % 3 AS matched_any, event_id % 2 = 0 AS matched_all,
+ CASE WHEN user_id % 4 = 0 THEN 'd' || user_id ELSE '' END AS device, 'S' || (event_id % 5) AS severity, props AS code FROM events),
+r AS (SELECT *, max(confidence) OVER (PARTITION BY pattern_id ORDER BY chunk_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m),
+better AS (SELECT * FROM r WHERE before IS NULL OR confidence > before)
+SELECT pattern_id, confidence, matched_any, matched_all, device, severity, code, n_chunks FROM (SELECT pattern_id, max(confidence) AS confidence, max_by(matched_any, chunk_id) AS matched_any, max_by(matched_all, chunk_id) AS matched_all,
+ coalesce(max_by(device, chunk_id) FILTER (device <> ''), '') AS device, min_by(severity, chunk_id) AS severity, min_by(code, chunk_id) AS code FROM better GROUP BY 1) JOIN (SELECT pattern_id, count(*) AS n_chunks FROM m GROUP BY 1) USING (pattern_id)""")
+def pattern_payloads(spark, sf_dir):
+    """A2: each pattern's best confidence with what its matches brought."""
+    m = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("pattern_id"), F.col("event_id").alias("chunk_id"), F.least(F.floor("value"), F.lit(100)).cast("int").alias("confidence"), (F.col("event_id") % 3).alias("matched_any"), (F.col("event_id") % 2 == 0).alias("matched_all"),
+        F.when(F.col("user_id") % 4 == 0, F.concat(F.lit("d"), "user_id")).otherwise("").alias("device"), F.concat(F.lit("S"), F.col("event_id") % 5).alias("severity"), F.array("props").alias("ora_codes"),
+    )
+    return patterns.payloads(m).select("pattern_id", "confidence", "matched_any", "matched_all", "device", "severity", F.col("ora_codes")[0].alias("code"), "n_chunks")
+
+
+@query("""WITH p AS (SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 3600000000 WHERE a.event_type = 'click' AND b.event_type = 'error')
+SELECT id, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS linked FROM (SELECT DISTINCT a AS id, b AS other FROM p UNION SELECT b, a FROM p) GROUP BY 1""")
+def linked_chunks(spark, sf_dir):
+    """Ids appended both ways for chunks of one host near in time."""
+    of = lambda kind: table(spark, sf_dir, "events").where(F.col("event_type") == kind).select(F.col("event_id").alias("id"), F.col("user_id").alias("hostname"), "ts")
+    linked = correlation.linked_ids(correlation.linked_within(of("click"), of("error"), 3600))
+    return linked.select("id", F.array_join(F.col("linked").cast("array<string>"), ",").alias("linked"))

@@ -60,3 +60,25 @@ def test_rules_with_all_parts(spark):
     got = sorted((r["chunk_id"], r["pattern_id"], r["confidence"], r["matched_all"], r["device"], tuple(r["ora_codes"])) for r in got.collect())
     assert got == [(1, "ALL", 100, True, "", ()), (1, "BOTH", 100, True, "sda", ()), (2, "BOTH", 32, False, "", ()), (3, "ALL", 100, True, "", ()), (4, "NOT", 95, False, "", ("ORA-00600",))]
     assert patterns.aggregate(patterns.match(spark.createDataFrame(rows, "chunk_id int, log_source string, raw_text string"), rules)).where(F.col("pattern_id") == "ALL").first()["n_chunks"] == 2
+
+
+def test_payloads_are_folded_in_order(spark):
+    def fold(rows):
+        out = {}
+        for p, _, conf, n_any, n_all, device, severity, codes in sorted(rows, key=lambda r: (r[0], r[1])):
+            if p not in out:
+                out[p] = [conf, n_any, n_all, device, severity, codes, 1]
+                continue
+            o = out[p]
+            o[6] += 1
+            if conf > o[0]:
+                o[0], o[1], o[2], o[3] = conf, n_any, n_all, device or o[3]
+        return {(p, *o[:5], tuple(o[5]), o[6]) for p, o in out.items()}
+
+    import random
+
+    r = random.Random(5)
+    rows = [(f"P{k % 4}", k, r.randrange(60, 101), k, k % 2 == 0, r.choice(["", "sda", "sdb"]), f"S{k}", [str(k)]) for k in range(120)]
+    df = spark.createDataFrame(rows, "pattern_id string, chunk_id int, confidence int, matched_any int, matched_all boolean, device string, severity string, ora_codes array<string>")
+    assert {(*t[:6], tuple(t[6]), t[7]) for t in map(tuple, patterns.payloads(df).collect())} == fold(rows)
+    assert patterns.payloads(df.limit(0)).collect() == []
