@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from faultline.functions.time import infer_years, line_time
+from faultline.operators import chunking
 from faultline.operators import parsers as P
 from faultline.plans.ingest import normalized_events
 
@@ -165,3 +166,30 @@ def test_router(spark):
     dated = next(r for r in rows_ if r["source_path"] == "messages" and r["line_number"] == 1)
     assert dated["timestamp"] == at(2024, 3, 7, 2, 44, 18) and dated["timestamp_confidence"] == "MEDIUM"
     assert next(r for r in rows_ if r["source_path"] == "inner.log")["details"]["wrapper_source"] == "wrapped"
+
+
+def test_texts_are_dealt_before_their_lines(spark):
+    files = spark.createDataFrame([(f"f{k}", "a\nb\na") for k in range(9)], "path string, text string")
+    out = P.blocks(P.lines_of(files), F.col("line") == "a").groupBy("path", "block").count()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+    assert out.count() == 18
+
+
+def test_blocks_with_and_without_traces_are_cut_alike(spark):
+    sizes = [1, 49, 50, 51, 96, 97, 98, 144, 200]
+    lines = [[f"line {k}" for k in range(n)] for n in sizes] + [["Call Trace:"] + [f"x {k}" for k in range(60)], [f"line at {k}" for k in range(97)]]
+    rows = [("f", i, own, "\n".join(own)) for i, own in enumerate(lines)]
+    df = spark.createDataFrame(rows, "path string, block int, lines array<string>, raw string").selectExpr(
+        "*", "'ERROR' severity", "array('ORA-00600') ora_codes", "null timestamp", "string(block) timestamp_raw", "'' errno", "null trace_path", "null incident_id", "null incident_path")
+    got = sorted((int(r.keywords[0][4:]), r.line_count, r.raw_text) for r in chunking.alert_chunks(df, "c").collect())
+    want = []
+    for i, own in enumerate(lines):
+        held = []
+        for line in own:
+            held.append(line)
+            if len(held) >= 50 and own[0] != "Call Trace:":
+                want.append(held)
+                held = held[-3:]
+        want += [held] if held else []
+    assert got == sorted((600, len(w), "\n".join(w)) for w in want)
