@@ -15,7 +15,7 @@ from faultline.llm.jaccard import near_duplicate_rows, with_keys
 from faultline.llm.language import label_documents, learn
 from faultline.llm.mixing import mix_sources
 from faultline.llm.packing import pack_documents
-from faultline.llm.shared import table, written
+from faultline.llm.shared import release_plans, table, written
 
 #: a document goes if less than this share of its words is of one language
 LEAST_SCORE = 0.4
@@ -39,7 +39,9 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     doc_id.  Equal rows are one group; whole texts are compared however long;
     an empty table stays empty.
     """
+    release_plans(spark)  # those of the stage before
     groups = written(near_duplicate_rows(docs, NEAR_PERCENT, NEAR_WORDS), "groups")
+    release_plans(spark)
     repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     dropped = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     if not repeated.take(1):
@@ -58,12 +60,14 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents to the target weights of their sources.  A null source
     is a source of its own, null texts count as empty ones, equal rows are
     repeated alike, an empty table stays empty."""
+    release_plans(spark)
     return mix_sources(docs, columns=False)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into sequences.  Null texts are one end
     id, repeated rows are packed each, an empty table gives no piece."""
+    release_plans(spark)
     return pack_documents(docs)
 
 

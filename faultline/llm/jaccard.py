@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from faultline.llm.shared import bounded_batches, connected_components, discard, release, slices, table, text_buffer, written
+from faultline.llm.shared import bounded_batches, connected_components, discard, release, release_plans, slices, table, text_buffer, written
 from faultline.llm.words import ngram_hashes, word_hashes
 
 SHINGLE, PERCENT = 3, 90
@@ -450,6 +450,7 @@ def near_duplicate_rows(docs: DataFrame, percent: int = PERCENT, size: int = SHI
     enough = listed.groupBy("key").agg(F.count("*").alias("lists"), F.min(F.least("matches", "least")).alias("required")).where("lists >= required").select("key")
     active = written(listed.join(enough, "key").drop("least", "hot"), "active")
     discard(rows)
+    release_plans(docs.sparkSession)
     classes = documents.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("place"))
     # copies are merged where they are read, before the join moves any
     merged = documents.where("key is not null").groupBy("key").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("signature").alias("signature"))
@@ -470,6 +471,7 @@ def near_duplicate_rows(docs: DataFrame, percent: int = PERCENT, size: int = SHI
         links = written(texts_of(docs, members).groupBy("token", "part").applyInArrow(_block_links(percent, size), "a long, b long"), "links")
         discard(home, members)
         labels = connected_components(links)
+        release_plans(docs.sparkSession)
 
     def labelled(rows: DataFrame) -> DataFrame:
         if labels is None:
@@ -521,6 +523,7 @@ def near_duplicate_rows(docs: DataFrame, percent: int = PERCENT, size: int = SHI
         links = proven if links is None else links.unionByName(proven)
         discard(labels)
         labels = connected_components(links)
+        release_plans(docs.sparkSession)
         done.append(todo)
         if len(done) == 2:
             break

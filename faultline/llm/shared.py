@@ -90,6 +90,16 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(0.7)
 
 
+def release_plans(spark: SparkSession) -> None:
+    """Frees the plans and broadcasts of frames that are gone.  A job of many
+    plans else lets the driver's heap grow to its limit, though little of it is
+    in use: a full collection gives what is free back to the system."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     where = context._jvm.org.apache.hadoop.fs.Path(path)

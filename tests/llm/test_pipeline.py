@@ -100,3 +100,15 @@ def test_extra_columns_and_long_texts_go_through(spark):
             assert {r["doc_id"] for r in docs.collect() if r["doc_id"] >= 50} == {50}
     pieces = corpus_pipeline.packed(spark, docs, "").collect()
     assert {p["doc_id"] for p in pieces} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_plans_are_freed_on_the_way(spark, tables):
+    """Between its phases the driver gives the heap of finished plans back."""
+    docs = spark.read.parquet(tables(documents=(documents(), DOCUMENT)) + "/documents.parquet")
+
+    def collections():
+        return sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if b.getName() in ("G1 Old Generation", "PS MarkSweep", "MarkSweepCompact"))
+
+    before = collections()
+    corpus_pipeline.near_duplicate_groups(spark, docs, "")
+    assert collections() >= before + 3
