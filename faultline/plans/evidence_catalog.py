@@ -49,6 +49,10 @@ def merged_evidence(spark, sf_dir):
     return evidence.merge_events(normalized, scanned).select("path", long("line_index"), "layer", "severity")
 
 
+#: made-up lines get longer with their host's number, but not beyond what a log's line has
+LONGEST_LINE = 2000
+
+
 @query("""SELECT 'host' || user_id AS path, greatest(event_id - 1, 0) AS line_index, CASE event_type WHEN 'error' THEN 'DB' WHEN 'click' THEN 'STORAGE' WHEN 'signup' THEN 'OS' WHEN 'purchase' THEN 'NETWORK' ELSE 'ASM' END AS layer,
  CASE WHEN event_type = 'error' THEN 'ORA-00600' ELSE '' END AS codes, 'mpath' || event_id AS device, repeat('x', least(user_id + 200, 220)) || CASE WHEN user_id > 20 THEN '…' ELSE '' END AS preview FROM events""")
 def projected_events(spark, sf_dir):
@@ -60,7 +64,7 @@ def projected_events(spark, sf_dir):
         by_type(text("UNKNOWN"), click=text("infra"), signup=text("kernel")).alias("layer"), by_type(text("X"), error=text("ora-00600"), purchase=text("TNS-12541")).alias("code"),
         by_type(text("OTHER"), error=text("ORA")).alias("code_type"), by_type(view=text("ASM failure")).alias("failure_family"), by_type(click=text("cell1")).alias("cell"), none.alias("flash_disk"), none.alias("process"),
         none.alias("os_errno"), none.alias("trace_file"), none.alias("diskgroup"), none.alias("au"), none.alias("offset"), F.lit("").alias("device"), text("mpath", event_id()).alias("multipath_device"), none.alias("severity"),
-        F.repeat(F.lit("x"), (user_id() + 200).cast("int")).alias("raw"), none.alias("preview"),
+        F.repeat(F.lit("x"), (F.least(user_id(), F.lit(LONGEST_LINE)) + 200).cast("int")).alias("raw"), none.alias("preview"),
     )
     return evidence.project_events(rows).select("path", long("line_index"), "layer", F.array_join("ora_codes", ",").alias("codes"), "device", "preview")
 
