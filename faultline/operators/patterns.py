@@ -193,12 +193,28 @@ def fixes(keys: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.join(nodes.withColumnRenamed("id", "fix_id"), "fix_id", "left")
 
 
+#: matched patterns of an incident that go with each of its codes
+FEW_PATTERNS = 64
+
+
 def root_chain(codes: DataFrame, matched: DataFrame, edges: DataFrame, levels: int = 2) -> DataFrame:
     """For each code its most probable cause among the matched patterns
     (incident, pattern_id), and a matched trigger of that among its first
-    ``levels`` triggers.  Without a matched cause there is no row."""
-    causes = neighbours(codes, edges, "caused_by", [F.desc("probability")]).select(F.col("id").alias("code"), F.col("neighbour").alias("pattern_id"), "probability")
-    seen = codes.select("incident", F.col("id").alias("code")).distinct().join(causes, "code").join(matched, ["incident", "pattern_id"], "left_semi")
+    ``levels`` triggers.  Without a matched cause there is no row.
+
+    A code takes the few patterns of its incident along to its causes, so that
+    those that aren't matched go where they are met and are never shuffled.
+    Incidents with more than FEW_PATTERNS patterns are joined with them after.
+    """
+    causes = edges.where("type = 'caused_by'").select(F.col("source").alias("code"), F.col("target").alias("pattern_id"), "probability")
+    # dealt by incident once, for all that follows
+    asked = codes.select("incident", F.col("id").alias("code")).repartition("incident").distinct()
+    shown = matched.select("incident", "pattern_id").where("pattern_id is not null").repartition("incident").distinct().withColumn("_n", F.count("*").over(Window.partitionBy("incident")))
+    sets = shown.where(F.col("_n") <= FEW_PATTERNS).groupBy("incident").agg(F.collect_list("pattern_id").alias("_shown"))
+    few = asked.join(sets, "incident").join(causes, "code").where(F.array_contains("_shown", F.col("pattern_id"))).drop("_shown")
+    busy = shown.where(F.col("_n") > FEW_PATTERNS).drop("_n")
+    many = asked.join(busy.select("incident").distinct(), "incident", "left_semi").join(causes, "code").join(busy, ["incident", "pattern_id"], "left_semi")
+    seen = few.unionByName(many.select(*few.columns))
     w = Window.partitionBy("incident", "code").orderBy(F.desc("probability"), "pattern_id")
     best = seen.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
     triggers = neighbours(best.select(F.col("pattern_id").alias("id")), edges, "triggered_by", [F.desc("probability")]).where(F.col("rank") <= levels)

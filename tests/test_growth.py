@@ -20,3 +20,20 @@ def test_a_projected_line_does_not_grow_with_its_host(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string").withColumn("ts", F.lit("2024-01-01").cast("timestamp")).withColumn("value", F.lit(1.0)).write.parquet(str(tmp_path / "events.parquet"))
     got = {r["path"]: r["preview"] for r in catalog.QUERIES["projected_events"](spark, str(tmp_path)).collect()}
     assert got == {"host5": "x" * 205, "host20": "x" * 220, "host21": "x" * 220 + "…", "host2000000000": "x" * 220 + "…"}
+
+
+def test_root_chain_shuffles_matched_causes_only(spark):
+    """Codes of many causes, by incidents with few and with many patterns."""
+    from faultline.operators import patterns
+
+    n = 70
+    edges = [("ORA-1", f"P{k:02}", "caused_by", 0.1 + k / 100) for k in range(n)] + [("ORA-2", "P03", "caused_by", 0.5), ("P03", "P02", "triggered_by", 0.2), ("P69", "P68", "triggered_by", 0.3)]
+    edges = spark.createDataFrame(edges, "source string, target string, type string, probability double")
+    codes = spark.createDataFrame([(1, "ORA-1"), (1, "ORA-2"), (2, "ORA-1"), (3, "ORA-2"), (1, "ORA-2")], "incident int, id string")
+    matched = [(1, "P03"), (1, "P02"), (1, None), (3, "P04"), (4, "P03")] + [(2, f"P{k:02}") for k in range(n)]
+    matched = spark.createDataFrame(matched, "incident int, pattern_id string")
+    out = patterns.root_chain(codes, matched, edges)
+    want = [(1, "ORA-1", "ROOT: P02 > OS: P03 > DB: ORA-1"), (1, "ORA-2", "ROOT: P02 > OS: P03 > DB: ORA-2"), (2, "ORA-1", "ROOT: P68 > OS: P69 > DB: ORA-1")]
+    assert sorted((r["incident"], r["code"], r["causal_chain"]) for r in out.collect()) == want
+    # of an incident's codes all causes met, and only then were tested, after a shuffle of them all
+    assert "array_contains" in out._jdf.queryExecution().optimizedPlan().toString()
