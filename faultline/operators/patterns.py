@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.text import strip_benign_lines
 from faultline.operators.literals import candidates
+from faultline.sources.files import store_folder
 
 FLAGS = "(?ims)"
 
@@ -228,9 +229,12 @@ def root_chain(codes: DataFrame, matched: DataFrame, edges: DataFrame, levels: i
 
 def reachable(edges: DataFrame, start: DataFrame, hops: int, kind: str | None = None) -> DataFrame:
     """Multi-hop drill-down: (id, reached, hops), the fewest hops to each node.
-    One join a hop; every hop goes on from the distinct nodes of the one
+    Edges are written once, as every hop reads them.  One join a hop; every hop goes on from the distinct nodes of the one
     before, whose exchange both the next hop and the result read."""
-    step = (edges if kind is None else edges.where(F.col("type") == kind)).select(F.col("source").alias("_s"), F.col("target").alias("_t")).distinct()
+    spark, folder = edges.sparkSession, store_folder(edges.sparkSession, "reachable")
+    steps = (edges if kind is None else edges.where(F.col("type") == kind)).select(F.col("source").alias("_s"), F.col("target").alias("_t")).distinct()
+    steps.write.parquet(folder)
+    step = spark.read.schema(steps.schema).parquet(folder)
     frontier = start.select("id", F.col("id").alias("reached")).distinct()
     every = [frontier.withColumn("hops", F.lit(0))]
     for k in range(1, hops + 1):

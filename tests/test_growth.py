@@ -37,3 +37,12 @@ def test_root_chain_shuffles_matched_causes_only(spark):
     assert sorted((r["incident"], r["code"], r["causal_chain"]) for r in out.collect()) == want
     # of an incident's codes all causes met, and only then were tested, after a shuffle of them all
     assert "array_contains" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_drill_down_reads_its_edges_once(spark):
+    from faultline.operators import patterns
+
+    edges = spark.range(4).select(F.concat(F.lit("n"), "id").alias("source"), F.concat(F.lit("n"), F.col("id") + 1).alias("target"))
+    out = patterns.reachable(edges, spark.createDataFrame([("n0",)], "id string"), 3)
+    assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()  # not derived again in each hop
+    assert sorted((r["reached"], r["hops"]) for r in out.collect()) == [("n0", 0), ("n1", 1), ("n2", 2), ("n3", 3)]
