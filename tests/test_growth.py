@@ -46,3 +46,16 @@ def test_drill_down_reads_its_edges_once(spark):
     out = patterns.reachable(edges, spark.createDataFrame([("n0",)], "id string"), 3)
     assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()  # not derived again in each hop
     assert sorted((r["reached"], r["hops"]) for r in out.collect()) == [("n0", 0), ("n1", 1), ("n2", 2), ("n3", 3)]
+
+
+def _block_errors(spark):
+    line = F.concat(F.lit("2024-01-01T00:00:0"), "id", F.lit("Z host1 kernel: blk_update_request: I/O error, dev sdb, sector "), "id")
+    return spark.range(3).select(F.col("id").alias("incident"), F.concat(F.lit("f"), "id").alias("path"), line.alias("text"))
+
+
+def test_the_router_derives_its_texts_once(spark):
+    from faultline.plans.ingest import normalized_events
+
+    events = normalized_events(_block_errors(spark))
+    assert "Range" not in events._jdf.queryExecution().optimizedPlan().toString()  # not derived again by each parser
+    assert sorted((r["source_path"], r["code"]) for r in events.collect()) == [(f"f{k}", "OS_BLOCK_IO_ERROR") for k in range(3)]
