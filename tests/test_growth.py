@@ -59,3 +59,35 @@ def test_the_router_derives_its_texts_once(spark):
     events = normalized_events(_block_errors(spark))
     assert "Range" not in events._jdf.queryExecution().optimizedPlan().toString()  # not derived again by each parser
     assert sorted((r["source_path"], r["code"]) for r in events.collect()) == [(f"f{k}", "OS_BLOCK_IO_ERROR") for k in range(3)]
+
+
+def test_a_diagnosis_routes_its_files_once(spark):
+    from faultline.plans.diagnose import diagnose
+
+    out = diagnose(_block_errors(spark))
+    both = out["report"].join(out["analysis"], "incident")
+    assert "syslog_parser" not in both._jdf.queryExecution().optimizedPlan().toString()  # routed before, once for both
+    assert both.count() == 3
+
+
+def test_keyword_scores_are_made_part_by_part(spark, monkeypatch):
+    import math
+
+    from faultline.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "PART", 3)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    texts = {k: " ".join(f"w{(k * j) % 7}x" for j in range(1, k % 5 + 3)) for k in range(20)}
+    asked = {"a": "w1x w2x w1x", "b": "w3x", "c": "nothing here", "d": "w0x w6x"}
+    out = retrieval.bm25(spark.createDataFrame(list(asked.items()), "query_id string, text string"), spark.createDataFrame(list(texts.items()), "chunk_id long, text string"))
+    # a task held sums of all chunks of its share, however many there were
+    assert "FlatMapCoGroupsInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    words = {k: t.split() for k, t in texts.items()}
+    n, mean = len(words), sum(map(len, words.values())) / len(words)
+    df = {t: sum(t in w for w in words.values()) for w in words.values() for t in w}
+    raw = {t: math.log(n - c + 0.5) - math.log(c + 0.5) for t, c in df.items()}
+    idf = {t: v if v >= 0 else 0.25 * sum(raw.values()) / len(raw) for t, v in raw.items()}
+    score = lambda q, w: sum(idf.get(t, 0) * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for t in q.split())
+    want = {(q, k): round(score(text, w), 4) for q, text in asked.items() for k, w in words.items() if round(score(text, w), 4) > 0}
+    got = {(r["query_id"], r["chunk_id"]): r["bm25_score"] for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-4 for x in want)
