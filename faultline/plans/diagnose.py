@@ -9,6 +9,7 @@ from faultline.config import DEFAULT, Settings
 from faultline.functions.time import group
 from faultline.operators import correlation, patterns, reasoning, retrieval
 from faultline.plans.ingest import normalized_events
+from faultline.sources.files import stored
 
 # fixed values
 SYSLOG_START = r"(?m)^(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}"
@@ -137,6 +138,7 @@ def diagnose(files: DataFrame, rules: dict | None = None, benign: list[str] = ()
     """Live path: files (incident, path, text) to events, patterns, analysis and
     gated reports, one row an incident."""
     events = normalized_events(files.select("path", "text")).join(files.select("incident", F.col("path").alias("source_path")).dropDuplicates(), "source_path", "left")
+    events = stored(events, "events")  # read by the analysis, the reports and the caller
     analysis = reasoning.analyse(events)
     matched = None
     if rules:
