@@ -193,3 +193,18 @@ def test_blocks_with_and_without_traces_are_cut_alike(spark):
                 held = held[-3:]
         want += [held] if held else []
     assert got == sorted((600, len(w), "\n".join(w)) for w in want)
+
+
+def test_syslog_entries_are_parsed_once_after_grouping(spark):
+    text = "  lost\nMar  7 02:44:18 db1 kernel: first\n  more \n\n\tand more\nFeb 30 02:44:18 db1 su[7]: no such day\n2024-03-07T02:44:19+01:00 db1 x[8]: iso\n2024-13-07T02:44:19Z db1 y: bad\n[ 1.5] boot\nlast"
+    lines = P.lines_of(files(spark, a=text, b=text)).drop("n_lines")
+    out = P.parse_syslog(lines, spark.createDataFrame([("a", 2024)], "path string, year int"))
+    got = rows(out.where("path = 'a'").orderBy("line_number"), "line_number", "timestamp", "timestamp_raw", "timestamp_confidence", "process", "pid", "message", "format")
+    assert got == [
+        (2, at(2024, 3, 7, 2, 44, 18), "Mar  7 02:44:18", "MEDIUM", "kernel", None, "first more \tand more", "RFC3164"), (6, None, "Feb 30 02:44:18", "MEDIUM", "su", "7", "no such day", "RFC3164"),
+        (7, at(2024, 3, 7, 1, 44, 19), "2024-03-07T02:44:19+01:00", "HIGH", "x", "8", "iso", "RFC5424"), (8, None, "2024-13-07T02:44:19Z", "LOW", "y", None, "bad", "RFC5424"), (9, None, "[1.5]", "LOW", "kernel", None, "boot last", "DMESG"),
+    ]
+    assert out.where("path = 'a'").orderBy("line_number").first()["raw"] == "Mar  7 02:44:18 db1 kernel: first\n  more \n\tand more"
+    assert rows(out.where("path = 'b'").orderBy("line_number"), "timestamp", "timestamp_confidence")[:3] == [(None, "LOW"), (None, "LOW"), (at(2024, 3, 7, 1, 44, 19), "HIGH")]
+    # every time form was tried on every line, in one expression, and twice
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") < 30
