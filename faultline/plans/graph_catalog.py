@@ -10,7 +10,7 @@ from faultline.operators import correlation, patterns
 from faultline.operators.drilldown import drill_down
 from faultline.operators.keyed_store import KeyedStore, Upsert, learn
 from faultline.plans.catalog import query
-from faultline.plans.frames import table
+from faultline.plans.frames import dealt, table
 from faultline.sources.files import store_folder
 
 
@@ -43,10 +43,12 @@ def drill_down_paths(spark, sf_dir):
 FROM (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2) ps LEFT JOIN part ON p_partkey = ps.l_partkey""")
 def graph_fixes(spark, sf_dir):
     """Fixes of a pattern by priority, with their nodes' risk."""
-    pairs = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("priority"))
-    edges = pairs.select(F.concat(F.lit("S"), "l_suppkey").alias("source"), F.concat(F.lit("P"), "l_partkey").alias("target"), F.lit("fixed_by").alias("type"), "priority")
+    # nearly every pair is its own, so counting them by the scan's tasks first holds a table of a whole split
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("source"), "l_partkey")
+    pairs = dealt(lines, lines.count(), "source").groupBy("source", "l_partkey").agg(F.count("*").alias("priority"))
+    edges = pairs.select("source", F.concat(F.lit("P"), "l_partkey").alias("target"), F.lit("fixed_by").alias("type"), "priority")
     nodes = table(spark, sf_dir, "part").select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.col("p_brand").alias("risk"))
-    out = patterns.fixes(edges.select(F.col("source").alias("id")), edges, nodes)
+    out = patterns.fixes(lines.select(F.col("source").alias("id")), edges, nodes)
     return out.select("pattern_id", "fix_id", "priority", "risk", "rank")
 
 

@@ -91,3 +91,21 @@ def test_keyword_scores_are_made_part_by_part(spark, monkeypatch):
     want = {(q, k): round(score(text, w), 4) for q, text in asked.items() for k, w in words.items() if round(score(text, w), 4) > 0}
     got = {(r["query_id"], r["chunk_id"]): r["bm25_score"] for r in out.collect()}
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 2e-4 for x in want)
+
+
+def test_fixes_are_counted_in_tasks_of_bounded_rows(spark, tmp_path):
+    from faultline.plans import catalog
+    from faultline.plans.frames import TASK_ROWS, dealt
+
+    assert dealt(spark.range(9), 10 * TASK_ROWS + 1, "id").rdd.getNumPartitions() == 11
+    assert dealt(spark.range(9), 9, "id").rdd.getNumPartitions() == 4  # the session's
+    catalog.queries()
+    pairs = [(1, 1), (1, 2), (1, 1), (2, 3), (2, None), (None, 1), (None, None), (1, 10)]
+    spark.createDataFrame(pairs, "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, "b1"), (3, "b3")], "p_partkey long, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    out = catalog.QUERIES["graph_fixes"](spark, str(tmp_path))
+    want = [("S1", "P10", 1, None, 1), ("S1", "P2", 1, None, 2), ("S1", "P1", 2, "b1", 3)]
+    assert sorted((tuple(r) for r in out.where("pattern_id = 'S1'").collect()), key=lambda r: r[-1]) == want
+    # a scan's tasks counted pairs of whole splits, and adaptive execution joined what came of them by bytes
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [source" in plan and plan.index("Aggregate [source") < plan.index("RepartitionByExpression [source")
